@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, packing, secrets, tokens, toxicity
+from . import decontaminate, flac, jaccard, packing, secrets, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -56,6 +60,6 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_toxicity, op4_flac, op5_secrets, op7_token_counts, op8_harmonic_packing, op9_packed_ids)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_toxicity, op4_flac, op5_secrets, op6_jaccard_join, op7_token_counts, op8_harmonic_packing, op9_packed_ids)}
 
 ORACLES: dict[str, str] = {}
