@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, jaccard, packing, secrets, tokens, toxicity
+from . import chat, decontaminate, flac, jaccard, packing, secrets, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,38 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+#: Of the tools that the conversations' calls name.
+SCHEMAS = {
+    "lookup": {"query": ("STRING", True), "max_words": ("NUMBER", False), "strict": ("BOOLEAN", False)},
+    "search": {"query": ("STRING", True), "max_words": ("NUMBER", False)},
+    "summarise": {"query": ("STRING", False), "max_words": ("NUMBER", True)},
+}
+#: The url rules, as given.
+RULES = (urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("example.org", "/en/1", "block"), urls.Rule("com", "/fr/", "allow"), urls.Rule("com", "/de/", "block"))
+#: A domain is listed if its first label is one of these.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn is a call whose name, arguments and dependencies its text gives; each later user turn is the result of the call before it."""
+    turns = table(spark, sf_dir, "conversations")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    query = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), 1, 40)
+    arguments = (
+        F.when(n % 13 == 0, F.concat(F.lit('{ "query" : "'), query))
+        .when(n % 11 == 0, F.format_string('{ "max_words":%d }', n))
+        .when(n % 7 == 0, F.format_string('{ "query" : 5, "max_words" : %d}', n))
+        .when(n % 5 == 0, F.format_string('{ "tone": [1, {"b": null, "a": true}], "max_words" : %d}', n))
+        .otherwise(F.format_string('{"query" : "%s",  "max_words" : %d }', query, n))
+    )
+    after = F.when(n % 3 == 0, F.array(call_id(F.col("turn") - 2))).when(n % 8 == 1, F.array(call_id(F.col("turn") + 2))).otherwise(F.array().cast("array<string>"))
+    names = F.element_at(F.array(*map(F.lit, ("search", "lookup", "summarise", "forecast"))), (n % 4 + 1).cast("int"))
+    calls = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), names.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    results = turns.where("role = 'user' AND turn > 0").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return chat.link_tool_calls(calls, results, SCHEMAS)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -60,6 +92,10 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_toxicity, op4_flac, op5_secrets, op6_jaccard_join, op7_token_counts, op8_harmonic_packing, op9_packed_ids)}
+def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, lambda key: F.split_part(key, F.lit("."), F.lit(1)).isin(*LISTED_LABELS))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_decontaminate, op3_toxicity, op4_flac, op5_secrets, op6_jaccard_join, op7_token_counts, op8_harmonic_packing, op9_packed_ids, op10_url_cascade)}
 
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES  # noqa: E402, F401
