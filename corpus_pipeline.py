@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import common, decontaminate, packing, queries, secrets, toxicity
+from dossier.llm import common, decontaminate, jaccard, packing, queries, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, machine)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -30,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(docs, queries.vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_leaks), ("secrets", mask_secrets), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_copies), ("decontamination", drop_leaks), ("secrets", mask_secrets), ("packing", pack)]
 
 #: No SQL learns the machine or the automata.
 ORACLE_SQL = None
