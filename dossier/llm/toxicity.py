@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,19 +17,22 @@ from .decontaminate import words_of
 
 #: Labelled rows that the machine is fitted on at most: those whose hashed id is lowest.
 TRAIN_ROWS = 20_000
-#: A term counts from so many of those rows on.
-LEAST_ROWS = 5
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 12, 512, 0.08, 2e-5
+#: A term has a say if it is in so many of those rows, and its share of label 1 lies so many standard deviations off the mean.
+LEAST_ROWS, LEAST_Z = 6, 5.0
+#: Terms of at most this share of the rows tell near-copies by the least of their hashes; near-copies together weigh as one row.
+RARE_SHARE = 0.005
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.15, 1e-4
 #: Beside whole words, stems of so many code points, for insults whose endings vary.
 STEMS = (4, 5)
 #: Words whose terms a task remembers.
 REMEMBER = 400_000
+NOTHING: tuple = ()
 
 
 def terms_of(word: bytes) -> tuple[int, ...]:
-    """Hashed terms of a word: itself and its stems, in 63 bits."""
-    letters = word.decode()
-    keys = [b"w" + word, *(b"s%d" % n + letters[:n].encode() for n in STEMS if len(letters) >= n)]
+    """Hashed terms of a word, in 63 bits: itself, its stems, and last itself as a word that a text repeats."""
+    letters = word.decode().lower()
+    keys = [b"w" + letters.encode(), *(b"s%d" % n + letters[:n].encode() for n in STEMS if len(letters) >= n), b"r" + letters.encode()]
     return tuple(xxhash.xxh64_intdigest(k) >> 1 for k in keys)
 
 
@@ -36,10 +40,10 @@ def features_of(raw: bytes, memory: dict[bytes, tuple[int, ...]]) -> np.ndarray:
     out: list[int] = []
     if len(memory) > REMEMBER:
         memory.clear()
-    for word in set(words_of(raw)):
+    for word, n in Counter(words_of(raw)).items():
         if (terms := memory.get(word)) is None:
             terms = memory[word] = terms_of(word)
-        out += terms
+        out += terms if n > 1 else terms[:-1]
     return np.unique(np.array(out, np.int64))
 
 
@@ -54,17 +58,23 @@ class Machine:
 
     def scorer(self):
         at = {int(k): i for i, k in enumerate(self.keys)}
-        memory: dict[bytes, tuple[int, ...]] = {}
+        memory: dict[bytes, tuple] = {}
 
         def score(raw: bytes) -> float:
             if len(memory) > REMEMBER:
                 memory.clear()
             rows: set[int] = set()
-            for word in set(words_of(raw)):
+            words = words_of(raw)
+            for word in set(words):
                 if (own := memory.get(word)) is None:
-                    own = memory[word] = tuple(i for i in map(at.get, terms_of(word)) if i is not None)
-                if own:
-                    rows.update(own)
+                    *single, repeated = map(at.get, terms_of(word))
+                    own = memory[word] = (tuple(i for i in single if i is not None), repeated)
+                    if own == ((), None):
+                        own = memory[word] = NOTHING
+                if own is not NOTHING:
+                    rows.update(own[0])
+                    if own[1] is not None and words.count(word) > 1:
+                        rows.add(own[1])
             return self.of(np.sort(np.fromiter(rows, np.int64, len(rows))))
 
         return score
@@ -75,11 +85,23 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = LEAST_ROWS) -> Machine:
+def weighed(row: np.ndarray, terms: np.ndarray, inverse: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
+    """A weight for each row: rows that share the least hash of their rarer terms weigh one together."""
+    rare = counts[inverse] <= max(RARE_SHARE * m, 40)
+    least = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(least, row[rare], terms[rare])
+    _, which, shared = np.unique(least, return_inverse=True, return_counts=True)
+    return np.where(least == np.iinfo(np.int64).max, 1.0, 1 / shared[which])
+
+
+def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = LEAST_ROWS, least_z: float = LEAST_Z) -> Machine:
     """AdaGrad on the logistic loss, in an order that a fixed seed gives. Each row is its label and its number of terms; the terms follow each other."""
     keys, inverse, counts = np.unique(terms, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(labels)), sizes)
-    kept = counts >= least
+    weight = weighed(row, terms, inverse, counts, len(labels))
+    mean = float((labels * weight).sum() / max(weight.sum(), 1e-9))
+    seen, hit = np.bincount(inverse, weight[row], len(keys)), np.bincount(inverse, (weight * labels)[row], len(keys))
+    kept = (seen >= least) & (np.abs(hit - seen * mean) >= least_z * np.sqrt(seen * mean * (1 - mean)) + 1e-9)
     number = np.cumsum(kept) - 1
     mask = kept[inverse]
     index, row = number[inverse[mask]], row[mask]
@@ -87,8 +109,7 @@ def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = L
     start = np.searchsorted(row, np.arange(m + 1))
     random = np.random.default_rng(7)
     w, v = np.zeros(n), random.normal(0, 0.01, (n, FACTORS))
-    share = labels.mean() if m else 0.5
-    bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    bias = float(np.log((mean + 1e-3) / (1 - mean + 1e-3))) if m else 0.0
     gw, gv = np.full(n, 1e-6), np.full((n, FACTORS), 1e-4)
     for _ in range(EPOCHS if m and n else 0):
         order = random.permutation(m)
@@ -100,7 +121,8 @@ def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = L
             total = np.stack([np.bincount(which, vf[:, f], len(some)) for f in range(FACTORS)], 1)
             z = bias + np.bincount(which, w[flat], len(some)) + 0.5 * ((total**2).sum(1) - np.bincount(which, (vf**2).sum(1), len(some)))
             error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[some]
-            bias -= 0.05 * error.mean()
+            error *= weight[some]
+            bias -= 0.5 * error.mean()
             used, place = np.unique(flat, return_inverse=True)
             each = error[which]
             g = np.bincount(place, each, len(used)) / len(some) + DECAY * w[used]
