@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import arrow_session, id_type, map_batches, texts_of, written
 
 #: Pieces a task remembers; then the memory starts anew.
-REMEMBER = 600_000
+REMEMBER = 400_000
 #: A text of more code points is cut into chunks of so many, that overlap by OVERLAP.
 HUGE, CHUNK, OVERLAP, WIDER = 32_768, 16_384, 512, 8
 #: Blanks that split a text; one that holds any other white space is encoded whole.
@@ -38,6 +38,7 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(2)
 def offset_tokenizer(path: str):
     """The same tokenizer, whose offsets keep the blanks that tokens begin with."""
     from tokenizers import Tokenizer
@@ -213,14 +214,15 @@ def _chunk_counts(left: DataFrame, path: str, chunk: int, overlap: int) -> DataF
     dealt = cuts.repartition(F.col("own"), F.col("k"))
 
     def make():
-        encode = offset_tokenizer(path).encode_batch
+        encode = offset_tokenizer(path).encode
 
         def each(batch: pa.RecordBatch):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "n_bytes", "left", "right", "met")}
             parts = texts_of(batch.column("part"))
             ks, totals = batch.column("k").to_pylist(), batch.column("total").to_pylist()
-            for text, k, total, coded in zip(parts, ks, totals, encode(parts, add_special_tokens=False), strict=True):
+            for text, k, total in zip(parts, ks, totals, strict=True):
                 base = max(0, k * chunk - overlap)
+                coded = encode(text, add_special_tokens=False)  # one at a time: encodings with offsets are large
                 ends = {end: i + 1 for i, (_, end) in enumerate(coded.offsets)}  # tokens up to there
                 a = 0 if k == 0 else seam(text, k * chunk, overlap, ends, base)
                 b = base + len(text) if k == total - 1 else seam(text, (k + 1) * chunk, overlap, ends, base)
