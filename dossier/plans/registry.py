@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import Views
 
-MODULES = ("relational",)
+MODULES = ("relational", "texts", "matching", "evaluation")
 
 
 def _bound(query: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
