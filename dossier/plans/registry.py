@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import Views
 
-MODULES = ("relational", "texts", "matching", "evaluation")
+MODULES = ("relational", "texts", "matching", "evaluation", "profiles", "streams")
 
 
 def _bound(query: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

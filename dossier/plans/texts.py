@@ -143,6 +143,14 @@ UNION SELECT t.term, q.alias FROM term t LEFT JOIN (VALUES {_PAIRS}) p(alias, ro
 _RUN = "SELECT DISTINCT {0}, rtrim(unnest(regexp_extract_all(lower({1}), '[a-z0-9+#.]+')), '.') AS name FROM {2}"
 
 
+_EVIDENCE = f"""SELECT *, CASE WHEN exp_lines = 0 THEN 0.4 ELSE round(least(greatest(0.55 + 0.12 * least(metrics, 4) + 0.08 * least(results, 3) - 0.07 * least(weak, 4) - 0.05 * least(vague, 3), 0.2), 0.95), 2) END AS confidence FROM (
+        SELECT doc_id, count(*) FILTER (e) AS exp_lines, count(*) FILTER (e AND m) AS metrics, count(*) FILTER (e AND a) AS actions, count(*) FILTER (e AND r) AS results, count(*) FILTER (dt) AS dates, count(*) FILTER (e AND v) AS vague,
+          count(*) FILTER (e AND length(line) > 90) AS long, count(*) FILTER (e AND NOT m AND NOT r) AS weak, count(*) FILTER (kind = 'duty') AS duty_zones, count(*) FILTER (kind = 'role_title') AS role_titles,
+          coalesce(list(line_no ORDER BY line_no) FILTER (e AND NOT m AND NOT r), [])[1:5] AS weak_lines, coalesce(list(line_no ORDER BY line_no) FILTER (e AND v), [])[1:5] AS vague_lines
+        FROM (SELECT *, section IN ('internship', 'projects', 'campus') AS e, regexp_matches(lower(line), '{L.METRIC}') AS m, regexp_matches(lower(line), '{_u(LATIN.actions)}') AS a, regexp_matches(lower(line), '{_u(LATIN.results)}') AS r,
+          regexp_matches(lower(line), '{_u(LATIN.vague)}') AS v, regexp_matches(lower(line), '{L.DATE}') AS dt, {_CLASS('line')} AS kind FROM seg) GROUP BY 1)"""
+
+
 def sql(text: str) -> str:
     return duck(text, seg=_SEG, norm_lines=_NORM, page=_PAGE, lay=_LAY, pool=_POOL, found=_FOUND, judged=_QUALITY, content=_CONTENT, card=_CARD, idf=_IDF, term=_TERM, term_name=_NAME)
 
@@ -162,14 +170,7 @@ SQL = {
     "h10_skill_mentions": sql(f"SELECT page_id, {_SKILLS} AS skills FROM page"),
     "a6_pages_to_jobs": sql(f"SELECT page_id, title, {_degree('degree_minimum', 'degree_preferred')}, {_SKILLS} AS skill_mentions, 'pending' AS review_status FROM page"),
     "h16_line_class": sql(f"SELECT doc_id, line_no, {_CLASS('line')} AS kind FROM v_line"),
-    "h17_evidence": sql(
-        f"""SELECT *, CASE WHEN exp_lines = 0 THEN 0.4 ELSE round(least(greatest(0.55 + 0.12 * least(metrics, 4) + 0.08 * least(results, 3) - 0.07 * least(weak, 4) - 0.05 * least(vague, 3), 0.2), 0.95), 2) END AS confidence FROM (
-        SELECT doc_id, count(*) FILTER (e) AS exp_lines, count(*) FILTER (e AND m) AS metrics, count(*) FILTER (e AND a) AS actions, count(*) FILTER (e AND r) AS results, count(*) FILTER (dt) AS dates, count(*) FILTER (e AND v) AS vague,
-          count(*) FILTER (e AND length(line) > 90) AS long, count(*) FILTER (e AND NOT m AND NOT r) AS weak, count(*) FILTER (kind = 'duty') AS duty_zones, count(*) FILTER (kind = 'role_title') AS role_titles,
-          coalesce(list(line_no ORDER BY line_no) FILTER (e AND NOT m AND NOT r), [])[1:5] AS weak_lines, coalesce(list(line_no ORDER BY line_no) FILTER (e AND v), [])[1:5] AS vague_lines
-        FROM (SELECT *, section IN ('internship', 'projects', 'campus') AS e, regexp_matches(lower(line), '{L.METRIC}') AS m, regexp_matches(lower(line), '{_u(LATIN.actions)}') AS a, regexp_matches(lower(line), '{_u(LATIN.results)}') AS r,
-          regexp_matches(lower(line), '{_u(LATIN.vague)}') AS v, regexp_matches(lower(line), '{L.DATE}') AS dt, {_CLASS('line')} AS kind FROM seg) GROUP BY 1)"""
-    ),
+    "h17_evidence": sql(_EVIDENCE),
     "h30_layout_parser": sql(
         f"SELECT doc_id, lines, short, tables, long, CAST(round({_STEP.format('short')} + CASE WHEN long >= 2 THEN 0.6 ELSE 0 END, 3) AS DOUBLE) AS complexity, list_filter([CASE WHEN tables >= 2 THEN 'table' END, CASE WHEN short / lines >= 0.2 THEN 'fragments' END, CASE WHEN long >= 2 THEN 'long_lines' END, CASE WHEN lines < 8 THEN 'few_lines' END], lambda x: x IS NOT NULL) AS tags FROM lay"
     ),
