@@ -102,8 +102,8 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
     """V3. Rank correlation by key; 0 for fewer than two rows or a constant side."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     ranked = ranks(ranks(rows, "x", keys, "rx"), "y", keys, "ry")
-    found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r"))
-    return found.select(*keys, "n", F.when((F.col("n") < 2) | F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")).alias("spearman"))
+    r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))  # corr() fails on a constant side
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(r, F.lit(0.0)).alias("spearman"))
 
 
 def ablation(scored: DataFrame, variants: Sequence[str], label: str, baseline: str) -> DataFrame:
