@@ -103,7 +103,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     ranked = ranks(ranks(rows, "x", keys, "rx"), "y", keys, "ry")
     r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))  # corr() fails on a constant side
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(r, F.lit(0.0)).alias("spearman"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.coalesce(r, F.lit(0.0)), 12).alias("spearman"))
 
 
 def ablation(scored: DataFrame, variants: Sequence[str], label: str, baseline: str) -> DataFrame:
