@@ -29,11 +29,12 @@ JOB = (
 
 
 def read_documents(spark: SparkSession, path: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """A1. Text files below a folder: doc_id, path, suffix, text, warnings. Temporary (~$), hidden and readme files and other suffixes are left out; an empty file has a warning."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    """A1. Text files below a folder: doc_id, path, suffix, text, warnings. Temporary (~$), hidden and readme files and other suffixes are left out; a blank file has a warning, one that is not UTF-8 empty text too; Spark's readers pass over files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("raw"))
+    files = files.withColumn("text", F.when(F.is_valid_utf8("raw"), F.col("raw")).otherwise(""))
     suffix = F.lower(F.regexp_extract("name", r"\.[^.]+$", 0))
     kept = files.withColumn("suffix", suffix).where(suffix.isin(*suffixes) & ~F.startswith("name", F.lit("~$")) & ~F.startswith("name", F.lit(".")) & ~F.lower("name").rlike(r"^readme"))
-    warnings = F.when(F.trim("text") == "", F.array(F.lit("no_text"))).otherwise(F.array().cast("array<string>"))
+    warnings = F.when(~F.col("text").rlike(r"\S"), F.array(F.lit("no_text"))).otherwise(F.array().cast("array<string>"))
     return kept.select(F.xxhash64("path").alias("doc_id"), "path", "suffix", "text", warnings.alias("warnings"))
 
 

@@ -95,11 +95,11 @@ def test_limiters_against_brute_force():
 
 
 def test_files(spark, tmp_path):
-    for name, text in {"a.txt": "hello there", "~$b.txt": "x", ".c.txt": "x", "README.md": "x", "sub/d.md": " \n", "e.pdf": "x"}.items():
+    for name, text in {"a.txt": "hello there", "~$b.txt": "x", ".c.txt": "x", "README.md": "x", "sub/d.md": "", "sub/f.md": " \n", "e.pdf": "x"}.items():
         (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "docs" / name).write_text(text)
     got = {r.path.rsplit("/", 1)[1]: (r.suffix, r.text, r.warnings) for r in A.read_documents(spark, str(tmp_path / "docs")).collect()}
-    assert got == {"a.txt": (".txt", "hello there", []), "d.md": (".md", " \n", ["no_text"])}
+    assert got == {"a.txt": (".txt", "hello there", []), "f.md": (".md", " \n", ["no_text"])}
     (tmp_path / "jobs.jsonl").write_text('{"id": "1", "must_skills": ["a"]}\n{broken\n{"id": "2"}\n')
     assert sorted(r.id for r in A.read_jobs(spark, str(tmp_path / "jobs.jsonl")).collect()) == ["1", "2"]
     (tmp_path / "cases.json").write_text(json.dumps({"version": 1, "cases": [{"id": "a", "text": "t"}, {"id": "b", "text": "u"}]}))
