@@ -5,7 +5,7 @@ sets are one class; classes of equal prefix and size are one group. Groups that
 Within what is already connected nothing more is compared, as only components are asked for:
 
 1. members of a group against its leader; those that do not link become groups of their own;
-2. groups of a shingle against one of them, in rounds with other centres;
+2. groups of a shingle against a few of them, its centres;
 3. all pairs of groups of a shingle that are still in different components, in blocks; leaders first, and members only of those
    pairs of groups whose leaders' distance leaves room for a link.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_session, id_type, map_batches, raw_texts, small_enough, written
@@ -25,8 +25,10 @@ from .common import arrow_session, id_type, map_batches, raw_texts, small_enough
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Word counts are kept in 2**SLOT_BITS slots, whatever the corpus.
 SLOT_BITS = 17
-#: Rounds of step 2, and groups of a shingle that are compared in one block of step 3.
-ROUNDS, BLOCK = 2, 256
+#: Centres of a shingle in step 2, and groups of a shingle that are compared in one block of step 3.
+CENTRES, BLOCK = 3, 256
+#: Prefixes are so much longer than one common shingle takes that documents which link share so many in them.
+SHARED = 4
 #: Ids that are sent to all tasks at most; more are joined.
 SENT_IDS = 500_000
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -63,6 +65,8 @@ def rarest(levels: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node it reaches, for all nodes of edges (a, b): large and small stars in turn, until nothing changes."""
     state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    mark = lambda: state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+    seen = mark()
     while True:
         both = state.select("a", "b").unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -70,21 +74,24 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = written(small, "edges")
-        changed = not new.join(state, ["a", "b"], "left_anti").isEmpty() or not state.join(new, ["a", "b"], "left_anti").isEmpty()
-        state = new
-        if not changed:
+        state = written(small, "edges")
+        last, seen = seen, mark()
+        if seen == last:
             break
     return state.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def needed(n: int, num: int, den: int) -> int:
+    """Shingles that the prefixes of two documents which link share at least, if the smaller has n."""
+    return min(SHARED, -(-num * n // den))
+
+
 class Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> None:
         self.spark = arrow_session(docs.sparkSession)
         self.key = id_type(docs, doc_id)
         self.docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
         self.size, self.num, self.den = size, num, den
-        self.sets: DataFrame | None = None
 
     def read(self) -> None:
         """Of each document its number of shingles and its set's hash, and the word counts of the corpus by slot."""
@@ -117,49 +124,55 @@ class Join:
         counts = found.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("hits")).toPandas()  # 2**SLOT_BITS rows at most
         slots = np.ones(1 << SLOT_BITS)
         slots[counts["slot"].to_numpy(np.int64)] = counts["hits"].to_numpy(np.float64)
-        self.levels = np.maximum(np.log2(slots / (4 * slots.mean())), 0).astype(np.int8)
+        # in quarters of a doubling, so that a passage of a few hundred documents stands out among rare words
+        self.levels = np.clip(4 * np.log2(np.maximum(slots, 1) / max(np.median(slots) / 8, 1)), 0, 127).astype(np.int8)
         # documents of equal sets are one class, known by its smallest id
         self.classes = written(self.rows.where("n > 0").groupBy("own", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     def prefixes(self) -> DataFrame:
-        """Of each class its number of shingles and its prefix, rarest first."""
+        """Of each class its number of shingles and its prefix, rarest first: so long that two which link share needed() shingles in it."""
         levels, size, num, den = self.spark.sparkContext.broadcast(self.levels), self.size, self.num, self.den
 
         def make():
             def each(batch: pa.RecordBatch):
-                out: dict[str, list] = {"own": [], "prefix": [], "gid": []}
-                for raw in raw_texts(batch.column("text")):
-                    h = word_hashes(raw)
+                out: dict[str, list] = {k: [] for k in ("row", "own", "n", "prefix", "gid")}
+                for row, raw in enumerate(raw_texts(batch.column("text"))):
+                    if not len(h := word_hashes(raw)):
+                        continue
                     s, at = np.unique(shingles(h, size), return_index=True)
                     level = rarest(levels.value, h, size)[at]
-                    keep = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
-                    prefix = s[np.lexsort((s, level))[:keep]]
+                    prefix = s[np.lexsort((s, level))[: len(s) - (num * len(s) + den - 1) // den + needed(len(s), num, den)]]
+                    out["row"].append(row)
                     out["own"].append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                    out["n"].append(len(s))
                     out["prefix"].append(prefix.view(np.int64))
                     out["gid"].append(xxhash.xxh3_128_hexdigest(len(s).to_bytes(8, "little") + prefix.tobytes()))
-                yield {"doc_id": batch.column("doc_id"), **out}
+                yield {"doc_id": batch.column("doc_id").take(pa.array(out.pop("row"), pa.int64())), **out}
 
             return each
 
-        found = map_batches(self.docs, make, f"doc_id {self.key}, own string, prefix array<bigint>, gid string")
-        reps = self.classes.select(F.col("rep").alias("doc_id"), "own", "n")
-        return found.join(reps, ["doc_id", "own"]).select("doc_id", "n", "gid", "prefix").dropDuplicates(["doc_id", "gid"])
+        found = map_batches(self.docs, make, f"doc_id {self.key}, own string, n bigint, prefix array<bigint>, gid string")
+        # documents that another stands for; few, so that the prefixes need not move
+        others = written(self.rows.join(self.classes, ["own", "n"]).where("doc_id <> rep").select("doc_id", "own").distinct(), "others")
+        return found.join(F.broadcast(others) if small_enough(others, SENT_IDS) else others, ["doc_id", "own"], "left_anti").select("doc_id", "n", "gid", "prefix")
 
-    def load_sets(self, ids: DataFrame) -> None:
-        """The sets of the documents that are compared at all."""
-        ids = written(ids.distinct(), "compared")
+    def sets_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of the documents of the pairs."""
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
         chosen = self.docs.join(F.broadcast(ids) if small_enough(ids, SENT_IDS) else ids, "doc_id", "left_semi")
         size = self.size
 
         def each(batch: pa.RecordBatch):
             yield {"doc_id": batch.column("doc_id"), "shingles": [np.unique(shingles(word_hashes(raw), size)).tobytes() for raw in raw_texts(batch.column("text"))]}
 
-        self.sets = written(map_batches(chosen, lambda: each, f"doc_id {self.key}, shingles binary"), "sets")
+        return written(map_batches(chosen, lambda: each, f"doc_id {self.key}, shingles binary"), f"{name}-sets")
 
     def compared(self, pairs: DataFrame, name: str) -> DataFrame:
         """a, b, inter and whole (sizes of intersection and union) of each pair."""
-        left = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        right = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        pairs = written(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        sets = self.sets_of(pairs, name)
+        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
 
         def each(batch: pa.RecordBatch):
             inter, whole = [], []
@@ -169,60 +182,58 @@ class Join:
                 whole.append((len(x) + len(y)) // 8 - both)
             yield {"a": batch.column("a"), "b": batch.column("b"), "inter": inter, "whole": whole}
 
-        joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return written(map_batches(joined, lambda: each, f"a {self.key}, b {self.key}, inter bigint, whole bigint"), name)
 
     def links(self, compared: DataFrame) -> DataFrame:
         return compared.where(F.col("inter") * self.den >= F.col("whole") * self.num).select("a", "b")
 
-    def may_link(self, a: str, b: str) -> F.Column:
-        """Of rows of one shingle: whether sizes and places in the order leave room for a link."""
+    def may_link(self, a: str, b: str) -> Column:
+        """Of rows of one shingle: whether sizes leave room for a link, and whether it may be among the first SHARED common shingles of one.
+
+        If two sets of n and m link they have o = ceil(t (n + m) / (1 + t)) shingles in common, so that in each at most n - o others precede the first SHARED of them.
+        """
         na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-        most = 1 + F.least(na - 1 - pa_, nb - 1 - pb)
-        return (F.least(na, nb) * self.den >= F.greatest(na, nb) * self.num) & (most * (self.den + self.num) >= (na + nb) * self.num)
+        common = F.ceil((na + nb) * self.num / (self.num + self.den))
+        return (F.least(na, nb) * self.den >= F.greatest(na, nb) * self.num) & (pa_ < na - common + SHARED) & (pb < nb - common + SHARED)
+
+    def paired(self, rows: DataFrame) -> DataFrame:
+        """a, b of the pairs of groups (columns l and r of the same shingle) that share SHARED such shingles, or as many as a link of small sets takes."""
+        pairs = rows.select(F.least("l.g", "r.g").alias("a"), F.greatest("l.g", "r.g").alias("b"), (F.col("l.n") + F.col("r.n")).alias("n"))
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+        return counted.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * self.num / (self.num + self.den)))).select("a", "b")
 
     def run(self) -> DataFrame:
         """One row for each document: doc_id, n_shingles, component_id, class_id."""
         self.read()
         prefixes = written(self.prefixes(), "prefixes")
-        groups = prefixes.groupBy("gid").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members"))
-        members = written(prefixes.select("doc_id", "n", "gid").join(groups, "gid"), "groups")
+        groups = prefixes.groupBy("gid").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members")).where("members > 1")
+        members = written(prefixes.select("doc_id", "n", "gid").join(groups, "gid").select("doc_id", "n", "lead"), "groups")
         # an id that several rows have holds their classes together
         several = self.rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-        same_id = self.rows.join(several, "doc_id").join(self.classes, ["own", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        edges = written(same_id, "same-id")
-
-        index = prefixes.join(members.where("doc_id = lead").select("doc_id"), "doc_id", "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("g"), "n")
-        shared = self._shared(index)
+        edges = written(self.rows.join(several, "doc_id").join(self.classes, ["own", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "same-id")
+        # 1. members against their leaders; those that do not link are groups of their own
         strays = members.where("doc_id <> lead")
-        self.load_sets(shared.select(F.col("g").alias("doc_id")).unionByName(strays.select("doc_id")).unionByName(strays.select(F.col("lead").alias("doc_id"))))
-        # 1. groups
         inside = self.links(self.compared(strays.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), "inside"))
         edges = edges.unionByName(inside)
-        off = written(strays.join(inside.select(F.col("b").alias("doc_id"), F.col("a").alias("lead")), ["doc_id", "lead"], "left_anti").select("doc_id", "n"), "strays")
-        if not off.isEmpty():
-            more = prefixes.join(off.select("doc_id"), "doc_id", "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("g"), "n")
-            leads = members.join(off.select("doc_id"), "doc_id", "left_semi").select(F.col("lead").alias("doc_id")).distinct()
-            own = prefixes.join(leads, "doc_id", "left_semi").select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("g"), "n")
-            shared = written(shared.unionByName(more.select(shared.columns)).unionByName(own.select(shared.columns)).distinct(), "shared")
-        # 2. centres
-        comp = None
-        for turn in range(ROUNDS):
-            rows = self._with_comp(shared, comp)
-            centre = rows.groupBy("token").agg(F.min_by(F.struct("g", "n", "pos", "comp"), F.struct(F.xxhash64("g", F.lit(turn), "token") if turn else F.lit(0), F.col("g"))).alias("c")).select("token", "c.*")
-            pairs = centre.alias("l").join(rows.alias("r"), "token").where((F.col("l.g") != F.col("r.g")) & (F.col("l.comp") != F.col("r.comp")) & self.may_link("l", "r"))
-            found = self.links(self.compared(pairs.select(F.least("l.g", "r.g").alias("a"), F.greatest("l.g", "r.g").alias("b")), f"centres-{turn}"))
-            edges = edges.unionByName(found)
-            comp = components(edges)
+        within = written(strays.join(inside.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_semi").select("lead", "doc_id"), "within")
+        hidden = within.select("doc_id").distinct()
+        leaders = prefixes.join(F.broadcast(hidden) if small_enough(hidden, SENT_IDS) else hidden, "doc_id", "left_anti")
+        shared = self._shared(leaders.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("g"), "n"))
+        # 2. centres; step 3 has what this leaves
+        rows = shared.withColumn("comp", F.col("g"))
+        centre = lambda salt: F.min_by(F.struct("g", "n", "pos"), F.struct(F.xxhash64("g", F.lit(salt), "token") if salt else F.lit(0), F.col("g")))
+        centres = rows.groupBy("token").agg(F.array_distinct(F.array(*map(centre, range(CENTRES)))).alias("cs")).select("token", F.explode("cs").alias("c")).select("token", "c.*")
+        pairs = centres.alias("l").join(rows.alias("r"), "token").where((F.col("l.g") != F.col("r.g")) & self.may_link("l", "r"))
+        edges = edges.unionByName(self.links(self.compared(self.paired(pairs), "centres")))
+        comp = components(edges)
         # 3. what is left
-        pairs = written(self._left_over(self._with_comp(shared, comp)), "left-over")
+        pairs = written(self.paired(self._left_over(self._with_comp(shared, comp))), "left-over")
         if not pairs.isEmpty():
             compared = self.compared(pairs, "leaders")
             edges = edges.unionByName(self.links(compared))
-            many = members.where("members > 1").join(off.select("doc_id"), "doc_id", "left_anti")
-            room = self._room(compared, many)
-            inner = self.links(self.compared(room, "members"))
-            edges = edges.unionByName(inner)
+            many = written(within.unionByName(within.select("lead", F.col("lead").alias("doc_id")).distinct()), "many")
+            edges = edges.unionByName(self.links(self.compared(self._room(compared, many), "members")))
             comp = components(edges)
         out = self.rows.join(self.classes, ["own", "n"], "left").join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
@@ -233,23 +244,24 @@ class Join:
         several = dealt.groupBy("token").agg(F.count("*").alias("c"), F.max("pos"), F.max("n"), F.max("g")).where("c > 1").select("token")
         return written(dealt.join(several, "token").select("token", "g", "n", "pos"), "shared")
 
-    def _with_comp(self, shared: DataFrame, comp: DataFrame | None) -> DataFrame:
-        if comp is None:
-            return shared.withColumn("comp", F.col("g"))
+    def _with_comp(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
         return shared.join(comp.select(F.col("node").alias("g"), "comp"), "g", "left").withColumn("comp", F.coalesce("comp", "g"))
 
     def _left_over(self, rows: DataFrame) -> DataFrame:
-        """Pairs of groups of one shingle in different components; many groups of a shingle are dealt out in blocks."""
-        mixed = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        blocks = rows.join(mixed.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-        left = blocks.select("*", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-        right = blocks.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
-        pairs = left.alias("l").join(right.alias("r"), ["token", "i", "j"]).where((F.col("l.comp") != F.col("r.comp")) & ((F.col("i") < F.col("j")) | (F.col("l.g") < F.col("r.g"))) & self.may_link("l", "r"))
-        return pairs.select(F.least("l.g", "r.g").alias("a"), F.greatest("l.g", "r.g").alias("b")).distinct()
+        """Rows l and r of one shingle in different components. The shingle's largest component meets the others only; many rows meet in blocks."""
+        sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+        tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
+        blocks = rows.join(tokens.select("token", "main", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token")
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")).withColumn("rest", F.col("comp") != F.col("main"))
+        left = blocks.select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        right = blocks.where("rest").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"))
+        # two rows of the rest would meet twice
+        once = ~F.col("l.rest") | (F.col("l.g") < F.col("r.g"))
+        return left.alias("l").join(right.alias("r"), ["token", "i", "j"]).where((F.col("l.comp") != F.col("r.comp")) & once & self.may_link("l", "r"))
 
     def _room(self, compared: DataFrame, many: DataFrame) -> DataFrame:
         """Pairs of members of those groups whose leaders do not link but lie near enough: a member lies within 1 - t of its leader."""
-        sizes = many.groupBy("lead").agg(F.lit(1).alias("wide"))
+        sizes = many.select("lead").distinct().withColumn("wide", F.lit(1))
         near = compared.where(F.col("inter") * self.den < F.col("whole") * self.num)
         near = near.join(sizes.withColumnRenamed("lead", "a").withColumnRenamed("wide", "wa"), "a", "left").join(sizes.withColumnRenamed("lead", "b").withColumnRenamed("wide", "wb"), "b", "left")
         wide = F.coalesce("wa", F.lit(0)) + F.coalesce("wb", F.lit(0))
