@@ -17,10 +17,12 @@ from .decontaminate import words_of
 
 #: Labelled rows that the machine is fitted on at most: those whose hashed id is lowest.
 TRAIN_ROWS = 20_000
-#: A term has a say if it is in so many of those rows, and its share of label 1 lies so many standard deviations off the mean.
+#: A term has a say if it is in so many of those rows, and its share of label 1 lies so many standard deviations off the mean, or does so beside another term (see `partners`).
 LEAST_ROWS, LEAST_Z = 6, 5.0
 #: Terms of at most this share of the rows tell near-copies by the least of their hashes; near-copies together weigh as one row.
 RARE_SHARE = 0.005
+#: Rows of the same least hash are near-copies if so much of all their terms is common.
+COPY_SHARE = 0.5
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.15, 1e-4
 #: Beside whole words, stems of so many code points, for insults whose endings vary.
 STEMS = (4, 5)
@@ -55,6 +57,8 @@ class Machine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    #: Whether it was fitted on any rows.
+    labelled: bool = True
 
     def scorer(self):
         at = {int(k): i for i, k in enumerate(self.keys)}
@@ -86,12 +90,70 @@ class Machine:
 
 
 def weighed(row: np.ndarray, terms: np.ndarray, inverse: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
-    """A weight for each row: rows that share the least hash of their rarer terms weigh one together."""
+    """A weight for each row: rows that share the least hash of their rarer terms, and most of all their terms, weigh one together."""
     rare = counts[inverse] <= max(RARE_SHARE * m, 40)
     least = np.full(m, np.iinfo(np.int64).max)
     np.minimum.at(least, row[rare], terms[rare])
-    _, which, shared = np.unique(least, return_inverse=True, return_counts=True)
-    return np.where(least == np.iinfo(np.int64).max, 1.0, 1 / shared[which])
+    start = np.searchsorted(row, np.arange(m + 1))
+    weight = np.ones(m)
+    order = np.argsort(least, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(least[order])) + 1):
+        if len(same) < 2 or least[same[0]] == np.iinfo(np.int64).max:
+            continue
+        copies: list[tuple[np.ndarray, list[int]]] = []
+        for i in same:
+            own = terms[start[i] : start[i + 1]]
+            for first, those in copies:
+                both = len(np.intersect1d(first, own, assume_unique=True))
+                if both >= COPY_SHARE * (len(first) + len(own) - both):
+                    those.append(i)
+                    break
+            else:
+                copies.append((own, [i]))
+        for _, those in copies:
+            weight[those] = 1 / len(those)
+    return weight
+
+
+def divergence(hit: np.ndarray, seen: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Nats by which `hit` of `seen` speak against the share."""
+    rate, share = np.clip(hit / seen, 1e-12, 1 - 1e-12), np.clip(share, 1e-12, 1 - 1e-12)
+    return seen * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+
+
+def partners(labels: np.ndarray, weight: np.ndarray, row: np.ndarray, index: np.ndarray, seen: np.ndarray, hit: np.ndarray, least: int, least_z: float) -> np.ndarray:
+    """Which terms have a partner: rows with both have another share of label 1 than the rows of either have.
+
+    Shares differ by a Chernoff bound of `least_z` standard deviations, and of as many nats more as there are pairs of terms.
+    All pairs are counted but those of terms whose rows, whatever they share, cannot reach that bound.
+    """
+    share = np.clip(hit / seen, 1e-12, 1 - 1e-12)
+    nats = least_z**2 / 2 + 2 * np.log(max(len(seen), 1))
+    can = np.maximum(-hit * np.log(share), -(seen - hit) * np.log(1 - share)) >= nats
+    n, share, mask = int(can.sum()), share[can], can[index]
+    index, row = (np.cumsum(can) - 1)[index[mask]], row[mask]
+    # each pair is met once: with a term, those after it in its rows
+    end = np.searchsorted(row, row, side="right")
+    each, ones = weight[row], (weight * labels)[row]
+    by_term = np.argsort(index, kind="stable")
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(index, minlength=n))))
+    found = np.zeros(n, bool)
+    for j in range(n):
+        spans = [slice(a + 1, b) for a, b in zip(by_term[bounds[j] : bounds[j + 1]], end[by_term[bounds[j] : bounds[j + 1]]], strict=True)]
+        beside = np.concatenate([index[s] for s in spans])
+        both = np.bincount(beside, np.concatenate([each[s] for s in spans]), n)
+        some = np.flatnonzero(both >= least)
+        positive = [s for s in spans if s.start < s.stop and ones[s.start] > 0]
+        toxic = np.bincount(np.concatenate([index[s] for s in positive]), np.concatenate([ones[s] for s in positive]), n) if positive else np.zeros(n)
+        both, toxic = both[some], toxic[some]
+        high, low = np.maximum(share[some], share[j]), np.minimum(share[some], share[j])
+        rate = toxic / both
+        off = np.where(rate > high, divergence(toxic, both, high), np.where(rate < low, divergence(toxic, both, low), 0.0)) >= nats
+        found[some[off]] = True
+        found[j] |= off.any()
+    out = np.zeros(len(can), bool)
+    out[can] = found
+    return out
 
 
 def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = LEAST_ROWS, least_z: float = LEAST_Z) -> Machine:
@@ -101,11 +163,16 @@ def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = L
     weight = weighed(row, terms, inverse, counts, len(labels))
     mean = float((labels * weight).sum() / max(weight.sum(), 1e-9))
     seen, hit = np.bincount(inverse, weight[row], len(keys)), np.bincount(inverse, (weight * labels)[row], len(keys))
-    kept = (seen >= least) & (np.abs(hit - seen * mean) >= least_z * np.sqrt(seen * mean * (1 - mean)) + 1e-9)
+    m = len(labels)
+    often = seen >= least
+    mask = often[inverse]
+    index = (np.cumsum(often) - 1)[inverse[mask]]
+    kept = often & (np.abs(hit - seen * mean) >= least_z * np.sqrt(seen * mean * (1 - mean)) + 1e-9)
+    kept[often] |= partners(labels, weight, row[mask], index, seen[often], hit[often], least, least_z)
     number = np.cumsum(kept) - 1
     mask = kept[inverse]
     index, row = number[inverse[mask]], row[mask]
-    n, m = int(kept.sum()), len(labels)
+    n = int(kept.sum())
     start = np.searchsorted(row, np.arange(m + 1))
     random = np.random.default_rng(7)
     w, v = np.zeros(n), random.normal(0, 0.01, (n, FACTORS))
@@ -133,7 +200,7 @@ def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = L
                 g = np.bincount(place, pair[:, f], len(used)) / len(some) + DECAY * v[used, f]
                 gv[used, f] += g * g
                 v[used, f] -= 0.3 * RATE * g / np.sqrt(gv[used, f])
-    return Machine(keys[kept], bias, w, v)
+    return Machine(keys[kept], bias, w, v, m > 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS) -> Machine:
@@ -170,14 +237,14 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         # terms that have no say are not sent
         said = (np.abs(machine.weights) > 1e-3) | (np.abs(machine.factors).max(1, initial=0) > 0.05)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([machine.bias]), pa.array([machine.keys[said].tobytes()], pa.binary()), pa.array([machine.weights[said].tobytes()], pa.binary()), pa.array([machine.factors[said].tobytes()], pa.binary())],
-            names=["bias", "keys", "weights", "factors"],
+            [pa.array([machine.bias]), pa.array([machine.keys[said].tobytes()], pa.binary()), pa.array([machine.weights[said].tobytes()], pa.binary()), pa.array([machine.factors[said].tobytes()], pa.binary()), pa.array([machine.labelled])],
+            names=["bias", "keys", "weights", "factors", "labelled"],
         )
 
-    row = fitted.select("label", "terms").mapInArrow(learn, "bias double, keys binary, weights binary, factors binary").first()
+    row = fitted.select("label", "terms").mapInArrow(learn, "bias double, keys binary, weights binary, factors binary, labelled boolean").first()
     if row is None:
-        return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    return Machine(np.frombuffer(row.keys, np.int64), row.bias, np.frombuffer(row.weights), np.frombuffer(row.factors).reshape(-1, FACTORS))
+        return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)), False)
+    return Machine(np.frombuffer(row.keys, np.int64), row.bias, np.frombuffer(row.weights), np.frombuffer(row.factors).reshape(-1, FACTORS), row.labelled)
 
 
 def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,7 +259,9 @@ def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: st
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, *, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, that score below `limit`."""
+    """The rows of docs, all columns as they are, that score below `limit`; all rows where the machine had no labelled ones."""
+    if not machine.labelled:
+        return docs
     shared = arrow_session(docs.sparkSession).sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
