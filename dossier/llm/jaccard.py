@@ -206,16 +206,16 @@ class Join:
     def run(self) -> DataFrame:
         """One row for each document: doc_id, n_shingles, component_id, class_id."""
         self.read()
+        # ids whose rows differ
+        if not self.rows.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").isEmpty():
+            return self._by_class()
         prefixes = written(self.prefixes(), "prefixes")
         groups = prefixes.groupBy("gid").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members")).where("members > 1")
         members = written(prefixes.select("doc_id", "n", "gid").join(groups, "gid").select("doc_id", "n", "lead"), "groups")
-        # an id that several rows have holds their classes together
-        several = self.rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-        edges = written(self.rows.join(several, "doc_id").join(self.classes, ["own", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "same-id")
         # 1. members against their leaders; those that do not link are groups of their own
         strays = members.where("doc_id <> lead")
         inside = self.links(self.compared(strays.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), "inside"))
-        edges = edges.unionByName(inside)
+        edges = inside
         within = written(strays.join(inside.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_semi").select("lead", "doc_id"), "within")
         hidden = within.select("doc_id").distinct()
         leaders = prefixes.join(F.broadcast(hidden) if small_enough(hidden, SENT_IDS) else hidden, "doc_id", "left_anti")
@@ -238,6 +238,24 @@ class Join:
         out = self.rows.join(self.classes, ["own", "n"], "left").join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
+    def _by_class(self) -> DataFrame:
+        """As run(), where an id has rows of several sets: classes are joined, by their sets' hashes in place of ids; then an id holds its classes together."""
+        size = self.size
+
+        def each(batch: pa.RecordBatch):
+            sets = [np.unique(shingles(word_hashes(raw), size)) for raw in raw_texts(batch.column("text"))]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            yield {"own": [xxhash.xxh3_128_hexdigest(sets[i].tobytes()) for i in some], "text": batch.column("text").take(pa.array(some, pa.int64()))}
+
+        texts = written(map_batches(self.docs, lambda: each, "own string, text string").dropDuplicates(["own"]), "class-texts")
+        parts = Join(texts, "own", "text", size, self.num, self.den).run().select(F.col("doc_id").alias("own"), F.col("component_id").alias("part"))
+        held = written(self.rows.where("n > 0").join(parts, "own").select("doc_id", "part").distinct(), "held")
+        comp = components(held.join(held.groupBy("doc_id").agg(F.min("part").alias("a")), "doc_id").select("a", F.col("part").alias("b")))
+        held = held.join(comp.withColumnRenamed("node", "part"), "part", "left").select("doc_id", F.coalesce("comp", "part").alias("comp")).distinct()
+        ids = held.join(held.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("doc_id", "component_id")
+        out = self.rows.join(self.classes, ["own", "n"], "left").join(ids, "doc_id", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+
     def _shared(self, index: DataFrame) -> DataFrame:
         """Rows of the index whose shingle several groups have."""
         dealt = index.repartition("token")

@@ -253,6 +253,19 @@ def test_jaccard(spark, size, num):
     assert got == brute_components(rows, size, num, 100)
 
 
+def test_jaccard_ids_of_several_texts(spark):
+    """An id holds its texts' near-copies together: as brute force over the rows, whose components then share ids."""
+    rows = [(i % 110, t) for i, t in near_copies()] + [(500, "only here and nowhere else"), (500, None), (1, "")]
+    part = {k: c for k, (_, c) in brute_components([(k, t) for k, (_, t) in enumerate(rows)], 3, 90, 100).items()}
+    up = {k: min(j for j in part if rows[j][0] == rows[k][0]) for k in part}
+    low = {k: rows[k][0] for k in part}
+    while (new := {k: min(low[j] for j in part if part[j] == part[k] or up[j] == up[k]) for k in part}) != low:
+        low = new
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df, size=3, num=90, den=100).collect())
+    assert got == Counter((i, low[k]) for k, (i, _) in enumerate(rows))
+
+
 def test_jaccard_edges(spark):
     rows = spark.createDataFrame([(2, "a b c d e f"), (2, "q r s t u v"), (7, "q r s t u v"), (5, "a b c d e f"), (None, "x"), (9, None)], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(rows).collect())
