@@ -21,8 +21,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the automata judge beside: runs of key characters of so many at least, with a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What the automata judge beside: runs of all characters, and of the least length, that a labelled credential may have. Each automaton takes the parts of its own alphabet.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
 #: Distinct labelled credentials of a kind that an automaton is inferred from at most: those whose hash is lowest.
 SAMPLE = 400
 #: Hoeffding confidence of the merges; nats a character that a candidate may lie below the labelled credentials' low tail.
@@ -46,17 +46,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of key characters that overlap no match of the fixed patterns."""
-    out, i = [], 0
-    for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if value.isalpha() or not (any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value)):
-            continue
-        while i < len(taken) and taken[i][1] <= m.start():
-            i += 1
-        if not any(a < m.end() and m.start() < b for a, b, _, _ in taken[i : i + 3]):
-            out.append((m.start(), m.end(), value))
-    return out
+    """Runs of key characters that no match of the fixed patterns covers whole."""
+    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if not covered(m.start(), m.end(), taken)]
+
+
+def covered(start: int, end: int, taken: list[tuple[int, int, int, str]]) -> bool:
+    return any(a <= start and end <= b for a, b, _, _ in taken)
 
 
 def joined(spans: list[tuple[int, int, int | str]]) -> str:
@@ -105,6 +100,18 @@ class Automaton:
                 red.append(candidate)
             known = set(red)
             blue = sorted({t for r in red for t in states[r].to.values()} - known, key=lambda t: (-states[t].passed, t))
+        self.least = min(map(len, values), default=0)
+        classes = {CLASSES.get(c, c) for v in values for c in v}
+        alphabet = classes - set(SIZE) | {c for c, k in CLASSES.items() if k in classes}
+        self.pattern = re.compile(f"[{''.join(map(re.escape, sorted(alphabet)))}]{{{self.least},}}") if values else None
+        self.outcomes = len(classes) + 1
+        # where an unseen step leads: where most steps of its class do
+        leads: dict[str, dict[int, int]] = {}
+        for r in red:
+            for c, t in states[r].to.items():
+                at = leads.setdefault(c, {})
+                at[t] = at.get(t, 0) + states[r].taken[c]
+        self.leads = {c: max(at, key=lambda t: (at[t], -t)) for c, at in leads.items()}
         self.low = 0.0
         if values:
             scores = sorted(self.score(v) for v in values)
@@ -148,18 +155,15 @@ class Automaton:
                     x.to[c] = t
 
     def score(self, value: str) -> float:
-        """Nats a character; unseen steps have a small share."""
-        at, total = 0, 0.0
+        """Nats a character; at each state one more passing is shared among all outcomes, so that unseen steps have a small share."""
+        at, total, prior = 0, 0.0, 1 / self.outcomes
         for c in value:
             s = self.states[at]
             c = CLASSES.get(c, c)
-            seen = s.taken.get(c, 0)
-            if not seen:
-                return -99.0
-            total += math.log(seen / s.passed / SIZE.get(c, 1))
-            at = s.to[c]
+            total += math.log((s.taken.get(c, 0) + prior) / (s.passed + 1) / SIZE.get(c, 1))
+            at = s.to[c] if c in s.to else self.leads.get(c, at)
         s = self.states[at]
-        return -99.0 if not s.ended else (total + math.log(s.ended / s.passed)) / len(value)
+        return (total + math.log((s.ended + prior) / (s.passed + 1))) / len(value)
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,18 +198,27 @@ def infer(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     return out
 
 
-def best_kind(value: str, automata: dict[str, Automaton]) -> str | None:
-    """The kind whose automaton the value fits best, if as well as its own labelled credentials."""
-    fits = [(s - a.low, kind) for kind, a in automata.items() if a.states and (s := a.score(value)) >= a.low and s > -99]
-    return max(fits)[1] if fits else None
+def learned(others: list[tuple[int, int, str]], base: list[tuple[int, int, int, str]], automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the parts of candidates that an automaton fits as well as its own labelled credentials; of each part the kind that fits best.
+
+    Parts that a match of the fixed patterns covers whole are left out; those that go beyond one are not.
+    """
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    for start, _, value in others:
+        for kind, a in automata.items():
+            for m in a.pattern.finditer(value) if a.pattern else ():
+                place = (start + m.start(), start + m.end())
+                if not covered(*place, base) and (over := a.score(m[0]) - a.low) >= 0:
+                    best[place] = max(best.get(place, (over, kind)), (over, kind))
+    return sorted((a, b, kind) for (a, b), (_, kind) in best.items())
 
 
 def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (all, by start), n_added.
 
     The fixed patterns label credentials. From a bounded sample of them the states of a prefix tree are merged where their outcomes do not
-    differ beyond a Hoeffding bound, into one probabilistic automaton a kind; candidates that no pattern matched are scored, and those that
-    fit as well as the labelled ones are added as learned-<kind>. Texts are read once; the second pass has only what the first found.
+    differ beyond a Hoeffding bound, into one probabilistic automaton a kind; candidates that no pattern covers whole are scored, and those that
+    fit as well as the labelled ones are added as learned-<kind>, beside a pattern's match within them. Texts are read once; the second pass has only what the first found.
 
     Null texts are empty; ids may be null or repeat; without any labelled credential nothing is added; other columns are not read.
     """
@@ -219,7 +232,8 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def added(batch: pa.RecordBatch, automata) -> Iterator[dict]:
         spans, n = [], []
         for base, others in zip(batch.column("base").to_pylist(), batch.column("others").to_pylist(), strict=True):
-            more = [(o["start"], o["end"], f"learned-{kind}") for o in others if (kind := best_kind(o["value"], automata))]
+            taken = [(b["start"], b["end"], KINDS.index(b["kind"]), b["value"]) for b in base]
+            more = [(a, b, f"learned-{kind}") for a, b, kind in learned([(o["start"], o["end"], o["value"]) for o in others], taken, automata)]
             n.append(len(more))
             merged = [(b["start"], KINDS.index(b["kind"]), b["end"], b["kind"]) for b in base] + [(a, 9, b, k) for a, b, k in more]
             spans.append(joined([(a, b, k) for a, _, b, k in sorted(merged)]))
@@ -243,7 +257,7 @@ def redacted(docs: DataFrame, automata: dict[str, Automaton], *, text: str = "te
 
 def without_secrets(text: str, automata: dict[str, Automaton], mark: str) -> str:
     base = base_spans(text)
-    spans = sorted([(a, b) for a, b, _, _ in base] + [(a, b) for a, b, v in candidates(text, base) if best_kind(v, automata)])
+    spans = sorted([(a, b) for a, b, _, _ in base] + [(a, b) for a, b, _ in learned(candidates(text, base), base, automata)])
     out, at = [], 0
     for a, b in spans:
         if a >= at:
