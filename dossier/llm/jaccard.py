@@ -2,12 +2,13 @@
 
 Order: shingles whose rarest word is rare come first, so that a document's prefix holds what it shares with few others. Documents of equal
 sets are one class; classes of equal prefix and size are one group. Groups that share a prefix shingle are candidates.
-Within what is already connected nothing more is compared, as only components are asked for:
+Beside its prefix a document carries a parity bitmap of its set: two bitmaps differ in no more bits than the sets in shingles, so that
+the join itself leaves out what differs in too many. Within what is already connected nothing more is compared, as only components are asked for:
 
 1. members of a group against its leader; those that do not link become groups of their own;
 2. groups of a shingle against a few of them, its centres;
 3. all pairs of groups of a shingle that are still in different components, in blocks; leaders first, and members only of those
-   pairs of groups whose leaders' distance leaves room for a link.
+   pairs of groups whose leaders differ by no more than a link may and their groups' radii together.
 
 Every pair that links shares a prefix shingle, so step 3 finds whatever the first two left.
 """
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, id_type, map_batches, raw_texts, small_enough, written
+from .common import id_type, map_batches, raw_texts, small_enough, written
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Word counts are kept in 2**SLOT_BITS slots, whatever the corpus.
@@ -31,6 +32,9 @@ CENTRES, BLOCK = 3, 256
 SHARED = 4
 #: Ids that are sent to all tasks at most; more are joined.
 SENT_IDS = 500_000
+#: Words of 64 bits in a bitmap.
+BITMAP = 4
+BITS = [f"b{i}" for i in range(BITMAP)]
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -62,6 +66,17 @@ def rarest(levels: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITMAP bits whether an odd number of the set's shingles fall on it."""
+    odd = np.bincount((s % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which the bitmaps of rows a and b differ: a lower bound of the shingles that one of their sets has alone."""
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITS), F.lit(0))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node it reaches, for all nodes of edges (a, b): large and small stars in turn, until nothing changes."""
     state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -88,7 +103,7 @@ def needed(n: int, num: int, den: int) -> int:
 
 class Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> None:
-        self.spark = arrow_session(docs.sparkSession)
+        self.spark = docs.sparkSession
         self.key = id_type(docs, doc_id)
         self.docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
         self.size, self.num, self.den = size, num, den
@@ -135,7 +150,7 @@ class Join:
 
         def make():
             def each(batch: pa.RecordBatch):
-                out: dict[str, list] = {k: [] for k in ("row", "own", "n", "prefix", "gid")}
+                out: dict[str, list] = {k: [] for k in ("row", "own", "n", "prefix", "gid", *BITS)}
                 for row, raw in enumerate(raw_texts(batch.column("text"))):
                     if not len(h := word_hashes(raw)):
                         continue
@@ -146,15 +161,17 @@ class Join:
                     out["own"].append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                     out["n"].append(len(s))
                     out["prefix"].append(prefix.view(np.int64))
+                    for name, word in zip(BITS, bitmap(s).tolist(), strict=True):
+                        out[name].append(word)
                     out["gid"].append(xxhash.xxh3_128_hexdigest(len(s).to_bytes(8, "little") + prefix.tobytes()))
                 yield {"doc_id": batch.column("doc_id").take(pa.array(out.pop("row"), pa.int64())), **out}
 
             return each
 
-        found = map_batches(self.docs, make, f"doc_id {self.key}, own string, n bigint, prefix array<bigint>, gid string")
+        found = map_batches(self.docs, make, f"doc_id {self.key}, own string, n bigint, prefix array<bigint>, gid string, " + ", ".join(f"{x} bigint" for x in BITS))
         # documents that another stands for; few, so that the prefixes need not move
         others = written(self.rows.join(self.classes, ["own", "n"]).where("doc_id <> rep").select("doc_id", "own").distinct(), "others")
-        return found.join(F.broadcast(others) if small_enough(others, SENT_IDS) else others, ["doc_id", "own"], "left_anti").select("doc_id", "n", "gid", "prefix")
+        return found.join(F.broadcast(others) if small_enough(others, SENT_IDS) else others, ["doc_id", "own"], "left_anti").select("doc_id", "n", "gid", "prefix", *BITS)
 
     def sets_of(self, pairs: DataFrame, name: str) -> DataFrame:
         """The sets of the documents of the pairs."""
@@ -194,8 +211,14 @@ class Join:
         If two sets of n and m link they have o = ceil(t (n + m) / (1 + t)) shingles in common, so that in each at most n - o others precede the first SHARED of them.
         """
         na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-        common = F.ceil((na + nb) * self.num / (self.num + self.den))
-        return (F.least(na, nb) * self.den >= F.greatest(na, nb) * self.num) & (pa_ < na - common + SHARED) & (pb < nb - common + SHARED)
+        return (F.least(na, nb) * self.den >= F.greatest(na, nb) * self.num) & (pa_ < na - self.common(a, b) + SHARED) & (pb < nb - self.common(a, b) + SHARED)
+
+    def common(self, a: str, b: str) -> Column:
+        return F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * self.num / (self.num + self.den))
+
+    def apart(self, a: str, b: str) -> Column:
+        """Shingles that one of two sets which link has alone, at most."""
+        return F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * self.common(a, b)
 
     def paired(self, rows: DataFrame) -> DataFrame:
         """a, b of the pairs of groups (columns l and r of the same shingle) that share SHARED such shingles, or as many as a link of small sets takes."""
@@ -209,31 +232,31 @@ class Join:
         # ids whose rows differ
         if not self.rows.groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").isEmpty():
             return self._by_class()
-        prefixes = written(self.prefixes(), "prefixes")
+        prefixes = self.indexed = written(self.prefixes(), "prefixes")
         groups = prefixes.groupBy("gid").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members")).where("members > 1")
-        members = written(prefixes.select("doc_id", "n", "gid").join(groups, "gid").select("doc_id", "n", "lead"), "groups")
+        members = written(prefixes.join(groups, "gid").select("doc_id", "n", "lead", *BITS), "groups")
         # 1. members against their leaders; those that do not link are groups of their own
         strays = members.where("doc_id <> lead")
-        inside = self.links(self.compared(strays.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), "inside"))
-        edges = inside
-        within = written(strays.join(inside.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_semi").select("lead", "doc_id"), "within")
-        hidden = within.select("doc_id").distinct()
-        leaders = prefixes.join(F.broadcast(hidden) if small_enough(hidden, SENT_IDS) else hidden, "doc_id", "left_anti")
-        shared = self._shared(leaders.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("g"), "n"))
+        compared = self.compared(strays.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), "inside")
+        edges = self.links(compared)
+        within = written(strays.join(edges.select(F.col("a").alias("lead"), F.col("b").alias("doc_id")), ["lead", "doc_id"], "left_semi"), "within")
+        radii = written(compared.join(edges, ["a", "b"], "left_semi").groupBy("a").agg(F.max(F.col("whole") - F.col("inter")).alias("radius")).withColumnRenamed("a", "doc_id"), "radii")
+        sent = lambda df: F.broadcast(df) if small_enough(df, SENT_IDS) else df
+        leaders = prefixes.join(sent(within.select("doc_id")), "doc_id", "left_anti").join(sent(radii), "doc_id", "left")
+        shared = self._shared(leaders.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("g"), "n", F.coalesce("radius", F.lit(0)).alias("radius"), *BITS))
         # 2. centres; step 3 has what this leaves
         rows = shared.withColumn("comp", F.col("g"))
-        centre = lambda salt: F.min_by(F.struct("g", "n", "pos"), F.struct(F.xxhash64("g", F.lit(salt), "token") if salt else F.lit(0), F.col("g")))
+        centre = lambda salt: F.min_by(F.struct("g", "n", "pos", *BITS), F.struct(F.xxhash64("g", F.lit(salt), "token") if salt else F.lit(0), F.col("g")))
         centres = rows.groupBy("token").agg(F.array_distinct(F.array(*map(centre, range(CENTRES)))).alias("cs")).select("token", F.explode("cs").alias("c")).select("token", "c.*")
-        pairs = centres.alias("l").join(rows.alias("r"), "token").where((F.col("l.g") != F.col("r.g")) & self.may_link("l", "r"))
-        edges = edges.unionByName(self.links(self.compared(self.paired(pairs), "centres")))
+        near = (F.col("l.g") != F.col("r.g")) & self.may_link("l", "r") & (differing("l", "r") <= self.apart("l", "r"))
+        edges = edges.unionByName(self.links(self.compared(self.paired(centres.alias("l").join(rows.alias("r"), "token").where(near)), "centres")))
         comp = components(edges)
         # 3. what is left
         pairs = written(self.paired(self._left_over(self._with_comp(shared, comp))), "left-over")
         if not pairs.isEmpty():
             compared = self.compared(pairs, "leaders")
             edges = edges.unionByName(self.links(compared))
-            many = written(within.unionByName(within.select("lead", F.col("lead").alias("doc_id")).distinct()), "many")
-            edges = edges.unionByName(self.links(self.compared(self._room(compared, many), "members")))
+            edges = edges.unionByName(self.links(self.compared(self._room(compared, members, within, radii), "members")))
             comp = components(edges)
         out = self.rows.join(self.classes, ["own", "n"], "left").join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
@@ -257,37 +280,41 @@ class Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
     def _shared(self, index: DataFrame) -> DataFrame:
-        """Rows of the index whose shingle several groups have."""
-        dealt = index.repartition("token")
-        several = dealt.groupBy("token").agg(F.count("*").alias("c"), F.max("pos"), F.max("n"), F.max("g")).where("c > 1").select("token")
-        return written(dealt.join(several, "token").select("token", "g", "n", "pos"), "shared")
+        """Rows of the index whose shingle several groups have. Rows are counted before they meet, and the join may be split where a shingle has many."""
+        several = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        return written(index.join(several.hint("merge"), "token").select("token", "g", "n", "pos", "radius", *BITS), "shared")
 
     def _with_comp(self, shared: DataFrame, comp: DataFrame) -> DataFrame:
         return shared.join(comp.select(F.col("node").alias("g"), "comp"), "g", "left").withColumn("comp", F.coalesce("comp", "g"))
 
     def _left_over(self, rows: DataFrame) -> DataFrame:
-        """Rows l and r of one shingle in different components. The shingle's largest component meets the others only; many rows meet in blocks."""
+        """Rows l and r of one shingle in different components, whose sets or groups may link. The shingle's largest component meets the others only.
+
+        A shingle of many rows is split into blocks: each row is in one, and only those outside of the largest component are sent to all of them.
+        """
         sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
         tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
-        blocks = rows.join(tokens.select("token", "main", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token")
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")).withColumn("rest", F.col("comp") != F.col("main"))
-        left = blocks.select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        right = blocks.where("rest").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"))
+        left = rows.join(tokens.select("token", "main", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token")
+        left = left.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")).withColumn("rest", F.col("comp") != F.col("main"))
+        right = left.where("rest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # two rows of the rest would meet twice
         once = ~F.col("l.rest") | (F.col("l.g") < F.col("r.g"))
-        return left.alias("l").join(right.alias("r"), ["token", "i", "j"]).where((F.col("l.comp") != F.col("r.comp")) & once & self.may_link("l", "r"))
+        near = self.may_link("l", "r") & (differing("l", "r") <= self.apart("l", "r") + F.col("l.radius") + F.col("r.radius"))
+        return left.alias("l").join(right.alias("r"), ["token", "block"]).where((F.col("l.comp") != F.col("r.comp")) & once & near)
 
-    def _room(self, compared: DataFrame, many: DataFrame) -> DataFrame:
-        """Pairs of members of those groups whose leaders do not link but lie near enough: a member lies within 1 - t of its leader."""
-        sizes = many.select("lead").distinct().withColumn("wide", F.lit(1))
+    def _room(self, compared: DataFrame, members: DataFrame, within: DataFrame, radii: DataFrame) -> DataFrame:
+        """Pairs of members of those groups whose leaders do not link, but differ by no more than the groups' radii leave room for."""
+        reach = members.where("doc_id = lead").unionByName(within).withColumnRenamed("doc_id", "m")
         near = compared.where(F.col("inter") * self.den < F.col("whole") * self.num)
-        near = near.join(sizes.withColumnRenamed("lead", "a").withColumnRenamed("wide", "wa"), "a", "left").join(sizes.withColumnRenamed("lead", "b").withColumnRenamed("wide", "wb"), "b", "left")
-        wide = F.coalesce("wa", F.lit(0)) + F.coalesce("wb", F.lit(0))
-        near = near.where((wide > 0) & ((F.col("whole") - F.col("inter")) * self.den <= F.col("whole") * (self.den - self.num) * (1 + wide)))
         for side in ("a", "b"):
-            own = many.select(F.col("lead").alias(side), F.col("doc_id").alias("m"))
-            near = near.join(own, side, "left").withColumn(f"m{side}", F.coalesce("m", side)).drop("m")
-        return near.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"))
+            near = near.join(radii.select(F.col("doc_id").alias(side), F.col("radius").alias(f"r{side}")), side, "left")
+        # whole + inter is the sum of the two sizes, and whole - inter what differs
+        link = F.col("whole") + F.col("inter") - 2 * F.ceil((F.col("whole") + F.col("inter")) * self.num / (self.num + self.den))
+        near = near.where(F.coalesce("ra", "rb").isNotNull() & (F.col("whole") - F.col("inter") <= link + F.coalesce("ra", F.lit(0)) + F.coalesce("rb", F.lit(0)))).select("a", "b")
+        alone = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(radii, "doc_id", "left_anti").join(self.indexed, "doc_id").select("doc_id", "n", F.col("doc_id").alias("lead"), *BITS).withColumnRenamed("doc_id", "m"), "alone")
+        reach = reach.unionByName(alone)
+        pairs = near.join(reach.withColumnRenamed("lead", "a").alias("l"), "a").join(reach.withColumnRenamed("lead", "b").alias("r"), "b").where(differing("l", "r") <= self.apart("l", "r"))
+        return pairs.select(F.least("l.m", "r.m").alias("a"), F.greatest("l.m", "r.m").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
