@@ -7,12 +7,13 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, id_type, map_batches, texts_of, written
+from .common import id_type, map_batches, sliced, texts_of, written
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns, and the lengths from which a match counts.
@@ -21,7 +22,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the automata judge beside: runs of all characters, and of the least length, that a labelled credential may have. Each automaton takes the parts of its own alphabet.
+#: Candidates, which the automata score: runs of all characters, and of the least length, that a labelled credential may have. Each automaton takes the parts of its own alphabet.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
 #: Distinct labelled credentials of a kind that an automaton is inferred from at most: those whose hash is lowest.
 SAMPLE = 400
@@ -45,9 +46,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of key characters that no match of the fixed patterns covers whole."""
-    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if not covered(m.start(), m.end(), taken)]
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
 
 
 def covered(start: int, end: int, taken: list[tuple[int, int, int, str]]) -> bool:
@@ -112,11 +112,13 @@ class Automaton:
                 at = leads.setdefault(c, {})
                 at[t] = at.get(t, 0) + states[r].taken[c]
         self.leads = {c: max(at, key=lambda t: (at[t], -t)) for c, at in leads.items()}
+        self.states = {i: states[i] for i in red}
+        # by state and character the next state and the nats of the step; under None those of the end
+        self.steps = {i: {c: self._step(i, c) for c in alphabet} | {None: (i, self._nats(i, s.ended))} for i, s in self.states.items()}
         self.low = 0.0
         if values:
             scores = sorted(self.score(v) for v in values)
             self.low = scores[len(scores) // 50] - MARGIN
-        self.states = {i: states[i] for i in red}
 
     def _differ(self, a: State, b: State, alpha: float) -> bool:
         if not a.passed or not b.passed:
@@ -154,37 +156,41 @@ class Automaton:
                 else:
                     x.to[c] = t
 
+    def _nats(self, state: int, times: int) -> float:
+        """One more passing is shared among all outcomes, so that unseen steps have a small share."""
+        return math.log((times + 1 / self.outcomes) / (self.states[state].passed + 1))
+
+    def _step(self, state: int, c: str) -> tuple[int, float]:
+        kind, s = CLASSES.get(c, c), self.states[state]
+        return s.to.get(kind, self.leads.get(kind, state)), self._nats(state, s.taken.get(kind, 0)) - math.log(SIZE.get(kind, 1))
+
     def score(self, value: str) -> float:
-        """Nats a character; at each state one more passing is shared among all outcomes, so that unseen steps have a small share."""
-        at, total, prior = 0, 0.0, 1 / self.outcomes
+        """Nats a character of the value and its end."""
+        at, total, steps = 0, 0.0, self.steps
         for c in value:
-            s = self.states[at]
-            c = CLASSES.get(c, c)
-            total += math.log((s.taken.get(c, 0) + prior) / (s.passed + 1) / SIZE.get(c, 1))
-            at = s.to[c] if c in s.to else self.leads.get(c, at)
-        s = self.states[at]
-        return (total + math.log((s.ended + prior) / (s.passed + 1))) / len(value)
+            at, nats = steps[at].get(c) or self._step(at, c)
+            total += nats
+        return (total + steps[at][None][1]) / len(value)
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, base (spans of the fixed patterns) and others (candidates). No shuffle."""
-    arrow_session(docs.sparkSession)
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, base (spans of the fixed patterns) and runs (candidates). Null texts are empty, ids may be null or repeat. No shuffle."""
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 
     def each(batch: pa.RecordBatch):
-        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "base", "others")}
+        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "base", "runs")}
         for x in texts_of(batch.column("text")):
             spans = base_spans(x)
             for k, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(s[2] == k for s in spans))
             out["base_sha256"].append(hashlib.sha256(joined([s[:3] for s in spans]).encode()).hexdigest())
             out["base"].append([{"start": a, "end": b, "kind": KINDS[k], "value": v} for a, b, k, v in spans])
-            out["others"].append([{"start": a, "end": b, "value": v} for a, b, v in candidates(x, spans)])
+            out["runs"].append([{"start": a, "end": b, "value": v} for a, b, v in candidates(x)])
         yield {"doc_id": batch.column("doc_id"), **out}
 
     return map_batches(
         rows, lambda: each,
-        f"doc_id {id_type(docs, doc_id)}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<start:bigint,end:bigint,kind:string,value:string>>, others array<struct<start:bigint,end:bigint,value:string>>",
+        f"doc_id {id_type(docs, doc_id)}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<start:bigint,end:bigint,kind:string,value:string>>, runs array<struct<start:bigint,end:bigint,value:string>>",
     )
 
 
@@ -198,27 +204,30 @@ def infer(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     return out
 
 
-def learned(others: list[tuple[int, int, str]], base: list[tuple[int, int, int, str]], automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the parts of candidates that an automaton fits as well as its own labelled credentials; of each part the kind that fits best.
-
-    Parts that a match of the fixed patterns covers whole are left out; those that go beyond one are not.
-    """
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for start, _, value in others:
+def judged(runs: list[tuple[int, int, str]], automata: dict[str, Automaton]) -> list[tuple[int, int, str, float, float]]:
+    """(start, end, kind, score, threshold) of all parts of the candidates that have an automaton's alphabet and least length; of each part the kind that fits best."""
+    best: dict[tuple[int, int], tuple[float, str, float, float]] = {}
+    for start, _, value in runs:
         for kind, a in automata.items():
             for m in a.pattern.finditer(value) if a.pattern else ():
-                place = (start + m.start(), start + m.end())
-                if not covered(*place, base) and (over := a.score(m[0]) - a.low) >= 0:
-                    best[place] = max(best.get(place, (over, kind)), (over, kind))
-    return sorted((a, b, kind) for (a, b), (_, kind) in best.items())
+                place, score = (start + m.start(), start + m.end()), a.score(m[0])
+                if place not in best or best[place][:2] < (score - a.low, kind):
+                    best[place] = (score - a.low, kind, score, a.low)
+    return sorted((a, b, kind, score, low) for (a, b), (_, kind, score, low) in best.items())
+
+
+def learned(scores: list[tuple[int, int, str, float, float]], base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what an automaton fits as well as its own labelled credentials and no match of the fixed patterns covers whole."""
+    return [(a, b, kind) for a, b, kind, score, low in scores if score >= low and not covered(a, b, base)]
 
 
 def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (all, by start), n_added.
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (all, by start), n_added, n_candidates, n_fit, scores.
 
     The fixed patterns label credentials. From a bounded sample of them the states of a prefix tree are merged where their outcomes do not
-    differ beyond a Hoeffding bound, into one probabilistic automaton a kind; candidates that no pattern covers whole are scored, and those that
-    fit as well as the labelled ones are added as learned-<kind>, beside a pattern's match within them. Texts are read once; the second pass has only what the first found.
+    differ beyond a Hoeffding bound, into one probabilistic automaton a kind. All candidates, those within the patterns' matches too, are scored:
+    `scores` has each judged part with its best kind, its nats a character and that kind's threshold; n_fit of them reach it. Those that no match of a
+    pattern covers whole are added as learned-<kind>, beside a match within them. Texts are read once; the second pass has only what the first found.
 
     Null texts are empty; ids may be null or repeat; without any labelled credential nothing is added; other columns are not read.
     """
@@ -230,25 +239,32 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         return lambda batch: added(batch, automata)
 
     def added(batch: pa.RecordBatch, automata) -> Iterator[dict]:
-        spans, n = [], []
-        for base, others in zip(batch.column("base").to_pylist(), batch.column("others").to_pylist(), strict=True):
+        out: dict[str, list] = {k: [] for k in ("spans", "n_added", "n_candidates", "n_fit", "scores")}
+        for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             taken = [(b["start"], b["end"], KINDS.index(b["kind"]), b["value"]) for b in base]
-            more = [(a, b, f"learned-{kind}") for a, b, kind in learned([(o["start"], o["end"], o["value"]) for o in others], taken, automata)]
-            n.append(len(more))
-            merged = [(b["start"], KINDS.index(b["kind"]), b["end"], b["kind"]) for b in base] + [(a, 9, b, k) for a, b, k in more]
-            spans.append(joined([(a, b, k) for a, _, b, k in sorted(merged)]))
-        yield {c: batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")} | {"spans": spans, "n_added": n}
+            scores = judged([(r["start"], r["end"], r["value"]) for r in runs], automata)
+            more = [(a, b, f"learned-{kind}") for a, b, kind in learned(scores, taken)]
+            merged = [(a, k, b, KINDS[k]) for a, b, k, _ in taken] + [(a, len(KINDS), b, k) for a, b, k in more]
+            out["spans"].append(joined([(a, b, k) for a, _, b, k in sorted(merged)]))
+            out["n_added"].append(len(more))
+            out["n_candidates"].append(len(runs))
+            out["n_fit"].append(sum(score >= low for *_, score, low in scores))
+            out["scores"].append([dict(zip(("start", "end", "kind", "score", "threshold"), x, strict=True)) for x in scores])
+        yield {c: batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")} | out
 
-    return map_batches(scanned, make, f"doc_id {id_type(docs, doc_id)}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint")
+    return map_batches(
+        scanned, make,
+        f"doc_id {id_type(docs, doc_id)}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint, n_candidates bigint, n_fit bigint, scores array<struct<start:bigint,end:bigint,kind:string,score:double,threshold:double>>",
+    )
 
 
 def redacted(docs: DataFrame, automata: dict[str, Automaton], *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with all columns, secrets of the text replaced by `mark`; overlapping spans become one. Null texts stay null."""
-    shared = arrow_session(docs.sparkSession).sparkContext.broadcast(automata)
+    shared = docs.sparkSession.sparkContext.broadcast(automata)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             texts = [x if x is None else without_secrets(x, known, mark) for x in batch.column(text).to_pylist()]
             yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 
@@ -257,7 +273,7 @@ def redacted(docs: DataFrame, automata: dict[str, Automaton], *, text: str = "te
 
 def without_secrets(text: str, automata: dict[str, Automaton], mark: str) -> str:
     base = base_spans(text)
-    spans = sorted([(a, b) for a, b, _, _ in base] + [(a, b) for a, b, _ in learned(candidates(text, base), base, automata)])
+    spans = sorted([(a, b) for a, b, _, _ in base] + [(a, b) for a, b, _ in learned(judged(candidates(text), automata), base)])
     out, at = [], 0
     for a, b in spans:
         if a >= at:
