@@ -2,35 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: A tool's fields: type as schema_of_variant names it, and whether it must be there.
-Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
+#: A tool's fields: kind, and whether it must be there. A kind is a name of KINDS, several joined by |, a list of the strings
+#: that are allowed, or the fields of a nested object.
+Schemas = Mapping[str, Mapping[str, tuple]]
+#: What schema_of_variant calls values of a kind, at its start.
+KINDS = {"STRING": ("STRING",), "NUMBER": ("BIGINT", "DECIMAL", "DOUBLE"), "INTEGER": ("BIGINT",), "BOOLEAN": ("BOOLEAN",), "NULL": ("VOID",), "ARRAY": ("ARRAY",), "OBJECT": ("OBJECT",)}
+
+
+def _path(fields: Sequence[str]) -> str:
+    """A variant path to nested fields, whatever characters their names hold but for double quotes and backslashes."""
+    return "$" + "".join(f'["{f}"]' for f in fields)
+
+
+def _field_errors(parsed: Column, wanted: Mapping[str, tuple], above: tuple[str, ...] = ()) -> Column:
+    """Errors of an object's fields and of the objects in it: missing:f, type:f, unexpected:f; nested fields by their names joined by full stops."""
+    none = F.array().cast("array<string>")
+    own = F.to_json(F.try_variant_get(parsed, _path(above), "variant"))
+    names = F.map_keys(F.from_json(own, "map<string,string>"))
+    label = lambda f: ".".join((*above, f))
+    found, below = [], []
+    for field, (kind, needed) in sorted(wanted.items()):
+        there = F.coalesce(F.array_contains(names, field), F.lit(False))
+        held = F.schema_of_variant(F.try_variant_get(parsed, _path((*above, field)), "variant"))
+        kinds = ["OBJECT"] if isinstance(kind, Mapping) else kind.split("|") if isinstance(kind, str) else ["STRING"]
+        fits = F.coalesce(reduce(Column.__or__, (F.startswith(held, F.lit(start)) for k in kinds for start in KINDS[k])), F.lit(False))
+        if not isinstance(kind, str | Mapping):
+            fits = fits & F.coalesce(F.try_variant_get(parsed, _path((*above, field)), "string").isin(*kind), F.lit(False))
+        found.append(F.when(there & ~fits, F.lit(f"type:{label(field)}")).when(F.lit(needed) & ~there, F.lit(f"missing:{label(field)}")))
+        if isinstance(kind, Mapping):
+            below.append(F.when(there & fits, _field_errors(parsed, kind, (*above, field))).otherwise(none))
+    extra = F.transform(F.array_except(names, F.array(*map(F.lit, sorted(wanted))) if wanted else none), lambda f: F.concat(F.lit("unexpected:" + "".join(x + "." for x in above)), f))
+    return F.concat(F.array_compact(F.array(*found)) if found else none, F.coalesce(extra, none), *below)
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """Sorted array of what is wrong with a call's arguments (JSON text): malformed, not_an_object, unknown_tool, missing:f, type:f, unexpected:f."""
     parsed = F.try_parse_json(arguments)
-    fields = F.map_keys(F.from_json(arguments, "map<string,string>"))
-    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
     checks = F.array(F.lit("unknown_tool"))
     for tool, wanted in schemas.items():
-        found = []
-        for field, (kind, needed) in sorted(wanted.items()):
-            path = "$." + field
-            there = F.array_contains(fields, field)
-            held = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-            fits = held.isin("BIGINT") | F.startswith(held, F.lit("DECIMAL")) | (held == "DOUBLE") if kind == "NUMBER" else held == kind
-            found.append(F.when(there & ~F.coalesce(fits, F.lit(False)), F.lit(f"type:{field}")).when(F.lit(needed) & ~there, F.lit(f"missing:{field}")))
-        extra = F.transform(F.array_except(fields, F.array(*map(F.lit, sorted(wanted)))), lambda f: F.concat(F.lit("unexpected:"), f))
-        checks = F.when(name == tool, F.concat(F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"), extra)).otherwise(checks)
-    checked = F.when(parsed.isNull(), F.array(F.lit("malformed"))).when(~is_object, F.array(F.lit("not_an_object"))).otherwise(checks)
-    return F.array_sort(checked)
+        checks = F.when(name == tool, _field_errors(parsed, wanted)).otherwise(checks)
+    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    return F.array_sort(F.when(parsed.isNull(), F.array(F.lit("malformed"))).when(~is_object, F.array(F.lit("not_an_object"))).otherwise(checks))
+
+
+def plain_number(number: Column) -> Column:
+    """A JSON number that a double gave, as an equal decimal is written: without exponent and without zeros at the end, where 38 digits hold it."""
+    exact = number.try_cast("decimal(38,18)")
+    large = number.try_cast("double").try_cast("decimal(38,0)")
+    same = lambda d: d.cast("double") == number.try_cast("double")
+    trimmed = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(same(exact), trimmed).when(same(large), large.cast("string")).otherwise(number)
+
+
+def canonical(json: Column) -> Column:
+    """JSON text as to_json() writes a variant, whose equal numbers have equal bytes: 100, 1e2 and 100.0 become 100.
+
+    Quotes and backslashes that are escaped give way to characters that JSON text never holds, so that what lies between quotes can be told; then
+    only the parts outside are looked at.
+    """
+    hidden = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    outside = lambda part: F.array_join(F.transform(F.split(part, r"(?<=[,:\[\]{}])|(?=[,\]}])"), lambda x: F.when(x.rlike(r"^-?[0-9]+(\.[0-9]+)?(E-?[0-9]+)?$") & x.rlike(r"[.E]"), plain_number(x)).otherwise(x)), "")
+    parts = F.transform(F.split(hidden, '"'), lambda part, i: F.when(i % 2 == 0, outside(part)).otherwise(part))
+    shown = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(json.rlike(r"[0-9]\.0|[0-9]E"), shown).otherwise(json)
 
 
 def stages(calls: DataFrame) -> DataFrame:
@@ -73,7 +115,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
 
     calls: conv_id, call_id, seq, name, arguments (JSON text), after (ids of calls it depends on). results: conv_id, call_id, seq, content.
     Out: conv_id, call_id, seq, name, stage, n_results, errors (sorted, comma-joined), valid, json. Calls and results are hash-joined by
-    (conv_id, call_id); the first result by seq counts. json has the keys in order, at any depth, without blanks: the canonical form of
+    (conv_id, call_id); the first result by seq counts. json has the keys in order, at any depth, without blanks, and equal numbers alike: the canonical form of
     the call with its result. Errors beside the arguments' are cycle, no_result, unmet_dependency and, for results alone, no_call.
 
     Null ids link with nothing and stay as rows of their own; null arguments are malformed; null or empty `after` is no
@@ -94,5 +136,5 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
         ),
     ).otherwise(F.array(F.lit("no_call")))
     body = F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "conv_id", "name", F.col("content").alias("result"))
-    rows = linked.select("conv_id", "call_id", "seq", "name", "stage", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.array_join(F.array_sort(found), ",").alias("errors"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    rows = linked.select("conv_id", "call_id", "seq", "name", "stage", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.array_join(F.array_sort(found), ",").alias("errors"), canonical(F.to_json(body, {"ignoreNullFields": "false"})).alias("json"))
     return rows.select("conv_id", "call_id", "seq", "name", "stage", "n_results", "errors", (F.col("errors") == "").alias("valid"), "json")

@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_session, id_type, map_batches, raw_texts
+from .common import id_type, keep_rows, map_batches, raw_texts, written
 
 WINDOW = 10
-#: Windows in one broadcast; a larger benchmark is held against the texts block by block.
-BLOCK_WINDOWS = 1_000_000
+#: Windows in one broadcast, about 100 MB in a worker; a larger benchmark is held against the texts block by block.
+BLOCK_WINDOWS = 400_000
 #: Bytes that are part of a word stay (A-Z in lower case), all others become blanks.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -25,21 +25,31 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Block:
-    """Windows of some items: words by number, and by window length the windows' items."""
+    """Windows of some items: words by number, and by window length the number of the window's set of items."""
 
     def __init__(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.windows: dict[int, dict[bytes, int]] = {}
+        #: Sets of items, each once.
+        self.items: list[frozenset[str]] = []
+        self.numbers: dict[frozenset[str], int] = {}
         self.size = 0
 
+    def _number(self, items: frozenset[str]) -> int:
+        if (n := self.numbers.setdefault(items, len(self.items))) == len(self.items):
+            self.items.append(items)
+        return n
+
     def add(self, item: str, words: list[bytes], window: int) -> None:
         if not words:
             return
         ids = np.fromiter((self.words.setdefault(w, len(self.words)) for w in words), np.int32, len(words))
         n = min(window, len(ids))
-        at = self.windows.setdefault(n, {})
+        at, own = self.windows.setdefault(n, {}), self._number(frozenset([item]))
         for i in range(len(ids) - n + 1):
-            at.setdefault(ids[i : i + n].tobytes(), set()).add(item)
+            key = ids[i : i + n].tobytes()
+            if (there := at.setdefault(key, own)) != own:
+                at[key] = self._number(self.items[there] | {item})
             self.size += 1
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -54,9 +64,9 @@ class Block:
                 continue
             # only windows made of known words alone are looked up
             for i in np.flatnonzero(known[n:] - known[:-n] == n).tolist():
-                if found := windows.get(ids[i : i + n].tobytes()):
+                if (found := windows.get(ids[i : i + n].tobytes())) is not None:
                     spans.append((i, i + n))
-                    items |= found
+                    items |= self.items[found]
         return spans, items
 
 
@@ -99,25 +109,29 @@ def decontaminate(
     """One row for each row of docs: doc_id, n_words, n_hit, items (sorted as strings), n_items, contaminated, and with `cleaned` the text without the hit spans.
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Windows are compared
-    word by word, so there are no false hits. The windows go to the executors as one broadcast of at most `block_windows`;
-    a larger benchmark goes block by block, and the texts are scanned once for each. No shuffle.
+    word by word, so there are no false hits. The windows go to the executors as one broadcast of at most `block_windows` and one item;
+    a larger benchmark goes block by block: the texts are scanned and written once for each, and no task or driver holds more than the next one beside it. No shuffle.
 
     Null or empty texts have no words and hit nothing; null item ids are left out; items that repeat count once;
     empty benchmarks leave all documents clean; other columns of docs are not read.
     """
-    spark = arrow_session(docs.sparkSession)
+    spark = docs.sparkSession
     key = id_type(docs, doc_id)
     state = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    for at, block in enumerate(pending := list(_announce(blocks_of(benchmark, item_id, item_text, window, block_windows), spark))):
-        first, last = at == 0, at == len(pending) - 1
-        state = _scanned(state, block, first, last, key, cleaned)
+    first = True
+    for block, last in _in_turn(blocks_of(benchmark, item_id, item_text, window, block_windows)):
+        state = _scanned(state, spark.sparkContext.broadcast(block), first, last, key, cleaned)
+        state, first = state if last else written(state, "block"), False
     return state
 
 
-def _announce(blocks: Iterator[Block], spark) -> Iterator:
-    """Only the handles of broadcasts stay in the driver."""
-    for block in blocks:
-        yield spark.sparkContext.broadcast(block)
+def _in_turn(blocks: Iterator[Block]) -> Iterator[tuple[Block, bool]]:
+    """Each block, and whether it is the last."""
+    block = next(blocks)
+    for following in blocks:
+        yield block, False
+        block = following
+    yield block, True
 
 
 def _scanned(state: DataFrame, shared, first: bool, last: bool, key: str, cleaned: bool) -> DataFrame:
@@ -155,16 +169,15 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS
 ) -> DataFrame:
     """The rows of docs, all columns as they are, in which no window of the benchmark occurs. Nulls and empty tables as in decontaminate()."""
-    spark = arrow_session(docs.sparkSession)
-    for shared in list(_announce(blocks_of(benchmark, item_id, item_text, window, block_windows), spark)):
-        docs = _clean_rows(docs, shared, text)
+    for block, last in _in_turn(blocks_of(benchmark, item_id, item_text, window, block_windows)):
+        docs = _clean_rows(docs, docs.sparkSession.sparkContext.broadcast(block), text)
+        docs = docs if last else written(docs, "block")
     return docs
 
 
 def _clean_rows(docs: DataFrame, shared, text: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         block = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([not block.scan(words_of(raw))[0] for raw in raw_texts(batch.column(text))], pa.bool_()))
+        return lambda batch: [not block.scan(words_of(raw))[0] for raw in raw_texts(batch.column(text))]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, make)

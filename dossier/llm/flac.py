@@ -1,7 +1,7 @@
 """FLAC columns: payloads to FLAC files and back, many frames at a time.
 
-The decoder reads mono streams of fixed block size with 8 or 16 bits a sample: constant, verbatim, fixed and linear predictors, Rice
-partitions of either kind with escapes. The encoder writes 8-bit mono in blocks of 192 samples with a seek table.
+The decoder reads mono streams of 8 bits a sample in blocks of 192 samples: constant, verbatim, fixed and linear predictors, Rice
+partitions of either kind with escapes. The encoder writes such streams with a seek table.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_session, id_type, map_batches, raw_texts
+from .common import id_type, map_batches, raw_texts
 
 BLOCK, RATE = 192, 8000
 #: Frames from one seek point to the next.
 SEEK_FRAMES = 64
-#: Samples encoded or decoded at once.
+#: Samples encoded or decoded at once, of many files or a part of one.
 AT_ONCE = 786_432
+#: Order of the linear predictor that each frame is tried with, beside the fixed ones.
+LINEAR = 8
 
 
 def _table(poly: int, width: int) -> np.ndarray:
@@ -170,10 +172,13 @@ def encode(payloads: list[bytes], orders: tuple[int, ...] = (0, 1, 2), linear: i
     """A FLAC file of each payload; a payload is a positive multiple of 192 bytes, taken as unsigned samples."""
     if not payloads:
         return []
-    samples = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16).reshape(-1, BLOCK) - 128
+    samples = (np.frombuffer(b"".join(payloads), np.uint8) ^ 128).view(np.int8).reshape(-1, BLOCK)
     counts = [len(p) // BLOCK for p in payloads]
-    data, sizes = encode_frames(samples, [i for n in counts for i in range(n)], orders, linear)
-    signed = samples.astype(np.int8).tobytes()
+    numbers = [i for n in counts for i in range(n)]
+    step = AT_ONCE // BLOCK
+    coded = [encode_frames(samples[i : i + step], numbers[i : i + step], orders, linear) for i in range(0, len(samples), step)]
+    data, sizes = (np.concatenate(x) for x in zip(*coded, strict=True))
+    signed = samples.tobytes()
     out, frame, byte = [], 0, 0
     for payload, n in zip(payloads, counts, strict=True):
         own = sizes[frame : frame + n]
@@ -245,19 +250,24 @@ def _frame_starts(data: np.ndarray, begin: int, end: int, frames: int) -> np.nda
     found = np.flatnonzero((own[:-3] == 0xFF) & (own[1:-2] == 0xF8) & (own[2:-1] == 0x14) & (own[3:] == 0x02))
     number, _, good = _header(own, found)
     found, number = found[good], number[good]
-    if len(found) != frames or (number != np.arange(frames)).any():  # a residual may look like a header: keep those in order
-        kept: list[int] = []
+    if len(found) != frames or (number != np.arange(frames)).any():  # a residual may look like a header
+        places: dict[int, list[int]] = {}
         for at, n in zip(found.tolist(), number.tolist(), strict=True):
-            if n == len(kept):
-                kept.append(at)
+            places.setdefault(n, []).append(at)
+        kept = [0]
+        for n in range(1, frames):
+            later = [at for at in places.get(n, []) if at > kept[-1]]
+            if len(later) > 1:  # the one up to which the frame before has its checksum
+                later = [at for at in later if int(crc16(own, np.array(kept[-1:]), np.array([at - 2 - kept[-1]]))[0]) == int(own[at - 2]) << 8 | int(own[at - 1])]
+            if not later:
+                raise ValueError("frames are missing")
+            kept.append(later[0])
         found = np.array(kept, np.int64)
-    if len(found) != frames:
-        raise ValueError("frames are missing")
     return found + begin
 
 
 def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int = BLOCK, bps: int = 8) -> np.ndarray:
-    """Samples of each frame; raises ValueError where a frame's checksum does not hold."""
+    """Samples of each frame, which follow each other; raises ValueError where a frame's checksum does not hold."""
     _, head, good = _header(data, starts)
     stored = data[ends - 2].astype(np.uint16) << 8 | data[ends - 1]
     if not good.all() or (crc16(data, starts, ends - starts - 2) != stored).any():
@@ -368,26 +378,47 @@ def decode(files: list[bytes]) -> list[bytes]:
         starts.append(own)
         ends.append(np.append(own[1:], base + len(file)))
         base += len(file)
-    samples = decode_frames(data, np.concatenate(starts), np.concatenate(ends)).astype(np.int8)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    parts = []
+    for i in range(0, len(starts), step := AT_ONCE // BLOCK):
+        a, b = starts[i : i + step], ends[i : i + step]
+        parts.append(decode_frames(data[a[0] : b[-1]], a - a[0], b - a[0]).astype(np.int8))
+    samples = np.concatenate(parts)
     out, at = [], 0
     for n, md5 in zip(counts, sums, strict=True):
         own = samples[at : at + n]
         if hashlib.md5(own.tobytes()).digest() != md5:
             raise ValueError("the samples' MD5 sum does not hold")
-        out.append((own.astype(np.int16) + 128).astype(np.uint8).tobytes())
+        out.append((own.view(np.uint8) ^ 128).tobytes())
         at += n
     return out
 
 
-def seek(file: bytes, sample: int) -> tuple[int, int]:
-    """The last seek point at or before a sample: its first sample and its byte offset in the file."""
+def blocks_of(payload: bytes, block: int) -> list[dict]:
+    """PCM blocks of a payload read back: block_no, sample_offset, n_samples and pcm (signed 8-bit samples)."""
+    out = []
+    for number, at in enumerate(range(0, len(payload), block)):
+        pcm = (np.frombuffer(payload[at : at + block], np.uint8) ^ 128).tobytes()
+        out.append({"block_no": number, "sample_offset": at, "n_samples": len(pcm), "pcm": pcm})
+    return out
+
+
+def seek_table(file: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First samples of the seek points and their byte offsets in the file."""
     at, last, points = 4, False, b""
     while not last:
         last, size = bool(file[at] & 0x80), int.from_bytes(file[at + 1 : at + 4], "big")
         points = file[at + 4 : at + 4 + size] if file[at] & 0x7F == 3 else points
         at += 4 + size
-    best = max((p for i in range(0, len(points), 18) if (p := (int.from_bytes(points[i : i + 8], "big"), int.from_bytes(points[i + 8 : i + 16], "big")))[0] <= sample), default=(0, 0))
-    return best[0], best[1] + at
+    table = np.frombuffer(points, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]))
+    return table["sample"].astype(np.int64), table["offset"].astype(np.int64) + at
+
+
+def seek(file: bytes, sample: int) -> tuple[int, int]:
+    """The last seek point at or before a sample: its first sample and its byte offset in the file."""
+    samples, offsets = seek_table(file)
+    i = int(np.searchsorted(samples, sample, side="right")) - 1
+    return int(samples[i]), int(offsets[i])
 
 
 def padded(raw: bytes) -> bytes:
@@ -412,28 +443,39 @@ def _groups(raws: list[bytes]):
         yield slice(start, len(raws))
 
 
-def media_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with `with_media` the FLAC file.
+def _placed(blocks: list[dict], samples: np.ndarray, offsets: np.ndarray) -> list[dict]:
+    """Blocks by their places in the samples and in the file: the last seek point at or before each."""
+    at = offsets[np.searchsorted(samples, [x["sample_offset"] for x in blocks], side="right") - 1].tolist()
+    return [{"sample_offset": x["sample_offset"], "byte_offset": place, "n_samples": x["n_samples"], "pcm_sha256": hashlib.sha256(x["pcm"]).hexdigest()} for x, place in zip(blocks, at, strict=True)]
+
+
+def media_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", linear: int = LINEAR, block: int = SEEK_FRAMES * BLOCK, with_media: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, blocks, and with `with_media` the FLAC file.
 
-    Each text's UTF-8 bytes, filled with blanks to a positive multiple of 192, are stored as FLAC and read back from the stored
-    bytes; every digest of the payload is of what was read back. No shuffle; about 1 MB is coded at once.
+    Each text's UTF-8 bytes, filled with blanks to a positive multiple of 192, are stored as FLAC, frame by frame with the fixed or linear
+    predictor that leaves least, and read back from the stored bytes as PCM blocks of `block` samples; every digest of the payload is of these. `blocks` has each one's
+    sample_offset, its place byte_offset in the file from the seek table, n_samples and pcm_sha256. No shuffle; about 1 MB is coded at once, of a longer text part by part.
     Null texts are empty; ids may be null or repeat; other columns are not read.
     """
-    arrow_session(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 
     def each(batch: pa.RecordBatch):
         raws = raw_texts(batch.column("text"))
         for part in _groups(raws):
-            files = encode([padded(raw) for raw in raws[part]])
-            back = decode(files)
+            files = encode([padded(raw) for raw in raws[part]], linear=linear)
+            pcm = [blocks_of(payload, block) for payload in decode(files)]
+            back = [(np.frombuffer(b"".join(x["pcm"] for x in own), np.uint8) ^ 128).tobytes() for own in pcm]
+            places = [_placed(own, *seek_table(file)) for file, own in zip(files, pcm, strict=True)]
             yield {
                 "doc_id": batch.column("doc_id")[part], "n_bytes": [len(raw) for raw in raws[part]], "payload_bytes": [len(p) for p in back],
                 "payload_sha256": [hashlib.sha256(p).hexdigest() for p in back], "tail_crc32": [zlib.crc32(p[-16:]) for p in back], "media_bytes": [len(x) for x in files],
-                "media_sha256": [hashlib.sha256(x).hexdigest() for x in files], "feature": [feature(p) for p in back], "media": files,
+                "media_sha256": [hashlib.sha256(x).hexdigest() for x in files], "feature": [feature(p) for p in back], "blocks": places, "media": files,
             }
 
-    return map_batches(rows, lambda: each, f"doc_id {id_type(docs, doc_id)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary" * with_media)
+    return map_batches(
+        rows, lambda: each,
+        f"doc_id {id_type(docs, doc_id)}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, blocks array<struct<sample_offset:bigint,byte_offset:bigint,n_samples:bigint,pcm_sha256:string>>" + ", media binary" * with_media,
+    )
 
 
 def pcm_blocks(media: DataFrame, *, key: str = "doc_id", column: str = "media", block: int = SEEK_FRAMES * BLOCK) -> DataFrame:
@@ -441,7 +483,6 @@ def pcm_blocks(media: DataFrame, *, key: str = "doc_id", column: str = "media",
 
     Null files give no blocks. A stream whose checksums do not hold fails the task.
     """
-    arrow_session(media.sparkSession)
     rows = media.where(media[column].isNotNull()).select(media[key].alias("key"), media[column].alias("media"))
 
     def each(batch: pa.RecordBatch):
@@ -449,10 +490,9 @@ def pcm_blocks(media: DataFrame, *, key: str = "doc_id", column: str = "media",
         for part in _groups(files):
             out: dict[str, list] = {k: [] for k in ("row", "block_no", "sample_offset", "n_samples", "pcm")}
             for row, payload in enumerate(decode(files[part])):
-                for number, at in enumerate(range(0, len(payload), block)):
-                    pcm = (np.frombuffer(payload[at : at + block], np.uint8) ^ 128).tobytes()
-                    for name, x in (("row", row), ("block_no", number), ("sample_offset", at), ("n_samples", len(pcm)), ("pcm", pcm)):
-                        out[name].append(x)
+                for x in blocks_of(payload, block):
+                    for name, value in ({"row": row} | x).items():
+                        out[name].append(value)
             yield {"key": batch.column("key")[part].take(pa.array(out.pop("row"), pa.int64())), **out}
 
     return map_batches(rows, lambda: each, f"key {id_type(media, key)}, block_no bigint, sample_offset bigint, n_samples bigint, pcm binary").withColumnRenamed("key", key)

@@ -5,8 +5,7 @@ from __future__ import annotations
 OP1 = """
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, coalesce(length(text), 0) AS n FROM conversations),
 call AS (
-  SELECT conv_id, turn AS seq, 'call_' || turn AS call_id, ['search', 'lookup', 'summarise', 'forecast'][CAST(n % 4 + 1 AS INT)] AS name, n,
-         substr(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 1, 40) AS query,
+  SELECT conv_id, turn AS seq, 'call_' || turn AS call_id, ['search', 'lookup', 'summarise', 'forecast'][CAST(n % 4 + 1 AS INT)] AS name, n, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS query,
          CASE WHEN n % 3 = 0 THEN 'call_' || (turn - 2) WHEN n % 8 = 1 THEN 'call_' || (turn + 2) END AS dep
   FROM t WHERE role = 'assistant'),
 result AS (
@@ -23,7 +22,7 @@ judged AS (
          WHEN n % 11 = 0 THEN '{"max_words":' || n || '}'
          WHEN n % 7 = 0 THEN '{"max_words":' || n || ',"query":5}'
          WHEN n % 5 = 0 THEN '{"max_words":' || n || ',"tone":[1,{"a":true,"b":null}]}'
-         ELSE '{"max_words":' || n || ',"query":"' || query || '"}' END AS arguments,
+         ELSE '{"max_words":' || n || ',"query":' || query || '}' END AS arguments,
     CASE WHEN n % 13 = 0 THEN ['malformed']
          WHEN n % 4 = 3 THEN ['unknown_tool']
          WHEN n % 11 = 0 THEN CASE WHEN n % 4 = 2 THEN [] ELSE ['missing:query'] END

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_session, id_type, map_batches, texts_of, written
+from .common import id_type, map_batches, texts_of, written
 from .tokens import WordIds, remembered
 
 CAPACITY, END = 2048, 1
@@ -86,7 +86,6 @@ def harmonic_pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
 
     Null and empty texts are the end id alone. Ids may be null or repeat: each row of docs is packed. An empty table gives no rows.
     """
-    arrow_session(docs.sparkSession)
     found = pieces_of(docs, path, doc_id, text, capacity, slack)
     # a rank must not depend on where a row was read, or a lost executor's repeated work would deal pieces twice
     dealt = written(found.withColumn("k", F.expr(f"int({capacity} div length)")), "pieces")
@@ -165,7 +164,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def best_fit_pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, pad: int = 0, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """Packed id matrix: a row for each sequence with sequence_id, input_ids (capacity unsigned 32-bit little-endian ids, padded with `pad`),
+    """Packed id matrix: a row for each sequence with sequence_id (a hash of what is in it), input_ids (capacity unsigned 32-bit little-endian ids, padded with `pad`),
     n_tokens, doc_ids, starts (each segment's place in its document), cu_seqlens (0 and the ends of the segments) and position_ids
     (unsigned 32-bit, from 0 in each segment; padding too).
 
@@ -175,30 +174,28 @@ def best_fit_pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
 
     Null and empty texts are the end id alone. Ids may be null or repeat. An empty table gives no rows.
     """
-    arrow_session(docs.sparkSession)
     key = id_type(docs, doc_id)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 
     def make():
         words = remembered(WordIds, path)
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held: list[tuple[object, int, bytes]] = []
         size = 0
 
         def flush():
-            nonlocal held, size, number
+            nonlocal held, size
             out: dict[str, list] = {k: [] for k in ("sequence_id", "input_ids", "n_tokens", "doc_ids", "starts", "cu_seqlens", "position_ids")}
             for members in best_fit([len(raw) // 4 for _, _, raw in held], capacity):
                 raw = b"".join(held[i][2] for i in members)
                 sizes = [len(held[i][2]) // 4 for i in members]
-                out["sequence_id"].append(number)
+                names = repr([held[i][:2] for i in members]).encode()
+                out["sequence_id"].append(xxhash.xxh64_intdigest(names + raw) >> 1)
                 out["input_ids"].append(raw + np.full(capacity - len(raw) // 4, pad, "<u4").tobytes())
                 out["n_tokens"].append(len(raw) // 4)
                 out["doc_ids"].append([held[i][0] for i in members])
                 out["starts"].append([held[i][1] for i in members])
                 out["cu_seqlens"].append([0, *np.cumsum(sizes).tolist()])
                 out["position_ids"].append(np.concatenate([np.arange(n, dtype="<u4") for n in [*sizes, capacity - len(raw) // 4]]).tobytes())
-                number += 1
             held, size = [], 0
             return out
 

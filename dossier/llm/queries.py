@@ -13,9 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+    """The bare file name: each task looks it up on its own machine."""
+    return name
 
 
 def held_out() -> F.Column:
@@ -39,13 +38,14 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     n = F.coalesce(F.length("text"), F.lit(0))
     call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
-    query = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), 1, 40)
+    text = F.coalesce("text", F.lit(""))
+    quoted = F.expr("substr(to_json(struct(coalesce(text, '') AS t)), 6, length(to_json(struct(coalesce(text, '') AS t))) - 6)")
     arguments = (
-        F.when(n % 13 == 0, F.concat(F.lit('{ "query" : "'), query))
+        F.when(n % 13 == 0, F.concat(F.lit('{ "query" : "'), text))
         .when(n % 11 == 0, F.format_string('{ "max_words":%d }', n))
-        .when(n % 7 == 0, F.format_string('{ "query" : 5, "max_words" : %d}', n))
-        .when(n % 5 == 0, F.format_string('{ "tone": [1, {"b": null, "a": true}], "max_words" : %d}', n))
-        .otherwise(F.format_string('{"query" : "%s",  "max_words" : %d }', query, n))
+        .when(n % 7 == 0, F.format_string('{ "query" : 5, "max_words" : %d.0}', n))
+        .when(n % 5 == 0, F.format_string('{ "tone": [1, {"b": null, "a": true}], "max_words" : %de0}', n))
+        .otherwise(F.concat(F.lit('{"query" : '), quoted, F.format_string(',  "max_words" : %d }', n)))
     )
     after = F.when(n % 3 == 0, F.array(call_id(F.col("turn") - 2))).when(n % 8 == 1, F.array(call_id(F.col("turn") + 2))).otherwise(F.array().cast("array<string>"))
     names = F.element_at(F.array(*map(F.lit, ("search", "lookup", "summarise", "forecast"))), (n % 4 + 1).cast("int"))
@@ -87,9 +87,7 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the packed id matrix, beside the documents in it and the segments' bounds."""
-    packed = packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    return packed.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

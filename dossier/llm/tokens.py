@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -13,10 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, id_type, map_batches, texts_of, written
+from .common import Memory, held, id_type, map_batches, texts_of, written
 
-#: Pieces a task remembers; then the memory starts anew.
-REMEMBER = 400_000
 #: A text of more code points is cut into chunks of so many, that overlap by OVERLAP.
 HUGE, CHUNK, OVERLAP, WIDER = 32_768, 16_384, 512, 8
 #: Blanks that split a text; one that holds any other white space is encoded whole.
@@ -31,19 +28,27 @@ LONG = 256
 STABLE = re.compile(rf"(?<=\S)(?=[{BLANK}])")
 
 
+def located(path: str) -> str:
+    """A path as it is; a bare file name is looked up among this machine's public tokenizers, so that each executor finds its own."""
+    if "/" in path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(located(path))
 
 
-@lru_cache(2)
 def offset_tokenizer(path: str):
     """The same tokenizer, whose offsets keep the blanks that tokens begin with."""
     from tokenizers import Tokenizer
 
-    with open(path) as file:
+    with open(located(path)) as file:
         parts = json.load(file)
     parts["post_processor"] = None
     return Tokenizer.from_str(json.dumps(parts))
@@ -61,7 +66,7 @@ class Pieces:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
-        self.memory: dict = {}
+        self.memory = Memory()
 
     def split(self, text: str) -> list[str]:
         try:
@@ -77,15 +82,15 @@ class Pieces:
         raise NotImplementedError
 
     def looked_up(self, texts: list[str], join) -> list:
-        if len(self.memory) > REMEMBER:
-            self.memory.clear()
         memory = self.memory
+        memory.room()
         split = [self.split(x) for x in texts]
         self.learn(new := list(set(chain.from_iterable(split)).difference(memory)))
         out = [join(map(memory.__getitem__, pieces)) for pieces in split]
         for piece in new:
             if len(piece) > LONG:
                 del memory[piece]
+                memory.used -= len(piece)
         return out
 
 
@@ -108,10 +113,11 @@ class WordIds(Pieces):
             ends = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
             if len(ends) == len(some) + 1 and all(map(str.strip, some)) and not any("<|" in p for p in some):
                 raw = ids.tobytes()
-                self.memory |= {p: raw[a:b] for p, a, b in zip(some, ends, ends[1:], strict=False)}
+                for p, a, b in zip(some, ends, ends[1:], strict=False):
+                    self.memory.note(p, raw[a:b], len(p) + b - a)
             else:  # some piece is not just one pre-token
                 for p, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.memory[p] = np.array(coded.ids, "<u4").tobytes()
+                    self.memory.note(p, np.array(coded.ids, "<u4").tobytes(), len(p) + 4 * len(coded))
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -127,16 +133,15 @@ class PieceCounts(Pieces):
         for i in range(0, len(pieces), 1024):
             some = pieces[i : i + 1024]
             for p, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memory[p] = len(coded)
+                self.memory.note(p, len(coded), len(p))
 
     def of(self, texts: list[str]) -> list[int]:
         return self.looked_up(texts, sum)
 
 
-@lru_cache(4)
 def remembered(kind: type, path: str) -> Pieces:
-    """One for all tasks of a worker."""
-    return kind(path)
+    """One for all tasks of a worker; its memory of pieces is bounded in bytes."""
+    return held((kind, path), lambda: kind(path))
 
 
 def seam(text: str, cut: int, overlap: int, ends: dict[int, int], base: int) -> int | None:
@@ -164,7 +169,7 @@ def count_tokens(
 
     Null texts are empty and have 0 tokens; ids may be null or repeat; other columns are not read.
     """
-    spark = arrow_session(docs.sparkSession)
+    spark = docs.sparkSession
     key = id_type(docs, doc_id)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > huge
@@ -209,12 +214,20 @@ def _spliced(rows: DataFrame, path: str, key: str, chunk: int, overlap: int) ->
 
 def _chunk_counts(left: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     once = left.groupBy("own").agg(F.first("text").alias("text"))
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / chunk)).cast("int")
-    cuts = once.select("own", n.alias("total"), "text").select("own", "total", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("total") - 1), lambda i: F.substr("text", F.greatest(F.lit(1), i * chunk - overlap + 1), F.lit(chunk + overlap) + F.when(i > 0, F.lit(overlap)).otherwise(F.lit(0))))).alias("k", "part"))
-    dealt = cuts.repartition(F.col("own"), F.col("k"))
+
+    def cut(batch: pa.RecordBatch):
+        for own, text in zip(batch.column("own").to_pylist(), texts_of(batch.column("text")), strict=True):
+            total = max(1, -(-len(text) // chunk))
+            for k in range(0, total, 64):
+                some = range(k, min(k + 64, total))
+                yield {"own": [own] * len(some), "total": [total] * len(some), "k": list(some), "part": [text[max(0, i * chunk - overlap) : (i + 1) * chunk + overlap] for i in some]}
+
+    # a number of partitions of our own, as the chunks are few bytes but much work
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = map_batches(once, lambda: cut, "own string, total int, k int, part string").repartition(parts, "own", "k")
 
     def make():
-        encode = offset_tokenizer(path).encode
+        encode = held(("offsets", path), lambda: offset_tokenizer(path)).encode
 
         def each(batch: pa.RecordBatch):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "n_bytes", "left", "right", "met")}

@@ -12,13 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, id_type, map_batches, raw_texts
+from .common import Memory, id_type, keep_rows, map_batches, raw_texts, tidy
 from .decontaminate import words_of
 
+#: Terms are hashed to 2**TERM_BITS slots.
+TERM_BITS = 22
 #: Labelled rows that the machine is fitted on at most: those whose hashed id is lowest.
 TRAIN_ROWS = 20_000
+#: Terms of these rows together at most; beyond, fewer rows are taken.
+TRAIN_TERMS = 32_000_000
 #: A term has a say if it is in so many of those rows, and its share of label 1 lies so many standard deviations off the mean, or does so beside another term (see `partners`).
 LEAST_ROWS, LEAST_Z = 6, 5.0
+#: Of the rows that it is fitted on, those that pairs of terms are counted in at most.
+PAIR_ROWS = 6_000
 #: Terms of at most this share of the rows tell near-copies by the least of their hashes; near-copies together weigh as one row.
 RARE_SHARE = 0.005
 #: Rows of the same least hash are near-copies if so much of all their terms is common.
@@ -26,27 +32,26 @@ COPY_SHARE = 0.5
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.15, 1e-4
 #: Beside whole words, stems of so many code points, for insults whose endings vary.
 STEMS = (4, 5)
-#: Words whose terms a task remembers.
-REMEMBER = 400_000
 NOTHING: tuple = ()
 
 
-def terms_of(word: bytes) -> tuple[int, ...]:
-    """Hashed terms of a word, in 63 bits: itself, its stems, and last itself as a word that a text repeats."""
+def terms_of(word: bytes) -> np.ndarray:
+    """Slots of a word's terms: itself, its stems, and last itself as a word that a text repeats."""
     letters = word.decode().lower()
     keys = [b"w" + letters.encode(), *(b"s%d" % n + letters[:n].encode() for n in STEMS if len(letters) >= n), b"r" + letters.encode()]
-    return tuple(xxhash.xxh64_intdigest(k) >> 1 for k in keys)
+    return np.array([xxhash.xxh64_intdigest(k) >> (64 - TERM_BITS) for k in keys], np.int32)
 
 
-def features_of(raw: bytes, memory: dict[bytes, tuple[int, ...]]) -> np.ndarray:
-    out: list[int] = []
-    if len(memory) > REMEMBER:
-        memory.clear()
+def features_of(raw: bytes, memory: Memory) -> np.ndarray:
+    """The slots that a text has, in order."""
+    out: list[bytes] = []
+    memory.room()
     for word, n in Counter(words_of(raw)).items():
         if (terms := memory.get(word)) is None:
-            terms = memory[word] = terms_of(word)
-        out += terms if n > 1 else terms[:-1]
-    return np.unique(np.array(out, np.int64))
+            terms = terms_of(word).tobytes()
+            memory.note(word, terms, len(word) + len(terms))
+        out.append(terms if n > 1 else terms[:-4])
+    return np.unique(np.frombuffer(b"".join(out), np.int32))
 
 
 @dataclass
@@ -62,22 +67,19 @@ class Machine:
 
     def scorer(self):
         at = {int(k): i for i, k in enumerate(self.keys)}
-        memory: dict[bytes, tuple] = {}
+        memory = Memory()
 
         def score(raw: bytes) -> float:
-            if len(memory) > REMEMBER:
-                memory.clear()
+            memory.room()
             rows: set[int] = set()
-            words = words_of(raw)
-            for word in set(words):
+            for word, n in Counter(words_of(raw)).items():
                 if (own := memory.get(word)) is None:
-                    *single, repeated = map(at.get, terms_of(word))
-                    own = memory[word] = (tuple(i for i in single if i is not None), repeated)
-                    if own == ((), None):
-                        own = memory[word] = NOTHING
+                    *single, repeated = map(at.get, terms_of(word).tolist())
+                    own = (tuple(i for i in single if i is not None), repeated)
+                    memory.note(word, own := NOTHING if own == ((), None) else own, len(word) + 40 * len(own))
                 if own is not NOTHING:
                     rows.update(own[0])
-                    if own[1] is not None and words.count(word) > 1:
+                    if own[1] is not None and n > 1:
                         rows.add(own[1])
             return self.of(np.sort(np.fromiter(rows, np.int64, len(rows))))
 
@@ -89,19 +91,28 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def weighed(row: np.ndarray, terms: np.ndarray, inverse: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
-    """A weight for each row: rows that share the least hash of their rarer terms, and most of all their terms, weigh one together."""
-    rare = counts[inverse] <= max(RARE_SHARE * m, 40)
-    least = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(least, row[rare], terms[rare])
-    start = np.searchsorted(row, np.arange(m + 1))
+def counted(terms: np.ndarray, n: int, weight: np.ndarray | None = None, row: np.ndarray | None = None, at_once: int = 1 << 20) -> np.ndarray:
+    """Rows of each of n terms, or the sum of these rows' weights; a part of the terms at a time, as numpy widens what it counts."""
+    out = np.zeros(n, np.int32 if weight is None else np.float64)
+    for i in range(0, len(terms), at_once):
+        out += np.bincount(terms[i : i + at_once], None if weight is None else weight[row[i : i + at_once]], n).astype(out.dtype)
+    return out
+
+
+def weighed(start: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A weight for each row (its terms lie from start to the next start): rows that share the least slot of their rarer terms, and most of all their terms, weigh one together."""
+    m = len(start) - 1
+    rare = max(RARE_SHARE * m, 40)
     weight = np.ones(m)
-    order = np.argsort(least, kind="stable")
-    for same in np.split(order, np.flatnonzero(np.diff(least[order])) + 1):
-        if len(same) < 2 or least[same[0]] == np.iinfo(np.int64).max:
-            continue
+    same: dict[int, list[int]] = {}
+    for i in range(m):
+        own = terms[start[i] : start[i + 1]]
+        few = own[counts[own] <= rare]
+        if len(few):
+            same.setdefault(int(few[0]), []).append(i)  # a row's terms are in order
+    for rows in same.values():
         copies: list[tuple[np.ndarray, list[int]]] = []
-        for i in same:
+        for i in rows:
             own = terms[start[i] : start[i + 1]]
             for first, those in copies:
                 both = len(np.intersect1d(first, own, assume_unique=True))
@@ -125,16 +136,16 @@ def partners(labels: np.ndarray, weight: np.ndarray, row: np.ndarray, index: np.
     """Which terms have a partner: rows with both have another share of label 1 than the rows of either have.
 
     Shares differ by a Chernoff bound of `least_z` standard deviations, and of as many nats more as there are pairs of terms.
-    All pairs are counted but those of terms whose rows, whatever they share, cannot reach that bound.
+    All pairs of these rows are counted but those of terms whose rows, whatever they share, cannot reach that bound.
     """
     share = np.clip(hit / seen, 1e-12, 1 - 1e-12)
     nats = least_z**2 / 2 + 2 * np.log(max(len(seen), 1))
     can = np.maximum(-hit * np.log(share), -(seen - hit) * np.log(1 - share)) >= nats
     n, share, mask = int(can.sum()), share[can], can[index]
-    index, row = (np.cumsum(can) - 1)[index[mask]], row[mask]
+    index, row = (np.cumsum(can, dtype=np.int32) - 1)[index[mask]], row[mask]
     # each pair is met once: with a term, those after it in its rows
-    end = np.searchsorted(row, row, side="right")
-    each, ones = weight[row], (weight * labels)[row]
+    end = np.searchsorted(row, np.arange(len(labels)), side="right").astype(np.int32)[row]
+    each, ones = weight.astype(np.float32)[row], (weight * labels).astype(np.float32)[row]
     by_term = np.argsort(index, kind="stable")
     bounds = np.concatenate(([0], np.cumsum(np.bincount(index, minlength=n))))
     found = np.zeros(n, bool)
@@ -156,22 +167,37 @@ def partners(labels: np.ndarray, weight: np.ndarray, row: np.ndarray, index: np.
     return out
 
 
+def paired(labels: np.ndarray, weight: np.ndarray, row: np.ndarray, index: np.ndarray, often: np.ndarray, least: int, least_z: float, most: int = PAIR_ROWS) -> np.ndarray:
+    """Which terms have a partner, told from the first `most` rows and the terms that are often enough in these."""
+    end = int(np.searchsorted(row, most))
+    row, index = row[:end], index[:end]
+    seen = counted(index, len(often), weight, row)
+    some = often & (seen >= least)
+    mask = some[index]
+    row, index = row[mask], (np.cumsum(some, dtype=np.int32) - 1)[index[mask]]
+    out = np.zeros(len(often), bool)
+    out[some] = partners(labels, weight, row, index, seen[some], counted(index, int(some.sum()), weight * labels, row), least, least_z)
+    return out
+
+
 def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = LEAST_ROWS, least_z: float = LEAST_Z) -> Machine:
-    """AdaGrad on the logistic loss, in an order that a fixed seed gives. Each row is its label and its number of terms; the terms follow each other."""
-    keys, inverse, counts = np.unique(terms, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(labels)), sizes)
-    weight = weighed(row, terms, inverse, counts, len(labels))
-    mean = float((labels * weight).sum() / max(weight.sum(), 1e-9))
-    seen, hit = np.bincount(inverse, weight[row], len(keys)), np.bincount(inverse, (weight * labels)[row], len(keys))
+    """AdaGrad on the logistic loss, in an order that a fixed seed gives. Each row is its label and its number of terms; the terms (slots, in order) follow each other."""
     m = len(labels)
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    counts = counted(terms, 1 << TERM_BITS)
+    weight = weighed(start, terms, counts)
+    mean = float((labels * weight).sum() / max(weight.sum(), 1e-9))
+    # rare terms are of no more use: only the others get a number
+    often = counts >= least
+    keys, number = np.flatnonzero(often), (np.cumsum(often) - 1).astype(np.int32)
+    mask = often[terms]
+    index, row = number[terms[mask]], np.repeat(np.arange(m, dtype=np.int32), sizes)[mask]
+    seen, hit = counted(index, len(keys), weight, row), counted(index, len(keys), weight * labels, row)
     often = seen >= least
-    mask = often[inverse]
-    index = (np.cumsum(often) - 1)[inverse[mask]]
     kept = often & (np.abs(hit - seen * mean) >= least_z * np.sqrt(seen * mean * (1 - mean)) + 1e-9)
-    kept[often] |= partners(labels, weight, row[mask], index, seen[often], hit[often], least, least_z)
-    number = np.cumsum(kept) - 1
-    mask = kept[inverse]
-    index, row = number[inverse[mask]], row[mask]
+    kept |= paired(labels, weight, row, index, often, least, least_z)
+    mask = kept[index]
+    index, row = (np.cumsum(kept, dtype=np.int32) - 1)[index[mask]], row[mask]
     n = int(kept.sum())
     start = np.searchsorted(row, np.arange(m + 1))
     random = np.random.default_rng(7)
@@ -203,13 +229,12 @@ def fit(labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, least: int = L
     return Machine(keys[kept], bias, w, v, m > 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS) -> Machine:
-    """Fits on at most `most` labelled rows. Only their ids are sent out; their terms are gathered in one task, which is bounded by `most`.
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS, most_terms: int = TRAIN_TERMS) -> Machine:
+    """Fits on at most `most` labelled rows, those whose hashed id is lowest, and on fewer once these have `most_terms` terms. Only their ids are sent out; their terms are gathered in one task.
 
     Null labels and null ids are left out; an id that labels hold twice counts with its highest label; without
     labelled rows all scores are 0.5. Null texts have no terms.
     """
-    arrow_session(docs.sparkSession)
     chosen = (
         labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label")).dropna()
         .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -217,23 +242,27 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def terms():
-        memory: dict[bytes, tuple[int, ...]] = {}
+        memory = Memory()
 
         def each(batch: pa.RecordBatch):
             yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "terms": [features_of(raw, memory).tobytes() for raw in raw_texts(batch.column("text"))]}
 
         return each
 
-    fitted = map_batches(rows, terms, f"doc_id {id_type(docs, doc_id)}, label int, terms binary").repartition(1).sortWithinPartitions("doc_id", "label", "terms")
+    fitted = map_batches(rows, terms, f"doc_id {id_type(docs, doc_id)}, label int, terms binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "terms")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, sizes, found = [], [], []
+        y, sizes, found, total = [], [], [], 0
         for batch in batches:
-            y += batch.column("label").to_pylist()
-            for x in batch.column("terms").to_pylist():
-                found.append(np.frombuffer(x, np.int64))
-                sizes.append(len(found[-1]))
-        machine = fit(np.array(y, float), np.array(sizes, np.int64), np.concatenate(found) if found else np.zeros(0, np.int64))
+            for label_, x in zip(batch.column("label").to_pylist(), batch.column("terms"), strict=True):
+                if (total := total + len(x.as_buffer()) // 4) <= most_terms:
+                    found.append(x.as_py())
+                    sizes.append(len(found[-1]) // 4)
+                    y.append(label_)
+        terms, found = np.frombuffer(b"".join(found), np.int32), []
+        machine = fit(np.array(y, float), np.array(sizes, np.int64), terms)
+        del terms
+        tidy()
         # terms that have no say are not sent
         said = (np.abs(machine.weights) > 1e-3) | (np.abs(machine.factors).max(1, initial=0) > 0.05)
         yield pa.RecordBatch.from_arrays(
@@ -249,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def score(docs: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row of docs. Null and empty texts have the score of no terms. No shuffle."""
-    shared = arrow_session(docs.sparkSession).sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
         of = shared.value.scorer()
@@ -262,11 +291,10 @@ def drop_toxic(docs: DataFrame, machine: Machine, *, text: str = "text", limit:
     """The rows of docs, all columns as they are, that score below `limit`; all rows where the machine had no labelled ones."""
     if not machine.labelled:
         return docs
-    shared = arrow_session(docs.sparkSession).sparkContext.broadcast(machine)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         of = shared.value.scorer()
-        for batch in batches:
-            yield batch.filter(pa.array([of(raw) < limit for raw in raw_texts(batch.column(text))], pa.bool_()))
+        return lambda batch: [of(raw) < limit for raw in raw_texts(batch.column(text))]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, make)

@@ -12,10 +12,10 @@ from .common import written
 
 #: Bits and hash functions for each key of a filter.
 BITS, HASHES = 12, 4
-#: Bits of all filters together; a cascade that needs more is not sent, and the listed keys are joined.
+#: Bits of the filters of one cascade, about; where the listed keys need more, they are dealt by hash to several cascades, and the rows go through one after another.
 MOST_BITS = 1 << 24
-#: Levels beyond which the remaining keys would have to repeat 64-bit hashes.
-LEVELS = 40
+#: Bits of all levels of a cascade against those of its first.
+LEVELS_SHARE = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,25 +67,19 @@ def places(key: Column, level: int, bits: int) -> list[Column]:
 class Cascade:
     """Filters in turn over the listed keys and over the keys that the filter before lets through wrongly."""
 
-    def __init__(self, keys: DataFrame, most_bits: int = MOST_BITS) -> None:
-        """keys: key and listed (boolean), each key of the universe once."""
+    def __init__(self, keys: DataFrame) -> None:
+        """keys: key and listed (boolean), each key of the universe once. Levels end when no key is told wrongly, which distinct 64-bit hashes make sure of."""
         self.filters: list[tuple[str, int]] = []
-        self.listed: DataFrame | None = None
         keys = written(keys.select("key", "listed"), "universe")
-        left, used = keys.where("listed"), 0
-        for level in range(LEVELS):
-            if not (n := left.count()):
-                return
+        left = keys.where("listed")
+        while n := left.count():
+            level = len(self.filters)
             bits = -(-max(n * BITS, 256) // 64) * 64
-            used += bits
-            if used > most_bits:
-                break
             self.filters.append((self._build(left, level, bits), bits))
             # of the other kind, those that pass all filters so far
             left = keys.where(F.col("listed") if level % 2 else ~F.col("listed"))
             for i in range(len(self.filters)):
                 left = left.where(self._holds(F.col("key"), i))
-        self.filters, self.listed = [], keys.where("listed").select("key")
 
     def _build(self, keys: DataFrame, level: int, bits: int) -> str:
         """The filter's words of 64 bits, comma-joined; no more rows reach the driver than it has words."""
@@ -117,7 +111,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], is_listed, *, page_id:
 
     is_listed: a function of a key's column, true for listed keys; or a DataFrame whose first column has them. Keys are hosts and the
     domains above them; a listed key blocks all hosts below it. The universe is all keys of pages. The cascade is built over its distinct keys and
-    then judges each row by expressions alone. The rules, which are few, come first. Where the filters would take more than `most_bits`, distinct hosts are joined instead.
+    then judges each row by expressions alone. The rules, which are few, come first. Where the filters would take more than about `most_bits`, the keys are dealt by hash to
+    as many cascades as that takes; the rows pass these in turn and are written between them, so that no plan holds more than one.
 
     Null urls and urls without :// have empty host and path, fit no rule and are allowed unless the empty key is listed. An empty table gives no rows.
     """
@@ -128,12 +123,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], is_listed, *, page_id:
         keys = keys.join(listed.withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
     else:
         keys = keys.select("key", F.coalesce(is_listed(F.col("key")), F.lit(False)).alias("listed"))
-    cascade = Cascade(keys, most_bits)
-    if cascade.listed is None:
-        rows = rows.withColumn("listed", F.exists(domains(F.col("host")), cascade.holds))
-    else:
-        hosts = rows.select("host").distinct().select("host", F.explode(domains(F.col("host"))).alias("key"))
-        hit = hosts.join(cascade.listed, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
-        rows = rows.join(hit, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    keys = written(keys, "keys")
+    parts = -(-keys.where("listed").count() * BITS * LEVELS_SHARE // most_bits) or 1
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    rows = rows.withColumn("listed", F.lit(False))
+    for part in range(parts):
+        rows = written(rows, "judged") if part else rows
+        holds = Cascade(keys if parts == 1 else keys.where(part_of(F.col("key")) == part)).holds
+        found = F.exists(domains(F.col("host")), holds if parts == 1 else lambda key: (part_of(key) == part) & holds(key))  # noqa: B023
+        rows = rows.withColumn("listed", F.col("listed") | found)
     verdict = F.coalesce(rule_of(F.col("host"), F.col("path"), rules, lambda r: r.verdict), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules, lambda r: r.name).alias("rule"), "listed", verdict.alias("verdict"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import chat, decontaminate, flac, jaccard, packing, queries, secrets, tokens, toxicity, urls
+from dossier.llm import chat, common, decontaminate, flac, jaccard, packing, queries, secrets, tokens, toxicity, urls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -78,7 +78,7 @@ def test_toxicity_learns_pairs():
         has = [i % 2, (i // 2) % 2]
         rows.append(b" ".join([b"insult"] * has[0] + [b"group"] * has[1] + [b"w%d" % random.randrange(9999) for _ in range(5)]))
         labels.append(float(all(has)))
-    found = [toxicity.features_of(r, {}) for r in rows]
+    found = [toxicity.features_of(r, common.Memory()) for r in rows]
     machine = toxicity.fit(np.array(labels), np.array([len(f) for f in found]), np.concatenate(found), least_z=0.0)
     score = machine.scorer()
     assert score(b"insult group") > 0.5 > max(score(b"insult"), score(b"group"), score(b""))
@@ -92,17 +92,43 @@ def test_toxicity_learns_pairs_as_shipped():
         has = [i % 2, (i // 2) % 2]
         rows.append(b" ".join([b"insult"] * has[0] + [b"group"] * has[1] + [b"w%d" % random.randrange(9999) for _ in range(5)]))
         labels.append(float(has[0] != has[1]))
-    found = [toxicity.features_of(r, {}) for r in rows]
+    found = [toxicity.features_of(r, common.Memory()) for r in rows]
     score = toxicity.fit(np.array(labels), np.array([len(f) for f in found]), np.concatenate(found)).scorer()
     assert min(score(b"insult"), score(b"group")) > 0.5 > max(score(b"insult group"), score(b""))
 
 
 def test_toxicity_weighs_only_copies_down():
-    """Rows 0 and 1 are copies; row 2 shares their least hash and nothing else."""
-    found = [np.array(x) for x in ([1, 10, 11, 12], [1, 10, 11, 13], [1, 20, 21, 22], [30, 31])]
-    terms, sizes = np.concatenate(found), [len(f) for f in found]
-    _, inverse, counts = np.unique(terms, return_inverse=True, return_counts=True)
-    assert toxicity.weighed(np.repeat(np.arange(4), sizes), terms, inverse, counts, 4).tolist() == [0.5, 0.5, 1.0, 1.0]
+    """Rows 0 and 1 are copies; row 2 shares their least slot and nothing else."""
+    found = [[1, 10, 11, 12], [1, 10, 11, 13], [1, 20, 21, 22], [30, 31]]
+    terms, start = np.array(sum(found, []), np.int32), np.cumsum([0, *map(len, found)])
+    assert toxicity.weighed(start, terms, np.bincount(terms)).tolist() == [0.5, 0.5, 1.0, 1.0]
+
+
+def test_toxicity_pairs_through_train(spark):
+    """Rows are toxic where exactly one of two words stands, so that each word alone has the mean share; all settings as shipped. Scores equal the plain formula."""
+    random.seed(8)
+    words_ = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(1200):
+        has = (i % 2, i // 2 % 2)
+        text = [w for w, h in zip(("insult", "group"), has, strict=True) if h] + random.choices(words_, k=20)
+        random.shuffle(text)
+        rows.append((i, " ".join(text), int(has[0] != has[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    machine = toxicity.train(df, df.where("doc_id < 800"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, machine).collect()}
+    fresh = [(i, y) for i, _, y in rows if i >= 800]
+    assert np.mean([(got[i] >= 0.5) == y for i, y in fresh]) > 0.97
+    at = {int(k): i for i, k in enumerate(machine.keys)}
+    for i, text, _ in rows[:100]:
+        on = [at[k] for k in toxicity.features_of(text.encode(), common.Memory()).tolist() if k in at]
+        z = machine.bias + sum(machine.weights[j] for j in on) + sum(float(machine.factors[j] @ machine.factors[k]) for j in on for k in on if j < k)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_bounds_its_terms(spark):
+    df = spark.createDataFrame([(i, f"a b c{i % 2} d e f", i % 2) for i in range(60)], "doc_id long, text string, toxic int")
+    assert toxicity.train(df, df, most_terms=100).labelled and not toxicity.train(df, df, most_terms=1).labelled
 
 
 def test_toxicity_without_labels_keeps_all(spark, docs):
@@ -130,7 +156,7 @@ def test_toxicity_held_out(spark):
 # 4
 
 
-@pytest.mark.parametrize("how", [{}, {"linear": 3}, {"linear": 12}, {"orders": (4,)}, {"orders": (0,)}])
+@pytest.mark.parametrize("how", [{}, {"linear": 3}, {"linear": 8}, {"linear": 12}, {"orders": (4,)}, {"orders": (0,)}])
 def test_flac_round_trip(how):
     random.seed(1)
     payloads = [flac.padded(x) for x in (b"", b"a", os.urandom(1000), bytes(random.choices([0, 255], k=3000)), b"ab" * 2000, bytes(range(256)) * 300, b"\x80" * 400)]
@@ -139,6 +165,92 @@ def test_flac_round_trip(how):
     assert flac.encode([payloads[4]], **how) == [files[4]]  # whatever is coded beside it
 
 
+def plain_flac(file):
+    """Samples of a stream, read bit by bit; an independent reading of the format, without its checksums."""
+    assert file[:4] == b"fLaC"
+    at, last, block, total = 4, False, 0, 0
+    while not last:
+        last, kind, size = file[at] >> 7, file[at] & 127, int.from_bytes(file[at + 1 : at + 4], "big")
+        if kind == 0:
+            block, total = int.from_bytes(file[at + 4 : at + 6], "big"), int.from_bytes(file[at + 14 : at + 22], "big") & (1 << 36) - 1
+        at += 4 + size
+    bits, place, out, kinds = "".join(f"{x:08b}" for x in file), 8 * at, [], set()
+
+    def take(n):
+        nonlocal place
+        place += n
+        return int(bits[place - n : place] or "0", 2)
+
+    def signed(n):
+        x = take(n)
+        return x - (1 << n) if n and x >> n - 1 else x
+
+    while len(out) < total:
+        assert take(14) == 0b11111111111110
+        take(18)
+        number = take(8)
+        while number & 64 and number & 128:  # as UTF-8
+            take(8)
+            number <<= 1
+            number &= 255
+        take(8)
+        kind = take(8) >> 1
+        kinds.add("linear" if kind >= 32 else kind)
+        x = []
+        if kind == 1:
+            x = [signed(8) for _ in range(block)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [signed(8) for _ in range(order)]
+            if kind >= 32:
+                precision = take(4) + 1
+                shift = take(5)
+                factors = [signed(precision) for _ in range(order)]
+            else:
+                shift, factors = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order]
+            wide, parts = 4 + take(2), 1 << take(4)
+            for part in range(parts):
+                k = take(wide)
+                for _ in range(block // parts - (order if part == 0 else 0)):
+                    q = 0
+                    while not take(1):
+                        q += 1
+                    u = q << k | take(k)
+                    x.append((u >> 1 ^ -(u & 1)) + (sum(c * v for c, v in zip(factors, reversed(x[-order:] if order else []), strict=True)) >> shift))
+        out += x
+        place = (place + 7) // 8 * 8 + 16
+    return bytes(v + 128 for v in out), kinds
+
+
+def test_flac_plain_reading():
+    waves = bytes(int(128 + 100 * np.sin(i / 7) * np.sin(i / 90)) for i in range(192 * 40))
+    payloads = [flac.padded(x) for x in (b"", b"words and more words, 12 " * 300, waves, bytes(random.choices(range(256), k=700)))]
+    kinds = set()
+    for payload, file in zip(payloads, flac.encode(payloads, linear=flac.LINEAR), strict=True):
+        got, own = plain_flac(file)
+        assert got == payload
+        kinds |= own
+    assert "linear" in kinds and len(kinds) > 2
+
+
+def test_flac_parts_of_long_texts(monkeypatch):
+    payload = flac.padded(b"some words and 123 numbers, " * 3000)
+    whole = flac.encode([payload, payload[:1920]])
+    monkeypatch.setattr(flac, "AT_ONCE", 192 * 7)
+    assert flac.encode([payload, payload[:1920]]) == whole and flac.decode(whole) == [payload, payload[:1920]]
+
+
+def test_flac_residuals_like_headers():
+    """Verbatim samples that hold the header of the next frame."""
+    header = b"\xff\xf8\x14\x02\x01"
+    fake = header + bytes(flac.crc8(np.frombuffer(header, np.uint8), np.array([0]), np.array([5])))
+    random.seed(9)
+    noise = bytearray(random.choices(range(256), k=192 * 3))
+    noise[50:56] = bytes(c ^ 128 for c in fake)
+    file = flac.encode([bytes(noise)])[0]
+    assert file.count(fake[:5]) == 2 and flac.decode([file]) == [bytes(noise)]
+
+
 def test_flac_finds_faults():
     file = bytearray(flac.encode([flac.padded(b"some text to keep " * 50)])[0])
     for at in (len(file) - 1, len(file) - 40, 30, 20):
@@ -162,6 +274,8 @@ def test_flac_column(spark, docs):
         payload = flac.decode([bytes(r.media)])[0]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(r.media))
         assert payload.rstrip(b" ")[: r.n_bytes] == payload[: r.n_bytes].rstrip(b" ") and r.payload_bytes % 192 == 0 and r.payload_bytes >= max(r.n_bytes, 192)
+        assert all(hashlib.sha256(bytes(c ^ 128 for c in payload[x.sample_offset : x.sample_offset + x.n_samples])).hexdigest() == x.pcm_sha256 and bytes(r.media)[x.byte_offset :][:2] == b"\xff\xf8" for x in r.blocks)
+        assert sum(x.n_samples for x in r.blocks) == len(payload)
     blocks = flac.pcm_blocks(got.where("doc_id = 6"), block=1920).orderBy("block_no").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == bytes(c ^ 128 for c in flac.padded(b"x" * 40_000)) and [b.sample_offset for b in blocks] == list(range(0, 40_128, 1920))
     media = bytes(got.where("doc_id = 6").first().media)
@@ -200,8 +314,51 @@ def test_secrets_grammar():
     others = ["".join(random.choices("ghijkLMNOP+/", k=32)) for _ in range(100)]
     assert sum(automaton.score(x) >= automaton.low for x in others) == 0
     assert secrets.Automaton([]).states[0].passed == 0
-    text = f"key {fresh[0]} and token = abcdefghijklmnop, deadbeefdeadbeef"
-    assert secrets.without_secrets(text, {"assign": automaton}, "*") in ("key * and *, *", f"key {fresh[0]} and *, *", "key sk* and *, *")
+    key = next(x for x in fresh if automaton.score(x) >= automaton.low)
+    text = f"key {key} and token = abcdefghijklmnop, deadbeefdeadbeef"
+    assert secrets.without_secrets(text, {"assign": automaton}, "*") == "key * and *, *"
+
+
+def walked(automaton, value):
+    """The likelihood by the definition: counts of the states, one more passing shared among all outcomes."""
+    at, total, share = 0, 0.0, 1 / automaton.outcomes
+    for c in value:
+        kind, state = secrets.CLASSES.get(c, c), automaton.states[at]
+        total += np.log((state.taken.get(kind, 0) + share) / (state.passed + 1) / secrets.SIZE.get(kind, 1))
+        at = state.to.get(kind, automaton.leads.get(kind, at))
+    return (total + np.log((automaton.states[at].ended + share) / (automaton.states[at].passed + 1))) / len(value)
+
+
+def test_secrets_learned_spans(spark):
+    """Credentials that no fixed pattern matches, among other things of the same alphabet: found by the automata that those beside keywords taught."""
+    random.seed(10)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda: "sk_live_" + "".join(random.choices(letters + letters.upper() + "0123456789", k=24))
+    other = lambda: random.choice(["".join(random.choices(letters, k=random.randint(12, 30))), "path/to/" + "".join(random.choices(letters, k=9)), "some_variable_name" + random.choice("abc"), "www.example.org/page", "2024-01-01-12-00-00", "snake_live_" + "".join(random.choices(letters, k=10))])
+    rows, truth = [], {}
+    for i in range(300):
+        rows.append((i, f"set token = {key()} and go on"))
+    for i in range(300, 800):
+        value = key() if i % 2 else other()
+        rows.append((i, f"we saw {value} there"))
+        truth[i] = value if i % 2 else None
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    automaton = secrets.infer(secrets.scan(df))["assign"]
+    hits = {i for i in truth if got[i].n_added}
+    right = {i for i in hits if truth[i] and got[i].spans.split(",") == [f"learned-assign:7:{7 + len(truth[i])}"]}
+    assert len(right) / len(hits) >= 0.98 and len(right) / sum(map(bool, truth.values())) >= 0.95
+    for i, text in rows:
+        for x in got[i].scores:
+            assert abs(x.score - walked(automaton, text[x.start : x.end])) < 1e-9 and abs(x.threshold - automaton.low) < 1e-12
+        assert got[i].n_fit == sum(x.score >= x.threshold for x in got[i].scores) and got[i].n_candidates == len(secrets.CANDIDATE.findall(text))
+    assert sum(got[i].n_fit for i in range(300)) > 280  # those within the patterns' matches are scored too
+
+
+def test_secrets_redacted_edges(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "token: abcdefghijklmnop", 5)], "doc_id long, text string, spans int")
+    assert [tuple(r) for r in secrets.redacted(df, {}).orderBy("doc_id").collect()] == [(1, None, 5), (2, "", 5), (3, "[SECRET]", 5)]
+    assert secrets.redacted(df.limit(0), {}).count() == 0
 
 
 def test_secrets_candidates_go_beyond_patterns():
@@ -271,6 +428,25 @@ def test_jaccard(spark, size, num):
     assert got == brute_components(rows, size, num, 100)
 
 
+def test_jaccard_blocks_and_joins(spark, monkeypatch):
+    """Many blocks in step 3, one centre, and joins in place of all broadcasts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SENT_IDS", 0)
+    monkeypatch.setattr(jaccard, "CENTRES", 1)
+    rows = near_copies(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, size=1, num=70, den=100).collect()}
+    assert got == brute_components(rows, 1, 70, 100)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    random.seed(11)
+    for _ in range(200):
+        a, b = (np.array(sorted({random.randrange(1 << 63) if random.random() < 0.2 else k for k in range(random.randint(1, 90))}), np.uint64) for _ in range(2))
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(jaccard.bitmap(a).tolist(), jaccard.bitmap(b).tolist(), strict=True)) <= apart
+
+
 def test_jaccard_ids_of_several_texts(spark):
     """An id holds its texts' near-copies together: as brute force over the rows, whose components then share ids."""
     rows = [(i % 110, t) for i, t in near_copies()] + [(500, "only here and nowhere else"), (500, None), (1, "")]
@@ -418,10 +594,53 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(c.limit(0), r.limit(0), queries.SCHEMAS).count() == 0
 
 
+def test_nested_schemas(spark):
+    schema = {"t": {"a.b": ("STRING", True), "o": ({"k": ("INTEGER", True), "m": (["x", "y"], False)}, True), "l": ("ARRAY|NULL", False)}}
+    cases = {
+        '{"a.b":"q","o":{"k":1,"m":"x"},"l":null}': [], '{"a.b":1,"o":{"k":1.5,"m":"z","w":2},"l":5}': ["type:a.b", "type:l", "type:o.k", "type:o.m", "unexpected:o.w"], '{"o":3}': ["missing:a.b", "type:o"],
+        "{}": ["missing:a.b", "missing:o"], '{"a.b":"","o":{},"l":[]}': ["missing:o.k"], "[1]": ["not_an_object"], "{": ["malformed"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    assert {r.j: r.e for r in df.select("j", chat.argument_errors(F.lit("t"), F.col("j"), schema).alias("e")).collect()} == cases
+
+
+def test_equal_numbers_are_written_alike(spark):
+    cases = {
+        '{"b":1e2,"a":100.0,"c":"1.0 \\"2.0, 1e5\\\\","d":[1.50,-2.0,1.5e-3,1e30,0.0,[1E0]]}': '{"a":100,"b":100,"c":"1.0 \\"2.0, 1e5\\\\","d":[1.5,-2,0.0015,1000000000000000000000000000000,0,[1]]}',
+        "1e300": "1.0E300", '"x,1.0"': '"x,1.0"', '"a\\n' + "long " * 9000 + '\\"1.0"': '"a\\n' + "long " * 9000 + '\\"1.0"',
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    got = {r.j: r.c for r in df.select("j", chat.canonical(F.to_json(F.struct(F.try_parse_json("j").alias("v")))).alias("c")).collect()}
+    assert got == {k: '{"v":' + v + "}" for k, v in cases.items()}
+
+
+# shared
+
+
+def test_memory_and_parts():
+    import pyarrow as pa
+
+    memory = common.Memory(1000)
+    for i in range(10):
+        memory.note(i, i, 100)
+    memory.room()
+    assert not memory and not memory.used
+    batch = pa.RecordBatch.from_pydict({"x": ["a" * (1 << 20)] * 9 + ["b"] * 2000})
+    parts = list(common.sliced(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.num_rows <= 512 and (p.nbytes <= common.BATCH_BYTES or p.num_rows == 1) for p in parts)
+
+
+def test_scratch_deletes(spark, tmp_path):
+    with common.scratch(spark):
+        gone = common.written(spark.range(3), "gone").inputFiles()[0]
+        kept = common.written(spark.range(3), "kept", keep=True)
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://"))
+
+
 # 10
 
 
-@pytest.mark.parametrize("bits", [1 << 24, 64])
+@pytest.mark.parametrize("bits", [1 << 24, 3000])
 def test_url_cascade(spark, bits):
     random.seed(7)
     hosts = [f"h{i}.d{i % 40}.example.com" for i in range(3000)]

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dossier.llm import common, jaccard, queries, secrets, toxicity
@@ -33,11 +34,26 @@ def test_stages(spark):
     items = [(r.item_id, r.text) for r in queries.table(spark, SMALL, "benchmark").collect()]
     assert set(kept[2]) == {r[0] for r in brute_contamination(list(kept[1].items()), items) if not r[5]}
     assert set(kept[3]) == set(kept[2]) and not any(secrets.base_spans(t or "") for t in kept[3].values())
-    clean = {i for i, t in kept[2].items() if not secrets.base_spans(t or "") and not secrets.candidates(t or "", [])}
+    clean = {i for i, t in kept[2].items() if not secrets.base_spans(t or "") and not secrets.candidates(t or "")}
     assert all(kept[3][i] == kept[2][i] for i in clean)
     assert {r.doc_id for r in docs.collect()} == set(kept[3])
 
 
+def test_edges(spark, tmp_path):
+    """An empty table, then nulls, a text of some MB and columns whose names clash with the operators' own."""
+    for t in ("benchmark", "labels"):
+        queries.table(spark, SMALL, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    some = queries.table(spark, SMALL, "documents")
+    for name, docs, ids in (("none", some.limit(0), set()), ("odd", some.limit(20).unionByName(spark.createDataFrame([(9001, None, None, None, None), (9002, "", "", "", 0), (9003, "word " * 800_000, "en", "x", 4_000_000)], some.schema)), {9001, 9002, 9003})):
+        docs = docs.withColumns({c: F.lit("own") for c in ("score", "n", "own", "spans", "length", "component_id")})
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = common.written(stage(spark, docs, str(tmp_path)), name)
+            assert k == 4 or out.columns == docs.columns
+            docs = out
+        found = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+        assert ids <= found and (name == "odd" or not found)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
