@@ -19,6 +19,8 @@ CAPACITY, END = 2048, 1
 SLACK = 4
 #: Ranks are counted apart in shares of the pieces: at least and at most so many, and between these one for SHARE_PIECES.
 SHARES, SHARE_PIECES = (64, 4096), 20_000
+#: Bytes of the pieces that a worker remembers for best fit decreasing, which keeps nothing else but a window.
+BEST_FIT_BYTES = 96 << 20
 #: Best fit decreasing looks at so many tokens at once.
 WINDOW_TOKENS = 4_000_000
 
@@ -178,7 +180,7 @@ def best_fit_pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: s
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 
     def make():
-        words = remembered(WordIds, path)
+        words = remembered(WordIds, path, BEST_FIT_BYTES)
         held: list[tuple[object, int, bytes]] = []
         size = 0
 

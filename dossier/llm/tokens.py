@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import Memory, held, id_type, map_batches, texts_of, written
 
+#: Bytes that the pieces a worker remembers may take, about.
+PIECES_BYTES = 32 << 20
 #: A text of more code points is cut into chunks of so many, that overlap by OVERLAP.
 HUGE, CHUNK, OVERLAP, WIDER = 32_768, 16_384, 512, 8
 #: Blanks that split a text; one that holds any other white space is encoded whole.
@@ -64,9 +66,9 @@ class Pieces:
     pattern: re.Pattern[str]
     folded = False
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory_bytes: int = PIECES_BYTES) -> None:
         self.tokenizer = tokenizer(path)
-        self.memory = Memory()
+        self.memory = Memory(memory_bytes)
 
     def split(self, text: str) -> list[str]:
         try:
@@ -100,8 +102,8 @@ class WordIds(Pieces):
     pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
     folded = True
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, memory_bytes: int = PIECES_BYTES) -> None:
+        super().__init__(path, memory_bytes)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -139,9 +141,9 @@ class PieceCounts(Pieces):
         return self.looked_up(texts, sum)
 
 
-def remembered(kind: type, path: str) -> Pieces:
+def remembered(kind: type, path: str, memory_bytes: int = PIECES_BYTES) -> Pieces:
     """One for all tasks of a worker; its memory of pieces is bounded in bytes."""
-    return held((kind, path), lambda: kind(path))
+    return held((kind, path, memory_bytes), lambda: kind(path, memory_bytes))
 
 
 def seam(text: str, cut: int, overlap: int, ends: dict[int, int], base: int) -> int | None:
