@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes that a function of map_batches gets at once; a row of more bytes comes alone.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes that one memory of a Python worker may take, about.
-MEMORY_BYTES = 24 << 20
+MEMORY_BYTES = 16 << 20
 TEST_CHECKPOINTS = "/tmp/dossier-checkpoints"
 #: What each open scratch() has to delete.
 _open: list[list[str]] = []
@@ -67,7 +67,7 @@ class Memory(dict):
 
     def note(self, key, value, size: int) -> None:
         """size: of key and value, without what Python and the dictionary take for any pair."""
-        self.used += size + 250
+        self.used += size + 160
         self[key] = value
 
 
@@ -124,6 +124,13 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session hands Arrow batches of the above size to Python, so that neither side holds more at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict[str, list]]]], schema: str, tail: bool = False) -> DataFrame:
     """mapInArrow whose function is made once a task: it takes a part of a batch and yields columns by name; with tail, None comes after the last one."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -141,7 +148,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         del each
         tidy()
 
-    return df.mapInArrow(run, kind)
+    return bounded(df).mapInArrow(run, kind)
 
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -154,7 +161,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[
         del each
         tidy()
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(run, df.schema)
 
 
 def _as(values, kind: pa.DataType) -> pa.Array:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_batches, sliced, texts_of, written
+from .common import bounded, id_type, map_batches, sliced, texts_of, written
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns, and the lengths from which a match counts.
@@ -268,7 +268,7 @@ def redacted(docs: DataFrame, automata: dict[str, Automaton], *, text: str = "te
             texts = [x if x is None else without_secrets(x, known, mark) for x in batch.column(text).to_pylist()]
             yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def without_secrets(text: str, automata: dict[str, Automaton], mark: str) -> str:

@@ -35,11 +35,12 @@ STEMS = (4, 5)
 NOTHING: tuple = ()
 
 
-def terms_of(word: bytes) -> np.ndarray:
+def terms_of(word: bytes) -> list[int]:
     """Slots of a word's terms: itself, its stems, and last itself as a word that a text repeats."""
     letters = word.decode().lower()
-    keys = [b"w" + letters.encode(), *(b"s%d" % n + letters[:n].encode() for n in STEMS if len(letters) >= n), b"r" + letters.encode()]
-    return np.array([xxhash.xxh64_intdigest(k) >> (64 - TERM_BITS) for k in keys], np.int32)
+    full = letters.encode()
+    keys = [b"w" + full, *(b"s%d" % n + (letters[:n].encode()) for n in STEMS if len(letters) >= n), b"r" + full]
+    return [xxhash.xxh64_intdigest(k) >> (64 - TERM_BITS) for k in keys]
 
 
 def features_of(raw: bytes, memory: Memory) -> np.ndarray:
@@ -48,7 +49,7 @@ def features_of(raw: bytes, memory: Memory) -> np.ndarray:
     memory.room()
     for word, n in Counter(words_of(raw)).items():
         if (terms := memory.get(word)) is None:
-            terms = terms_of(word).tobytes()
+            terms = np.array(terms_of(word), np.int32).tobytes()
             memory.note(word, terms, len(word) + len(terms))
         out.append(terms if n > 1 else terms[:-4])
     return np.unique(np.frombuffer(b"".join(out), np.int32))
@@ -74,7 +75,7 @@ class Machine:
             rows: set[int] = set()
             for word, n in Counter(words_of(raw)).items():
                 if (own := memory.get(word)) is None:
-                    *single, repeated = map(at.get, terms_of(word).tolist())
+                    *single, repeated = map(at.get, terms_of(word))
                     own = (tuple(i for i in single if i is not None), repeated)
                     memory.note(word, own := NOTHING if own == ((), None) else own, len(word) + 40 * len(own))
                 if own is not NOTHING:
