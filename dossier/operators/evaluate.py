@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import counted_below
+
 
 def compare_annotations(a: DataFrame, b: DataFrame, fields: Sequence[str], key: str = "doc_id", common_only: bool = False) -> DataFrame:
     """C14. A row for each field in which two annotators differ, arrays taken as sets; without common_only also missing_a and missing_b."""
@@ -86,15 +88,7 @@ def avg_rank(value: str, partition: Sequence[str]) -> Column:
 def ranks(df: DataFrame, value: str, keys: Sequence[str], out: str, buckets: int = 1024) -> DataFrame:
     """E6 for any number of rows of a key: equal values are counted, the counts added up within `buckets` equal ranges of the key's values,
     and the ranges' totals over at most `buckets` rows; so no key has to be sorted in one task."""
-    ends = df.groupBy(*keys).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    counts = counts.join(ends, list(keys)) if keys else counts.crossJoin(ends)
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    counts = counts.withColumn("bucket", place)
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
-    w = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.join(totals, [*keys, "bucket"]).withColumn(out, F.col("start") + F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
+    ranked = counted_below(df, value, keys, buckets).withColumn(out, F.col("below") + (F.col("c") + 1) / 2)
     return df.join(ranked.select(*keys, value, out), [*keys, value])
 
 
