@@ -35,8 +35,8 @@ def job_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z0-9+#.-]+|[\x{4e00}-\x{9fa5}]{2,}"), F.lit(0)))
 
 
-def vector_tokens(c: Column, aliases: Mapping[str, str], most: int = 1000) -> Column:
-    """H2. ASCII words and pairs of Han characters, then the roots of those that have one; the first `most`."""
+def vector_tokens(c: Column, aliases: Mapping[str, str], most: int | None = None) -> Column:
+    """H2. ASCII words and pairs of Han characters, each followed by its root where it has one; all of them, or the first `most`."""
     low = F.lower(c)
     words = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9+#.]*"), F.lit(0))
     han = F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fa5}]{2,}"), F.lit(0))
@@ -44,8 +44,14 @@ def vector_tokens(c: Column, aliases: Mapping[str, str], most: int = 1000) -> Co
     tokens = F.concat(words, pairs)
     if aliases:
         roots = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
-        tokens = F.concat(tokens, F.filter(F.transform(tokens, lambda t: F.try_element_at(roots, t)), lambda r: r.isNotNull()))
-    return F.slice(tokens, 1, most)
+        tokens = F.flatten(F.transform(tokens, lambda t: F.array_compact(F.array(t, F.nullif(F.try_element_at(roots, t), t)))))
+    return tokens if most is None else F.slice(tokens, 1, most)
+
+
+def absent_roots(c: Column, aliases: Mapping[str, str]) -> Column:
+    """H20. Roots of which a text holds another name, but not the root itself."""
+    low = F.lower(c)
+    return F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(a)) & ~F.contains(low, F.lit(r)), F.lit(r)) for a, r in aliases.items())))) if aliases else F.array().cast("array<string>")
 
 
 def contains_kw(text: Column, kw: str) -> Column:

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from .text import redact
 
-MOST_CHARS = 30_000
 
-
-def visible_text(html: Column) -> Column:
-    """H7. Text without scripts, styles and tags; blanks squeezed, personal data masked."""
+def visible_text(html: Column, most: int | None = None) -> Column:
+    """H7. Text without scripts, styles and tags; blanks squeezed, personal data masked; all of it, or the first `most` characters."""
     text = F.coalesce(html, F.lit(""))
     for pattern, by in ((r"(?is)<(script|style|noscript|svg|template)\b.*?</\1\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]*>", " "), (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&amp;", "&"), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, by)
-    return F.substring(redact(F.trim(text))["text"], 1, MOST_CHARS)
+    whole = redact(F.trim(text))["text"]
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def page_title(html: Column) -> Column:

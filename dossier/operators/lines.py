@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CORE_SECTIONS, EXPERIENCE_SECTIONS, SECTION_ALIASES, RuleSet
-from ..functions.text import canon_line, line_class, norm_line
+from ..functions.text import canon_line, line_class, norm_line, redact, residual_pii
 
 METRIC, DATE = r"[0-9]+(\.[0-9]+)? ?(%|\+|k\b)|[0-9]{3,}", r"\b(19|20)[0-9]{2}\b"
 CONTACT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.|\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
@@ -25,6 +25,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.length(F.trim("line")) > 0).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
 
 
+def redaction_report(docs: DataFrame) -> DataFrame:
+    """D18. Masked personal data by kind, in all and in how many documents; needs_review: documents that still show some, empty: those without text."""
+    masked = docs.select(redact(F.col("text")).alias("r"))
+    flags = {"needs_review": F.size(residual_pii(F.col("r.text"))) > 0, "empty": F.trim("r.text") == ""}
+    kinds = F.map_concat("r.counts", F.create_map(*(x for name, flag in flags.items() for x in (F.lit(name), flag.cast("int")))))
+    return masked.select(F.explode(kinds).alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("documents"))
+
+
 def merge_label_lines(lines: DataFrame, label: str = r"^[A-Za-z]{1,12}[.:]?$", most: int = 40) -> DataFrame:
     """E14. A line that is only a label takes the value on the next one; a value is no label and has `most` characters at most."""
     rows = lines.withColumn("line", norm_line(F.col("line"))).withColumn("is_label", F.col("line").rlike(label))
@@ -63,29 +71,24 @@ def normalise_sections(section_lines: DataFrame, aliases: Mapping[str, str] = SE
 def infer_sections(section_lines: DataFrame, rules: RuleSet) -> DataFrame:
     """H35. Sections from what the lines say, document by document: a line's class, with the section so far, gives its section; then lines move.
 
-    One fold over a document's ordered lines: a skills, award or education line opens its section; a duty or role title stays in the experience
+    In the order of a document's lines: a skills, award or education line opens its section; a duty or role title stays in the experience
     section it stands in and opens internship elsewhere; any other line stays. Then education lines within skills go to education where that is still empty.
+    One window, no document gathered: the last line that sets a section by itself counts (its class opens one, or the given section changes
+    there), and whether a duty or role title has come since. A null section is that of the line before.
     """
-    kind = line_class(F.col("line"), rules.line_classes)
-    opened = {"skills": "skills", "award": "awards", "education": "education"}
-    rows = section_lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "section", kind.alias("kind")))).alias("rows"))
-
-    def step(state: Column, row: Column) -> Column:
-        now, kind_ = state["section"], row["kind"]
-        section = F.when(row["section"] != F.coalesce(state["given"], F.lit("")), row["section"]).otherwise(now)
-        for k, target in opened.items():
-            section = F.when(kind_ == k, target).otherwise(section)
-        section = F.when(kind_.isin("duty", "role_title") & ~section.isin(*EXPERIENCE_SECTIONS), "internship").otherwise(section)
-        out = F.concat(state["out"], F.array(F.struct(row["line_no"].alias("line_no"), row["line"].alias("line"), section.alias("section"), kind_.alias("kind"))))
-        return F.struct(section.alias("section"), row["section"].alias("given"), out.alias("out"))
-
-    kind_of = "array<struct<line_no:int,line:string,section:string,kind:string>>"
-    start = F.struct(F.lit("basic_info").alias("section"), F.lit(None).cast("string").alias("given"), F.array().cast(kind_of).alias("out"))
-    folded = rows.select("doc_id", F.aggregate("rows", start, step)["out"].alias("out"))
-    has_education = F.exists("out", lambda r: r["section"] == "education")
-    moved = folded.select("doc_id", has_education.alias("has"), F.explode("out").alias("r")).select("doc_id", "has", "r.*")
-    to_education = ~F.col("has") & (F.col("section") == "skills") & F.lower("line").rlike(dict(rules.line_classes).get("education", "$^"))
-    return moved.select("doc_id", "line_no", "line", F.when(to_education, "education").otherwise(F.col("section")).alias("section"), "kind")
+    w = by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = section_lines.withColumn("kind", line_class(F.col("line"), rules.line_classes)).withColumn("changes", F.col("section") != F.coalesce(F.lag("section").over(by_doc()), F.lit("")))
+    duty = F.col("kind").isin("duty", "role_title")
+    stays = lambda c: F.col(c).isin(*EXPERIENCE_SECTIONS)
+    opened = F.when(F.col("kind") == "skills", "skills").when(F.col("kind") == "award", "awards").when(F.col("kind") == "education", "education")
+    given = F.when(F.col("changes"), F.when(duty & ~stays("section"), "internship").otherwise(F.col("section")))
+    rows = rows.withColumn("sets", F.coalesce(opened, given))
+    rows = rows.withColumns({"base": F.coalesce(F.last("sets", ignorenulls=True).over(w), F.lit("basic_info")), "set_at": F.max(F.when(F.col("sets").isNotNull(), F.col("line_no"))).over(w), "duty_at": F.max(F.when(duty, F.col("line_no"))).over(w)})
+    since = F.coalesce(F.col("duty_at") > F.coalesce("set_at", F.lit(-1)), F.lit(False))
+    rows = rows.withColumn("placed", F.when(since & ~stays("base"), "internship").otherwise(F.col("base")))
+    rows = rows.withColumn("has", F.max(F.col("placed") == "education").over(Window.partitionBy("doc_id")))
+    to_education = ~F.col("has") & (F.col("placed") == "skills") & F.lower("line").rlike(dict(rules.line_classes).get("education", "$^"))
+    return rows.select("doc_id", "line_no", "line", F.when(to_education, "education").otherwise(F.col("placed")).alias("section"), "kind")
 
 
 def layout(lines: DataFrame, variant: str = "parser") -> DataFrame:

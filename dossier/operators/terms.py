@@ -47,21 +47,21 @@ def hit_sections(section_lines: DataFrame, terms: DataFrame, aliases: dict[str,
     return hits.select("doc_id.doc_id", "doc_id.section", "term")
 
 
-def _places(low: Column, term: str) -> Column:
-    """Spans of a term: the lengths of what stands between its occurrences, added up."""
-    n = len(term)
-    pieces = F.split(low, F.lit("\\Q" + term + "\\E"), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x) + n).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(x))).alias("out"))
-    starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
-    return F.transform(starts, lambda a: F.struct(a.alias("start"), (a + n).alias("end")))
-
-
 def hit_spans(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """E12. Merged spans of all occurrences of the terms, as code points from 0, end exclusive; a span that starts at or after the last end opens a new one."""
+    """E12. Merged spans of all occurrences of the terms, as code points from 0, end exclusive; a span that starts at or after the last end opens a new one.
+
+    Where an occurrence starts is what stands before it, added up over the pieces between a term's occurrences. A doc_id is one row; one
+    shuffle by it serves both windows.
+    """
     low = F.lower(F.col("text"))
-    places = [_places(low, term.lower()) for term in terms]
-    spans = docs.select("doc_id", F.explode(F.flatten(F.array(*places))).alias("s")).select("doc_id", "s.*")
+    between = lambda term: F.transform(F.split(low, F.lit("\\Q" + term + "\\E"), -1), F.length)
+    found = [F.struct(F.lit(i).alias("term"), F.lit(len(t)).alias("n"), between(t).alias("lengths")) for i, t in enumerate(sorted({t.lower() for t in terms} - {""}))]
+    if not found:
+        return docs.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")).limit(0)
+    held = docs.select("doc_id", F.explode(F.array(*found)).alias("s")).select("doc_id", "s.*").where(F.size("lengths") > 1).repartition("doc_id")
+    pieces = held.select("doc_id", "term", "n", F.size("lengths").alias("pieces"), F.posexplode("lengths").alias("i", "length")).where("i < pieces - 1")
+    before = Window.partitionBy("doc_id", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = pieces.withColumn("start", F.sum("length").over(before) + F.col("i") * F.col("n")).select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"))
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("opens", F.when(seen.isNull() | (F.col("start") >= seen), 1).otherwise(0)).withColumn("island", F.sum("opens").over(w))
@@ -89,18 +89,26 @@ def fit_idf(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def vectors(docs: DataFrame, idf: DataFrame, tokens: Column, key: str) -> DataFrame:
-    """(key, term, weight): term frequency times idf (1 where unknown), of length 1."""
-    tf = docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(idf.select("term", "idf"), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    norm = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def tfidf_cosine(left: DataFrame, right: DataFrame, idf: DataFrame, left_tokens: Column, right_tokens: Column, left_key: str, right_key: str) -> DataFrame:
-    """H20. Cosine, score (0..100) and confidence of each pair that shares a term. Joined on terms, never as a product of all pairs."""
-    a, b = vectors(left, idf, left_tokens, left_key), vectors(right, idf, right_tokens, right_key)
-    dot = a.join(b.withColumnRenamed("weight", "other"), "term").groupBy(left_key, right_key).agg(F.sum(F.col("weight") * F.col("other")).alias("cosine"))
+def vectors(docs: DataFrame, idf: DataFrame, tokens: Column, key: str, more: Column | None = None) -> DataFrame:
+    """(key, term, weight, expanded): term frequency times idf (1 where unknown), of length 1; expanded counts the tokens in `more` too."""
+    rows = docs.select(key, F.explode(tokens).alias("term"), F.lit(1).alias("own"))
+    if more is not None:
+        rows = rows.unionByName(docs.select(key, F.explode(more).alias("term"), F.lit(0).alias("own")))
+    tf = rows.groupBy(key, "term").agg(F.sum("own").alias("tf"), F.count("*").alias("tf_all"))
+    factor = F.coalesce("idf", F.lit(1.0))
+    weighed = tf.join(idf.select("term", "idf"), "term", "left").select(key, "term", (F.col("tf") * factor).alias("w"), (F.col("tf_all") * factor).alias("w_all"))
+    length = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    norm = weighed.groupBy(key).agg(length("w").alias("norm"), length("w_all").alias("norm_all"))
+    return weighed.join(norm, key).select(key, "term", F.coalesce(F.try_divide("w", "norm"), F.lit(0.0)).alias("weight"), (F.col("w_all") / F.col("norm_all")).alias("expanded"))
+
+
+def tfidf_cosine(left: DataFrame, right: DataFrame, idf: DataFrame, left_tokens: Column, right_tokens: Column, left_key: str, right_key: str, left_more: Column | None = None, right_more: Column | None = None) -> DataFrame:
+    """H20. Cosine, score (0..100) and confidence of each pair that shares a term: the greater of the plain cosine and that with the tokens in `more`
+    (absent_roots), both from one pass. Joined on terms, never as a product of all pairs."""
+    a, b = vectors(left, idf, left_tokens, left_key, left_more), vectors(right, idf, right_tokens, right_key, right_more)
+    other = b.select(right_key, "term", F.col("weight").alias("other"), F.col("expanded").alias("other_expanded"))
+    sums = F.greatest(F.sum(F.col("weight") * F.col("other")), F.sum(F.col("expanded") * F.col("other_expanded")))
+    dot = a.join(other, "term").groupBy(left_key, right_key).agg(sums.alias("cosine"))
     return dot.select(left_key, right_key, "cosine", (F.col("cosine") * 100).alias("score"), F.least(F.lit(0.88), 0.45 + 0.42 * F.col("cosine")).alias("confidence"))
 
 

@@ -36,7 +36,7 @@ QUERIES = {
     "h4_contacts": lambda v: v.documents.select("doc_id", T.contacts(F.col("text")).alias("c")).select("doc_id", "c.email", "c.phone"),
     "h5_redact": lambda v: v.documents.select("doc_id", T.redact(F.col("text")).alias("r")).select("doc_id", "r.text", *(F.element_at("r.counts", k).alias(k) for k, _, _ in T.PII)),
     "h6_residual_pii": lambda v: v.documents.select("doc_id", T.residual_pii(F.col("text")).alias("kinds")),
-    "d18_redaction_report": lambda v: v.documents.select("doc_id", T.redact(F.col("text"))["counts"].alias("counts")).select("doc_id", F.explode("counts").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("documents")),
+    "d18_redaction_report": lambda v: L.redaction_report(v.documents),
     "h7_visible_text": lambda v: v.pages.select("page_id", W.visible_text(F.col("html")).alias("text")),
     "h8_page_title": lambda v: v.pages.select("page_id", W.page_title(F.col("html")).alias("title")),
     "h9_infer_degree": lambda v: v.pages.select("page_id", W.infer_degree(W.visible_text(F.col("html")), LATIN.degrees, LATIN.above).alias("d")).select("page_id", "d.*"),
@@ -68,7 +68,9 @@ QUERIES = {
     "c8_match_terms": lambda v: M.match_terms(v.documents, job_terms(v), LATIN.aliases),
     "c9_hit_sections": lambda v: M.hit_sections(segmented(v), job_terms(v)),
     "d21_fit_idf": lambda v: M.fit_idf(v.documents),
-    "h20_tfidf_cosine": lambda v: M.tfidf_cosine(v.documents, v.benchmark, M.fit_idf(v.documents), M.words(F.col("text")), M.words(F.col("text")), "doc_id", "item_id").select("doc_id", "item_id", "cosine", "confidence"),
+    "h20_tfidf_cosine": lambda v: M.tfidf_cosine(
+        v.documents, v.benchmark, M.fit_idf(v.documents), *(T.vector_tokens(F.col("text"), LATIN.aliases) for _ in range(2)), "doc_id", "item_id", *(T.absent_roots(F.col("text"), LATIN.aliases) for _ in range(2))
+    ).select("doc_id", "item_id", "cosine", "confidence"),
     "h21_vector_cosine": lambda v: v.embeddings.alias("a").join(v.embeddings.alias("b"), F.expr("a.label = b.label AND b.vec_id = a.vec_id + 10")).select(F.col("a.vec_id").alias("vec_id"), M.vector_cosine(F.col("a.embedding"), F.col("b.embedding")).alias("cosine")).withColumn("fused", M.fuse(F.lit(40.0), F.col("cosine") * 100, 0.65)),
 }
 
@@ -101,7 +103,7 @@ for _p, _by in ((r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscrip
 _VISIBLE = f"trim({_VISIBLE})"
 for _k, _p, _by in T.PII:
     _VISIBLE = f"regexp_replace({_VISIBLE}, '{_p}', '{_by}', 'g')"
-_VISIBLE = f"substr(regexp_replace(regexp_replace({_VISIBLE}, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), 1, 30000)"
+_VISIBLE = f"regexp_replace(regexp_replace({_VISIBLE}, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 _PAGE = f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))[1:200] AS title, {_VISIBLE} AS text FROM pages"
 _NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{_u(p)}') THEN {r} END" for _, r, p in LATIN.degrees) + "], lambda x: x IS NOT NULL)"
 _FIXED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}\\W{{0,3}}{LATIN.above}') THEN {r} END" for _, r, p in LATIN.degrees) + "], lambda x: x IS NOT NULL)"
@@ -134,6 +136,8 @@ SELECT doc_id, quality, coalesce(CASE WHEN list_contains(warnings, 'no_text') TH
   CASE WHEN list_contains(warnings, 'short_text') THEN 'short_text' END, CASE WHEN list_contains(warnings, 'core_partial') THEN 'core_partial' END, CASE WHEN list_contains(warnings, 'no_contact') THEN 'no_contact' END, '') AS core_warning,
   CASE WHEN quality = 'low' THEN 'reject_or_rescan' WHEN complexity >= 3.5 THEN 'review_layout' WHEN quality = 'medium' THEN 'check' ELSE 'accept' END AS behaviour FROM judged"""
 _WORD = "regexp_extract_all(lower(text), '[a-z][a-z0-9+#.]*')"
+_TOKENS = f"flatten(list_transform(w, lambda t: list_filter([t, CASE t {' '.join(f'WHEN {a!r} THEN {r!r}' for a, r in LATIN.aliases.items())} END], lambda x: x IS NOT NULL)))"
+_ROOTS = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{a}') AND NOT contains(lower(text), '{r}') THEN '{r}' END" for a, r in LATIN.aliases.items()) + "], lambda x: x IS NOT NULL))"
 _IDF = f"SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM (SELECT DISTINCT doc_id, unnest({_WORD}) AS term FROM documents) GROUP BY 1"
 _TERM = "SELECT DISTINCT unnest(list_concat(must, ['c3', '3d', 'with'])) AS term FROM v_job"
 _PAIRS = ", ".join(f"('{a}', '{r}')" for a, r in LATIN.aliases.items())
@@ -150,6 +154,17 @@ _EVIDENCE = f"""SELECT *, CASE WHEN exp_lines = 0 THEN 0.4 ELSE round(least(grea
         FROM (SELECT *, section IN ('internship', 'projects', 'campus') AS e, regexp_matches(lower(line), '{L.METRIC}') AS m, regexp_matches(lower(line), '{_u(LATIN.actions)}') AS a, regexp_matches(lower(line), '{_u(LATIN.results)}') AS r,
           regexp_matches(lower(line), '{_u(LATIN.vague)}') AS v, regexp_matches(lower(line), '{L.DATE}') AS dt, {_CLASS('line')} AS kind FROM seg) GROUP BY 1)"""
 
+_STEP_TO = """CASE kind WHEN 'skills' THEN 'skills' WHEN 'award' THEN 'awards' WHEN 'education' THEN 'education' ELSE
+    CASE WHEN kind IN ('duty', 'role_title') AND {0} NOT IN ('internship', 'projects', 'campus') THEN 'internship' ELSE {0} END END"""
+_INFERRED = f"""SELECT doc_id, line_no, CASE WHEN NOT has AND now = 'skills' AND regexp_matches(lower(line), '{_u(dict(LATIN.line_classes)["education"])}') THEN 'education' ELSE now END AS section, kind FROM (
+  SELECT *, bool_or(now = 'education') OVER (PARTITION BY doc_id) AS has FROM (
+    WITH RECURSIVE k AS MATERIALIZED (SELECT *, {_CLASS('line')} AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM seg),
+    walk AS (
+      SELECT doc_id, line_no, line, kind, i, section, {_STEP_TO.format('section')} AS now FROM k WHERE i = 1
+      UNION ALL
+      SELECT doc_id, line_no, line, kind, i, section, {_STEP_TO.format('base')} FROM (SELECT k.*, CASE WHEN k.section <> w.section THEN k.section ELSE w.now END AS base FROM walk w JOIN k ON k.doc_id = w.doc_id AND k.i = w.i + 1))
+    SELECT * FROM walk))"""
+
 
 def sql(text: str) -> str:
     return duck(text, seg=_SEG, norm_lines=_NORM, page=_PAGE, lay=_LAY, pool=_POOL, found=_FOUND, judged=_QUALITY, content=_CONTENT, card=_CARD, idf=_IDF, term=_TERM, term_name=_NAME)
@@ -158,12 +173,13 @@ def sql(text: str) -> str:
 SQL = {
     "h1_norm_line": sql("SELECT * FROM norm_lines"),
     "h2_job_tokens": r"SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9+#.-]+|[\x{4e00}-\x{9fa5}]{2,}') AS l FROM documents)",
-    "h2_vector_tokens": f"SELECT doc_id, list_concat(w, list_filter(list_transform(w, lambda t: CASE t {' '.join(f'WHEN {a!r} THEN {r!r}' for a, r in LATIN.aliases.items())} END), lambda t: t IS NOT NULL))[1:1000] AS tokens FROM (SELECT doc_id, {_WORD} AS w FROM documents)",
+    "h2_vector_tokens": f"SELECT doc_id, {_TOKENS} AS tokens FROM (SELECT doc_id, {_WORD} AS w FROM documents)",
     "h3_contains_kw": "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9+#.])the\\.*($|[^a-z0-9+#.])') AS the, contains(lower(text), 'c3') AS c3, regexp_matches(lower(text), '(^|[^a-z0-9+#.])onre\\.*($|[^a-z0-9+#.])') AS onre FROM documents",
     "h4_contacts": f"SELECT doc_id, regexp_extract(text, '{T.EMAIL}') AS email, regexp_replace(regexp_extract(text, '{T.PHONE}'), '^\\+[0-9]{{1,3}}[ -]?', '') AS phone FROM documents",
     "h5_redact": _redact() + f" SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text, {_KINDS} FROM {_LAST}",
     "h6_residual_pii": "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p, _ in T.PII) + "], lambda x: x IS NOT NULL) AS kinds FROM documents",
-    "d18_redaction_report": _redact() + " SELECT kind, sum(n) AS total, count(*) FILTER (n > 0) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS n FROM {_LAST}" for k, _, _ in T.PII) + ") GROUP BY 1",
+    "d18_redaction_report": _redact() + " SELECT kind, sum(n) AS total, count(*) FILTER (n > 0) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS n FROM {_LAST}" for k, _, _ in T.PII)
+    + f" UNION ALL SELECT 'needs_review', CAST({' OR '.join(f"regexp_matches(text, '{p}')" for _, p, _ in T.PII)} AS INT) FROM {_LAST} UNION ALL SELECT 'empty', CAST(trim(text) = '' AS INT) FROM {_LAST}) GROUP BY 1",
     "h7_visible_text": sql("SELECT page_id, text FROM page"),
     "h8_page_title": sql("SELECT page_id, title FROM page"),
     "h9_infer_degree": sql(f"SELECT page_id, {_degree('minimum', 'preferred')} FROM page"),
@@ -182,6 +198,7 @@ SQL = {
         r"SELECT file_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(name, '\.[A-Za-z]+$', ''), '^~\$', ''), '[-_/|,\s]+'), lambda p: trim(p)), lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]+$'))[1:3], ' ') AS target FROM v_file"
     ),
     "h34_normalise_sections": sql("SELECT doc_id, min(line_no) AS line_no, section, trim(line) AS line FROM seg WHERE trim(line) <> '' GROUP BY doc_id, section, trim(line)"),
+    "h35_infer_sections": sql(_INFERRED),
     "h36_section_blocks": sql(
         f"""SELECT doc_id, section, lines, confidence, CASE WHEN confidence >= 0.85 THEN 'complete' WHEN confidence >= 0.65 THEN 'basic' ELSE 'weak' END AS label FROM (SELECT s.*, round(CASE quality WHEN 'low' THEN 0.45 ELSE
         least(CASE quality WHEN 'high' THEN 0.9 ELSE 0.72 END + least(0.08, 0.02 * lines) + CASE WHEN section IN ('internship', 'projects', 'education', 'skills') THEN 0.05 ELSE 0 END + CASE WHEN structured THEN 0.04 ELSE 0 END, 0.98) END, 2) AS confidence
@@ -200,6 +217,11 @@ SQL = {
     "e5_assign_pools": sql(
         "SELECT doc_id, CASE WHEN b <= 30 THEN 'B' WHEN a <= 50 THEN 'A' ELSE 'C' END AS pool FROM (SELECT *, row_number() OVER (PARTITION BY b <= 30 ORDER BY a_score DESC, rich DESC, metrics DESC, size DESC, doc_id) AS a FROM (SELECT *, row_number() OVER (ORDER BY b_score DESC, complexity DESC, size, doc_id) AS b FROM content))"
     ),
+    "e12_hit_spans": f"""WITH p AS (SELECT doc_id, t, string_split(lower(text), t) AS p FROM documents, (VALUES {", ".join(f"('{t}')" for t in SPAN_TERMS)}) v(t)),
+        piece AS (SELECT doc_id, t, length(unnest(p)) AS n, generate_subscripts(p, 1) AS i, len(p) AS k FROM p),
+        span AS (SELECT doc_id, place AS start, place + length(t) AS "end" FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, t ORDER BY i) + (i - 1) * length(t) AS place FROM piece) WHERE i < k),
+        opened AS (SELECT *, CASE WHEN start >= max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM span)
+        SELECT doc_id, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM opened) GROUP BY doc_id, island""",
     "e14_merge_label_lines": sql(
         """SELECT doc_id, line_no, CASE WHEN l AND coalesce(next_v, false) THEN regexp_replace(norm, '[.:]+$', '') || ': ' || next_line ELSE norm END AS line FROM (SELECT *, lead(v) OVER w AS next_v, lead(norm) OVER w AS next_line, lag(l) OVER w AS last_l
         FROM (SELECT *, regexp_matches(norm, '^[A-Za-z]{1,12}[.:]?$') AS l, NOT regexp_matches(norm, '^[A-Za-z]{1,12}[.:]?$') AND length(norm) <= 40 AS v FROM norm_lines) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) WHERE NOT (v AND coalesce(last_l, false))"""
@@ -220,9 +242,10 @@ SQL = {
     ),
     "d21_fit_idf": sql("SELECT * FROM idf"),
     "h20_tfidf_cosine": sql(
-        f"""WITH a AS (SELECT doc_id, term, count(*) * coalesce(any_value(idf), 1) AS w FROM (SELECT doc_id, unnest({_WORD}) AS term FROM documents) LEFT JOIN idf USING (term) GROUP BY ALL), b AS (SELECT item_id, term, count(*) * coalesce(any_value(idf), 1) AS w FROM (SELECT item_id, unnest({_WORD}) AS term FROM benchmark) LEFT JOIN idf USING (term) GROUP BY ALL),
-        na AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM a GROUP BY 1), nb AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM b GROUP BY 1)
-        SELECT doc_id, item_id, cosine, least(0.88, 0.45 + 0.42 * cosine) AS confidence FROM (SELECT doc_id, item_id, sum(a.w * b.w / na.n / nb.n) AS cosine FROM a JOIN b USING (term) JOIN na USING (doc_id) JOIN nb USING (item_id) GROUP BY ALL)"""
+        f"""WITH a AS (SELECT doc_id, term, count(*) FILTER (own) * coalesce(any_value(idf), 1) AS w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT doc_id, unnest({_TOKENS}) AS term, true AS own FROM (SELECT doc_id, {_WORD} AS w FROM documents) UNION ALL SELECT doc_id, unnest({_ROOTS}), false FROM documents) LEFT JOIN idf USING (term) GROUP BY ALL),
+        b AS (SELECT item_id, term, count(*) FILTER (own) * coalesce(any_value(idf), 1) AS w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT item_id, unnest({_TOKENS}) AS term, true AS own FROM (SELECT item_id, {_WORD} AS w FROM benchmark) UNION ALL SELECT item_id, unnest({_ROOTS}), false FROM benchmark) LEFT JOIN idf USING (term) GROUP BY ALL),
+        na AS (SELECT doc_id, sqrt(sum(w * w)) AS n, sqrt(sum(x * x)) AS m FROM a GROUP BY 1), nb AS (SELECT item_id, sqrt(sum(w * w)) AS n, sqrt(sum(x * x)) AS m FROM b GROUP BY 1)
+        SELECT doc_id, item_id, cosine, least(0.88, 0.45 + 0.42 * cosine) AS confidence FROM (SELECT doc_id, item_id, greatest(sum(a.w * b.w / na.n / nb.n), sum(a.x * b.x / na.m / nb.m)) AS cosine FROM a JOIN b USING (term) JOIN na USING (doc_id) JOIN nb USING (item_id) GROUP BY ALL)"""
     ),
     "h21_vector_cosine": "SELECT vec_id, c AS cosine, least(greatest(0.65 * 40 + 0.35 * c * 100, 0), 100) AS fused FROM (SELECT a.vec_id, least(greatest(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 1) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10)",
 }
