@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, fields
 
-#: Names of sections, and other names for them.
+#: Names of sections, other names for them, their weights and bonuses, and which are core and which experience.
 SECTIONS = ("basic_info", "summary", "education", "internship", "projects", "campus", "skills", "awards")
 SECTION_ALIASES = {
     "experience": "internship", "work": "internship", "work_experience": "internship", "employment": "internship", "job": "internship",
@@ -13,6 +13,8 @@ SECTION_ALIASES = {
     "education_background": "education", "project": "projects", "skill": "skills", "campus_experience": "campus",
 }
 SECTION_WEIGHTS = {"skills": 1.5, "projects": 1.35, "internship": 1.35, "experience": 1.25, "education": 0.8}
+#: All of these names.
+SECTION_NAMES = (*SECTIONS, *(n for n in SECTION_WEIGHTS if n not in SECTIONS))
 SNIPPET_BONUS = {"skills": 1.2, "projects": 1.1, "internship": 1.1, "campus": 0.6, "summary": 0.3, "education": 0.2, "basic_info": -0.4}
 CORE_SECTIONS = ("basic_info", "education", "internship", "projects", "skills")
 EXPERIENCE_SECTIONS = ("internship", "projects", "campus")

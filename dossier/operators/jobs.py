@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import SECTION_WEIGHTS, SNIPPET_BONUS
+from ..functions.rules import SECTION_NAMES, SECTION_WEIGHTS, SNIPPET_BONUS
 from ..functions.text import job_tokens
 from .terms import match_terms
 
@@ -104,27 +105,45 @@ def candidate_pairs(docs: DataFrame, jobs: DataFrame, aliases: Mapping[str, str]
     return match_terms(docs, terms.select("term"), dict(aliases or {})).join(terms, "term")
 
 
-def pair_score(docs: DataFrame, jobs: DataFrame, section_hits: DataFrame, sections: DataFrame, request: str = "") -> DataFrame:
+def _section_bit(section: Column, names: Sequence[str]) -> Column:
+    """The bit of a section's name; all names that are not listed share one."""
+    bits = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(1 << i).cast("bigint"))))
+    return F.coalesce(F.try_element_at(bits, section), F.lit(1 << len(names)).cast("bigint"))
+
+
+def _section_weight(mask: Column, names: Sequence[str]) -> Column:
+    """Weight of the sections whose bits are set."""
+    weights = [SECTION_WEIGHTS.get(n, 1.0) for n in names] + [1.0]
+    return reduce(Column.__add__, (F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, w).otherwise(0.0) for i, w in enumerate(weights)))
+
+
+def pair_score(docs: DataFrame, jobs: DataFrame, section_hits: DataFrame, sections: DataFrame, request: str = "", names: Sequence[str] = SECTION_NAMES) -> DataFrame:
     """H13. Coverage of must, nice and position terms, sections that hold a hit, and the score of each pair with a hit.
 
     r = .55 must + .20 nice + .25 position; s = weight of the sections with a hit over that of all; score .8 r + .2 s, or with a request
     .65 r + .15 s + .2 c, where c is the posting's terms that hold a word of the request over the request's words (8 at most). Not clamped.
-    section_hits: (doc_id, section, term); sections: (doc_id, section).
+    section_hits: (doc_id, section, term); sections: (doc_id, section). Sections are bits of a number, one for each of `names` (62 at most);
+    sections of other names count as one together. What is shuffled is one row for each hit of a document: they meet by doc_id before they
+    fan out to the postings, so that pairs are summed where they arise (rank_jobs needs no further shuffle), as long as the postings'
+    terms are broadcast; where they are too many for that, Spark joins them by term.
     """
-    groups = term_groups(jobs)
-    hits = candidate_pairs(docs, jobs)
-    sums = hits.groupBy("doc_id", "job_id").agg(*(F.sum(f"is_{g}").alias(f"hit_{g}") for g in ("must", "nice", "position")), F.count("*").alias("hits"))
-    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in SECTION_WEIGHTS.items() for x in p)), F.col("section")), F.lit(1.0))
-    total = sections.distinct().groupBy("doc_id").agg(F.sum(weight).alias("all_weight"))
-    held = hits.select("doc_id", "job_id", "term").join(section_hits, ["doc_id", "term"]).select("doc_id", "job_id", "section").distinct()
-    held = held.groupBy("doc_id", "job_id").agg(F.sum(weight).alias("hit_weight"))
-    rows = sums.join(held, ["doc_id", "job_id"], "left").join(total, "doc_id", "left")
-    context = F.lit(0.0)
+    if len(names) > 62:
+        raise ValueError("62 section names at most")
     words = sorted(set(request.lower().split()))
+    context = F.lit(0.0)
     if words:
         touched = F.size(F.filter("t_all", lambda t: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))))
         context = touched / F.lit(max(min(len(words), 8), 1))
-    rows = rows.join(groups.select("job_id", *(F.size(f"t_{g}").alias(f"n_{g}") for g in ("must", "nice", "position")), context.alias("context")), "job_id")
+    kinds = ("must", "nice", "position")
+    groups = term_groups(jobs).select("job_id", *(F.col(f"t_{g}") for g in kinds), *(F.size(f"t_{g}").alias(f"n_{g}") for g in kinds), context.alias("context"), F.explode("t_all").alias("term"))
+    terms = groups.select("job_id", "term", *(F.array_contains(f"t_{g}", F.col("term")).cast("int").alias(f"is_{g}") for g in kinds), *(f"n_{g}" for g in kinds), "context")
+    bit = _section_bit(F.col("section"), names)
+    held = section_hits.groupBy("doc_id", "term").agg(F.bit_or(bit).alias("held"))
+    total = sections.groupBy("doc_id").agg(_section_weight(F.bit_or(bit), names).alias("all_weight"))
+    found = match_terms(docs, terms.select("term")).join(held, ["doc_id", "term"], "left").repartition("doc_id")
+    known = (*(f"n_{g}" for g in kinds), "context")
+    rows = found.join(terms, "term").groupBy("doc_id", "job_id").agg(*(F.sum(f"is_{g}").alias(f"hit_{g}") for g in kinds), F.count("*").alias("hits"), F.bit_or("held").alias("held"), *(F.max(c).alias(c) for c in known))
+    rows = rows.withColumn("hit_weight", _section_weight(F.coalesce("held", F.lit(0).cast("bigint")), names)).join(total, "doc_id", "left")
     share = lambda g: F.when(F.col(f"n_{g}") > 0, F.col(f"hit_{g}") / F.col(f"n_{g}")).otherwise(0.0)
     rows = rows.withColumns({"must": share("must"), "nice": share("nice"), "position_share": share("position"), "evidence": F.coalesce(F.col("hit_weight") / F.col("all_weight"), F.lit(0.0))})
     r = 0.55 * F.col("must") + 0.2 * F.col("nice") + 0.25 * F.col("position_share")
@@ -140,7 +159,7 @@ def rank_jobs(scored: DataFrame, k: int = 5, min_score: float = 0.08) -> DataFra
     return kept.withColumn("percent", F.least(F.greatest(F.col("score") * 100, F.lit(0.0)), F.lit(100.0)))
 
 
-def accept_auto(rows: DataFrame, weak: Sequence[str] = ()) -> Column:
+def accept_auto() -> Column:
     """H26. Whether a match without request is strong enough to be taken by itself."""
     enough = (F.col("position_share") >= 0.5) & (F.col("must") >= 0.34)
     return enough | ((F.col("must") >= 0.6) & ((F.col("hits") >= 2) | (F.col("position_share") > 0)))
@@ -151,7 +170,7 @@ def select_job(ranked: DataFrame, requests: DataFrame, least: float = 0.22) -> D
     first = ranked.where("rank = 1").join(requests, "doc_id", "left")
     asked = F.coalesce("request", F.lit("")) != ""
     decision = F.when(asked & (F.col("score") >= least), "accepted").when(asked, "rejected").otherwise("recommended")
-    return first.select("doc_id", "job_id", "score", decision.alias("decision"), accept_auto(first).alias("strong"))
+    return first.select("doc_id", "job_id", "score", decision.alias("decision"), accept_auto().alias("strong"))
 
 
 def alignment(pairs: DataFrame, docs: DataFrame, jobs: DataFrame, degrees: Sequence[tuple[str, int, str]], experience: str) -> DataFrame:

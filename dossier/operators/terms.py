@@ -40,9 +40,8 @@ def match_terms(docs: DataFrame, terms: DataFrame, aliases: dict[str, str] | Non
 
 
 def hit_sections(section_lines: DataFrame, terms: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """C9. Sections of a document in which each of its hit terms stands."""
-    lines = section_lines.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    keyed = lines.select(F.struct("doc_id", "section").alias("doc_id"), "text")
+    """C9. Sections of a document in which each of its hit terms stands. Lines are matched one by one, no section's text is gathered."""
+    keyed = section_lines.select(F.struct("doc_id", "section").alias("doc_id"), F.col("line").alias("text"))
     hits = match_terms(keyed, terms, aliases)
     return hits.select("doc_id.doc_id", "doc_id.section", "term")
 

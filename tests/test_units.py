@@ -179,3 +179,14 @@ def test_redaction_report_counts_documents(spark):
     docs = spark.createDataFrame([(1, "a@b.org and c@d.org"), (2, None), (3, " "), (4, "plain")], "doc_id long, text string")
     got = {r.kind: (r.total, r.documents) for r in L.redaction_report(docs).collect()}
     assert got["email"] == (2, 1) and got["empty"] == (2, 2) and got["needs_review"] == (0, 0) and got["ip"] == (0, 0)
+
+
+def test_pair_score_by_hand(spark):
+    docs = spark.createDataFrame([(1, "java spark\nteam"), (2, "nothing")], "doc_id long, text string")
+    job = spark.createDataFrame([(9, "java engineer", "cat", ["spark", "sql"], ["team"])], "job_id long, position string, category string, must array<string>, nice array<string>")
+    lines = spark.createDataFrame([(1, 1, "java spark", "skills"), (1, 2, "team", "odd"), (1, 3, "x", "odder"), (1, 4, "x", "education")], "doc_id long, line_no int, line string, section string")
+    hits = M.hit_sections(lines, J.job_terms(job).select("term"))
+    rows = J.pair_score(docs, job, hits, lines.select("doc_id", "section")).collect()
+    assert [(r.doc_id, r.job_id, r.hits, r.must, r.nice, round(r.position_share, 6)) for r in rows] == [(1, 9, 3, 0.5, 1.0, round(1 / 3, 6))]
+    assert abs(rows[0].evidence - 2.5 / 3.3) < 1e-12  # skills and an unlisted one, of those and education: unlisted ones count once
+    assert abs(rows[0].score - (0.8 * (0.275 + 0.2 + 0.25 / 3) + 0.2 * 2.5 / 3.3)) < 1e-12
