@@ -18,6 +18,23 @@ SECTION_NAMES = (*SECTIONS, *(n for n in SECTION_WEIGHTS if n not in SECTIONS))
 SNIPPET_BONUS = {"skills": 1.2, "projects": 1.1, "internship": 1.1, "campus": 0.6, "summary": 0.3, "education": 0.2, "basic_info": -0.4}
 CORE_SECTIONS = ("basic_info", "education", "internship", "projects", "skills")
 EXPERIENCE_SECTIONS = ("internship", "projects", "campus")
+#: Words of Han characters that are no names of persons, words that name subjects, and parts of bodies and roles.
+NOT_NAMES = (
+    "教育背景", "实习经历", "工作经历", "项目经历", "专业技能", "自我评价", "求职意向", "基本信息", "个人信息", "联系方式", "获奖情况", "校园经历", "社会实践", "主修课程",
+    "数据分析", "数据挖掘", "数据运营", "软件工程", "计算机", "人工智能", "深度学习", "机器学习", "前端开发", "后端开发", "全栈开发", "产品经理", "产品设计", "视觉设计", "平面设计",
+    "新媒体", "内容运营", "用户运营", "活动运营", "人力资源", "电子商务", "市场营销", "财务管理", "会计学", "法学", "英语", "日语",
+    "本科", "专科", "硕士", "博士", "研究生", "应届生", "在校生", "实习生", "负责人", "工程师", "设计师", "分析师", "运营官", "程序员", "开发者",
+    "团队协作", "沟通能力", "学习能力", "抗压能力", "责任心", "吃苦耐劳", "乐观开朗", "认真负责", "工作认真",
+    "熟悉", "掌握", "了解", "负责", "参与", "完成", "协助", "优化", "维护", "设计", "开发", "测试", "部署",
+    "简历", "个人", "目前", "现居", "期望", "意向", "目标", "岗位", "职位", "公司", "集团", "有限", "股份",
+    "北京", "上海", "广州", "深圳", "杭州", "成都", "武汉", "西安", "南京", "苏州", "天津", "重庆", "长沙", "郑州", "青岛", "大连", "厦门", "合肥", "福州", "济南",
+    "哈尔滨", "沈阳", "昆明", "南昌", "石家庄", "太原", "南宁", "贵阳", "海口", "兰州", "银川", "西宁", "呼和浩特", "乌鲁木齐", "拉萨",
+)
+MAJOR_HINT = (
+    "管理|工程|科学|技术|经济|法学|医学|文学|理学|工学|农学|艺术|计算机|软件|电子|机械|土木|新闻|广告|设计|英语|数学|物理|化学|生物|护理|教育|营销|贸易|物流|"
+    "心理|统计|通信|自动化|建筑|环境|材料|食品|药学|会计|金融|人力|数据|智能|媒体|传播|编辑|财务|网络|信息|国际|商务|公共"
+)
+NOT_A_NAME = "大学|学院|公司|集团|专业|实习|经理|工程师|设计|开发|分析|运营"
 #: Weights of the six score dimensions.
 DIMENSIONS = ("content_completeness", "experience_match", "language_professionalism", "format_standardization", "highlight_strength", "job_match")
 DEFAULT_WEIGHTS = {"content_completeness": 0.20, "experience_match": 0.20, "language_professionalism": 0.15, "format_standardization": 0.10, "highlight_strength": 0.15, "job_match": 0.20}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import MAJOR_HINT, NOT_A_NAME, NOT_NAMES
+
 #: Fixed patterns, in the order in which they are redacted.
 PII = (
     ("id_card", r"\b[0-9]{17}[0-9Xx]\b", "[ID]"),
@@ -16,6 +20,21 @@ PII = (
     ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[IP]"),
     ("long_number", r"\b[0-9]{12,19}\b", "[NUMBER]"),
 )
+HAN = r"\x{4e00}-\x{9fa5}"
+MOBILE = r"(?:\+?86[-\s]?)?1[3-9][0-9][-\s]?[0-9]{4}[-\s]?[0-9]{4}"
+#: Fixed patterns of what is masked besides PII: kind, pattern, what stands for it (labels stay), and parts of which a text must hold one.
+MARKED = (
+    ("account", r"(?i)((?:github[.]com|gitee[.]com)/[A-Za-z0-9_.-]+)", "[ACCOUNT]", ("/",)),
+    ("qq", r"((?:QQ|qq)\s*[:：]?\s*)([1-9][0-9]{4,11})", "$1[QQ]", ("QQ", "qq")),
+    ("wechat", r"((?:微信|WeChat|wechat|WX|wx)\s*[:：]?\s*)([A-Za-z][\p{L}\p{N}_-]{2,30})", "$1[WECHAT]", ("微信", "WeChat", "wechat", "WX", "wx")),
+    ("address", rf"((?:现居|现居地|居住地|所在地|通讯地址|家庭住址|地址)\s*[:：]?\s*)([{HAN}A-Za-z0-9-]{{4,40}})", "$1[ADDRESS]", ("现居", "居住地", "所在地", "址")),
+    ("school", rf"([{HAN}A-Za-z]{{2,20}}?(?:大学|学院|职业技术学院|职业技术大学|研究院|高等专科学校)[{HAN}]{{0,8}})", "[SCHOOL]", ("大学", "学院", "研究院", "高等专科学校")),
+    ("company", rf"([{HAN}A-Za-z0-9（）()]{{2,24}}(?:有限公司|股份有限公司|集团有限公司|科技公司|网络公司|传媒公司|文化公司))", "[COMPANY]", ("公司",)),
+)
+#: All kinds, in the order in which they are masked; numbers and addresses of machines come after what labels tell.
+KINDS = ("id_card", "mobile", "phone", "email", "url", *(k for k, *_ in MARKED), "ip", "long_number", "name")
+NAME_LABEL = rf"(?i)(?:姓名|名字|Name)\s*[:：]\s*([·{HAN}]{{2,4}})"
+NAME = rf"^[{HAN}]{{2,4}}(?:·[{HAN}]{{1,3}})?$"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 PHONE = r"(?:\+[0-9]{1,3}[ -]?)?\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}"
 
@@ -71,22 +90,90 @@ def variants(kw: str, aliases: Mapping[str, str]) -> set[str]:
 
 
 def contacts(c: Column) -> Column:
-    """H4. email, phone (without the country's prefix), salary and location, empty where there is none."""
+    """H4. email, phone (without the country's prefix), messenger ids wechat and qq, salary and location, empty where there is none (null: null)."""
     phone = F.regexp_replace(F.regexp_extract(c, PHONE, 0), r"^\+[0-9]{1,3}[ -]?", "")
+    mobile = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, rf"(?<![0-9]){MOBILE}(?![0-9])", 0), "[^0-9]", ""), "^86", "")
+    first = lambda *found: F.when(c.isNotNull(), F.coalesce(F.try_element_at(F.filter(F.array(*found), lambda x: x != ""), F.lit(1)), F.lit("")))
     return F.struct(
-        F.regexp_extract(c, EMAIL, 0).alias("email"), phone.alias("phone"), F.regexp_extract(c, r"(?i)(?:salary|gehalt|salaire)\s*[:=]\s*([0-9kK -]+)", 1).alias("salary"),
-        F.regexp_extract(c, r"(?i)(?:location|address|ort|ville)\s*[:=]\s*([^\n,;]{2,40})", 1).alias("location"),
+        F.regexp_extract(c, EMAIL, 0).alias("email"), first(mobile, phone).alias("phone"),
+        F.regexp_extract(c, r"(?i)(?:微信|Wechat)\s*[:：]?\s*([A-Za-z0-9_-]{3,30})", 1).alias("wechat"), F.regexp_extract(c, r"(?:QQ|qq)\s*[:：]?\s*([1-9][0-9]{4,11})", 1).alias("qq"),
+        first(F.regexp_extract(c, r"(?:期望薪资|薪资|薪酬)\s*[:：]?\s*([0-9kK千万元+~—至到/-]+(?:/月|每月|月)?|面议)", 1), F.regexp_extract(c, r"(?i)(?:salary|gehalt|salaire)\s*[:=]\s*([0-9kK -]+)", 1)).alias("salary"),
+        first(F.regexp_extract(c, rf"(?:现居|现居地|居住地|所在地|地址)\s*[:：]?\s*([{HAN}A-Za-z]{{2,20}})", 1), F.regexp_extract(c, r"(?i)(?:location|address|ort|ville)\s*[:=]\s*([^\n,;]{2,40})", 1)).alias("location"),
     )
 
 
+def is_name(c: Column) -> Column:
+    """H4, H5. Whether a string looks like a person's name: two to four Han characters that are no other known word, subject or body."""
+    return c.rlike(NAME) & ~c.isin(*NOT_NAMES) & ~(c.rlike(MAJOR_HINT) & (F.length(c) >= 3)) & ~c.rlike(NOT_A_NAME)
+
+
+def name_hint(c: Column) -> Column:
+    """H4. The name that a text gives: at a label, else a line or a cell of one among the first 12 lines; empty without one (null: null)."""
+    cells = F.flatten(F.transform(F.slice(F.split(c, "\n"), 1, 12), lambda x: F.split(x, "[|]")))
+    tidy = F.transform(F.filter(cells, lambda x: x.rlike(rf"(?U)^\s*[{HAN}]")), norm_line)
+    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(F.filter(F.array_prepend(tidy, F.regexp_extract(c, NAME_LABEL, 1)), is_name), F.lit(1)), F.lit("")))
+
+
+def _let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c computed once."""
+    return F.transform(F.array(c), then)[0]
+
+
+def _holds(text: Column, parts: Sequence[str]) -> Column:
+    """Whether a text holds one of the parts; true where none are given."""
+    return reduce(or_, (F.contains(text, F.lit(p)) for p in parts)) if parts else F.lit(True)
+
+
+def _masked(state: Column, pattern: str | Column, mark: str, parts: Sequence[str] = ()) -> Column:
+    """state is (text, counts); one more count, and the text with marks where it is not 0."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    counted = F.struct(state["text"].alias("text"), state["counts"].alias("counts"), F.when(_holds(state["text"], parts), F.regexp_count(state["text"], pattern)).otherwise(0).alias("n"))
+    return _let(counted, lambda s: F.struct(F.when(s["n"] > 0, F.regexp_replace(s["text"], pattern, F.lit(mark))).otherwise(s["text"]).alias("text"), F.concat(s["counts"], F.array(s["n"])).alias("counts")))
+
+
+def _masked_bodies(state: Column, pattern: str, mark: str, parts: Sequence[str]) -> Column:
+    """As _masked, for patterns that end at white space: only lines that hold a part are looked at. Matches with the word for students stay; two code points
+    that no text may hold stand around a match meanwhile."""
+    around = lambda x: F.regexp_replace(F.regexp_replace(x, pattern, "\ufdd0$1\ufdd1"), "\ufdd0([^\ufdd1]*大学生[^\ufdd1]*)\ufdd1", "$1") if mark == "[SCHOOL]" else F.regexp_replace(x, pattern, "\ufdd0$1\ufdd1")
+    line = lambda x: F.when(_holds(x, parts), F.regexp_replace(around(x), "\ufdd0[^\ufdd0\ufdd1]+\ufdd1", mark)).otherwise(x)
+    text = F.when(_holds(state["text"], parts), F.array_join(F.transform(F.split(state["text"], "\n"), line), "\n")).otherwise(state["text"])
+    count = lambda t: F.when(_holds(t, (mark,)), F.regexp_count(t, F.lit(mark.replace("[", r"\[").replace("]", r"\]")))).otherwise(0)
+    held = F.struct(text.alias("text"), state["text"].alias("old"), state["counts"].alias("counts"))
+    return _let(held, lambda s: F.struct(s["text"].alias("text"), F.concat(s["counts"], F.array(count(s["text"]) - count(s["old"]))).alias("counts")))
+
+
 def redact(c: Column) -> Column:
-    """H5. text with personal data masked, in fixed order, and how many of each kind; runs of blanks become one."""
-    text, counts = F.coalesce(c, F.lit("")), []
-    for kind, pattern, mark in PII:
-        counts += [F.lit(kind), F.regexp_count(text, F.lit(pattern))]
+    """H5. text with personal data masked, in the order of KINDS, and how many of each kind; runs of blanks become one. Null: empty.
+
+    Names are those at a label and the one that opens the first line; a name is masked wherever it stands by itself.
+    """
+    state = F.struct(F.coalesce(c, F.lit("")).alias("text"), F.array().cast("array<int>").alias("counts"))
+    known = {k: (p, m, ()) for k, p, m in PII} | {k: tuple(x) for k, *x in MARKED} | {"mobile": (rf"(?<![0-9]){MOBILE}(?![0-9])", "[PHONE]", ("1",)), "email": (PII[2][1], PII[2][2], ("@",)), "url": (PII[3][1], PII[3][2], ("://",))}
+    for kind in KINDS[:-1]:
+        pattern, mark, parts = known[kind]
+        masked = _masked_bodies if kind in ("school", "company") else _masked
+        state = _let(state, lambda s: masked(s, pattern, mark, parts))  # noqa: B023 (called at once)
+    head = lambda t: F.trim(F.regexp_extract(t, r"^\s*([^\s|/／]+)", 1))
+    names = lambda t: F.array_distinct(F.filter(F.array_append(F.regexp_extract_all(t, F.lit(NAME_LABEL), F.lit(1)), head(F.split(t, "\n")[0])), is_name))
+    alone = lambda n: F.concat(F.lit(f"(?<![{HAN}·])(?:"), F.when(F.size(n) > 0, F.array_join(n, "|")).otherwise("(?!)"), F.lit(f")(?![{HAN}·])"))
+    named = lambda t: t.rlike(rf"^\s*[{HAN}]") | _holds(F.lower(t), ("姓名", "名字", "name"))
+    han = lambda s: F.when(named(s["text"]), names(s["text"])).otherwise(F.array().cast("array<string>"))
+    state = _let(state, lambda s: F.struct(s["text"].alias("text"), s["counts"].alias("counts"), han(s).alias("names")))
+    none = lambda s: F.struct(s["text"].alias("text"), F.array_append(s["counts"], F.lit(0)).alias("counts"))
+    state = _let(state, lambda s: F.when(F.size(s["names"]) > 0, _masked(s, alone(s["names"]), "[NAME]")).otherwise(none(s)))
+    return _let(state, lambda s: F.struct(_squeezed(s["text"]).alias("text"), F.map_from_arrays(F.array(*map(F.lit, KINDS)), s["counts"]).alias("counts")))
+
+
+def mask_numbers(c: Column) -> Column:
+    """H7. Text with the kinds of PII alone masked, for pages of no single person; runs of blanks become one. Null: empty."""
+    text = F.coalesce(c, F.lit(""))
+    for _, pattern, mark in PII:
         text = F.regexp_replace(text, pattern, mark)
-    squeezed = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    return F.struct(squeezed.alias("text"), F.create_map(*counts).alias("counts"))
+    return _squeezed(text)
+
+
+def _squeezed(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
 
 
 def residual_pii(c: Column) -> Column:

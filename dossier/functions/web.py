@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import redact
+from .text import mask_numbers
 
 
 def visible_text(html: Column, most: int | None = None) -> Column:
@@ -15,7 +15,7 @@ def visible_text(html: Column, most: int | None = None) -> Column:
     text = F.coalesce(html, F.lit(""))
     for pattern, by in ((r"(?is)<(script|style|noscript|svg|template)\b.*?</\1\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]*>", " "), (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&amp;", "&"), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, by)
-    whole = redact(F.trim(text))["text"]
+    whole = mask_numbers(F.trim(text))
     return whole if most is None else F.substring(whole, 1, most)
 
 

@@ -33,10 +33,10 @@ QUERIES = {
     "h2_job_tokens": lambda v: v.documents.select("doc_id", T.job_tokens(F.col("text")).alias("tokens")),
     "h2_vector_tokens": lambda v: v.documents.select("doc_id", T.vector_tokens(F.col("text"), LATIN.aliases).alias("tokens")),
     "h3_contains_kw": lambda v: v.documents.select("doc_id", *(T.contains_kw(F.lower("text"), k).alias(n) for n, k in (("the", "the"), ("c3", "c3"), ("onre", "onre")))),
-    "h4_contacts": lambda v: v.documents.select("doc_id", T.contacts(F.col("text")).alias("c")).select("doc_id", "c.email", "c.phone"),
-    "h5_redact": lambda v: v.documents.select("doc_id", T.redact(F.col("text")).alias("r")).select("doc_id", "r.text", *(F.element_at("r.counts", k).alias(k) for k, _, _ in T.PII)),
+    "h4_contacts": lambda v: v.v_resume.select("doc_id", T.contacts(F.col("text")).alias("c"), T.name_hint(F.col("text")).alias("name")).select("doc_id", "c.*", "name"),
+    "h5_redact": lambda v: v.v_resume.select("doc_id", T.redact(F.col("text")).alias("r")).select("doc_id", "r.text", *(F.element_at("r.counts", k).alias(k) for k in T.KINDS)),
     "h6_residual_pii": lambda v: v.documents.select("doc_id", T.residual_pii(F.col("text")).alias("kinds")),
-    "d18_redaction_report": lambda v: L.redaction_report(v.documents),
+    "d18_redaction_report": lambda v: L.redaction_report(v.v_resume),
     "h7_visible_text": lambda v: v.pages.select("page_id", W.visible_text(F.col("html")).alias("text")),
     "h8_page_title": lambda v: v.pages.select("page_id", W.page_title(F.col("html")).alias("title")),
     "h9_infer_degree": lambda v: v.pages.select("page_id", W.infer_degree(W.visible_text(F.col("html")), LATIN.degrees, LATIN.above).alias("d")).select("page_id", "d.*"),
@@ -83,10 +83,35 @@ _NORM = f"SELECT doc_id, line_no, {_REPL} AS norm, regexp_replace(lower({_REPL})
 
 
 def _redact() -> str:
-    text, out = "coalesce(text, '')", []
-    for i, (kind, pattern, mark) in enumerate(T.PII):
-        out.append(f"r{i} AS (SELECT * REPLACE (regexp_replace(text, '{pattern}', '{mark}', 'g') AS text), len(regexp_extract_all(text, '{pattern}')) AS {kind} FROM {f'r{i - 1}' if i else 'r'})")
-    return f"WITH r AS (SELECT doc_id, {text} AS text FROM documents), " + ", ".join(out)
+    """One step a kind. RE2 looks at no neighbours: a number between others is masked in a second turn, and names are whole runs of Han characters."""
+    known = {k: (p, m) for k, p, m in T.PII} | {k: (p, m.replace("$1", "\\1")) for k, p, m, _ in T.MARKED}
+    replaced = lambda c, p, m: f"regexp_replace({c}, '{p}', '{m}', 'g')"
+    found = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+    out, last = ["r AS (SELECT doc_id, text FROM v_resume)"], "r"
+    for kind in T.KINDS[:-1]:
+        if kind == "mobile":
+            p, m = f"(^|[^0-9]){T.MOBILE}([^0-9]|$)", "\\1[PHONE]\\2"
+            once = replaced("text", p, m)
+            text, count = replaced(once, p, m), f"{found('text', p)} + {found(once, p)}"
+        elif kind == "school":
+            p, m = known[kind]
+            text = replaced(replaced(replaced("text", p, "\ufdd0\\1\ufdd1"), "\ufdd0([^\ufdd1]*大学生[^\ufdd1]*)\ufdd1", "\\1"), "\ufdd0[^\ufdd1]*\ufdd1", m)
+            count = f"len(list_filter(regexp_extract_all(text, '{p}'), lambda x: NOT contains(x, '大学生')))"
+        else:
+            p, m = known[kind]
+            text, count = replaced("text", p, m), found("text", p)
+        out.append(f"r_{kind} AS (SELECT * REPLACE ({text} AS text), {count} AS {kind} FROM {last})")
+        last = f"r_{kind}"
+    first = "regexp_extract(text, '^\\s*([^\\s|/／]+)', 1)"
+    out.append(f"r_names AS (SELECT *, list_distinct(list_filter(list_append(regexp_extract_all(text, '{T.NAME_LABEL}', 1), {first.replace('text', 'string_split(text, chr(10))[1]')}), lambda x: {_is_name('x')})) AS names FROM {last})")
+    runs = f"regexp_extract_all(text, '[{T.HAN}·]+')"
+    swap = lambda c: f"regexp_replace({c}, '(^|[^{T.HAN}·])(' || array_to_string(names, '|') || ')($|[^{T.HAN}·])', '\\1[NAME]\\3', 'g')"
+    out.append(f"r_name AS (SELECT * REPLACE (CASE WHEN len(names) > 0 THEN {swap(swap('text'))} ELSE text END AS text), len(list_filter({runs}, lambda x: list_contains(names, x))) AS name FROM r_names)")
+    return "WITH " + ", ".join(out)
+
+
+def _is_name(c: str) -> str:
+    return f"(regexp_matches({c}, '{T.NAME}') AND {c} NOT IN ({', '.join(map(repr, T.NOT_NAMES))}) AND NOT (regexp_matches({c}, '{T.MAJOR_HINT}') AND length({c}) >= 3) AND NOT regexp_matches({c}, '{T.NOT_A_NAME}'))"
 
 
 def _u(pattern: str) -> str:
@@ -94,8 +119,10 @@ def _u(pattern: str) -> str:
     return pattern.replace("\\b(", r"(^|[^\p{L}\p{N}_])(").replace(")\\b", r")($|[^\p{L}\p{N}_])").replace("\\b", r"($|[^\p{L}\p{N}_])")
 
 
-_LAST = f"r{len(T.PII) - 1}"
-_KINDS = ", ".join(k for k, _, _ in T.PII)
+_KINDS = ", ".join(T.KINDS)
+_SQUEEZED = "regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+_LABEL = f"regexp_extract(text, '{T.NAME_LABEL}', 1)"
+_CELLS = "flatten(list_transform(string_split(text, chr(10))[1:12], lambda x: list_transform(string_split(x, '|'), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g')))))"
 _CLASS = lambda c: "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{_u(p)}') THEN '{k}'" for k, p in LATIN.line_classes) + " ELSE 'other' END"
 _VISIBLE = "coalesce(html, '')"
 for _p, _by in ((r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<template\b.*?</template\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]*>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), (r"\s+", " ")):
@@ -175,11 +202,19 @@ SQL = {
     "h2_job_tokens": r"SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9+#.-]+|[\x{4e00}-\x{9fa5}]{2,}') AS l FROM documents)",
     "h2_vector_tokens": f"SELECT doc_id, {_TOKENS} AS tokens FROM (SELECT doc_id, {_WORD} AS w FROM documents)",
     "h3_contains_kw": "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9+#.])the\\.*($|[^a-z0-9+#.])') AS the, contains(lower(text), 'c3') AS c3, regexp_matches(lower(text), '(^|[^a-z0-9+#.])onre\\.*($|[^a-z0-9+#.])') AS onre FROM documents",
-    "h4_contacts": f"SELECT doc_id, regexp_extract(text, '{T.EMAIL}') AS email, regexp_replace(regexp_extract(text, '{T.PHONE}'), '^\\+[0-9]{{1,3}}[ -]?', '') AS phone FROM documents",
-    "h5_redact": _redact() + f" SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text, {_KINDS} FROM {_LAST}",
+    "h4_contacts": duck(
+        f"""SELECT doc_id, regexp_extract(text, '{T.EMAIL}') AS email, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(text, '(^|[^0-9])({T.MOBILE})([^0-9]|$)', 2), '[^0-9]', '', 'g'), '^86', ''), ''), regexp_replace(regexp_extract(text, '{T.PHONE}'), '^\\+[0-9]{{1,3}}[ -]?', '')) AS phone,
+        regexp_extract(text, '(?i)(?:微信|Wechat)\\s*[:：]?\\s*([A-Za-z0-9_-]{{3,30}})', 1) AS wechat, regexp_extract(text, '(?:QQ|qq)\\s*[:：]?\\s*([1-9][0-9]{{4,11}})', 1) AS qq,
+        regexp_extract(text, '(?i)(?:salary|gehalt|salaire)\\s*[:=]\\s*([0-9kK -]+)', 1) AS salary,
+        coalesce(nullif(regexp_extract(text, '(?:现居|现居地|居住地|所在地|地址)\\s*[:：]?\\s*([{T.HAN}A-Za-z]{{2,20}})', 1), ''), regexp_extract(text, '(?i)(?:location|address|ort|ville)\\s*[:=]\\s*([^\\n,;]{{2,40}})', 1)) AS location,
+        CASE WHEN {_is_name(_LABEL)} THEN {_LABEL} ELSE coalesce(list_filter({_CELLS}, lambda z: {_is_name('z')})[1], '') END AS name FROM v_resume"""
+    ),
+    "h5_redact": duck(_redact() + f" SELECT doc_id, {_SQUEEZED} AS text, {_KINDS} FROM r_name"),
     "h6_residual_pii": "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p, _ in T.PII) + "], lambda x: x IS NOT NULL) AS kinds FROM documents",
-    "d18_redaction_report": _redact() + " SELECT kind, sum(n) AS total, count(*) FILTER (n > 0) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS n FROM {_LAST}" for k, _, _ in T.PII)
-    + f" UNION ALL SELECT 'needs_review', CAST({' OR '.join(f"regexp_matches(text, '{p}')" for _, p, _ in T.PII)} AS INT) FROM {_LAST} UNION ALL SELECT 'empty', CAST(trim(text) = '' AS INT) FROM {_LAST}) GROUP BY 1",
+    "d18_redaction_report": duck(
+        _redact() + " SELECT kind, sum(n) AS total, count(*) FILTER (n > 0) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS n FROM r_name" for k in T.KINDS)
+        + f" UNION ALL SELECT 'needs_review', CAST({' OR '.join(f"regexp_matches(text, '{p}')" for _, p, _ in T.PII)} AS INT) FROM r_name UNION ALL SELECT 'empty', CAST(trim(text) = '' AS INT) FROM r_name) GROUP BY 1"
+    ),
     "h7_visible_text": sql("SELECT page_id, text FROM page"),
     "h8_page_title": sql("SELECT page_id, title FROM page"),
     "h9_infer_degree": sql(f"SELECT page_id, {_degree('minimum', 'preferred')} FROM page"),

@@ -61,6 +61,13 @@ VIEWS = {
                CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 + o_orderkey % 6 AS INT) AS end_m FROM {orders}""",
     "v_annot_a": "SELECT doc_id, quality, toxic FROM {labels}",
     "v_annot_b": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM {labels} WHERE doc_id % 13 <> 0",
+    "v_resume": """
+        SELECT doc_id, concat(
+               CASE doc_id % 5 WHEN 0 THEN '王小明 / 数据分析' WHEN 1 THEN '姓名：李娜' WHEN 2 THEN '教育背景' WHEN 3 THEN '人力资源管理' ELSE 'Resume' END, chr(10),
+               CASE doc_id % 3 WHEN 0 THEN concat('QQ：', CAST(100000 + doc_id AS STRING)) WHEN 1 THEN concat('微信: wx_', CAST(doc_id AS STRING)) ELSE concat('github.com/user-', CAST(doc_id AS STRING)) END, chr(10),
+               CASE doc_id % 7 WHEN 0 THEN '手机：13800138000' WHEN 1 THEN '+86 139-0013-9000,13700137000' ELSE '' END, chr(10),
+               CASE doc_id % 4 WHEN 0 THEN '现居：北京市海淀区中关村' WHEN 1 THEN '北方工业大学 软件工程专业 本科' WHEN 2 THEN '星河网络科技有限公司 实习生' ELSE '大学生活动中心大学 李娜' END, chr(10),
+               coalesce(text, '')) AS text FROM {documents}""",
     "v_job_profile": "SELECT DISTINCT o_orderkey % 30 AS job_profile_id, concat('profile-', CAST(o_orderkey % 30 AS STRING)) AS name FROM {orders}",
 }
 
