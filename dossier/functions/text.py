@@ -95,8 +95,8 @@ def contacts(c: Column) -> Column:
     mobile = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, rf"(?<![0-9]){MOBILE}(?![0-9])", 0), "[^0-9]", ""), "^86", "")
     first = lambda *found: F.when(c.isNotNull(), F.coalesce(F.try_element_at(F.filter(F.array(*found), lambda x: x != ""), F.lit(1)), F.lit("")))
     return F.struct(
-        F.regexp_extract(c, EMAIL, 0).alias("email"), first(mobile, phone).alias("phone"),
-        F.regexp_extract(c, r"(?i)(?:微信|Wechat)\s*[:：]?\s*([A-Za-z0-9_-]{3,30})", 1).alias("wechat"), F.regexp_extract(c, r"(?:QQ|qq)\s*[:：]?\s*([1-9][0-9]{4,11})", 1).alias("qq"),
+        F.when(F.contains(c, F.lit("@")), F.regexp_extract(c, EMAIL, 0)).when(c.isNotNull(), "").alias("email"), first(mobile, phone).alias("phone"),
+        F.when(_holds(F.lower(c), ("微信", "wechat")), F.regexp_extract(c, r"(?i)(?:微信|Wechat)\s*[:：]?\s*([A-Za-z0-9_-]{3,30})", 1)).when(c.isNotNull(), "").alias("wechat"), F.regexp_extract(c, r"(?:QQ|qq)\s*[:：]?\s*([1-9][0-9]{4,11})", 1).alias("qq"),
         first(F.regexp_extract(c, r"(?:期望薪资|薪资|薪酬)\s*[:：]?\s*([0-9kK千万元+~—至到/-]+(?:/月|每月|月)?|面议)", 1), F.regexp_extract(c, r"(?i)(?:salary|gehalt|salaire)\s*[:=]\s*([0-9kK -]+)", 1)).alias("salary"),
         first(F.regexp_extract(c, rf"(?:现居|现居地|居住地|所在地|地址)\s*[:：]?\s*([{HAN}A-Za-z]{{2,20}})", 1), F.regexp_extract(c, r"(?i)(?:location|address|ort|ville)\s*[:=]\s*([^\n,;]{2,40})", 1)).alias("location"),
     )

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CORE_SECTIONS, EXPERIENCE_SECTIONS, SECTION_ALIASES, RuleSet
-from ..functions.text import canon_line, line_class, norm_line, redact, residual_pii
+from ..functions.text import canon_line, line_class, norm_line, redact, residual_pii, target_position
 
 METRIC, DATE = r"[0-9]+(\.[0-9]+)? ?(%|\+|k\b)|[0-9]{3,}", r"\b(19|20)[0-9]{2}\b"
 CONTACT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.|\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+#: Words for a sought position.
+INTENT = r"(?i)(求职意向|意向岗位|目标岗位|应聘岗位|应聘职位|期望岗位|求职方向|目标职位|Desired\s*Position|Objective)"
 TABLE = r"\s\|\s|\t"
 
 
@@ -125,9 +127,9 @@ def junk_line(line: Column) -> Column:
 
 
 def features(docs: DataFrame, section_lines: DataFrame) -> DataFrame:
-    """Of each document: characters, sections, junk ratio, contact, metrics, layout; documents without lines too."""
+    """Of each document: characters, sections, junk ratio, contact, intent, metrics, layout; documents without lines too."""
     text = F.trim(F.coalesce("text", F.lit("")))
-    own = docs.select("doc_id", F.length(text).alias("size"), text.rlike(CONTACT).alias("has_contact"), F.regexp_count(text, F.lit(METRIC)).alias("metrics"))
+    own = docs.select("doc_id", F.length(text).alias("size"), text.rlike(CONTACT).alias("has_contact"), has_intent(F.col("text")).alias("has_intent"), F.regexp_count(text, F.lit(METRIC)).alias("metrics"))
     by_line = section_lines.groupBy("doc_id").agg(F.collect_set("section").alias("sections"), F.round(F.count_if(junk_line(F.col("line"))) / F.count("*"), 3).alias("junk"))
     shape = layout(section_lines.select("doc_id", "line_no", "line"), "pool").select("doc_id", "lines", "complexity")
     joined = own.join(by_line, "doc_id", "left").join(shape, "doc_id", "left")
@@ -151,11 +153,16 @@ def parse_quality(found: DataFrame) -> DataFrame:
     return rows.withColumn("quality", F.when(low, "low").when(strong & soft, "high").when(medium, "medium").otherwise("high"))
 
 
-def content_quality(found: DataFrame, intent: str = r"(?i)(desired\s*position|objective)") -> DataFrame:
-    """H31. Content quality and the two pool scores."""
+def has_intent(text: Column) -> Column:
+    """H31. Whether a text names a position that is sought: by one of the words for it, or by a label of H33. Null: false."""
+    return F.coalesce(text.rlike(INTENT) | (target_position(text) != ""), F.lit(False))
+
+
+def content_quality(found: DataFrame) -> DataFrame:
+    """H31. Content quality and the two pool scores; a sought position (has_intent of `features`) adds 0.6 and 0.3."""
     rich = F.size(F.array_intersect("sections", F.array(*map(F.lit, ("education", "internship", "projects", "skills", "campus", "awards")))))
     size = F.col("size")
-    wants = F.coalesce("has_intent", F.lit(False)) if "has_intent" in found.columns else F.lit(False)
+    wants = F.coalesce("has_intent", F.lit(False))
     quality = (
         0.9 * F.least(rich, F.lit(5)) + 0.35 * F.least("metrics", F.lit(8)) + F.when(wants, 0.6).otherwise(0.0) + F.when(size >= 400, 0.5).otherwise(0.0) + F.when(size >= 800, 0.4).otherwise(0.0) - F.when(size < 120, 2.0).otherwise(0.0)
     )

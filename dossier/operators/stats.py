@@ -163,20 +163,36 @@ def text_rates(docs: DataFrame, kind: str = "source") -> DataFrame:
     return docs.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("files"), F.count_if(readable).alias("readable")).withColumn("rate", F.col("readable") / F.col("files"))
 
 
-def facets(jobs: DataFrame, columns: tuple[str, ...] = ("city", "category", "education")) -> DataFrame:
-    """D16. Counts by value of each facet, with a row for all; blanks are left out."""
-    long = jobs.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in columns))).alias("x")).select("x.*").where("value <> ''")
-    counts = long.groupBy("facet", "value").agg(F.count("*").alias("n"))
-    total = jobs.agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, columns))).alias("facet"), F.lit("all").alias("value"), "n")
+#: Degrees that postings ask for, in the order in which they are looked for, and the words for each; blank and all else: the last.
+DEGREE_BUCKETS = (("硕士", "硕士|研究生|博士|master|doctor"), ("本科", "本科|学士|bachelor"), ("大专", "大专|专科|高职|college"), ("中专", "中专|中技"))
+ANY_DEGREE = "不限"
+
+
+def degree_bucket(c: Column) -> Column:
+    """D16. The first degree whose words a text holds, else any degree (null and blank too)."""
+    return F.coalesce(*(F.when(c.rlike(words), F.lit(name)) for name, words in DEGREE_BUCKETS), F.lit(ANY_DEGREE))
+
+
+def facets(jobs: DataFrame, columns: tuple[str, ...] = ("city", "category"), degree: str = "education", blank: str = "none") -> DataFrame:
+    """D16. Counts by value of each facet and by degree, with a row for all; blank and null values count as `blank`."""
+    value = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(blank))
+    pairs = [F.struct(F.lit(c).alias("facet"), value(c).alias("value")) for c in columns] + [F.struct(F.lit(degree).alias("facet"), degree_bucket(F.col(degree)).alias("value"))]
+    counts = jobs.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    total = jobs.agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, (*columns, degree)))).alias("facet"), F.lit("all").alias("value"), "n")
     return counts.unionByName(total).orderBy("facet", F.desc("n"), "value")
 
 
-def quality_summary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """D17. Documents, share analysed (labelled), share of those that pass, by language."""
-    rows = docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.count("quality").alias("analysed"), F.count_if(F.col("quality") == 1).alias("passed")).select(
-        "lang", "documents", "analysed", "passed", (F.col("analysed") / F.col("documents")).alias("analysis_rate"), F.coalesce(F.try_divide("passed", "analysed"), F.lit(0.0)).alias("pass_rate")
-    )
+def quality_summary(results: DataFrame, most_failures: int = 20) -> DataFrame:
+    """D17. results: (case_id, scored, quality, failure). One row: files, analysed, passed (high or medium), both rates, files by quality
+    (null: unknown; failed ones have none), and the first failures by case_id as case-<id>:<failure>. Without rows the rates are 0."""
+    ok = F.col("failure").isNull()
+    by_quality = results.where(ok).groupBy(F.coalesce("quality", F.lit("unknown")).alias("quality")).agg(F.count("*").alias("n"))
+    counts = by_quality.agg(F.array_sort(F.collect_list(F.concat_ws("=", "quality", "n"))).alias("quality_counts"))
+    failed = results.where(~ok).orderBy("case_id").limit(most_failures).agg(F.array_sort(F.collect_list(F.struct("case_id", "failure"))).alias("f"))
+    codes = failed.select(F.transform("f", lambda x: F.concat(F.lit("case-"), x["case_id"].cast("string"), F.lit(":"), x["failure"])).alias("failure_types"))
+    whole = results.agg(F.count("*").alias("files"), F.count_if(ok & F.col("scored")).alias("analysed"), F.count_if(ok & F.col("quality").isin("high", "medium")).alias("passed"))
+    rate = lambda c: F.coalesce(F.round(F.try_divide(c, "files"), 4), F.lit(0.0))
+    return whole.withColumns({"analysis_rate": rate("analysed"), "pass_rate": rate("passed")}).crossJoin(counts).crossJoin(codes)  # one row each
 
 
 def latency_summary(df: DataFrame, value: str, key: str) -> DataFrame:

@@ -46,6 +46,14 @@ def tasks(v: Views):
     return v.v_record.select("record_id", "status", F.to_timestamp("created_at").alias("updated_at"), (F.col("record_id") % 4).alias("requeues"))
 
 
+def analysed(v: Views):
+    """Documents as analysed cases: those without a label have no score; every 37th fails."""
+    k = F.col("doc_id")
+    rows = v.documents.select("doc_id", "n_chars").join(v.labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    quality = F.when(F.col("label") == 1, "high").when(F.col("label") == 0, F.when(F.col("n_chars") % 2 == 0, "medium").otherwise("low"))
+    return rows.select(k.alias("case_id"), F.col("label").isNotNull().alias("scored"), quality.alias("quality"), F.when(k % 37 == 0, "ValueError").alias("failure"))
+
+
 QUERIES = {
     "a4_read_table": lambda v: v.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderdate").cast("string").alias("newest")),
     "a10_upsert_records": lambda v: R.upsert_records(
@@ -101,7 +109,7 @@ QUERIES = {
     "d14_status_summary": lambda v: S.status_summary(v.v_record),
     "d15_text_rates": lambda v: S.text_rates(v.documents),
     "d16_facets": lambda v: S.facets(v.v_job),
-    "d17_quality_summary": lambda v: S.quality_summary(v.documents, v.labels),
+    "d17_quality_summary": lambda v: S.quality_summary(analysed(v)),
     "d20_latency_summary": lambda v: S.latency_summary(v.events, "value", "event_type"),
 }
 
@@ -230,8 +238,11 @@ SQL = {
     "d14_status_summary": sql("SELECT coalesce(s, status) AS status, count(record_id) AS n FROM (VALUES ('processing'), ('success'), ('failed'), ('paused')) k(s) FULL JOIN v_record ON s = status GROUP BY 1"),
     "d15_text_rates": "SELECT source AS kind, count(*) AS files, count(*) FILTER (length(trim(text)) >= 80) AS readable, count(*) FILTER (length(trim(text)) >= 80) / count(*) AS rate FROM documents GROUP BY 1",
     "d16_facets": sql(
-        "SELECT facet, value, count(*) AS n FROM (SELECT unnest([{'facet': 'city', 'value': city}, {'facet': 'category', 'value': category}, {'facet': 'education', 'value': education}], recursive := true) FROM v_job) WHERE value <> '' GROUP BY ALL UNION ALL SELECT unnest(['city', 'category', 'education']), 'all', count(*) FROM v_job"
+        "SELECT facet, value, count(*) AS n FROM (SELECT unnest([{'facet': 'city', 'value': coalesce(nullif(city, ''), 'none')}, {'facet': 'category', 'value': coalesce(nullif(category, ''), 'none')}, {'facet': 'education', 'value': CASE WHEN regexp_matches(education, 'master|doctor') THEN '硕士' WHEN education = 'bachelor' THEN '本科' WHEN education = 'college' THEN '大专' ELSE '不限' END}], recursive := true) FROM v_job) GROUP BY ALL UNION ALL SELECT unnest(['city', 'category', 'education']), 'all', count(*) FROM v_job"
     ),
-    "d17_quality_summary": "SELECT lang, count(*) AS documents, count(quality) AS analysed, count(*) FILTER (quality = 1) AS passed, count(quality) / count(*) AS analysis_rate, coalesce(count(*) FILTER (quality = 1) / nullif(count(quality), 0), 0.0) AS pass_rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
+    "d17_quality_summary": """WITH c AS (SELECT doc_id AS case_id, quality IS NOT NULL AS scored, doc_id % 37 = 0 AS failed, CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 AND n_chars % 2 = 0 THEN 'medium' WHEN quality = 0 THEN 'low' ELSE 'unknown' END AS q FROM documents LEFT JOIN labels USING (doc_id))
+        SELECT *, round(analysed / files, 4) AS analysis_rate, round(passed / files, 4) AS pass_rate, (SELECT list(q || '=' || n ORDER BY q) FROM (SELECT q, count(*) AS n FROM c WHERE NOT failed GROUP BY 1)) AS quality_counts,
+        (SELECT list('case-' || case_id || ':ValueError' ORDER BY case_id) FROM (SELECT case_id FROM c WHERE failed ORDER BY 1 LIMIT 20)) AS failure_types
+        FROM (SELECT count(*) AS files, count(*) FILTER (scored AND NOT failed) AS analysed, count(*) FILTER (q IN ('high', 'medium') AND NOT failed) AS passed FROM c)""",
     "d20_latency_summary": "SELECT event_type, count(*) AS n, round(avg(v), 2) AS mean, max(v) FILTER (i = round_even((n - 1) * 0.5, 0)) AS p50, max(v) FILTER (i = round_even((n - 1) * 0.95, 0)) AS p95, min(v) AS least, max(v) AS most FROM (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1",
 }

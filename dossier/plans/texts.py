@@ -21,7 +21,12 @@ def segmented(v: Views):
 
 
 def found(v: Views):
-    return L.features(v.documents, segmented(v))
+    return L.features(v.documents.select("doc_id", wanted()), segmented(v))
+
+
+def wanted():
+    """A third of the texts name a sought position, which the tables do not."""
+    return F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("求职意向 "), F.coalesce("text", F.lit("")))).when(F.col("doc_id") % 6 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("\nTarget: data analyst"))).otherwise(F.col("text")).alias("text")
 
 
 def job_terms(v: Views):
@@ -47,7 +52,7 @@ QUERIES = {
     "h30_layout_parser": lambda v: L.layout(v.v_line).select("doc_id", "lines", "short", "tables", "long", "complexity", "tags"),
     "h30_layout_pool": lambda v: L.layout(v.v_line, "pool").select("doc_id", "complexity"),
     "h30_junk_ratio": lambda v: v.v_line.groupBy("doc_id").agg((F.count_if(L.junk_line(F.col("line"))) / F.count("*")).alias("junk")),
-    "h31_content_quality": lambda v: L.content_quality(found(v)).select("doc_id", "rich", "metrics", "content_quality", "a_score", "b_score"),
+    "h31_content_quality": lambda v: L.content_quality(found(v)).select("doc_id", "has_intent", "rich", "metrics", "content_quality", "a_score", "b_score"),
     "h32_parse_quality": lambda v: L.parse_quality(found(v)).select("doc_id", "quality", "warnings"),
     "h33_target_from_name": lambda v: v.v_file.select("file_id", T.target_from_name(F.col("name")).alias("target")),
     "h34_normalise_sections": lambda v: L.normalise_sections(segmented(v).withColumn("section", F.when(F.col("section") == "projects", "Project").otherwise(F.col("section")))).select("doc_id", "line_no", "section", "line"),
@@ -143,11 +148,12 @@ SELECT doc_id, count(*) AS lines, count(*) FILTER (length(trim(line)) <= 4) AS s
 _STEP = "CASE WHEN lines >= 40 THEN 1.2 WHEN lines >= 25 THEN 0.7 ELSE 0 END + CASE WHEN {0} / lines >= 0.35 THEN 1.3 WHEN {0} / lines >= 0.2 THEN 0.6 ELSE 0 END + CASE WHEN tables >= 6 THEN 1.4 WHEN tables >= 2 THEN 0.7 ELSE 0 END"
 _POOL = f"SELECT doc_id, lines, junk, CAST({_STEP.format('short2')} + CASE WHEN chars / lines < 12 THEN 0.8 ELSE 0 END + CASE WHEN all_chars / lines < 18 THEN 0.5 ELSE 0 END + CASE WHEN long >= 3 THEN 0.9 ELSE 0 END AS DOUBLE) AS complexity FROM lay"
 _FOUND = f"""
-SELECT d.doc_id, length(trim(coalesce(text, ''))) AS size, regexp_matches(trim(coalesce(text, '')), '{L.CONTACT}') AS has_contact, len(regexp_extract_all(trim(coalesce(text, '')), '{L.METRIC}')) AS metrics,
+SELECT d.doc_id, coalesce(regexp_matches(text, '{L.INTENT}') OR regexp_matches(text, '(?im)^(?:target|position|objective)\\s*[:=]\\s*.*[^-_/|,\\s0-9]'), false) AS has_intent, length(trim(coalesce(text, ''))) AS size, regexp_matches(trim(coalesce(text, '')), '{L.CONTACT}') AS has_contact, len(regexp_extract_all(trim(coalesce(text, '')), '{L.METRIC}')) AS metrics,
   coalesce(sections, []) AS sections, coalesce(round(junk / lines, 3), 1.0) AS junk, coalesce(complexity, 0.0) AS complexity,
   len(list_intersect(coalesce(sections, []), ['basic_info', 'education', 'internship', 'projects', 'skills'])) AS core,
   len(list_intersect(coalesce(sections, []), ['education', 'internship', 'projects', 'skills', 'campus', 'awards'])) AS rich
-FROM documents d LEFT JOIN (SELECT doc_id, list(DISTINCT section) AS sections FROM seg GROUP BY 1) s USING (doc_id) LEFT JOIN pool p USING (doc_id)"""
+FROM wanted d LEFT JOIN (SELECT doc_id, list(DISTINCT section) AS sections FROM seg GROUP BY 1) s USING (doc_id) LEFT JOIN pool p USING (doc_id)"""
+_WANTED = "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '求职意向 ' || coalesce(text, '') WHEN doc_id % 6 = 3 THEN coalesce(text, '') || chr(10) || 'Target: data analyst' ELSE text END AS text FROM documents"
 _QUALITY = """
 SELECT *, CASE WHEN size < 80 OR core <= 1 OR junk >= 0.55 THEN 'low'
   WHEN size >= 280 AND core >= 3 AND list_contains(sections, 'education') AND list_has_any(sections, ['internship', 'projects', 'campus']) AND list_has_any(sections, ['skills', 'projects']) AND junk < 0.25
@@ -156,8 +162,8 @@ SELECT *, CASE WHEN size < 80 OR core <= 1 OR junk >= 0.55 THEN 'low'
 FROM (SELECT *, list_filter([CASE WHEN size = 0 THEN 'no_text' WHEN size < 120 THEN 'short_text' END, CASE WHEN core <= 1 THEN 'core_missing' WHEN core <= 2 THEN 'core_partial' END, CASE WHEN junk >= 0.4 THEN 'noise' END,
   CASE WHEN NOT has_contact AND size >= 120 THEN 'no_contact' END], lambda w: w IS NOT NULL) AS warnings FROM found)"""
 _CONTENT = """
-SELECT *, round(content_quality - 0.85 * complexity, 3) AS a_score, round(complexity + CASE WHEN size < 80 THEN 1.2 ELSE 0 END + CASE WHEN size < 120 THEN 1.0 ELSE 0 END, 3) AS b_score
-FROM (SELECT *, round(0.9 * least(rich, 5) + 0.35 * least(metrics, 8) + CASE WHEN size >= 400 THEN 0.5 ELSE 0 END + CASE WHEN size >= 800 THEN 0.4 ELSE 0 END - CASE WHEN size < 120 THEN 2.0 ELSE 0 END, 3) AS content_quality FROM found)"""
+SELECT *, round(content_quality - 0.85 * complexity + CASE WHEN has_intent THEN 0.3 ELSE 0 END, 3) AS a_score, round(complexity + CASE WHEN size < 80 THEN 1.2 ELSE 0 END + CASE WHEN size < 120 THEN 1.0 ELSE 0 END, 3) AS b_score
+FROM (SELECT *, round(0.9 * least(rich, 5) + 0.35 * least(metrics, 8) + CASE WHEN has_intent THEN 0.6 ELSE 0 END + CASE WHEN size >= 400 THEN 0.5 ELSE 0 END + CASE WHEN size >= 800 THEN 0.4 ELSE 0 END - CASE WHEN size < 120 THEN 2.0 ELSE 0 END, 3) AS content_quality FROM found)"""
 _CARD = """
 SELECT doc_id, quality, coalesce(CASE WHEN list_contains(warnings, 'no_text') THEN 'no_text' END, CASE WHEN list_contains(warnings, 'core_missing') THEN 'core_missing' END, CASE WHEN list_contains(warnings, 'noise') THEN 'noise' END,
   CASE WHEN list_contains(warnings, 'short_text') THEN 'short_text' END, CASE WHEN list_contains(warnings, 'core_partial') THEN 'core_partial' END, CASE WHEN list_contains(warnings, 'no_contact') THEN 'no_contact' END, '') AS core_warning,
@@ -194,7 +200,7 @@ _INFERRED = f"""SELECT doc_id, line_no, CASE WHEN NOT has AND now = 'skills' AND
 
 
 def sql(text: str) -> str:
-    return duck(text, seg=_SEG, norm_lines=_NORM, page=_PAGE, lay=_LAY, pool=_POOL, found=_FOUND, judged=_QUALITY, content=_CONTENT, card=_CARD, idf=_IDF, term=_TERM, term_name=_NAME)
+    return duck(text, wanted=_WANTED, seg=_SEG, norm_lines=_NORM, page=_PAGE, lay=_LAY, pool=_POOL, found=_FOUND, judged=_QUALITY, content=_CONTENT, card=_CARD, idf=_IDF, term=_TERM, term_name=_NAME)
 
 
 SQL = {
@@ -227,7 +233,7 @@ SQL = {
     ),
     "h30_layout_pool": sql("SELECT doc_id, complexity FROM pool"),
     "h30_junk_ratio": sql("SELECT doc_id, junk / lines AS junk FROM lay"),
-    "h31_content_quality": sql("SELECT doc_id, rich, metrics, content_quality, a_score, b_score FROM content"),
+    "h31_content_quality": sql("SELECT doc_id, has_intent, rich, metrics, content_quality, a_score, b_score FROM content"),
     "h32_parse_quality": sql("SELECT doc_id, quality, warnings FROM judged"),
     "h33_target_from_name": sql(
         r"SELECT file_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(name, '\.[A-Za-z]+$', ''), '^~\$', ''), '[-_/|,\s]+'), lambda p: trim(p)), lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]+$'))[1:3], ' ') AS target FROM v_file"
