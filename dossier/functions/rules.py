@@ -35,6 +35,15 @@ MAJOR_HINT = (
     "心理|统计|通信|自动化|建筑|环境|材料|食品|药学|会计|金融|人力|数据|智能|媒体|传播|编辑|财务|网络|信息|国际|商务|公共"
 )
 NOT_A_NAME = "大学|学院|公司|集团|专业|实习|经理|工程师|设计|开发|分析|运营"
+#: Terms of trades, which postings in Han characters are searched for.
+DOMAIN_TERMS = (
+    "数据分析", "数据运营", "商业分析", "数据清洗", "数据可视化", "可视化", "机器学习", "深度学习",
+    "用户增长", "内容运营", "内容策划", "新媒体运营", "账号运营", "社群运营", "活动策划", "网络推广",
+    "品牌营销", "数字营销", "搜索引擎优化", "项目管理", "产品设计", "交互设计", "视觉设计", "平面设计",
+    "需求分析", "竞品分析", "用户研究", "原型设计", "接口开发", "系统开发", "前端开发", "后端开发",
+    "数据库", "数据建模", "自动化测试", "性能优化", "风险控制", "客户服务", "供应链管理", "电商运营",
+    "短视频运营", "视频剪辑", "文案策划", "拍摄剪辑", "直播运营", "用户画像", "指标体系", "报表开发",
+)
 #: Weights of the six score dimensions.
 DIMENSIONS = ("content_completeness", "experience_match", "language_professionalism", "format_standardization", "highlight_strength", "job_match")
 DEFAULT_WEIGHTS = {"content_completeness": 0.20, "experience_match": 0.20, "language_professionalism": 0.15, "format_standardization": 0.10, "highlight_strength": 0.15, "job_match": 0.20}

@@ -18,6 +18,9 @@ MOST_TERMS, MOST_SKILLS = 32, 12
 STRONG, WEAK_SECTIONS = ("skills", "projects", "internship"), ("skills", "projects", "internship", "campus")
 DEGREE_RANK = {"college": 1, "bachelor": 2, "master": 3, "doctor": 4}
 
+#: Terms too common to be asked for by themselves.
+COMMON_TERMS = ("分析", "处理", "优化", "管理", "支持", "服务", "业务", "项目", "活动", "方案", "报告", "数据")
+
 
 def verified_jobs(jobs: DataFrame) -> DataFrame:
     """B1. Postings from a job page, reviewed, with a position and a url."""
@@ -183,11 +186,16 @@ def alignment(pairs: DataFrame, docs: DataFrame, jobs: DataFrame, degrees: Seque
     return rows.select("doc_id", "job_id", education.alias("education"), F.when(~F.col("wants"), "not_required").when(F.col("shown"), "evidence_found").otherwise("unknown").alias("experience"))
 
 
-def job_words(text: Column, stop_words: Sequence[str], most: int = 18) -> Column:
-    """H22. Words of a posting without stop words, the longest first, `most` of them."""
-    words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9+#.]{1,}"), F.lit(0))), F.array(*map(F.lit, stop_words)))
+def job_words(text: Column, stop_words: Sequence[str], terms: Sequence[str] = (), most: int = 18) -> Column:
+    """H22. must: the words of a posting and the known terms in it, without stop words, the longest first, `most` of them; nice: terms of over 16 characters. Null: null."""
+    low, terms = F.lower(text), sorted({t.strip().lower() for t in terms} - {""})
+    none = F.array().cast("array<string>")
+    known = lambda kept: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in kept))) if kept else none
+    found = F.concat(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9+#.]{1,}"), F.lit(0)), known([t for t in terms if len(t) <= 16 and t not in COMMON_TERMS]))
+    words = F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop_words)) if stop_words else none)
     keyed = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.slice(F.transform(keyed, lambda x: x["w"]), 1, most)
+    nice = known([t for t in terms if len(t) > 16 and t not in stop_words])
+    return F.when(text.isNotNull(), F.struct(F.slice(F.transform(keyed, lambda x: x["w"]), 1, most).alias("must"), nice.alias("nice")))
 
 
 def pick_profile(docs: DataFrame, profiles: DataFrame) -> DataFrame:

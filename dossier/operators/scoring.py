@@ -107,16 +107,33 @@ def merged_months(intervals: DataFrame) -> DataFrame:
     return spans.groupBy("person_id").agg(F.sum("months").alias("months"), F.count("*").alias("spans"))
 
 
+#: Schools by their last word, and subjects by a label or the word for them.
+SCHOOL = r"(?:[A-Z][A-Za-z0-9_. ]{2,40}(?:University|College|School)|[A-Za-z\x{4e00}-\x{9fa5}]{2,30}(?:大学|学院|学校|职业技术学院|职业技术大学))"
+MAJOR = r"([A-Za-z\x{4e00}-\x{9fa5}]{2,24}专业)|(?:专业|Major)[:：]\s*([A-Za-z\x{4e00}-\x{9fa5}]{2,24})"
+RANGE = r"(?i)[0-9]{4}(?:[./-][0-9]{1,2})?\s*(?:-|to|until)\s*(?:[0-9]{4}(?:[./-][0-9]{1,2})?|present|now|today)"
+EDGES = r"^[ ，,|-]+|[ ，,|-]+$"
+
+
 def education_entries(section_lines: DataFrame, rules: RuleSet, as_of: str) -> DataFrame:
-    """H28. Of each education line with a degree or a range: school, degree, range and confidence."""
+    """H28. Of each education line with a degree, a school or a range: school, degree, major, range and confidence.
+
+    The major is named as such, or is what follows the school without degree and range, where that has 2 to 24 characters and tells of no duty or award.
+    """
     low = F.lower("line")
-    degree = F.lit("")
+    degree, rest = F.lit(""), F.regexp_replace(F.regexp_extract("line", rf"{SCHOOL}(.*)$", 1), RANGE, "")
     for name, _, pattern in reversed(rules.degrees):
         degree = F.when(low.rlike(pattern), name).otherwise(degree)
-    rows = section_lines.where(F.col("section") == "education").withColumns({"school": F.trim(F.regexp_extract("line", r"(?i)([A-Z][\w. ]{2,40}(?:University|College|School))", 1)), "degree": degree, "range": date_range(F.col("line"), as_of)})
+    for _, _, pattern in rules.degrees:
+        rest = F.regexp_replace(rest, rf"(?i){pattern}", "")
+    rows = section_lines.where(F.col("section") == "education").withColumns({
+        "school": F.trim(F.regexp_extract("line", SCHOOL, 0)), "degree": degree, "range": date_range(F.col("line"), as_of), "rest": F.regexp_replace(rest, EDGES, ""),
+        "named": F.concat(F.regexp_extract("line", MAJOR, 1), F.regexp_extract("line", MAJOR, 2)),
+    })
     kept = rows.where((F.col("degree") != "") | (F.col("school") != "") | F.col("range.start").isNotNull())
-    score = 0.55 + F.when(F.col("school") != "", 0.2).otherwise(0.0) + F.when(F.col("degree") != "", 0.1).otherwise(0.0) + F.when(F.col("range.start").isNotNull(), 0.05).otherwise(0.0)
-    return kept.select("doc_id", "line_no", "school", "degree", F.col("range.start").cast("string").alias("start"), F.col("range.months").alias("months"), F.round(F.least(score, F.lit(0.98)), 2).alias("confidence"))
+    kept = kept.withColumn("major", F.when(F.col("named") != "", F.col("named")).when((F.col("school") != "") & F.length("rest").between(2, 24) & ~F.col("rest").rlike("负责|参与|奖"), F.col("rest")).otherwise(""))
+    gain = lambda c, by: F.when(c, by).otherwise(0.0)
+    score = 0.55 + gain(F.col("school") != "", 0.2) + gain(F.col("degree") != "", 0.1) + gain(F.col("major") != "", 0.1) + gain(F.col("range.start").isNotNull(), 0.05)
+    return kept.select("doc_id", "line_no", "school", "degree", "major", F.col("range.start").cast("string").alias("start"), F.col("range.months").alias("months"), F.round(F.least(score, F.lit(0.98)), 2).alias("confidence"))
 
 
 def award_entries(section_lines: DataFrame) -> DataFrame:

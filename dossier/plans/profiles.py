@@ -26,6 +26,13 @@ def inputs(v: Views):
     return rows.withColumns({"job_match": (k % 101).cast("double"), "match_rate": (k % 11) / 10, "has_target": k % 2 == 0})
 
 
+def schooled(v: Views):
+    """Half of the documents with lines that name a school, which the table does not."""
+    k, line = F.col("doc_id") % 4, F.col("line")
+    more = F.when(k == 0, "北方工业大学 软件工程 bachelor 2018.09-2022.06").when(k == 1, F.concat(F.lit("Example University, "), F.substring(line, 1, 12))).when(k == 2, F.concat(F.lit("Major: Physics "), line))
+    return segmented(v).withColumn("line", F.coalesce(more, line))
+
+
 def scored(v: Views):
     return S.score_documents(inputs(v))
 
@@ -62,7 +69,7 @@ QUERIES = {
     "h19_rewrite_candidates": lambda v: S.rewrite_candidates(segmented(v), LATIN),
     "h27_date_range": lambda v: dates(v).select("o_orderkey", T.date_range(F.col("s"), AS_OF).alias("r")).select("o_orderkey", F.col("r.start").cast("string").alias("start"), F.col("r.end").cast("string").alias("end"), "r.months"),
     "e13_merged_months": lambda v: S.merged_months(v.v_interval),
-    "h28_education_entries": lambda v: S.education_entries(segmented(v), LATIN, AS_OF).select("doc_id", "line_no", "degree", "confidence"),
+    "h28_education_entries": lambda v: S.education_entries(schooled(v), LATIN, AS_OF),
     "h28_award_entries": lambda v: S.award_entries(segmented(v)),
     "h28_experience_blocks": lambda v: S.experience_blocks(segmented(v), HEADER),
     "h29_canonical_skills": lambda v: S.canonical_skills(skill_hits(v)),
@@ -70,6 +77,11 @@ QUERIES = {
     "s1_analysis_events": lambda v: S.analysis_events(v.documents.select("doc_id", F.col("n_chars").alias("total")), skill_hits(v), L.missing_sections(found(v))),
 }
 
+_RANGE = r"(?i)([0-9]{4})(?:[./-]([0-9]{1,2}))?\s*(?:-|to|until)\s*(?:([0-9]{4})(?:[./-]([0-9]{1,2}))?|(present|now|today))"
+_DEGREE = "CASE " + " ".join(f"WHEN regexp_matches(lower(line), '{texts._u(p)}') THEN '{n}'" for n, _, p in LATIN.degrees) + " ELSE '' END"
+_REST = f"regexp_replace(regexp_extract(line, '{S.SCHOOL}(.*)$', 1), '{S.RANGE}', '', 'g')"
+for _, _, _p in LATIN.degrees:
+    _REST = f"regexp_replace({_REST}, '(?i){_p}', '', 'g')"
 _SHARE = "CASE WHEN n_{0} >= 4 THEN 13 WHEN n_{0} > 0 THEN 8 ELSE 0 END"
 _CORE = ("basic_info", "education", "internship", "projects", "skills")
 _ALL = (*_CORE, "campus", "awards", "summary")
@@ -129,6 +141,17 @@ SQL = {
     "e13_merged_months": sql(
         "SELECT person_id, count(*) AS months, count(*) FILTER (gap IS NULL OR gap > 1) AS spans FROM (SELECT person_id, m, m - lag(m) OVER (PARTITION BY person_id ORDER BY m) AS gap FROM (SELECT DISTINCT person_id, unnest(range(start_m, end_m + 1)) AS m FROM v_interval)) GROUP BY 1"
     ),
+    "h28_education_entries": sql(
+        f"""SELECT doc_id, line_no, school, degree, major, CAST(start AS VARCHAR) AS start, CASE WHEN fin >= start THEN datediff('month', start, fin) + 1 END AS months,
+        round(least(0.55 + CASE WHEN school <> '' THEN 0.2 ELSE 0 END + CASE WHEN degree <> '' THEN 0.1 ELSE 0 END + CASE WHEN major <> '' THEN 0.1 ELSE 0 END + CASE WHEN start IS NOT NULL THEN 0.05 ELSE 0 END, 0.98), 2) AS confidence FROM (
+        SELECT *, CASE WHEN named <> '' THEN named WHEN school <> '' AND length(rest) BETWEEN 2 AND 24 AND NOT regexp_matches(rest, '负责|参与|奖') THEN rest ELSE '' END AS major,
+          CASE WHEN y1 <> '' THEN make_date(CAST(y1 AS INT), CAST(CASE WHEN m1 = '' THEN 1 ELSE least(greatest(CAST(m1 AS INT), 1), 12) END AS INT), 1) END AS start,
+          CASE WHEN now <> '' THEN date_trunc('month', DATE '{AS_OF}') WHEN y2 <> '' THEN make_date(CAST(y2 AS INT), CAST(CASE WHEN m2 = '' THEN 12 ELSE least(greatest(CAST(m2 AS INT), 1), 12) END AS INT), 1) END AS fin
+        FROM (SELECT *, trim(regexp_extract(line, '{S.SCHOOL}')) AS school, {_DEGREE} AS degree, regexp_replace({_REST}, '{S.EDGES}', '', 'g') AS rest, regexp_extract(line, '{S.MAJOR}', 1) || regexp_extract(line, '{S.MAJOR}', 2) AS named,
+          regexp_extract(line, '{_RANGE}', 1) AS y1, regexp_extract(line, '{_RANGE}', 2) AS m1, regexp_extract(line, '{_RANGE}', 3) AS y2, regexp_extract(line, '{_RANGE}', 4) AS m2, regexp_extract(line, '{_RANGE}', 5) AS now
+        FROM (SELECT doc_id, line_no, CASE doc_id % 4 WHEN 0 THEN '北方工业大学 软件工程 bachelor 2018.09-2022.06' WHEN 1 THEN 'Example University, ' || line[1:12] WHEN 2 THEN 'Major: Physics ' || line ELSE line END AS line FROM seg WHERE section = 'education')))
+        WHERE school <> '' OR degree <> '' OR start IS NOT NULL"""
+    ),
     "h28_award_entries": sql(f"SELECT doc_id, line_no, regexp_extract(line, '{L.DATE}') AS year, CASE WHEN regexp_extract(line, '{L.DATE}') <> '' THEN 0.8 ELSE 0.6 END AS confidence FROM seg WHERE section = 'awards'"),
     "h28_experience_blocks": sql(
         f"SELECT doc_id, section, block, min(line_no) AS first_line, sum(1 - head) AS bullets FROM (SELECT *, sum(head) OVER (PARTITION BY doc_id, section ORDER BY line_no) AS block FROM (SELECT *, CAST(regexp_matches(lower(line), '{texts._u(HEADER)}') AS INT) AS head FROM seg WHERE section IN ('internship', 'projects', 'campus'))) GROUP BY ALL"
