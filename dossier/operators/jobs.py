@@ -176,6 +176,19 @@ def select_job(ranked: DataFrame, requests: DataFrame, least: float = 0.22) -> D
     return first.select("doc_id", "job_id", "score", decision.alias("decision"), accept_auto().alias("strong"))
 
 
+def requirement_basis(first: DataFrame, docs: DataFrame, jobs: DataFrame, most: int = 8) -> DataFrame:
+    """H26. What the postings of `first` (doc_id, job_id) ask for and the documents show: skills hit and missing, `most` of each in the posting's
+    order, and how many; a skill is hit where a term that the document holds contains it or is contained in it. A posting without skills: both empty.
+    """
+    groups = term_groups(jobs).select("job_id", clean_skills(F.col("must")).alias("skills"), "t_all")
+    asked = first.select("doc_id", "job_id").join(groups, "job_id")
+    held = match_terms(docs, groups.select(F.explode("t_all").alias("term"))).join(asked.select("doc_id", "job_id", F.explode("t_all").alias("term")), ["doc_id", "term"])
+    rows = asked.join(held.groupBy("doc_id", "job_id").agg(F.collect_set("term").alias("held")), ["doc_id", "job_id"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    hit = F.filter("skills", lambda s: F.exists("held", lambda t: F.contains(F.lower(s), t) | F.contains(t, F.lower(s))))
+    rows = rows.withColumn("hit", hit).withColumn("missing", F.array_except("skills", "hit"))
+    return rows.select("doc_id", "job_id", F.slice("hit", 1, most).alias("hit_skills"), F.slice("missing", 1, most).alias("missing_skills"), F.size("hit").alias("hit_count"), F.size("missing").alias("miss_count"))
+
+
 def alignment(pairs: DataFrame, docs: DataFrame, jobs: DataFrame, degrees: Sequence[tuple[str, int, str]], experience: str) -> DataFrame:
     """H14. Whether a document meets a posting's degree and shows experience."""
     low = F.lower("text")

@@ -103,6 +103,7 @@ QUERIES = {
     "h24_final_score": lambda v: gate_rows(v).withColumn("gate", J.degree_gate(gate_rows(v))).select("record_id", "gate", J.final_score(F.col("gate"), F.col("semantic"), F.col("rule")).alias("score")),
     "h25_coverage_breakdown": lambda v: found(v).select("doc_id", J.coverage_breakdown(F.col("core") / 5, F.least("metrics", F.lit(10)) / 10, F.col("sections")).alias("coverage")),
     "h26_select_job": lambda v: J.select_job(ranked(v), requests(v)),
+    "h26_requirement_basis": lambda v: J.requirement_basis(ranked(v).where("rank = 1"), v.documents, v.v_job),
     "c11_skill_hints": lambda v: J.skill_hints(M.match_terms(v.documents, edges(v).select(F.explode(F.array("parent", "child")).alias("term"))), edges(v), missing(v)),
     "c12_apply_rewrites": lambda v: rewrites(v, 0),
     "c12_rewrite_log": lambda v: rewrites(v, 1).groupBy("doc_id", "change").agg(F.count("*").alias("n")),
@@ -207,6 +208,10 @@ SQL = {
     "h26_select_job": sql(
         """SELECT doc_id, job_id, score, CASE WHEN doc_id % 3 <> 0 THEN 'recommended' WHEN score >= 0.22 THEN 'accepted' ELSE 'rejected' END AS decision, (position_share >= 0.5 AND must >= 0.34) OR (must >= 0.6 AND (hits >= 2 OR position_share > 0)) AS strong FROM ranked WHERE rank = 1"""
     ),
+    "h26_requirement_basis": sql(
+        """SELECT doc_id, job_id, hit[1:8] AS hit_skills, missing[1:8] AS missing_skills, len(hit) AS hit_count, len(missing) AS miss_count FROM (SELECT doc_id, job_id, list_filter(must, lambda s: is_hit(s)) AS hit, list_filter(must, lambda s: NOT is_hit(s)) AS missing
+        FROM (SELECT r.doc_id, r.job_id, g.must, coalesce(held, []) AS held FROM ranked r JOIN grouped g USING (job_id) LEFT JOIN (SELECT doc_id, job_id, list(DISTINCT term) AS held FROM hit GROUP BY ALL) h ON h.doc_id = r.doc_id AND h.job_id = r.job_id WHERE rank = 1))""".replace("is_hit(s)", "len(list_filter(held, lambda t: contains(s, t) OR contains(t, s))) > 0")
+    ),
     "c11_skill_hints": sql(
         """SELECT doc_id, hint, reason, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, rank, hint) AS place FROM (
         SELECT *, row_number() OVER (PARTITION BY doc_id, hint ORDER BY kind) AS first FROM (

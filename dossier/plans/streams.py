@@ -23,7 +23,8 @@ QUERIES = {
     "s4_limit_fixed": lambda v: S.collected(S.limit_fixed(S.table_stream(v.spark, v.sf_dir, "events"), "user_id", 3, 86_400)),
     "s5_limit_sliding": lambda v: S.collected(S.limit_sliding(S.table_stream(v.spark, v.sf_dir, "events"), "user_id", 3, 86_400)),
     "s7_stream_daily_volume": lambda v: S.collected(S.stream_daily_volume(S.table_stream(v.spark, v.sf_dir, "events")), "complete").withColumn("day", F.col("day").cast("string")),
-    "s8_stream_dedupe": lambda v: S.collected(S.stream_dedupe(items(v))).select("batch_id", "filename"),
+    "s7_final_days": lambda v: S.collected(S.stream_daily_volume(S.table_stream(v.spark, v.sf_dir, "events"))).withColumn("day", F.col("day").cast("string")),
+    "s8_stream_dedupe": lambda v: S.collected(S.stream_dedupe(items(v), "3650 days")).select("batch_id", "filename"),
     "s8_reused_flags": lambda v: S.reused_flags(v.v_batch_item).groupBy("batch_id").agg(F.count("*").alias("items"), F.count_if("reused").alias("reused")),
     "s9_maintenance_tick": lambda v: S.maintenance_tick(v.v_record, AS_OF),
 }
@@ -34,6 +35,7 @@ SQL = {
         CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN CASE WHEN count(*) FILTER (status = 'success') > 0 THEN 'partial_success' ELSE 'failed' END ELSE 'success' END AS status, 100 AS percent FROM v_batch_item GROUP BY 1"""
     ),
     "s7_stream_daily_volume": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1",
+    "s7_final_days": "SELECT CAST(day AS VARCHAR) AS day, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS day, max(ts) OVER () - INTERVAL 2 DAY AS mark FROM events) WHERE day + INTERVAL 1 DAY <= mark GROUP BY 1",
     "s8_stream_dedupe": duck("SELECT DISTINCT batch_id, filename FROM v_batch_item WHERE status = 'success'"),
     "s8_reused_flags": duck(
         "SELECT batch_id, count(*) AS items, count(*) FILTER (coalesce(earliest < here, false)) AS reused FROM (SELECT batch_id, row(ts, item_no) AS here, min(CASE WHEN status = 'success' THEN row(ts, item_no) END) OVER (PARTITION BY batch_id, filename ORDER BY ts, item_no RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS earliest FROM v_batch_item) GROUP BY 1"

@@ -19,8 +19,12 @@ TEST_FOLDER = "/tmp/dossier-streams"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or one of our own where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or TEST_FOLDER
+    """The folder that driver and executors share; one of our own where none is set and the master is local."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or TEST_FOLDER
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -78,8 +82,8 @@ def stream_daily_volume(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
 
 
-def stream_dedupe(items: DataFrame, late: str = "3650 days") -> DataFrame:
-    """S8. The first successful item of each (batch, file) within the watermark."""
+def stream_dedupe(items: DataFrame, late: str = "7 days") -> DataFrame:
+    """S8. The first successful item of each (batch, file) within `late`; its state goes once the watermark has passed that, so a later one counts as new."""
     good = items.where(F.col("status") == "success").withColumn("ts", F.col("ts").cast("timestamp"))
     return good.withWatermark("ts", late).dropDuplicatesWithinWatermark(["batch_id", "filename"])
 
@@ -91,17 +95,24 @@ def reused_flags(items: DataFrame) -> DataFrame:
     return items.withColumn("reused", F.coalesce(first < F.struct("ts", "item_no"), F.lit(False)))
 
 
-def _limited(events: DataFrame, key: str, decide: Callable[[list[float], list], tuple[list[bool], list]]) -> DataFrame:
-    """Runs decide(times, state) over each key's events in order of time within a micro-batch."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col("event_id"), F.col("ts").cast("timestamp").cast("double").alias("at"))
+def _limited(events: DataFrame, key: str, seconds: float, late: str, decide: Callable[[list[float], list], tuple[list[bool], list]]) -> DataFrame:
+    """Runs decide(times, state) over each key's events in order of time within a micro-batch. Events that come more than `late` after later ones are dropped;
+    a key's state goes when the watermark is `seconds` past its last event, when it can decide nothing any more."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = stamped.select(F.col(key).cast("string").alias("key"), F.col("event_id"), F.col("ts"), F.col("ts").cast("double").alias("at"))
 
     def run(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values(["at", "event_id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat([p[["event_id", "at"]] for p in parts]).sort_values(["at", "event_id"])
         allowed, kept = decide(pdf["at"].tolist(), list(state.get[0]) if state.exists else [])
         state.update((kept,))
+        last = max([float(pdf["at"].iloc[-1]), *kept[:1]])
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": who[0], "event_id": pdf["event_id"].to_numpy(), "allowed": allowed})
 
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id bigint, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fixed_window(limit: int, seconds: float) -> Callable[[list[float], list], tuple[list[bool], list]]:
@@ -135,14 +146,14 @@ def sliding_log(limit: int, seconds: float) -> Callable[[list[float], list], tup
     return decide
 
 
-def limit_fixed(events: DataFrame, key: str, limit: int, seconds: float) -> DataFrame:
+def limit_fixed(events: DataFrame, key: str, limit: int, seconds: float, late: str = "1 day") -> DataFrame:
     """S4. Whether each event of a key is allowed by a fixed window."""
-    return _limited(events, key, fixed_window(limit, seconds))
+    return _limited(events, key, seconds, late, fixed_window(limit, seconds))
 
 
-def limit_sliding(events: DataFrame, key: str, limit: int, seconds: float) -> DataFrame:
+def limit_sliding(events: DataFrame, key: str, limit: int, seconds: float, late: str = "1 day") -> DataFrame:
     """S5. Whether each event of a key is allowed by a sliding log."""
-    return _limited(events, key, sliding_log(limit, seconds))
+    return _limited(events, key, seconds, late, sliding_log(limit, seconds))
 
 
 def maintenance_tick(records: DataFrame, as_of: str, limit: int = 50) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small cases whose results are known."""
 
+import datetime
+import time
 import json
 import math
 import random
@@ -212,3 +214,26 @@ def test_pair_score_by_hand(spark):
     assert [(r.doc_id, r.job_id, r.hits, r.must, r.nice, round(r.position_share, 6)) for r in rows] == [(1, 9, 3, 0.5, 1.0, round(1 / 3, 6))]
     assert abs(rows[0].evidence - 2.5 / 3.3) < 1e-12  # skills and an unlisted one, of those and education: unlisted ones count once
     assert abs(rows[0].score - (0.8 * (0.275 + 0.2 + 0.25 / 3) + 0.2 * 2.5 / 3.3)) < 1e-12
+
+
+def test_late_events_and_expired_limits(spark, tmp_path):
+    """Files come one by one: an event of a day that was given as final in an earlier batch is not counted; a limiter's state survives batches and ends."""
+    schema = "event_id long, user_id long, ts timestamp"
+    at = lambda d, h=0, m=0: datetime.datetime(2024, 1, d, h, m)
+    for n, rows in enumerate([[(1, 1, at(1)), (2, 1, at(1, 0, 1)), (3, 1, at(1, 0, 2))], [(4, 1, at(1, 0, 3)), (5, 2, at(8))], [(7, 1, at(8, 1))], [(6, 1, at(1, 5)), (8, 1, at(8, 1, 30)), (9, 3, at(20))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by age, in seconds
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    days = {str(r.day): r.n for r in streams.collected(streams.stream_daily_volume(stream())).collect()}
+    assert days == {"2024-01-01": 4, "2024-01-08": 3}
+    for limit in (streams.limit_fixed, streams.limit_sliding):
+        got = {r.event_id: r.allowed for r in streams.collected(limit(stream(), "user_id", 3, 3600.0)).collect()}
+        assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 7: True, 8: True, 9: True}
+
+
+def test_requirement_basis(spark):
+    docs = spark.createDataFrame([(1, "java spark team"), (2, None)], "doc_id long, text string")
+    job = spark.createDataFrame([(9, "java engineer", "cat", ["spark", "sql", "JavaScript"], ["team"]), (8, "cook", "kitchen", None, None)], "job_id long, position string, category string, must array<string>, nice array<string>")
+    first = spark.createDataFrame([(1, 9), (2, 9), (1, 8)], "doc_id long, job_id long")
+    got = sorted(tuple(r) for r in J.requirement_basis(first, docs, job).collect())
+    assert got == [(1, 8, [], [], 0, 0), (1, 9, ["spark", "JavaScript"], ["sql"], 2, 1), (2, 9, [], ["spark", "sql", "JavaScript"], 0, 3)]
