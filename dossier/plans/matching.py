@@ -158,7 +158,7 @@ _KEYED = "SELECT *, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS key F
 
 def sql(text: str) -> str:
     return duck(
-        text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, found=texts._FOUND, grouped=_GROUPS, jobterm=_TERMS, secword=_WORDS, docword=_DOCWORDS, hit=_HIT, sechit=_SECHIT, scored=_SCORED, ranked=_RANKED, rulefeat=_RULE, edge=_EDGE, input=_INPUT,
+        text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, wanted=texts._WANTED, found=texts._FOUND, grouped=_GROUPS, jobterm=_TERMS, secword=_WORDS, docword=_DOCWORDS, hit=_HIT, sechit=_SECHIT, scored=_SCORED, ranked=_RANKED, rulefeat=_RULE, edge=_EDGE, input=_INPUT,
         replaced=_REPLACED, keyed=_KEYED,
     )
 

@@ -121,7 +121,7 @@ _EDU = f"SELECT doc_id, line_no, {_DEG} AS degree FROM seg WHERE section = 'educ
 
 def sql(text: str) -> str:
     return duck(
-        text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, found=texts._FOUND, judged=texts._QUALITY, counts=_COUNTS, evid=_EVID, inp=_IN, rawscore=_RAW, pen=_PEN, final=_FINAL, dated=_DATED, skillhit=_SKILL, canonical=_CANON, edu=_EDU,
+        text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, wanted=texts._WANTED, found=texts._FOUND, judged=texts._QUALITY, counts=_COUNTS, evid=_EVID, inp=_IN, rawscore=_RAW, pen=_PEN, final=_FINAL, dated=_DATED, skillhit=_SKILL, canonical=_CANON, edu=_EDU,
     )
 
 
