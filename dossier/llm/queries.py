@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, flac, jaccard, packing, secrets, tokens, toxicity, urls
+from . import chat, decontaminate, flac, jaccard, packing, periods, repair, secrets, simhash, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,48 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES, lambda key: F.split_part(key, F.lit("."), F.lit(1)).isin(*LISTED_LABELS))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_decontaminate, op3_toxicity, op4_flac, op5_secrets, op6_jaccard_join, op7_token_counts, op8_harmonic_packing, op9_packed_ids, op10_url_cascade)}
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text; one turn in five is dropped, emptied, cut off, repeated or given to the user."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), (F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn"))) % 20).alias("kind")).where("kind > 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.Repair(damaged(turns))
+    out = turns.select("conv_id").distinct()
+    for part in (found.conversations, found.hashes):
+        part = part.withColumnRenamed("conv_id", "id")
+        out = out.join(part, out["conv_id"].eqNullSafe(part["id"]), "left").drop("id")
+    numbers = [F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """docs, of which one in ten repeats, from some word on, the words that follow there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # null ids are left as they are
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), 1, left)
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(periodic(table(spark, sf_dir, "documents"))))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_decontaminate, op3_toxicity, op4_flac, op5_secrets, op6_jaccard_join, op7_token_counts, op8_harmonic_packing, op9_packed_ids, op10_url_cascade, op11_structure_repair, op12_periodic_runs, op13_simhash)}
 
 from .oracles import ORACLES  # noqa: E402, F401
