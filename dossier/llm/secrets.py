@@ -22,8 +22,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Candidates, which the automata score: runs of all characters, and of the least length, that a labelled credential may have. Each automaton takes the parts of its own alphabet.
+#: Candidates, all of which each automaton scores: runs of all characters, and of the least length, that a labelled credential may have; marks that may follow a credential.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
+MARKS = ".=-/"
 #: Distinct labelled credentials of a kind that an automaton is inferred from at most: those whose hash is lowest.
 SAMPLE = 400
 #: Hoeffding confidence of the merges; nats a character that a candidate may lie below the labelled credentials' low tail.
@@ -100,10 +101,9 @@ class Automaton:
                 red.append(candidate)
             known = set(red)
             blue = sorted({t for r in red for t in states[r].to.values()} - known, key=lambda t: (-states[t].passed, t))
-        self.least = min(map(len, values), default=0)
+        self.values = len(values)
         classes = {CLASSES.get(c, c) for v in values for c in v}
         alphabet = classes - set(SIZE) | {c for c, k in CLASSES.items() if k in classes}
-        self.pattern = re.compile(f"[{''.join(map(re.escape, sorted(alphabet)))}]{{{self.least},}}") if values else None
         self.outcomes = len(classes) + 1
         # where an unseen step leads: where most steps of its class do
         leads: dict[str, dict[int, int]] = {}
@@ -204,16 +204,25 @@ def infer(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     return out
 
 
+def parts(value: str) -> set[tuple[int, int]]:
+    """Where a candidate's credential may lie: all of it, without marks at its end, and either after its first equals sign."""
+    ends = {len(value), len(value.rstrip(MARKS))}
+    return {(a, b) for a in {0, value.find("=") + 1} for b in ends if b - a >= ASSIGN_LEAST} or {(0, len(value))}
+
+
 def judged(runs: list[tuple[int, int, str]], automata: dict[str, Automaton]) -> list[tuple[int, int, str, float, float]]:
-    """(start, end, kind, score, threshold) of all parts of the candidates that have an automaton's alphabet and least length; of each part the kind that fits best."""
-    best: dict[tuple[int, int], tuple[float, str, float, float]] = {}
+    """(start, end, kind, score, threshold) of each candidate, by all automata that labelled credentials taught: of its parts the one, and the kind, that fits best.
+
+    Nothing but the likelihood decides: characters that an automaton has not met and lengths at which it never ended cost what its smoothing gives them.
+    """
+    out = []
+    taught = [(kind, a) for kind, a in sorted(automata.items()) if a.values]
     for start, _, value in runs:
-        for kind, a in automata.items():
-            for m in a.pattern.finditer(value) if a.pattern else ():
-                place, score = (start + m.start(), start + m.end()), a.score(m[0])
-                if place not in best or best[place][:2] < (score - a.low, kind):
-                    best[place] = (score - a.low, kind, score, a.low)
-    return sorted((a, b, kind, score, low) for (a, b), (_, kind, score, low) in best.items())
+        found = ((a.score(value[i:j]), kind, a.low, i, j) for i, j in sorted(parts(value)) for kind, a in taught)
+        if best := max(found, key=lambda x: (x[0] - x[2], x[1]), default=None):
+            score, kind, low, i, j = best
+            out.append((start + i, start + j, kind, score, low))
+    return out
 
 
 def learned(scores: list[tuple[int, int, str, float, float]], base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
@@ -225,11 +234,11 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (all, by start), n_added, n_candidates, n_fit, scores.
 
     The fixed patterns label credentials. From a bounded sample of them the states of a prefix tree are merged where their outcomes do not
-    differ beyond a Hoeffding bound, into one probabilistic automaton a kind. All candidates, those within the patterns' matches too, are scored:
-    `scores` has each judged part with its best kind, its nats a character and that kind's threshold; n_fit of them reach it. Those that no match of a
+    differ beyond a Hoeffding bound, into one probabilistic automaton a kind. All candidates, those within the patterns' matches too, are scored by all automata:
+    `scores` has one row for each candidate, with its best kind, its nats a character and that kind's threshold; n_fit of them reach it. Those that no match of a
     pattern covers whole are added as learned-<kind>, beside a match within them. Texts are read once; the second pass has only what the first found.
 
-    Null texts are empty; ids may be null or repeat; without any labelled credential nothing is added; other columns are not read.
+    Null texts are empty; ids may be null or repeat; without any labelled credential no candidate has a score and nothing is added; other columns are not read.
     """
     scanned = written(scan(docs, doc_id=doc_id, text=text), "secrets")
     shared = docs.sparkSession.sparkContext.broadcast(infer(scanned, sample))

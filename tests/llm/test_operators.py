@@ -293,7 +293,8 @@ def test_secrets_base(spark):
     got = {r.doc_id: r for r in secrets.find_secrets(rows).collect()}
     for i, text in enumerate(texts):
         text = text or ""
-        spans = [(m.start(), "assign", m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12] + [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+        spans = [(m.start(), "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 12] + [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
         spans += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
         spans.sort(key=lambda s: (s[0], secrets.KINDS.index(s[1])))
         want = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
@@ -330,28 +331,38 @@ def walked(automaton, value):
 
 
 def test_secrets_learned_spans(spark):
-    """Credentials that no fixed pattern matches, among other things of the same alphabet: found by the automata that those beside keywords taught."""
+    """Credentials that no fixed pattern matches, among other things of the same alphabet: found by the automata that those beside keywords taught.
+
+    Some are shorter than all that was taught, some hold a character that was not; every candidate has a score, and nothing but the score decides."""
     random.seed(10)
     letters = "abcdefghijklmnopqrstuvwxyz"
-    key = lambda: "sk_live_" + "".join(random.choices(letters + letters.upper() + "0123456789", k=24))
+    key = lambda n=24: "sk_live_" + "".join(random.choices(letters + letters.upper() + "0123456789", k=n))
     other = lambda: random.choice(["".join(random.choices(letters, k=random.randint(12, 30))), "path/to/" + "".join(random.choices(letters, k=9)), "some_variable_name" + random.choice("abc"), "www.example.org/page", "2024-01-01-12-00-00", "snake_live_" + "".join(random.choices(letters, k=10))])
-    rows, truth = [], {}
+    rows, truth, odd = [], {}, set()
     for i in range(300):
         rows.append((i, f"set token = {key()} and go on"))
     for i in range(300, 800):
         value = key() if i % 2 else other()
         rows.append((i, f"we saw {value} there"))
         truth[i] = value if i % 2 else None
+    for i in range(800, 900):
+        value = key(23) if i % 2 else key(12) + "+" + key(19)[8:]
+        rows.append((i, f"we saw {value} there"))
+        odd.add(i)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
     automaton = secrets.infer(secrets.scan(df))["assign"]
     hits = {i for i in truth if got[i].n_added}
     right = {i for i in hits if truth[i] and got[i].spans.split(",") == [f"learned-assign:7:{7 + len(truth[i])}"]}
     assert len(right) / len(hits) >= 0.98 and len(right) / sum(map(bool, truth.values())) >= 0.95
+    assert sum(got[i].n_added for i in odd if i % 2) >= 45
+    # a character that was not met costs its share, no more: such keys lie above whatever else stands there
+    assert min(got[i].scores[0].score for i in odd) > max(x.score for i, value in truth.items() if value is None for x in got[i].scores)
     for i, text in rows:
+        assert len(got[i].scores) == got[i].n_candidates == len(secrets.CANDIDATE.findall(text))
         for x in got[i].scores:
             assert abs(x.score - walked(automaton, text[x.start : x.end])) < 1e-9 and abs(x.threshold - automaton.low) < 1e-12
-        assert got[i].n_fit == sum(x.score >= x.threshold for x in got[i].scores) and got[i].n_candidates == len(secrets.CANDIDATE.findall(text))
+        assert got[i].n_fit == sum(x.score >= x.threshold for x in got[i].scores)
     assert sum(got[i].n_fit for i in range(300)) > 280  # those within the patterns' matches are scored too
 
 
