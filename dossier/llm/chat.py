@@ -16,6 +16,11 @@ Schemas = Mapping[str, Mapping[str, tuple]]
 #: What schema_of_variant calls values of a kind, at its start.
 KINDS = {"STRING": ("STRING",), "NUMBER": ("BIGINT", "DECIMAL", "DOUBLE"), "INTEGER": ("BIGINT",), "BOOLEAN": ("BOOLEAN",), "NULL": ("VOID",), "ARRAY": ("ARRAY",), "OBJECT": ("OBJECT",)}
 
+#: Digits of a number that stand before its point, or zeros after it, at most; others have an exponent.
+PLAIN = 38
+#: Characters from which on the parser may refuse JSON for its size alone: a string of so many, or a variant of over 128 MiB.
+LARGE = 20_000_000
+
 
 def _path(fields: Sequence[str]) -> str:
     """A variant path to nested fields, whatever characters their names hold but for double quotes and backslashes."""
@@ -43,36 +48,60 @@ def _field_errors(parsed: Column, wanted: Mapping[str, tuple], above: tuple[str,
     return F.concat(F.array_compact(F.array(*found)) if found else none, F.coalesce(extra, none), *below)
 
 
+def too_large(arguments: Column) -> Column:
+    """Whether text that is an object or array by its outline does not parse for its size alone."""
+    outline = F.json_object_keys(arguments).isNotNull() | F.json_array_length(arguments).isNotNull()
+    return F.coalesce((F.length(arguments) >= LARGE) & F.try_parse_json(arguments).isNull() & outline, F.lit(False))
+
+
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Sorted array of what is wrong with a call's arguments (JSON text): malformed, not_an_object, unknown_tool, missing:f, type:f, unexpected:f."""
+    """Sorted array of what is wrong with a call's arguments (JSON text): malformed, too_large, not_an_object, unknown_tool, missing:f, type:f, unexpected:f."""
     parsed = F.try_parse_json(arguments)
     checks = F.array(F.lit("unknown_tool"))
     for tool, wanted in schemas.items():
         checks = F.when(name == tool, _field_errors(parsed, wanted)).otherwise(checks)
     is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
-    return F.array_sort(F.when(parsed.isNull(), F.array(F.lit("malformed"))).when(~is_object, F.array(F.lit("not_an_object"))).otherwise(checks))
+    return F.array_sort(F.when(too_large(arguments), F.array(F.lit("too_large"))).when(parsed.isNull(), F.array(F.lit("malformed"))).when(~is_object, F.array(F.lit("not_an_object"))).otherwise(checks))
 
 
 def plain_number(number: Column) -> Column:
-    """A JSON number that a double gave, as an equal decimal is written: without exponent and without zeros at the end, where 38 digits hold it."""
-    exact = number.try_cast("decimal(38,18)")
-    large = number.try_cast("double").try_cast("decimal(38,0)")
-    same = lambda d: d.cast("double") == number.try_cast("double")
-    trimmed = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(same(exact), trimmed).when(same(large), large.cast("string")).otherwise(number)
-
-
-def canonical(json: Column) -> Column:
-    """JSON text as to_json() writes a variant, whose equal numbers have equal bytes: 100, 1e2 and 100.0 become 100.
-
-    Quotes and backslashes that are escaped give way to characters that JSON text never holds, so that what lies between quotes can be told; then
-    only the parts outside are looked at.
+    """A JSON number as all equal ones are written, by its digits alone, however many: 1e2, 100.0 and 100 give 100. Beyond PLAIN digits before or after the point as 1.5E40."""
+    part = lambda group: F.regexp_extract(number, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", group)
+    exponent = F.when(part(4) == "", F.lit(0).cast("bigint")).otherwise(part(4).try_cast("bigint"))
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    # the value is 0.digits times ten to the power of `point`
+    point = F.length(part(2)) + exponent - (F.length(part(2)) + F.length(part(3)) - F.length(digits))
+    digits = F.rtrim(digits, F.lit("0"))
+    size = F.length(digits)
+    whole = F.rpad(digits, point.cast("int"), "0")
+    mixed = F.concat(F.substring(digits, F.lit(1), point.cast("int")), F.lit("."), F.substring(digits, point.cast("int") + 1, size))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point.cast("int")), digits)
+    long = F.concat(F.substring(digits, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), F.lit("E"), (point - 1).cast("string"))
+    shown = F.when((point >= size) & (point <= PLAIN), whole).when((point > 0) & (point < size), mixed).when((point <= 0) & (point > -PLAIN), small).otherwise(long)
+    # exponents beyond 64 bits stay as they are
+    return F.when(digits == "", F.lit("0")).when(exponent.isNull(), number).otherwise(F.concat(part(1), shown))
+
+
+def canonical(arguments: Column) -> Column:
+    """JSON text with keys in order at any depth, without blanks, its numbers as plain_number() writes them; null where it is malformed or too large for the parser.
+
+    Numbers pass the parser as strings that begin with a control character, which then goes again, so that no digit is lost; where such a
+    character begins a string of its own, it is doubled meanwhile. Quotes and backslashes that are escaped give way to characters that JSON text
+    never holds, so that what lies between quotes can be told.
     """
-    hidden = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
-    outside = lambda part: F.array_join(F.transform(F.split(part, r"(?<=[,:\[\]{}])|(?=[,\]}])"), lambda x: F.when(x.rlike(r"^-?[0-9]+(\.[0-9]+)?(E-?[0-9]+)?$") & x.rlike(r"[.E]"), plain_number(x)).otherwise(x)), "")
-    parts = F.transform(F.split(hidden, '"'), lambda part, i: F.when(i % 2 == 0, outside(part)).otherwise(part))
+    hidden = F.replace(F.replace(arguments, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    number = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+    marked = lambda x: F.when(x.rlike(number), F.concat(F.lit('"\\u0003'), plain_number(x), F.lit('"'))).otherwise(x)
+    outside = lambda part: F.array_join(F.transform(F.split(part, r"(?<=[,:\[\]{}\s])|(?=[,\]}\s])"), marked), "")
+    parts = F.transform(F.split(hidden, '"'), lambda part, i: F.when(i % 2 == 0, outside(part)).otherwise(F.replace(part, F.lit("\\u0003"), F.lit("\\u0003\\u0003"))))
     shown = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-    return F.when(json.rlike(r"[0-9]\.0|[0-9]E"), shown).otherwise(json)
+    back = F.regexp_replace(F.to_json(F.try_parse_json(shown)), r'"\\u0003([-0-9.E]+)"', "$1")
+    return F.when(F.try_parse_json(arguments).isNotNull(), F.replace(back, F.lit("\\u0003\\u0003"), F.lit("\\u0003")))
+
+
+def json_string(text: Column) -> Column:
+    whole = F.to_json(F.struct(text.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
 def stages(calls: DataFrame) -> DataFrame:
@@ -116,7 +145,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     calls: conv_id, call_id, seq, name, arguments (JSON text), after (ids of calls it depends on). results: conv_id, call_id, seq, content.
     Out: conv_id, call_id, seq, name, stage, n_results, errors (sorted, comma-joined), valid, json. Calls and results are hash-joined by
     (conv_id, call_id); the first result by seq counts. json has the keys in order, at any depth, without blanks, and equal numbers alike: the canonical form of
-    the call with its result. Errors beside the arguments' are cycle, no_result, unmet_dependency and, for results alone, no_call.
+    the call with its result; numbers by their digits, never through a double. Objects and arrays that the parser refuses for their size alone (a string of over 20 million characters, 128 MiB in all) have the error too_large, are not held
+    against the schema, and stand in json as a string, whole. Errors beside the arguments' are cycle, no_result, unmet_dependency and, for results alone, no_call.
 
     Null ids link with nothing and stay as rows of their own; null arguments are malformed; null or empty `after` is no
     dependency; calls that repeat stay as they are and each get the result. Other columns are not read.
@@ -135,6 +165,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
             some(F.col("stage").isNull() & F.col("call_id").isNotNull() & F.col("conv_id").isNotNull(), "cycle"), errors, some(F.coalesce("n_results", F.lit(0)) == 0, "no_result"), some(F.coalesce("unmet", F.lit(0)) > 0, "unmet_dependency")
         ),
     ).otherwise(F.array(F.lit("no_call")))
-    body = F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "conv_id", "name", F.col("content").alias("result"))
-    rows = linked.select("conv_id", "call_id", "seq", "name", "stage", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.array_join(F.array_sort(found), ",").alias("errors"), canonical(F.to_json(body, {"ignoreNullFields": "false"})).alias("json"))
+    rest = F.to_json(F.struct("call_id", "conv_id", "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    held = F.coalesce(canonical(F.col("arguments")), F.when(too_large(F.col("arguments")), json_string(F.col("arguments"))), F.lit("null"))
+    json = F.concat(F.lit('{"arguments":'), held, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    rows = linked.select("conv_id", "call_id", "seq", "name", "stage", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.array_join(F.array_sort(found), ",").alias("errors"), json.alias("json"))
     return rows.select("conv_id", "call_id", "seq", "name", "stage", "n_results", "errors", (F.col("errors") == "").alias("valid"), "json")

@@ -616,13 +616,42 @@ def test_nested_schemas(spark):
 
 
 def test_equal_numbers_are_written_alike(spark):
+    """By their digits, whatever their number and exponent; what strings hold stays, also what canonical() itself uses."""
     cases = {
         '{"b":1e2,"a":100.0,"c":"1.0 \\"2.0, 1e5\\\\","d":[1.50,-2.0,1.5e-3,1e30,0.0,[1E0]]}': '{"a":100,"b":100,"c":"1.0 \\"2.0, 1e5\\\\","d":[1.5,-2,0.0015,1000000000000000000000000000000,0,[1]]}',
-        "1e300": "1.0E300", '"x,1.0"': '"x,1.0"', '"a\\n' + "long " * 9000 + '\\"1.0"': '"a\\n' + "long " * 9000 + '\\"1.0"',
+        "1e300": "1E300", '"x,1.0"': '"x,1.0"', '"a\\n' + "long " * 9000 + '\\"1.0"': '"a\\n' + "long " * 9000 + '\\"1.0"',
+        "[1.234567890123456789e18,9.007199254740993e15,1e-20,0.00000000000000000001,1e-19]": "[1234567890123456789,9007199254740993,0.00000000000000000001,0.00000000000000000001,0.0000000000000000001]",
+        "[-0, -0.0, 0e7, 00001]": None, " [ -0 ,\n-0.0, 0e7 ] ": "[0,0,0]", "[" + "7" * 60 + "," + "7" * 60 + ".0e1]": "[7." + "7" * 59 + "E59,7." + "7" * 59 + "E60]",
+        "[1e99999999999999999999]": "[1e99999999999999999999]", '["\\u00035","\\\\u00035",5.0,"\\u0003"]': '["\\u00035","\\\\u00035",5,"\\u0003"]', "{": None, "[1 2]": None, "[1.]": None, "[+1]": None, '"\x01"': None, "null": "null", "true": "true",
     }
     df = spark.createDataFrame([(k,) for k in cases], "j string")
-    got = {r.j: r.c for r in df.select("j", chat.canonical(F.to_json(F.struct(F.try_parse_json("j").alias("v")))).alias("c")).collect()}
-    assert got == {k: '{"v":' + v + "}" for k, v in cases.items()}
+    got = {r.j: r.c for r in df.select("j", chat.canonical(F.col("j")).alias("c")).collect()}
+    got["[1e99999999999999999999]"] = cases["[1e99999999999999999999]"] if got["[1e99999999999999999999]"] else None  # no decimal can hold it
+    assert got == cases
+
+
+def test_numbers_equal_as_decimals(spark):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 200
+    random.seed(12)
+    texts = [f"{random.choice(['', '-'])}{random.choice(['0', str(random.randrange(1, 10**random.randrange(1, 45)))])}{random.choice(['', '.' + str(random.randrange(10**6)).zfill(9), '.000', '.50'])}{random.choice(['', f'e{random.randrange(-60, 60)}', f'E+{random.randrange(9)}'])}" for _ in range(3000)]
+    got = {r.j: r.c for r in spark.createDataFrame([(t,) for t in texts], "j string").select("j", chat.plain_number(F.col("j")).alias("c")).collect()}
+    by_value = {}
+    for text, shown in got.items():
+        assert Decimal(text) == Decimal(shown), text
+        assert by_value.setdefault(Decimal(text).normalize(), shown) == shown
+
+
+def test_very_long_arguments(spark):
+    """21 MB of arguments, too long a string for the parser: an error of their own, nothing lost; 10 MB parse."""
+    long = spark.createDataFrame([(1, 10), (2, 21)], "conv_id long, mb int").select("conv_id", F.lit("a").alias("call_id"), F.lit(0).cast("long").alias("seq"), F.lit("search").alias("name"), F.concat(F.lit('{ "query": "'), F.repeat(F.lit("word "), F.col("mb") * 200_000), F.lit('"}')).alias("arguments"), F.array().cast("array<string>").alias("after"))
+    bad = long.where("conv_id = 2").select(F.lit(3).cast("long").alias("conv_id"), "call_id", "seq", "name", F.substring("arguments", 1, 20_500_000).alias("arguments"), "after")
+    out = chat.link_tool_calls(long.unionByName(bad), spark.createDataFrame([(1, "a", 1, "r"), (2, "a", 1, "r"), (3, "a", 1, "r")], "conv_id long, call_id string, seq long, content string"), queries.SCHEMAS)
+    got = {r.conv_id: r for r in out.collect()}
+    assert got[1].errors == "" and len(got[1].json) > 10_000_000
+    assert got[2].errors == "too_large" and got[2].json == '{"arguments":"{ \\"query\\": \\"' + "word " * 4_200_000 + '\\"}","call_id":"a","conv_id":2,"name":"search","result":"r"}'
+    assert got[3].errors == "malformed" and got[3].json.startswith('{"arguments":null')
 
 
 # shared
