@@ -264,10 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         machine = fit(np.array(y, float), np.array(sizes, np.int64), terms)
         del terms
         tidy()
-        # terms that have no say are not sent
-        said = (np.abs(machine.weights) > 1e-3) | (np.abs(machine.factors).max(1, initial=0) > 0.05)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([machine.bias]), pa.array([machine.keys[said].tobytes()], pa.binary()), pa.array([machine.weights[said].tobytes()], pa.binary()), pa.array([machine.factors[said].tobytes()], pa.binary()), pa.array([machine.labelled])],
+            [pa.array([machine.bias]), pa.array([machine.keys.tobytes()], pa.binary()), pa.array([machine.weights.tobytes()], pa.binary()), pa.array([machine.factors.tobytes()], pa.binary()), pa.array([machine.labelled])],
             names=["bias", "keys", "weights", "factors", "labelled"],
         )
 
