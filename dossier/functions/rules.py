@@ -73,6 +73,53 @@ class RuleSet:
         return cls(**{f.name: as_tuples(given[f.name]) if isinstance(given[f.name], list) else given[f.name] for f in fields(cls) if f.name in given})
 
 
+@dataclass(frozen=True)
+class Move:
+    """H35. Lines of `sources` (the earlier first) for which the clause holds go to `target`: all of them, or the first; as copies; if the target is empty, if the
+    document shows a heading (or none) of a section, if a line of a section holds a clause (or none does); or those around the headings of a section."""
+
+    sources: tuple[str, ...]
+    clause: str
+    target: str
+    first: bool = False
+    copy: bool = False
+    if_empty: bool = False
+    heading: str = ""
+    no_heading: str = ""
+    held: tuple[str, str, bool] | None = None
+    around: str = ""
+    also: str = ""
+    stops: str = ""
+
+
+@dataclass(frozen=True)
+class SectionRules:
+    """U1, H35. What tells the sections of a document's lines, as data.
+
+    headings by text and what words in them say otherwise; signals (patterns, of a line or of one without blanks) and sizes; predicates, each true where one of its clauses is: names that hold, those
+    after ! that may not; which section a line opens and whether the document goes over to it, by the section and whether a heading was seen; where a line
+    belongs that stands in a section; moves. Of each the first that applies counts; a target = is the line's own section.
+    """
+
+    headings: dict[str, str]
+    signals: dict[str, str]
+    predicates: dict[str, tuple[str, ...]]
+    opens: tuple[tuple[tuple[str, ...] | None, str, str], ...]
+    switches: tuple[tuple[tuple[str, ...] | None, tuple[str, ...] | None, bool | None, str, bool], ...]
+    refine: tuple[tuple[tuple[str, ...] | None, str, str], ...] = ()
+    moves: tuple[Move, ...] = ()
+    resolve: tuple[tuple[str, str, str], ...] = ()
+    anywhere: tuple[str, ...] = ()
+    no_field: str = ""
+    inline: tuple[str, ...] = ()
+    labels: tuple[str, ...] = ()
+    compact: tuple[str, ...] = ()
+    sizes: dict[str, tuple[bool, int | None, int | None]] = field(default_factory=dict)
+    empty: dict[str, str] = field(default_factory=dict)
+    fragments: tuple[tuple[str, str, str, str], ...] = ()
+    makes_room: tuple[str, ...] = ()
+
+
 LATIN = RuleSet(
     headings={"the": "skills", "of": "education", "on": "internship", "was": "summary", "and": "projects", "that": "campus", "in": "awards", "de": "education", "le": "skills", "der": "projects", "la": "internship"},
     aliases={"py": "python", "js": "javascript", "with": "the", "from": "that"},
