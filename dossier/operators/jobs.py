@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import SECTION_NAMES, SECTION_WEIGHTS, SNIPPET_BONUS
-from ..functions.text import job_tokens
+from ..functions.text import contains_kw, job_tokens
 from .terms import match_terms
 
 ACCEPTED = ("single_source_verified", "expert_reviewed")
@@ -120,38 +123,140 @@ def _section_weight(mask: Column, names: Sequence[str]) -> Column:
     return reduce(Column.__add__, (F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, w).otherwise(0.0) for i, w in enumerate(weights)))
 
 
+#: Shares of must, nice and position terms in a posting's coverage.
+KINDS = ("must", "nice", "position")
+COVERAGE = (0.55, 0.2, 0.25)
+
+
+def request_words(request: str) -> list[str]:
+    """H2. The distinct words of a request, as job_tokens gives those of a column."""
+    return list(dict.fromkeys(re.findall("[a-z][a-z0-9+#.-]+|[\u4e00-\u9fa5]{2,}", request.lower())))
+
+
+def context_share(request: str) -> Column:
+    """Of rows with t_all: the posting's terms that hold a word of the request, over its words (8 at most); 0 without words."""
+    words = request_words(request)
+    if not words:
+        return F.lit(0.0)
+    return F.size(F.filter("t_all", lambda t: reduce(Column.__or__, (contains_kw(t, w) for w in words)))) / F.lit(max(min(len(words), 8), 1))
+
+
+def weights(request: str) -> tuple[float, float, float]:
+    """What coverage, evidence and context count in a score."""
+    return (0.65, 0.15, 0.2) if request.strip() else (0.8, 0.2, 0.0)
+
+
+def posting_terms(jobs: DataFrame, request: str) -> DataFrame:
+    """Each term of each posting: which kinds it is of, how many terms of each kind the posting has, its context, and the term's share of its coverage."""
+    groups = term_groups(jobs).select("job_id", *(F.col(f"t_{g}") for g in KINDS), *(F.size(f"t_{g}").alias(f"n_{g}") for g in KINDS), context_share(request).alias("context"), F.explode("t_all").alias("term"))
+    rows = groups.select("job_id", "term", *(F.array_contains(f"t_{g}", F.col("term")).cast("int").alias(f"is_{g}") for g in KINDS), *(f"n_{g}" for g in KINDS), "context")
+    return rows.withColumn("share", sum((w * F.col(f"is_{g}") / F.greatest(f"n_{g}", F.lit(1)) for w, g in zip(COVERAGE, KINDS, strict=True)), F.lit(0.0)))
+
+
+def held_terms(docs: DataFrame, terms: DataFrame, section_hits: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(doc_id, term, held): terms that a document holds, and the bits of the sections where it does; by doc_id."""
+    if len(names) > 62:
+        raise ValueError("62 section names at most")
+    held = section_hits.groupBy("doc_id", "term").agg(F.bit_or(_section_bit(F.col("section"), names)).alias("held"))
+    return match_terms(docs, terms).join(held, ["doc_id", "term"], "left").repartition("doc_id")
+
+
+def scored(rows: DataFrame, sections: DataFrame, request: str, names: Sequence[str]) -> DataFrame:
+    """The pairs of rows (doc_id, job_id, a posting's term with its kinds, held), summed."""
+    total = sections.groupBy("doc_id").agg(_section_weight(F.bit_or(_section_bit(F.col("section"), names)), names).alias("all_weight"))
+    known = (*(f"n_{g}" for g in KINDS), "context")
+    rows = rows.groupBy("doc_id", "job_id").agg(*(F.sum(f"is_{g}").alias(f"hit_{g}") for g in KINDS), F.count("*").alias("hits"), F.bit_or("held").alias("held"), *(F.max(c).alias(c) for c in known))
+    rows = rows.withColumn("hit_weight", _section_weight(F.coalesce("held", F.lit(0).cast("bigint")), names)).join(total, "doc_id", "left")
+    share = lambda g: F.when(F.col(f"n_{g}") > 0, F.col(f"hit_{g}") / F.col(f"n_{g}")).otherwise(0.0)
+    rows = rows.withColumns({"must": share("must"), "nice": share("nice"), "position_share": share("position"), "evidence": F.coalesce(F.col("hit_weight") / F.col("all_weight"), F.lit(0.0))})
+    a, b, c = weights(request)
+    score = a * (0.55 * F.col("must") + 0.2 * F.col("nice") + 0.25 * F.col("position_share")) + b * F.col("evidence") + (c * F.col("context") if c else F.lit(0.0))
+    return rows.select("doc_id", "job_id", "hits", "must", "nice", "position_share", "evidence", "context", score.alias("score"))
+
+
 def pair_score(docs: DataFrame, jobs: DataFrame, section_hits: DataFrame, sections: DataFrame, request: str = "", names: Sequence[str] = SECTION_NAMES) -> DataFrame:
     """H13. Coverage of must, nice and position terms, sections that hold a hit, and the score of each pair with a hit.
 
     r = .55 must + .20 nice + .25 position; s = weight of the sections with a hit over that of all; score .8 r + .2 s, or with a request
     .65 r + .15 s + .2 c, where c is the posting's terms that hold a word of the request over the request's words (8 at most). Not clamped.
+    Pairs without a hit score .2 c, whatever the document: with_context() adds them, rank_for_request() those that can be among the best.
     section_hits: (doc_id, section, term); sections: (doc_id, section). Sections are bits of a number, one for each of `names` (62 at most);
     sections of other names count as one together. What is shuffled is one row for each hit of a document: they meet by doc_id before they
     fan out to the postings, so that pairs are summed where they arise (rank_jobs needs no further shuffle), as long as the postings'
     terms are broadcast; where they are too many for that, Spark joins them by term.
     """
-    if len(names) > 62:
-        raise ValueError("62 section names at most")
-    words = sorted(set(request.lower().split()))
-    context = F.lit(0.0)
-    if words:
-        touched = F.size(F.filter("t_all", lambda t: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))))
-        context = touched / F.lit(max(min(len(words), 8), 1))
-    kinds = ("must", "nice", "position")
-    groups = term_groups(jobs).select("job_id", *(F.col(f"t_{g}") for g in kinds), *(F.size(f"t_{g}").alias(f"n_{g}") for g in kinds), context.alias("context"), F.explode("t_all").alias("term"))
-    terms = groups.select("job_id", "term", *(F.array_contains(f"t_{g}", F.col("term")).cast("int").alias(f"is_{g}") for g in kinds), *(f"n_{g}" for g in kinds), "context")
-    bit = _section_bit(F.col("section"), names)
-    held = section_hits.groupBy("doc_id", "term").agg(F.bit_or(bit).alias("held"))
-    total = sections.groupBy("doc_id").agg(_section_weight(F.bit_or(bit), names).alias("all_weight"))
-    found = match_terms(docs, terms.select("term")).join(held, ["doc_id", "term"], "left").repartition("doc_id")
-    known = (*(f"n_{g}" for g in kinds), "context")
-    rows = found.join(terms, "term").groupBy("doc_id", "job_id").agg(*(F.sum(f"is_{g}").alias(f"hit_{g}") for g in kinds), F.count("*").alias("hits"), F.bit_or("held").alias("held"), *(F.max(c).alias(c) for c in known))
-    rows = rows.withColumn("hit_weight", _section_weight(F.coalesce("held", F.lit(0).cast("bigint")), names)).join(total, "doc_id", "left")
-    share = lambda g: F.when(F.col(f"n_{g}") > 0, F.col(f"hit_{g}") / F.col(f"n_{g}")).otherwise(0.0)
-    rows = rows.withColumns({"must": share("must"), "nice": share("nice"), "position_share": share("position"), "evidence": F.coalesce(F.col("hit_weight") / F.col("all_weight"), F.lit(0.0))})
-    r = 0.55 * F.col("must") + 0.2 * F.col("nice") + 0.25 * F.col("position_share")
-    score = 0.65 * r + 0.15 * F.col("evidence") + 0.2 * F.col("context") if words else 0.8 * r + 0.2 * F.col("evidence")
-    return rows.select("doc_id", "job_id", "hits", "must", "nice", "position_share", "evidence", "context", score.alias("score"))
+    terms = posting_terms(jobs, request)
+    return scored(held_terms(docs, terms.select("term"), section_hits, names).join(terms.drop("share"), "term"), sections, request, names)
+
+
+def context_postings(jobs: DataFrame, request: str) -> DataFrame:
+    """C10. job_id and context of the postings that a request touches."""
+    return term_groups(jobs).select("job_id", context_share(request).alias("context")).where("context > 0")
+
+
+def _listed(docs: DataFrame, postings: DataFrame, request: str, most: int) -> DataFrame:
+    """Each document with each of the postings (`most` at most, else an error), as a pair without a hit."""
+    kind = postings.schema["job_id"].dataType.simpleString()
+    rows = postings.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a request touches over {most} postings; rank_for_request() gives the best without listing all")
+    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), f"array<struct<job_id: {kind}, context: double>>")
+    zero = (F.lit(0.0).alias(n) for n in ("must", "nice", "position_share", "evidence"))
+    return docs.select("doc_id", F.explode(listed).alias("p")).select("doc_id", "p.job_id", F.lit(0).cast("bigint").alias("hits"), *zero, "p.context", (weights(request)[2] * F.col("p.context")).alias("score"))
+
+
+def with_context(pairs: DataFrame, docs: DataFrame, jobs: DataFrame, request: str, most: int = 10_000) -> DataFrame:
+    """C10, H13. pairs (of pair_score), and those without a hit that score for their posting's context: documents times the postings that the request touches, which is what the
+    full list is; over `most` such postings are an error."""
+    more = _listed(docs, context_postings(jobs, request), request, most)
+    return pairs.unionByName(more.join(pairs.select("doc_id", "job_id"), ["doc_id", "job_id"], "left_anti"))
+
+
+def rank_for_request(pairs: DataFrame, docs: DataFrame, jobs: DataFrame, request: str, k: int = 5, min_score: float = 0.08) -> DataFrame:
+    """E1. As rank_jobs of with_context(), which is not made: postings are ranked by context once. Whichever of the k best of these a document has no hit in scores
+    its context alone, and one with a hit no less; so any beyond them has k better ones. Each document gets those k, and its k best hits.
+    """
+    best = context_postings(jobs, request).orderBy(F.desc("context"), "job_id").limit(k)
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), F.desc("hits"), "job_id")
+    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    both = top.unionByName(_listed(docs, best, request, k))
+    # a posting that is among both counts with its hits; one whose hits are not among the best is behind k others anyway
+    once = Window.partitionBy("doc_id", "job_id").orderBy(F.desc("hits"))
+    return rank_jobs(both.repartition("doc_id").withColumn("n", F.row_number().over(once)).where("n = 1").drop("n"), k, min_score)
+
+
+def top_jobs(docs: DataFrame, jobs: DataFrame, section_hits: DataFrame, sections: DataFrame, k: int = 5, min_score: float = 0.08, first: int = 6, request: str = "", names: Sequence[str] = SECTION_NAMES) -> DataFrame:
+    """E1. As rank_jobs(pair_score()), with bounds before sums: candidates() tells which pairs may be among a document's k best, and only these are scored."""
+    terms = posting_terms(jobs, request)
+    hits = held_terms(docs, terms.select("term"), section_hits, names).persist(StorageLevel.DISK_ONLY)
+    pairs = candidates(hits, terms, sections, k, first, request, names)
+    rows = pairs.join(terms.drop("share"), "job_id").join(hits, ["doc_id", "term"])
+    return rank_jobs(scored(rows, sections, request, names), k, min_score)
+
+
+def candidates(hits: DataFrame, terms: DataFrame, sections: DataFrame, k: int, first: int, request: str = "", names: Sequence[str] = SECTION_NAMES) -> DataFrame:
+    """Pairs (doc_id, job_id) that may be among a document's k best.
+
+    A term's weight is its greatest share in any posting. In order of weight, a document's `first` terms give partial scores, with the evidence of the sections where they stand, whose k-th is a floor. A posting that holds none of the
+    terms before the i-th scores at most what the weights from the i-th on add up to, with all evidence and context: once that is below the floor, the terms from there on open no
+    posting; and one that earlier terms opened is dropped if its share of them and all later weights stay below.
+    """
+    a, b, c = weights(request)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
+    most = terms.groupBy("term").agg(F.max("share").alias("weight"))
+    total = sections.groupBy("doc_id").agg(_section_weight(F.bit_or(_section_bit(F.col("section"), names)), names).alias("all_weight"))
+    ranked = hits.select("doc_id", "term", "held").join(most, "term").repartition("doc_id").withColumn("place", F.row_number().over(order)).withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    shares = terms.select("term", "job_id", "share", "context")
+    partial = ranked.where(F.col("place") <= first).join(shares, "term").groupBy("doc_id", "job_id").agg((a * F.sum("share") + c * F.max("context")).alias("sums"), F.bit_or("held").alias("held")).join(total, "doc_id", "left")
+    evidence = F.coalesce(_section_weight(F.coalesce("held", F.lit(0).cast("bigint")), names) / F.col("all_weight"), F.lit(0.0))
+    partial = partial.select("doc_id", (F.col("sums") + b * evidence).alias("partial"))
+    floor = partial.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("partial")))).where(F.col("n") == k).select("doc_id", F.col("partial").alias("floor"))
+    # a little room for sums in another order
+    reach = lambda share: a * share + b + c + 1e-9
+    known = ranked.join(floor, "doc_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    opens = known.withColumn("opens", reach(F.col("rest")) >= F.col("floor")).withColumn("later", F.sum(F.when(~F.col("opens"), F.col("weight")).otherwise(0.0)).over(Window.partitionBy("doc_id")))
+    found = opens.where("opens").join(shares, "term").groupBy("doc_id", "job_id").agg(F.sum("share").alias("share"), F.max("later").alias("later"), F.max("floor").alias("floor"))
+    return found.where(reach(F.col("share") + F.col("later")) >= F.col("floor")).select("doc_id", "job_id")
 
 
 def rank_jobs(scored: DataFrame, k: int = 5, min_score: float = 0.08) -> DataFrame:

@@ -43,7 +43,7 @@ def expand_lines(lines: DataFrame, rules: SectionRules) -> DataFrame:
     if not rules.labels:
         return rows
     bare = F.lower(F.regexp_replace(F.regexp_replace("line", r"\s+", ""), "^[：:]+|[：:]+$", ""))
-    rows = rows.withColumn("label", bare.isin(*rules.labels)).withColumn("heading", heading(F.col("line"), rules))
+    rows = with_heading(rows.withColumn("label", bare.isin(*rules.labels)), rules, "heading")
     rows = rows.withColumn("value", (F.length("line") <= 80) & F.col("heading").isNull() & F.col("line").rlike(r"[\x{4e00}-\x{9fa5}A-Za-z0-9]"))
     # of labels that follow each other every second takes the next as its value
     run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,12 +62,18 @@ def clean_heading(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(clean, r"^[（(]?[0-9一二三四五六七八九十]+[）).、．]\s*", ""), r"^[：:|_ ·•-]+|[：:|_ ·•-]+$", "")
 
 
-def heading(line: Column, rules: SectionRules) -> Column:
-    """The section that a line is a heading of, null for none: the longest heading that it is, starts or ends with, or holds if it is short; a short value of a field is none."""
-    clean = F.lower(clean_heading(line))
+def with_heading(lines: DataFrame, rules: SectionRules, name: str = "section_heading") -> DataFrame:
+    """lines with the section that each is a heading of, and `clean`, the line as headings are compared. A column of its own, as each heading is held against it."""
+    rows = lines.withColumn("clean", F.lower(clean_heading(F.col("line"))))
+    return rows.withColumn(name, heading(F.col("clean"), rules))
+
+
+def heading(clean: Column, rules: SectionRules) -> Column:
+    """The section, null for none: that of the longest heading that the line is, starts or ends with, or holds if it is short; a short value of a field is none."""
     n = F.length(clean)
     names = sorted(rules.headings, key=lambda h: (-len(h), list(rules.headings).index(h)))
-    table = F.array(*(F.struct(F.lit(h).alias("h"), F.lit(rules.headings[h]).alias("s"), F.lit(len(h)).alias("n"), F.lit(h in rules.anywhere).alias("anywhere")) for h in names))
+    rows = ", ".join(f"named_struct('h', r'{h}', 's', '{rules.headings[h]}', 'n', {len(h)}, 'anywhere', {str(h in rules.anywhere).lower()})" for h in names)
+    table = F.expr(f"array({rows})")
 
     def fits(a: Column) -> Column:
         marked = F.startswith(clean, F.concat(a["h"], F.lit("：")) ) | F.startswith(clean, F.concat(a["h"], F.lit(":")))
@@ -88,39 +94,43 @@ def heading(line: Column, rules: SectionRules) -> Column:
     return F.when((n > 0) & (n <= 40) & clean.rlike(quoted(rules.headings)), F.try_element_at(found, F.lit(1)))
 
 
+def wording(text: str) -> str:
+    """SQL of a clause: all its names hold, and none of those after !. Rules are put together as text, as they are many small expressions."""
+    return " AND ".join(f"NOT `{t[1:]}`" if t.startswith("!") else f"`{t}`" for t in text.split()) or "true"
+
+
 def clause(text: str) -> Column:
-    """Whether all names of a clause hold, and none of those after !."""
-    terms = [~F.col(t[1:]) if t.startswith("!") else F.col(t) for t in text.split()]
-    return reduce(Column.__and__, terms) if terms else F.lit(True)
+    return F.expr(wording(text))
+
+
+def cases(pairs, otherwise: str) -> str:
+    """The first value whose condition is true."""
+    pairs = list(pairs)
+    return f"CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in pairs)} ELSE {otherwise} END" if pairs else otherwise
 
 
 def signals(lines: DataFrame, rules: SectionRules) -> DataFrame:
     """A column for each signal, size and predicate; predicates level by level, as each may name others."""
-    tight = F.regexp_replace("line", r"\s+", "")
-    own = {n: (tight if n in rules.compact else F.col("line")).rlike(p) for n, p in rules.signals.items()}
+    lines = lines.withColumn("tight", F.regexp_replace("line", r"\s+", ""))
+    own = {n: F.expr(f"{'tight' if n in rules.compact else 'line'} RLIKE r'{p}'") for n, p in rules.signals.items()}
     for name, (compact, least, most) in rules.sizes.items():
-        n = F.length(tight if compact else F.col("line"))
-        own[name] = (n >= (least or 0)) & (n <= most if most is not None else F.lit(True))
-    rows, level = lines.withColumns(own | {"heading_line": F.col("section_heading").isNotNull()}), dict.fromkeys([*own, "heading"], 0)
-    rows = rows.withColumnRenamed("heading_line", "heading")
-    left = dict(rules.predicates)
+        own[name] = F.expr(f"length({'tight' if compact else 'line'}) BETWEEN {least or 0} AND {2**31 - 1 if most is None else most}")
+    rows = lines.withColumns(own | {"heading": F.col("section_heading").isNotNull()})
+    known, left = {*own, "heading"}, dict(rules.predicates)
     while left:
-        ready = {n: cs for n, cs in left.items() if all(t.lstrip("!") in level for c in cs for t in c.split())}
+        ready = {n: cs for n, cs in left.items() if all(t.lstrip("!") in known for c in cs for t in c.split())}
         if not ready:
             raise ValueError(f"unknown names in {sorted(left)}")
-        rows = rows.withColumns({n: reduce(Column.__or__, map(clause, cs)) for n, cs in ready.items()})
-        level |= dict.fromkeys(ready, 1)
+        rows = rows.withColumns({n: F.expr(" OR ".join(f"({wording(c)})" for c in cs)) for n, cs in ready.items()})
+        known |= set(ready)
         left = {n: cs for n, cs in left.items() if n not in ready}
     return rows
 
 
-def allowed(rules: SectionRules, source: str, target: str, seen: bool) -> Column:
-    """Whether a document goes over from a section to the one that a line opens: the first switch that applies says."""
-    out = F.lit(False)
-    for froms, tos, when, text, verdict in reversed(rules.switches):
-        if (froms is None or source in froms) and (tos is None or target in tos) and when in (None, seen):
-            out = F.when(clause(text), F.lit(verdict)).otherwise(out)
-    return out
+def allowed(rules: SectionRules, source: str, target: str, seen: bool) -> str:
+    """SQL of whether a document goes over from a section to the one that a line opens: the first switch that applies says."""
+    fit = [(wording(text), str(verdict).lower()) for froms, tos, when, text, verdict in rules.switches if (froms is None or source in froms) and (tos is None or target in tos) and when in (None, seen)]
+    return cases(fit, "false")
 
 
 def step(rules: SectionRules) -> Column:
@@ -128,16 +138,11 @@ def step(rules: SectionRules) -> Column:
     out = []
     for seen in (False, True):
         for source in SECTIONS:
-            stay = to = F.lit(letter(source, seen))
-            for froms, text, target in reversed(rules.opens):
-                if froms is None or source in froms:
-                    same = target in ("=", source)
-                    to = F.when(clause(text), stay if same else F.when(allowed(rules, source, target, seen), F.lit(letter(target, seen))).otherwise(stay)).otherwise(to)
-            out.append(to)
-    heads = F.lit("")
-    for section in SECTIONS:
-        heads = F.when(F.col("section_heading") == section, letter(section, True) * len(LETTERS)).otherwise(heads)
-    return F.when(F.col("section_heading").isNotNull(), heads).otherwise(F.concat(*out))
+            stay = f"'{letter(source, seen)}'"
+            moves = [(wording(text), stay if target in ("=", source) else f"IF({allowed(rules, source, target, seen)}, '{letter(target, seen)}', {stay})") for froms, text, target in rules.opens if froms is None or source in froms]
+            out.append(cases(moves, stay))
+    heads = cases(((f"section_heading = '{s}'", f"'{letter(s, True) * len(LETTERS)}'") for s in SECTIONS), "''")
+    return F.expr(f"IF(heading, {heads}, concat({', '.join(out)}))")
 
 
 def composed(lines: DataFrame, longest: int, column: str = "map") -> DataFrame:
@@ -161,79 +166,85 @@ def first_seen(rows: DataFrame) -> DataFrame:
     return rows.where("canon <> ''").withColumn("place", F.row_number().over(w)).where("place = 1").drop("place", "canon")
 
 
-def refined(rules: SectionRules) -> Column:
-    out = F.col("section")
-    for froms, text, target in reversed(rules.refine):
-        fits = clause(text) if froms is None else F.col("section").isin(*froms) & clause(text)
-        out = F.when(fits, F.col("section") if target == "=" else F.lit(target)).otherwise(out)
-    return out
+def refinement(rules: SectionRules) -> Column:
+    """A letter for each section: where a line belongs that stands in it."""
+    own = lambda source, target: f"'{letter(source if target == '=' else target, False)}'"
+    return F.expr("concat(" + ", ".join(cases(((wording(text), own(source, target)) for froms, text, target in rules.refine if froms is None or source in froms), own(source, "=")) for source in SECTIONS) + ")")
+
+
+class Facts:
+    """What the moves ask of a line, as bits of one number, so that no signal goes on beyond them."""
 
+    def __init__(self, rules: SectionRules) -> None:
+        asked = [t for m in rules.moves for t in (m.clause, *((m.held[1],) if m.held else ()))] + [f[1] for f in rules.fragments] + [*rules.makes_room, *rules.empty.values()]
+        self.texts = list(dict.fromkeys(asked))
+        if len(self.texts) > 62:
+            raise ValueError("62 different clauses in moves at most")
 
-def moved(rows: DataFrame, move: Move, every: DataFrame) -> DataFrame:
-    """rows after one move. every: all lines of the documents with their signals, headings too."""
+    def column(self) -> Column:
+        return F.expr(" | ".join(["0L", *(f"IF({wording(t)}, {1 << i}L, 0L)" for i, t in enumerate(self.texts))]))
+
+    def hold(self, text: str) -> Column:
+        return F.col("facts").bitwiseAND(F.lit(1 << self.texts.index(text)).cast("bigint")) != 0
+
+
+def near_heading(move: Move, reach: int = 7) -> Column:
+    """Whether a line is up to `reach` from a heading of move.around: before it in a run for which the clause holds, after which nothing else of that kind comes; or after it, itself
+    one for which the clause or `also` holds, without any line between that stops. Other headings end both."""
+    takes, after = clause(move.clause), clause(move.clause) | clause(move.also)
+    own = F.coalesce(F.col("section_heading") == move.around, F.lit(False))
+    line = F.struct(takes.alias("takes"), own.alias("own"), (F.col("section_heading").isNotNull() & ~own).alias("other"), (~after & clause(move.stops)).alias("stops"))
+    w = by_doc()
+
+    def reaches(lines: Column, ends) -> Column:
+        start = F.struct(F.lit(False).alias("found"), F.lit(False).alias("over"), F.lit(False).alias("gap"))
+
+        def add(state: Column, x: Column) -> Column:
+            found = state["found"] | (~state["over"] & x["own"])
+            return F.struct(found.alias("found"), (state["over"] | x["other"] | ends(state, x)).alias("over"), (state["gap"] | ~x["takes"]).alias("gap"))
+
+        return F.aggregate(lines, start, add)["found"]
+
+    before = takes & reaches(F.collect_list(line).over(w.rowsBetween(1, reach)), lambda state, x: x["takes"] & state["gap"])
+    behind = after & reaches(F.reverse(F.collect_list(line).over(w.rowsBetween(-reach, -1))), lambda state, x: x["stops"])
+    return ~F.coalesce(F.col("section_heading") != move.around, F.lit(False)) & (before | behind)
+
+
+def moved(rows: DataFrame, move: Move, facts: Facts) -> DataFrame:
+    """rows after one move. A column `held` of the move before serves this one too if it asks for the same."""
     doc = Window.partitionBy("doc_id")
     some = lambda c: F.coalesce(F.max(c).over(doc), F.lit(False))
-    fits = F.col("section").isin(*move.sources) & (F.col("section") != move.target)
-    if move.around:
-        near = recovered_lines(every, move)
-        rows = rows.join(near, ["doc_id", "line_no"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-        fits = fits & F.col("near")
-    else:
-        fits = fits & clause(move.clause)
+    fits = F.col("section").isin(*move.sources) & (F.col("section") != move.target) & (F.col(f"near_{move.around}") if move.around else facts.hold(move.clause))
     if move.held:
-        section, text, wanted = move.held
-        fits = fits & (some((F.col("section") == section) & clause(text)) == wanted)
+        fits = fits & (F.col("held") == move.held[2])
     if move.heading:
         fits = fits & F.array_contains("headings", move.heading)
     if move.no_heading:
         fits = fits & ~F.array_contains("headings", move.no_heading)
     if move.if_empty:
         fits = fits & ~some(F.col("section") == move.target)
-    rows = rows.withColumn("fits", fits)
     if move.first:
         order = F.struct(F.array_position(F.array(*map(F.lit, move.sources)), F.col("section")).alias("o"), "line_no")
-        rows = rows.withColumn("first", F.min(F.when(F.col("fits"), order)).over(doc)).withColumn("fits", F.coalesce(F.col("fits") & (order == F.col("first")), F.lit(False))).drop("first")
+        rows = rows.withColumn("fits", fits)
+        rows = rows.withColumn("first", F.min(F.when(F.col("fits"), order)).over(doc))
+        fits = F.col("fits") & F.coalesce(order == F.col("first"), F.lit(False))
     if move.copy:
-        rows = rows.withColumn("section", F.explode(F.when(F.col("fits"), F.array("section", F.lit(move.target))).otherwise(F.array("section"))))
+        section = F.explode(F.when(fits, F.array("section", F.lit(move.target))).otherwise(F.array("section")))
     else:
-        rows = rows.withColumn("section", F.when(F.col("fits"), move.target).otherwise(F.col("section")))
-    return rows.drop("fits", "near")
-
-
-def recovered_lines(every: DataFrame, move: Move, reach: int = 7) -> DataFrame:
-    """doc_id, line_no, near: lines up to `reach` from a heading of move.around, before it a run for which the clause holds, after it those for which it or `also` does; other headings end both."""
-    other = F.col("section_heading").isNotNull() & (F.col("section_heading") != move.around)
-    own = F.struct("line_no", clause(move.clause).alias("takes"), other.alias("other"), (clause(move.clause) | clause(move.also)).alias("after"), clause(move.stops).alias("stops"))
-    w = by_doc()
-    rows = every.select("doc_id", "line_no", "section_heading", own.alias("own"))
-    rows = rows.withColumn("back", F.reverse(F.collect_list("own").over(w.rowsBetween(-reach, -1)))).withColumn("on", F.collect_list("own").over(w.rowsBetween(1, reach)))
-    none = F.array().cast("array<int>")
-    start = F.struct(F.lit(False).alias("done"), none.alias("found"))
-
-    def fold(lines: str, takes, ends) -> Column:
-        def add(state: Column, x: Column) -> Column:
-            stop = state["done"] | x["other"] | ends(state, x)
-            return F.struct(stop.alias("done"), F.when(~stop & takes(x), F.array_append(state["found"], x["line_no"])).otherwise(state["found"]).alias("found"))
-
-        return F.aggregate(lines, start, add)["found"]
-
-    before = fold("back", lambda x: x["takes"], lambda state, x: ~x["takes"] & (F.size(state["found"]) > 0))
-    after = fold("on", lambda x: x["after"], lambda state, x: ~x["after"] & x["stops"])
-    heads = rows.where(F.col("section_heading") == move.around)
-    return heads.select("doc_id", F.explode(F.concat(before, after)).alias("line_no")).distinct().withColumn("near", F.lit(True))
+        section = F.when(fits, move.target).otherwise(F.col("section"))
+    return rows.withColumn("section", section).drop("fits", "first")
 
 
-def with_fragments(rows: DataFrame, rules: SectionRules) -> DataFrame:
+def with_fragments(rows: DataFrame, rules: SectionRules, facts: Facts) -> DataFrame:
     """rows, and those parts of them that are lines of another section; where there are some, lines of that section that make room go."""
-    parts = [F.when((F.col("section") == source) & clause(text), F.struct(F.nullif(F.trim(F.regexp_extract("line", pattern, 1)), F.lit("")).alias("line"), F.lit(target).alias("section"))) for source, text, pattern, target in rules.fragments]
+    parts = [F.when((F.col("section") == source) & facts.hold(text), F.struct(F.nullif(F.trim(F.regexp_extract("line", pattern, 1)), F.lit("")).alias("line"), F.lit(target).alias("section"))) for source, text, pattern, target in rules.fragments]
     rows = rows.withColumn("parts", F.filter(F.array(*parts), lambda p: p["line"].isNotNull()))
     found = F.max(F.size("parts") > 0).over(Window.partitionBy("doc_id"))
     targets = {f[3] for f in rules.fragments}
-    gone = F.col("section").isin(*targets) & reduce(Column.__or__, map(clause, rules.makes_room), F.lit(False))
+    gone = F.col("section").isin(*targets) & reduce(Column.__or__, map(facts.hold, rules.makes_room), F.lit(False))
     rows = rows.withColumn("found", found).where(~(F.col("found") & gone))
-    own = F.struct("line", "section")
     rest = [c for c in rows.columns if c not in ("line", "section", "parts", "found")]
-    return rows.select(*rest, F.explode(F.concat(F.array(own), "parts")).alias("p")).select(*rest, "p.line", "p.section")
+    return rows.select(*rest, F.explode(F.concat(F.array(F.struct("line", "section")), "parts")).alias("p")).select(*rest, "p.line", "p.section")
 
 
 def place_lines(lines: DataFrame, rules: SectionRules, expanded: bool = True) -> DataFrame:
@@ -243,24 +254,28 @@ def place_lines(lines: DataFrame, rules: SectionRules, expanded: bool = True) ->
     """
     rows = lines.select("doc_id", "line_no", "line").where(F.trim("line") != "")
     rows = expand_lines(rows, rules) if expanded else rows
-    rows = rows.repartition("doc_id").withColumn("section_heading", heading(F.col("line"), rules))
-    every = signals(rows, rules)
-    mapped = every.withColumn("map", step(rules))
+    facts, around = Facts(rules), {m.around: near_heading(m) for m in rules.moves if m.around}
+    known = signals(with_heading(rows.repartition("doc_id"), rules), rules)
+    # of what a line says, three values go on
+    kept = known.select("doc_id", "line_no", "line", "clean", "section_heading", step(rules).alias("map"), refinement(rules).alias("refined"), facts.column().alias("facts"), *(near.alias(f"near_{section}") for section, near in around.items()))
     longest = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    # lag() counts lines, whatever their numbers
-    placed = composed(mapped, longest).withColumn("section", section_of(F.substring("map", 1, 1))).drop("map")
-    placed = placed.withColumn("headings", F.collect_set("section_heading").over(Window.partitionBy("doc_id")))
+    section = section_of(F.substring("map", 1, 1))
+    placed = composed(kept, longest).withColumn("section", section).withColumn("headings", F.collect_set("section_heading").over(Window.partitionBy("doc_id"))).drop("map")
     by_text = F.create_map(*(F.lit(x) for pair in rules.headings.items() for x in pair))
-    pure = F.coalesce(F.try_element_at(by_text, F.lower(clean_heading(F.col("line")))) == F.col("section_heading"), F.lit(False)) | (clean_heading(F.col("line")) == "")
-    for section, text in rules.empty.items():
-        pure = pure | ((F.col("section_heading") == section) & clause(text))
-    placed = placed.where(~(F.col("section_heading").isNotNull() & pure))
+    pure = F.coalesce(F.try_element_at(by_text, F.col("clean")) == F.col("section_heading"), F.lit(False)) | (F.col("clean") == "")
+    for name, text in rules.empty.items():
+        pure = pure | ((F.col("section_heading") == name) & facts.hold(text))
+    placed = placed.where(~(F.col("section_heading").isNotNull() & pure)).drop("clean", "section_heading")
+    letters = F.array(*map(F.lit, SECTIONS))
     out = first_seen(placed)
-    out = out.withColumn("section", refined(rules))
-    for move in rules.moves[:2]:
-        out = moved(out, move, every)
-    if rules.fragments:
-        out = with_fragments(out, rules)
-    for move in rules.moves[2:]:
-        out = moved(out, move, every)
+    out = out.withColumn("section", section_of(F.substring(F.col("refined"), F.array_position(letters, F.col("section")).cast("int"), F.lit(1)))).drop("refined")
+    held = None
+    for k, move in enumerate(rules.moves):
+        if k == 2 and rules.fragments:
+            out = with_fragments(out, rules, facts)
+        if move.held and move.held[:2] != held:
+            held = move.held[:2]
+            out = out.withColumn("held", F.coalesce(F.max((F.col("section") == held[0]) & facts.hold(held[1])).over(Window.partitionBy("doc_id")), F.lit(False)))
+        held = move.held[:2] if move.held else None
+        out = moved(out, move, facts)
     return first_seen(out).select("doc_id", "line_no", "line", "section")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 #: Terms of letters and + # . match whole words; a word is a run of these characters and digits.
 WORDLIKE, RUN = r"^[a-z+#.]{2,}$", r"[a-z0-9+#.]+"
-#: Distinct substring terms that go into one array of literals at most.
+#: Distinct substring terms that go into one array of literals at most; more are joined by their grams.
 SUBSTRING_TERMS = 500
+#: Characters of a gram; a shorter term is its own.
+GRAM = 3
 
 
 def runs(text: Column) -> Column:
@@ -19,8 +21,8 @@ def runs(text: Column) -> Column:
 
 
 def match_terms(docs: DataFrame, terms: DataFrame, aliases: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """C8. (key, term) for each term that a text holds, itself or under another name. Whole-word terms join on the texts' words; others are
-    tested as parts, in one pass over the texts for each `SUBSTRING_TERMS` of them."""
+    """C8. (key, term) for each term that a text holds, itself or under another name. Whole-word terms join on the texts' words; up to `SUBSTRING_TERMS`
+    others are tested as parts of each text, more join by grams."""
     spark = docs.sparkSession
     known = terms.select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
     named = known.select("term", F.col("term").alias("name"))
@@ -30,13 +32,39 @@ def match_terms(docs: DataFrame, terms: DataFrame, aliases: dict[str, str] | Non
         named = named.unionByName(roots.select("term", F.col("root").alias("name"))).unionByName(roots.join(pairs, "root").select("term", F.col("alias").alias("name"))).distinct()
     words = docs.select(key, F.explode(runs(F.col(text))).alias("name"))
     whole = words.join(named.where(F.col("name").rlike(WORDLIKE)), "name").select(key, "term").distinct()
-    parts = [(r.term, r.name) for r in named.where(~F.col("name").rlike(WORDLIKE)).toLocalIterator()]
-    for i in range(0, len(parts), SUBSTRING_TERMS):
-        some = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for t, n in parts[i : i + SUBSTRING_TERMS]))
-        low = F.lower(F.col(text))
-        found = docs.select(key, F.explode(F.array_distinct(F.transform(F.filter(some, lambda x: F.contains(low, x["name"])), lambda x: x["term"]))).alias("term"))
-        whole = whole.unionByName(found)
-    return whole.distinct() if parts else whole
+    parts = named.where(~F.col("name").rlike(WORDLIKE))
+    few = parts.limit(SUBSTRING_TERMS + 1).collect()
+    if not few:
+        return whole
+    if len(few) > SUBSTRING_TERMS:
+        return whole.unionByName(_by_grams(docs, parts, key, text)).distinct()
+    some = F.array(*(F.struct(F.lit(r.term).alias("term"), F.lit(r.name).alias("name")) for r in few))
+    low = F.lower(F.col(text))
+    found = docs.select(key, F.explode(F.array_distinct(F.transform(F.filter(some, lambda x: F.contains(low, x["name"])), lambda x: x["term"]))).alias("term"))
+    return whole.unionByName(found).distinct()
+
+
+def _grams(c: str, n: int) -> Column:
+    """Distinct runs of n of an array of characters."""
+    at = F.sequence(F.lit(1), F.size(c) - (n - 1))
+    return F.when(F.size(c) >= n, F.array_distinct(F.transform(at, lambda i: F.concat(*(F.element_at(c, i + k) for k in range(n)))))).otherwise(F.array().cast("array<string>"))
+
+
+def _by_grams(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term) of the names (term, name) that texts hold as parts: one gram of each, that which fewest names have, joins with the texts' grams, and contains() verifies.
+    One scan of the texts for the grams and one for the rest, whatever the number of names, none of which passes the driver."""
+    chars = names.withColumn("chars", F.split("name", ""))
+    n = F.least(F.size("chars"), F.lit(GRAM)).alias("n")
+    grams = chars.select("term", "name", n, F.explode(F.when(F.size("chars") < GRAM, F.array("name")).otherwise(_grams("chars", GRAM))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.countDistinct("name").alias("shared"))
+    rarest = grams.join(shared, "gram").groupBy("name", "n").agg(F.min(F.struct("shared", "gram"))["gram"].alias("gram"))
+    sizes = [r.n for r in rarest.select("n").distinct().collect()]  # GRAM numbers at most
+    letters = docs.select(key, F.split(F.lower(F.col(text)), "").alias("chars"))
+    held = letters.select(key, F.explode(F.concat(*(_grams("chars", n) for n in sorted(sizes)))).alias("gram"))
+    near = held.join(rarest.select("gram", "name"), "gram").select(key, "name").distinct()
+    texts = docs.select(F.col(key).alias("k"), F.lower(F.col(text)).alias("low"))
+    found = near.join(texts, near[key].eqNullSafe(texts["k"]) & F.contains("low", "name")).select(key, "name").distinct()
+    return found.join(names, "name").select(key, "term")
 
 
 def hit_sections(section_lines: DataFrame, terms: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -101,16 +129,33 @@ def vectors(docs: DataFrame, idf: DataFrame, tokens: Column, key: str, more: Col
     return weighed.join(norm, key).select(key, "term", F.coalesce(F.try_divide("w", "norm"), F.lit(0.0)).alias("weight"), (F.col("w_all") / F.col("norm_all")).alias("expanded"))
 
 
-def tfidf_cosine(left: DataFrame, right: DataFrame, idf: DataFrame, left_tokens: Column, right_tokens: Column, left_key: str, right_key: str, left_more: Column | None = None, right_more: Column | None = None) -> DataFrame:
+def tfidf_cosine(
+    left: DataFrame, right: DataFrame, idf: DataFrame, left_tokens: Column, right_tokens: Column, left_key: str, right_key: str, left_more: Column | None = None, right_more: Column | None = None, least: float = 0.0
+) -> DataFrame:
     """H20. Cosine, score (0..100) and confidence of each pair that shares a term: the greater of the plain cosine and that with the tokens in `more`
-    (absent_roots), both from one pass. Joined on terms, never as a product of all pairs."""
+    (absent_roots), both from one pass. Joined on terms, never as a product of all pairs. With `least` only pairs whose cosine reaches it: those that share a term in
+    prefix() of both are summed, so that common words bring no pairs together."""
     a, b = vectors(left, idf, left_tokens, left_key, left_more), vectors(right, idf, right_tokens, right_key, right_more)
     other = b.select(right_key, "term", F.col("weight").alias("other"), F.col("expanded").alias("other_expanded"))
     sums = F.greatest(F.sum(F.col("weight") * F.col("other")), F.sum(F.col("expanded") * F.col("other_expanded")))
-    dot = a.join(other, "term").groupBy(left_key, right_key).agg(sums.alias("cosine"))
+    if least > 0:
+        pairs = prefix(a, idf, left_key, least).join(prefix(b, idf, right_key, least), "term").select(left_key, right_key).distinct()
+        met = pairs.join(a, left_key).join(other, [right_key, "term"])
+    else:
+        met = a.join(other, "term")
+    dot = met.groupBy(left_key, right_key).agg(sums.alias("cosine")).where(F.col("cosine") >= least)
     return dot.select(left_key, right_key, "cosine", (F.col("cosine") * 100).alias("score"), F.least(F.lit(0.88), 0.45 + 0.42 * F.col("cosine")).alias("confidence"))
 
 
+def prefix(rows: DataFrame, idf: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, term): of each vector its rarest terms, so many that the rest has a length under `least`. The order of terms is the same for all vectors: if two have no term in
+    common within both prefixes, all they share is in the rest of one of them, which brings less than `least`."""
+    order = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "term").rowsBetween(0, Window.unboundedFollowing)
+    rest = lambda c: F.sum(F.col(c) * F.col(c)).over(order)
+    ranked = rows.join(idf.select("term", "df"), "term", "left").withColumn("rest", F.greatest(rest("weight"), rest("expanded")))
+    return ranked.where(F.col("rest") >= least * least - 1e-9).select(key, "term")
+
+
 def vector_cosine(a: Column, b: Column) -> Column:
     """H21. Cosine of two dense vectors, clipped to 0..1; 0 for a vector of zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

@@ -94,7 +94,9 @@ QUERIES = {
     "h12_term_groups": lambda v: J.term_groups(v.v_job).select("job_id", "t_position", "t_must", "t_nice", "t_all"),
     "h12_job_text": lambda v: J.job_text(v.v_job),
     "c10_candidate_pairs": lambda v: J.candidate_pairs(v.documents, v.v_job),
-    "h13_pair_score": lambda v: scored(v, REQUEST),
+    "h13_pair_score": lambda v: J.with_context(scored(v, REQUEST), v.documents, v.v_job, REQUEST),
+    "e1_rank_for_request": lambda v: J.rank_for_request(scored(v, REQUEST), v.documents, v.v_job, REQUEST).select("doc_id", "job_id", "rank", "hits", "score", "percent"),
+    "e1_top_jobs": lambda v: J.top_jobs(v.documents, v.v_job, section_hits(v), segmented(v).select("doc_id", "section")).select("doc_id", "job_id", "rank", "hits", "score", "percent"),
     "e1_rank_jobs": lambda v: ranked(v).select("doc_id", "job_id", "rank", "hits", "score", "percent"),
     "h14_alignment": lambda v: J.alignment(ranked(v).select("doc_id", "job_id"), v.documents, v.v_job, LATIN.degrees, EXPERIENCE),
     "h22_job_words": lambda v: v.benchmark.select("item_id", J.job_words(asked(), LATIN.stop_words, TERMS).alias("w")).select("item_id", F.col("w.must").alias("words"), "w.nice"),
@@ -124,10 +126,19 @@ _SECHIT = """
 SELECT DISTINCT doc_id, section, term FROM secword JOIN (SELECT DISTINCT term FROM jobterm) USING (term) WHERE regexp_matches(term, '^[a-z+#.]{2,}$')
 UNION SELECT doc_id, section, term FROM seg JOIN (SELECT DISTINCT term FROM jobterm) t ON NOT regexp_matches(term, '^[a-z+#.]{2,}$') AND contains(lower(line), term)"""
 _W = "CASE section " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in SECTION_WEIGHTS.items()) + " ELSE 1.0 END"
+# words of letters as whole words, others as parts
+_CONTEXT = r"len(list_filter(t_all, lambda t: regexp_matches(t, '(^|[^a-z0-9+#.])(the|of)[.]*([^a-z0-9+#.]|$)') OR contains(t, 'cat-1'))) / 3"
+_COMPLETE = f"""
+SELECT doc_id, job_id, hits, must, nice, position_share, evidence, context, 0.65 * r + 0.15 * evidence + 0.2 * context AS score FROM scored
+UNION ALL
+SELECT doc_id, job_id, 0, 0.0, 0.0, 0.0, 0.0, context, 0.2 * context FROM documents, (SELECT job_id, {_CONTEXT} AS context FROM grouped) g
+WHERE context > 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = documents.doc_id AND h.job_id = g.job_id)"""
+_ASKED = """
+SELECT *, least(greatest(score * 100, 0), 100) AS percent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, hits DESC, job_id) AS rank FROM complete) WHERE rank <= 5 AND (score >= 0.08 OR rank = 1)"""
 _SCORED = f"""
 SELECT doc_id, job_id, hits, must, nice, position_share, evidence, context, r, len(t_position) AS np FROM (
   SELECT h.*, g.t_position, hit_must / greatest(len(t_must), 1) AS must, hit_nice / greatest(len(t_nice), 1) AS nice, hit_position / greatest(len(t_position), 1) AS position_share, coalesce(hit_weight / all_weight, 0.0) AS evidence,
-    len(list_filter(t_all, lambda t: contains(t, 'the') OR contains(t, 'of') OR contains(t, 'cat-1'))) / 3 AS context,
+    {_CONTEXT} AS context,
     0.55 * hit_must / greatest(len(t_must), 1) + 0.2 * hit_nice / greatest(len(t_nice), 1) + 0.25 * hit_position / greatest(len(t_position), 1) AS r
   FROM (SELECT doc_id, job_id, count(*) AS hits, sum(is_must) AS hit_must, sum(is_nice) AS hit_nice, sum(is_position) AS hit_position FROM hit GROUP BY ALL) h
   LEFT JOIN (SELECT doc_id, job_id, sum({_W}) AS hit_weight FROM (SELECT DISTINCT doc_id, job_id, section FROM hit JOIN sechit USING (doc_id, term)) GROUP BY ALL) w USING (doc_id, job_id)
@@ -158,7 +169,7 @@ _KEYED = "SELECT *, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS key F
 
 def sql(text: str) -> str:
     return duck(
-        text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, wanted=texts._WANTED, found=texts._FOUND, grouped=_GROUPS, jobterm=_TERMS, secword=_WORDS, docword=_DOCWORDS, hit=_HIT, sechit=_SECHIT, scored=_SCORED, ranked=_RANKED, rulefeat=_RULE, edge=_EDGE, input=_INPUT,
+        text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, wanted=texts._WANTED, found=texts._FOUND, grouped=_GROUPS, jobterm=_TERMS, secword=_WORDS, docword=_DOCWORDS, hit=_HIT, sechit=_SECHIT, scored=_SCORED, ranked=_RANKED, complete=_COMPLETE, asked=_ASKED, rulefeat=_RULE, edge=_EDGE, input=_INPUT,
         replaced=_REPLACED, keyed=_KEYED,
     )
 
@@ -184,7 +195,9 @@ SQL = {
         CASE WHEN len(must) > 0 THEN 'must: ' || array_to_string(must, ', ') END, CASE WHEN len(nice) > 0 THEN 'nice: ' || array_to_string(nice, ', ') END], lambda x: x IS NOT NULL), chr(10)) AS text FROM v_job"""
     ),
     "c10_candidate_pairs": sql("SELECT doc_id, job_id, term, is_must, is_nice, is_position FROM hit"),
-    "h13_pair_score": sql("SELECT doc_id, job_id, hits, must, nice, position_share, evidence, context, 0.65 * r + 0.15 * evidence + 0.2 * context AS score FROM scored"),
+    "h13_pair_score": sql("SELECT * FROM complete"),
+    "e1_rank_for_request": sql("SELECT doc_id, job_id, rank, hits, score, percent FROM asked"),
+    "e1_top_jobs": sql("SELECT doc_id, job_id, rank, hits, score, percent FROM ranked"),
     "e1_rank_jobs": sql("SELECT doc_id, job_id, rank, hits, score, percent FROM ranked"),
     "h14_alignment": sql(
         f"""SELECT doc_id, job_id, CASE WHEN need = 0 THEN 'not_required' WHEN rank >= need THEN 'meets' ELSE 'unknown' END AS education, CASE WHEN NOT wants THEN 'not_required' WHEN shown THEN 'evidence_found' ELSE 'unknown' END AS experience

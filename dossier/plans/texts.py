@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web as W
+from ..functions.han import HAN
 from ..functions.rules import LATIN
 from ..operators import lines as L
+from ..operators import sections as P
 from ..operators import terms as M
 from .views import Views, duck
 
@@ -33,6 +35,21 @@ def job_terms(v: Views):
     return v.v_job.select(F.explode(F.concat("must", F.array(F.lit("c3"), F.lit("3d"), F.lit("with")))).alias("term")).distinct()
 
 
+
+LEAST_COSINE = 0.3
+
+
+def cosines(v: Views, least: float = 0.0):
+    tokens, more = (T.vector_tokens(F.col("text"), LATIN.aliases) for _ in range(2)), (T.absent_roots(F.col("text"), LATIN.aliases) for _ in range(2))
+    return M.tfidf_cosine(v.documents, v.benchmark, M.fit_idf(v.documents), *tokens, "doc_id", "item_id", *more, least=least).select("doc_id", "item_id", "cosine", "confidence")
+
+
+def phrases_of(text):
+    """Two words that follow each other."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 QUERIES = {
     "h1_norm_line": lambda v: v.v_line.select("doc_id", "line_no", T.norm_line(F.col("line")).alias("norm"), T.canon_line(F.col("line")).alias("canon")),
     "h2_job_tokens": lambda v: v.documents.select("doc_id", T.job_tokens(F.col("text")).alias("tokens")),
@@ -73,9 +90,10 @@ QUERIES = {
     "c8_match_terms": lambda v: M.match_terms(v.documents, job_terms(v), LATIN.aliases),
     "c9_hit_sections": lambda v: M.hit_sections(segmented(v), job_terms(v)),
     "d21_fit_idf": lambda v: M.fit_idf(v.documents),
-    "h20_tfidf_cosine": lambda v: M.tfidf_cosine(
-        v.documents, v.benchmark, M.fit_idf(v.documents), *(T.vector_tokens(F.col("text"), LATIN.aliases) for _ in range(2)), "doc_id", "item_id", *(T.absent_roots(F.col("text"), LATIN.aliases) for _ in range(2))
-    ).select("doc_id", "item_id", "cosine", "confidence"),
+    "h20_tfidf_cosine": lambda v: cosines(v),
+    "h20_cosine_join": lambda v: cosines(v, LEAST_COSINE),
+    "c8_match_phrases": lambda v: M.match_terms(v.documents, v.benchmark.select(F.explode(phrases_of(F.col("text"))).alias("term"))),
+    "h35_place_lines": lambda v: P.place_lines(L.lines_of(v.v_resume), HAN).select("doc_id", "line_no", "section", "line"),
     "h21_vector_cosine": lambda v: v.embeddings.alias("a").join(v.embeddings.alias("b"), F.expr("a.label = b.label AND b.vec_id = a.vec_id + 10")).select(F.col("a.vec_id").alias("vec_id"), M.vector_cosine(F.col("a.embedding"), F.col("b.embedding")).alias("cosine")).withColumn("fused", M.fuse(F.lit(40.0), F.col("cosine") * 100, 0.65)),
 }
 
@@ -203,6 +221,10 @@ def sql(text: str) -> str:
     return duck(text, wanted=_WANTED, seg=_SEG, norm_lines=_NORM, page=_PAGE, lay=_LAY, pool=_POOL, found=_FOUND, judged=_QUALITY, content=_CONTENT, card=_CARD, idf=_IDF, term=_TERM, term_name=_NAME)
 
 
+_COSINE = f"""WITH a AS (SELECT doc_id, term, count(*) FILTER (own) * coalesce(any_value(idf), 1) AS w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT doc_id, unnest({_TOKENS}) AS term, true AS own FROM (SELECT doc_id, {_WORD} AS w FROM documents) UNION ALL SELECT doc_id, unnest({_ROOTS}), false FROM documents) LEFT JOIN idf USING (term) GROUP BY ALL),
+        b AS (SELECT item_id, term, count(*) FILTER (own) * coalesce(any_value(idf), 1) AS w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT item_id, unnest({_TOKENS}) AS term, true AS own FROM (SELECT item_id, {_WORD} AS w FROM benchmark) UNION ALL SELECT item_id, unnest({_ROOTS}), false FROM benchmark) LEFT JOIN idf USING (term) GROUP BY ALL),
+        na AS (SELECT doc_id, sqrt(sum(w * w)) AS n, sqrt(sum(x * x)) AS m FROM a GROUP BY 1), nb AS (SELECT item_id, sqrt(sum(w * w)) AS n, sqrt(sum(x * x)) AS m FROM b GROUP BY 1)
+        SELECT doc_id, item_id, cosine, least(0.88, 0.45 + 0.42 * cosine) AS confidence FROM (SELECT doc_id, item_id, greatest(sum(a.w * b.w / na.n / nb.n), sum(a.x * b.x / na.m / nb.m)) AS cosine FROM a JOIN b USING (term) JOIN na USING (doc_id) JOIN nb USING (item_id) GROUP BY ALL)"""
 SQL = {
     "h1_norm_line": sql("SELECT * FROM norm_lines"),
     "h2_job_tokens": r"SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9+#.-]+|[\x{4e00}-\x{9fa5}]{2,}') AS l FROM documents)",
@@ -282,11 +304,10 @@ SQL = {
         f"SELECT DISTINCT doc_id, section, name AS term FROM ({_RUN.format('doc_id, section', 'line', 'seg')}) JOIN term ON name = term WHERE regexp_matches(name, '^[a-z+#.]{{2,}}$') UNION SELECT doc_id, section, term FROM seg JOIN term ON NOT regexp_matches(term, '^[a-z+#.]{{2,}}$') AND contains(lower(line), term)"
     ),
     "d21_fit_idf": sql("SELECT * FROM idf"),
-    "h20_tfidf_cosine": sql(
-        f"""WITH a AS (SELECT doc_id, term, count(*) FILTER (own) * coalesce(any_value(idf), 1) AS w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT doc_id, unnest({_TOKENS}) AS term, true AS own FROM (SELECT doc_id, {_WORD} AS w FROM documents) UNION ALL SELECT doc_id, unnest({_ROOTS}), false FROM documents) LEFT JOIN idf USING (term) GROUP BY ALL),
-        b AS (SELECT item_id, term, count(*) FILTER (own) * coalesce(any_value(idf), 1) AS w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT item_id, unnest({_TOKENS}) AS term, true AS own FROM (SELECT item_id, {_WORD} AS w FROM benchmark) UNION ALL SELECT item_id, unnest({_ROOTS}), false FROM benchmark) LEFT JOIN idf USING (term) GROUP BY ALL),
-        na AS (SELECT doc_id, sqrt(sum(w * w)) AS n, sqrt(sum(x * x)) AS m FROM a GROUP BY 1), nb AS (SELECT item_id, sqrt(sum(w * w)) AS n, sqrt(sum(x * x)) AS m FROM b GROUP BY 1)
-        SELECT doc_id, item_id, cosine, least(0.88, 0.45 + 0.42 * cosine) AS confidence FROM (SELECT doc_id, item_id, greatest(sum(a.w * b.w / na.n / nb.n), sum(a.x * b.x / na.m / nb.m)) AS cosine FROM a JOIN b USING (term) JOIN na USING (doc_id) JOIN nb USING (item_id) GROUP BY ALL)"""
+    "h20_tfidf_cosine": sql(_COSINE),
+    "h20_cosine_join": sql(f"SELECT * FROM ({_COSINE}) WHERE cosine >= {LEAST_COSINE}"),
+    "c8_match_phrases": sql(
+        "SELECT doc_id, term FROM documents JOIN (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark))) ON contains(lower(text), term) GROUP BY ALL"
     ),
     "h21_vector_cosine": "SELECT vec_id, c AS cosine, least(greatest(0.65 * 40 + 0.35 * c * 100, 0), 100) AS fused FROM (SELECT a.vec_id, least(greatest(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 1) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10)",
 }
