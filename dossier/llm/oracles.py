@@ -89,4 +89,79 @@ l AS (SELECT *, regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-
 SELECT page_id, host, path, rule, listed, coalesce(rule_verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM l LEFT JOIN fit USING (page_id)
 """
 
-ORACLES = {"op1_tool_calls": OP1, "op2_decontaminate": OP2, "op6_jaccard_join": OP6, "op10_url_cascade": OP10}
+# CRC-32 by its table, which follows from the polynomial; DuckDB has no function for it
+_CRC_TABLE = "crc(t) AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i))"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def _add(cell: str, cost: str, letter: str, piece: str) -> str:
+    """A cell after one more edit: its cost in nine digits and its audit, so that the least string is the cheapest and least; and the repaired turns."""
+    return f"CASE WHEN {cell} IS NOT NULL THEN {{'k': lpad(CAST(CAST(left({cell}.k, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({cell}.k, 10) || '{letter}', 'x': {cell}.x || {piece}}} END"
+
+
+def _least(*cells: str) -> str:
+    return f"list_sort(list_filter([{', '.join(cells)}], lambda c: c IS NOT NULL))[1]"
+
+
+_NEW_USER, _NEW_ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_INSERTED = f"""
+SELECT *, {_least("ca", _add("cu1", "3", "I", _NEW_ASSISTANT))} AS ca1 FROM (
+  SELECT *, {_least("cu", _add("c0", "3", "I", _NEW_USER), _add("cs", "3", "I", _NEW_USER), _add("ca", "3", "I", _NEW_USER))} AS cu1 FROM walk)"""
+
+
+def _stays(cell: str, letter: str, cost: str, when: str, said: str) -> str:
+    return f"CASE WHEN fault NOT IN ('b', 'd') AND {when} THEN {_add(cell, cost + ' + CASE WHEN fault = ' + chr(39) + 't' + chr(39) + ' THEN 3 ELSE 0 END', letter, said)} END"
+
+
+_KEPT = "chr(10) || role || ':' || text"
+_TO_USER = [x for cell in ("c0", "cs", "ca1") for x in (_stays(cell, "K", "0", "ini = 'u'", _KEPT), _stays(cell, "R", "3", "true", _NEW_USER + " || text"))]
+_TO_ASSISTANT = [_stays("cu1", "K", "0", "ini = 'a'", _KEPT), _stays("cu1", "R", "3", "true", _NEW_ASSISTANT + " || text")]
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind > 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN last = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM r),
+none AS (SELECT CAST(NULL AS STRUCT(k VARCHAR, x VARCHAR)) AS c),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'k': '000000000', 'x': ''}} AS c0, c AS cs, c AS cu, c AS ca FROM (SELECT DISTINCT conv_id FROM f), none
+  UNION ALL
+  SELECT w.conv_id, f.i, {_add("c0", "4", "D", "''")}, {_least(_add("cs", "4", "D", "''"), _stays("c0", "K", "0", "ini = 's'", _KEPT))},
+    {_least(_add("cu1", "4", "D", "''"), *_TO_USER)}, {_least(_add("ca1", "4", "D", "''"), *_TO_ASSISTANT)}
+  FROM ({_INSERTED}) w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1),
+last_i AS (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id),
+best AS (SELECT w.conv_id, {_least("c0", "ca1")} AS c FROM ({_INSERTED}) w JOIN last_i l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i),
+pair AS (SELECT conv_id, ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS two FROM f),
+ill AS (SELECT conv_id, count(*) AS illegal FROM pair WHERE two NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM f GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(c.k, 9) AS BIGINT), 0) AS cost, coalesce(substr(c.k, 10), '') AS audit, sha256(coalesce(substr(c.x, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ill ON ill.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+OP12 = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce({_CRC.format("CAST(doc_id AS VARCHAR)")}, 1) AS h FROM documents, crc),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+m AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM p),
+word AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM m),
+same AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND 3 * (x.i - y.i) <= x.n),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretch AS (SELECT doc_id, q, min(i) - q AS s, count(*) + q AS len FROM island GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+run AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM run GROUP BY doc_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS place FROM run) WHERE place = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM m LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_tool_calls": OP1, "op2_decontaminate": OP2, "op6_jaccard_join": OP6, "op10_url_cascade": OP10, "op11_structure_repair": OP11, "op12_periodic_runs": OP12}
