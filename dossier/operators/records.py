@@ -170,9 +170,10 @@ def report_center(records: DataFrame, reports: DataFrame, uploads: DataFrame, pr
     )
 
 
-def upsert_records(current: DataFrame, updates: DataFrame, key: str = "record_id", columns: Sequence[str] = ("status", "total_score")) -> DataFrame:
-    """A10. The new snapshot: an update takes effect while its record is processing. Of several updates for a key any row that sorts last counts."""
-    last = updates.groupBy(key).agg(F.max(F.struct(*columns)).alias("new"))
+def upsert_records(current: DataFrame, updates: DataFrame, key: str = "record_id", columns: Sequence[str] = ("status", "total_score"), order: str | None = None) -> DataFrame:
+    """A10. The new snapshot: an update takes effect while its record is processing. Of several updates for a key the last by `order` counts; without one any row that sorts last."""
+    new = F.struct(*columns)
+    last = updates.groupBy(key).agg((F.max_by(new, order) if order else F.max(new)).alias("new"))
     joined = current.join(last, key, "left")
     applies = (F.col("status") == PROCESSING) & F.col("new").isNotNull()
     return joined.select(*(F.when(applies, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns))

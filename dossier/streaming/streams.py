@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions.rules import RuleSet
 from ..operators import lines as L
-from ..operators.records import recover_stale, repair_detected_targets
+from ..operators.records import MOST_REQUEUES, PROCESSING, STALE_SECONDS, recover_stale, repair_detected_targets, upsert_records
 from ..operators.stats import batch_rollup
+from .store import Snapshots
 
 TEST_FOLDER = "/tmp/dossier-streams"
 
@@ -22,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own where none is set and the master is local."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder and not context.master.startswith("local"):
+    if not folder and not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = folder or TEST_FOLDER
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -55,21 +57,34 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def analyse(docs: DataFrame, rules: RuleSet) -> DataFrame:
-    """Quality of each document; one without text fails with an error, and fails alone."""
-    bad = F.coalesce(F.trim("text"), F.lit("")) == ""
-    segmented = L.segment_by_heading(L.lines_of(docs.where(~bad)), rules.headings)
-    quality = L.parse_quality(L.features(docs.where(~bad), segmented)).select("doc_id", "quality")
-    return docs.select("doc_id", bad.alias("bad")).join(quality, "doc_id", "left").select(
-        "doc_id", F.when(F.col("bad"), "failed").otherwise("success").alias("status"), F.when(F.col("bad"), "no_text").otherwise("").alias("error"), F.coalesce("quality", F.lit("")).alias("quality")
-    )
+    """Quality of each document; one without a source (null) or without text fails with an error, and fails alone."""
+    error = F.when(F.col("text").isNull(), "no_source").when(F.trim("text") == "", "no_text").otherwise("")
+    known = docs.withColumn("error", error)
+    good = known.where("error = ''")
+    quality = L.parse_quality(L.features(good, L.segment_by_heading(L.lines_of(good), rules.headings))).select("doc_id", "quality")
+    return known.select("doc_id", "error").join(quality, "doc_id", "left").select("doc_id", F.when(F.col("error") == "", "success").otherwise("failed").alias("status"), "error", F.coalesce("quality", F.lit("")).alias("quality"))
+
+
+def analysed_into(rules: RuleSet) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """S2, A10. What becomes of records (doc_id, status, error, quality) when documents come: new ones begin as processing, and those that are take the result of their document;
+    one that has ended stays as it is. Of a document that a batch holds several times the greatest text counts."""
+
+    def merge(records: DataFrame, docs: DataFrame) -> DataFrame:
+        docs = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+        fresh = docs.join(records, "doc_id", "left_anti").select("doc_id", F.lit("processing").alias("status"), F.lit("").alias("error"), F.lit("").alias("quality"))
+        return upsert_records(records.unionByName(fresh), analyse(docs, rules), "doc_id", ("status", "error", "quality"))
+
+    return merge
 
 
 def stream_analyze(stream: DataFrame, rules: RuleSet, folder: str | None = None) -> DataFrame:
-    """S2. Analyses new documents batch by batch; of a document that came again the last batch counts."""
+    """S2. Analyses new documents batch by batch and upserts the results into snapshots; a batch that is repeated changes nothing."""
     folder = folder or shared_folder(stream.sparkSession)
-    drain(stream, lambda df, number: _into(folder)(analyse(df, rules), number), folder)
-    out = stream.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
-    return out.groupBy("doc_id").agg(F.max_by(F.struct("status", "error", "quality"), "batch").alias("r")).select("doc_id", "r.*")
+    kind = StructType().add("doc_id", stream.schema["doc_id"].dataType).add("status", "string").add("error", "string").add("quality", "string")
+    store = Snapshots(stream.sparkSession, f"{folder}/records", kind, "doc_id")
+    merge = analysed_into(rules)
+    drain(stream.select("doc_id", "text"), lambda df, number: store.apply(df, number, merge), folder)
+    return store.read()
 
 
 def stream_progress(items: DataFrame) -> DataFrame:
@@ -156,6 +171,59 @@ def limit_sliding(events: DataFrame, key: str, limit: int, seconds: float, late:
     return _limited(events, key, seconds, late, sliding_log(limit, seconds))
 
 
+def overdue(state: tuple[str, float, int] | None, rows: list[tuple[float, str, int]], now: float, seconds: float, most: int) -> tuple[tuple[str, float, int] | None, list[str]]:
+    """S6. A task's state (status, since, requeues) and what is done after rows (time, status, requeues so far or -1) came by `now`: processing for over `seconds` it is queued again,
+    and fails the time after `most`. A task that ends is forgotten."""
+    out = []
+
+    def late(at: float) -> None:
+        nonlocal state
+        if state and state[0] == PROCESSING and at - state[1] > seconds:
+            out.append("fail" if state[2] >= most else "requeue")
+            state = None if out[-1] == "fail" else ("pending", at, state[2] + 1)
+
+    for at, status, requeues in sorted(rows):
+        late(at)
+        if status in (PROCESSING, "pending"):
+            state = (status, at, requeues if requeues >= 0 else state[2] if state else 0)
+        else:
+            state = None
+    late(now)
+    return state, out
+
+
+def recover_stream(tasks: DataFrame, seconds: float = STALE_SECONDS, most: int = MOST_REQUEUES, late: str | None = None) -> DataFrame:
+    """S6. (task_id, action) for tasks that stay in processing: requeue, or fail after `most`. tasks: task_id, status, requeues (null: as known), ts.
+
+    A timer of each task's state fires when `seconds` have passed since it began: by the clock of the cluster, or with `late` by the events' own time, once the watermark is there.
+    A task's rows of a micro-batch are folded part by part; only the last states of each part are held.
+    """
+    by_time = late is not None
+    stamped = tasks.withColumn("ts", F.col("ts").cast("timestamp"))
+    stamped = stamped.withWatermark("ts", late) if by_time else stamped
+    rows = stamped.select(F.col("task_id").cast("string").alias("task_id"), "status", F.coalesce(F.col("requeues").cast("int"), F.lit(-1)).alias("requeues"), "ts", F.col("ts").cast("double").alias("at"))
+
+    def run(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = (state.getCurrentWatermarkMs() if by_time else state.getCurrentProcessingTimeMs()) / 1000
+        known = tuple(state.get) if state.exists else None
+        came = [] if state.hasTimedOut else [(r.at, r.status, int(r.requeues)) for p in parts for r in p.sort_values("at").itertuples()]
+        known, actions = overdue(known, came, now if by_time else max([now, *(at for at, _, _ in came)]), seconds, most)
+        if known is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(known)
+            if known[0] == PROCESSING and by_time:
+                state.setTimeoutTimestamp(max(int((known[1] + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
+            elif known[0] == PROCESSING:
+                state.setTimeoutDuration(max(int((known[1] + seconds - now) * 1000), 0) + 1)
+        if actions:
+            yield pd.DataFrame({"task_id": who[0], "action": actions})
+
+    timer = GroupStateTimeout.EventTimeTimeout if by_time else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("task_id").applyInPandasWithState(run, "task_id string, action string", "status string, since double, requeues int", "append", timer)
+
+
 def maintenance_tick(records: DataFrame, as_of: str, limit: int = 50) -> DataFrame:
     """S9. What one tick changes: the newest rows whose target is repaired and the oldest stale tasks, `limit` of each."""
     repaired = repair_detected_targets(records).where("repaired").orderBy(F.desc("record_id")).limit(limit).select("record_id", F.lit("repair").alias("action"))
