@@ -63,6 +63,8 @@ class RuleSet:
     vague: str = ""
     skills: tuple[str, ...] = ()
     stop_words: tuple[str, ...] = ()
+    courses: str = ""
+    domains: tuple[str, ...] = ()
     weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
 
     @classmethod
@@ -131,4 +133,5 @@ LATIN = RuleSet(
     actions=r"\b(built|led|designed|ering|onre)\b", results=r"\b(improved|reduced|increased|tion|inti)\b", vague=r"\b(various|some|many|etc|ou|ha)\b",
     skills=("python", "sql", "spark", "excel", "the", "tion", "ering"),
     stop_words=("the", "and", "of", "to", "in", "that", "was", "is", "de", "la", "le"),
+    courses=r"\b(courses?|training|modules?|thaton)\b", domains=("spark", "analytics", "marketing", "erent", "tionth", "schichte"),
 )

@@ -181,24 +181,61 @@ def assign_pools(scored: DataFrame, a: int, b: int) -> DataFrame:
     return joined.withColumn("pool", F.coalesce("pool_b", "pool_a", F.lit("C"))).drop("pool_a", "pool_b")
 
 
+#: H17. Lines that are no experience whatever their section, and how many lines of each sort are named.
+NO_EXPERIENCE = ("education", "skills", "award")
+NAMED = {"weak": 5, "vague": 5, "long": 5, "title": 3, "metric": 3, "action": 3, "course": 5, "domain": 6}
+MOST_ZONES, MOST_DOMAINS = 6, 12
+
+
 def evidence(section_lines: DataFrame, rules: RuleSet) -> DataFrame:
-    """H17. Evidence of each document: counts over its experience lines, samples of weak, vague and long lines, low-signal zones and confidence."""
+    """H17. Evidence of each document: counts over its experience lines, the first lines of each sort by number, domain words, missing core sections, low-signal zones and confidence.
+
+    Experience lines are those of experience sections that have six characters at least, stand there for the first time and are no education, skills or award. Of them are weak: duties
+    of 12 to 110 characters without metric and result; role titles: 12 to 120 characters. All lines are looked at for length (over 90), vague words (but
+    for education, skills and award), courses and domain words. `weak`, `vague`, `long` and `role_titles` are the numbers of lines that are named.
+    Zones (reason:line, six at most): weak, then title, then vague lines, a text once; without any the first short duty (under 40 characters, no metric). duty_zones counts the weak ones.
+    One window by document numbers the lines of each sort as they come, so that no more are gathered than are named.
+    """
     low = F.lower("line")
-    flags = section_lines.select(
-        "doc_id", "line_no", "line", "section", F.col("section").isin(*EXPERIENCE_SECTIONS).alias("exp"), low.rlike(METRIC).alias("metric"), low.rlike(rules.actions).alias("action"), low.rlike(rules.results).alias("result"),
-        low.rlike(rules.vague).alias("is_vague"), (F.length("line") > 90).alias("is_long"), low.rlike(DATE).alias("date"), line_class(F.col("line"), rules.line_classes).alias("kind"),
+    size = F.length(F.trim("line"))
+    kind = line_class(F.col("line"), rules.line_classes)
+    pattern = lambda p: low.rlike(p or "$^")
+    rows = section_lines.select(
+        "doc_id", "line_no", "line", "section", F.trim("line").alias("own"), size.alias("size"), kind.alias("kind"), pattern(METRIC).alias("has_metric"), pattern(rules.actions).alias("has_action"), pattern(rules.results).alias("has_result"),
+        pattern(rules.vague).alias("has_vague"), pattern(DATE).alias("date"), pattern(rules.courses).alias("course"), F.array_compact(F.array(*(F.when(F.contains(low, F.lit(d.lower())), F.lit(d)) for d in rules.domains))).alias("domains"),
     )
-    n = lambda c: F.count_if(F.col("exp") & F.col(c))
-    weak = F.col("exp") & ~F.col("metric") & ~F.col("result")
-    first = lambda c, k: F.slice(F.array_sort(F.collect_list(F.when(c, F.col("line_no")))), 1, k)
-    rows = flags.groupBy("doc_id").agg(
-        F.count_if("exp").alias("exp_lines"), n("metric").alias("metrics"), n("action").alias("actions"), n("result").alias("results"), F.count_if("date").alias("dates"), F.count_if(F.col("exp") & F.col("is_vague")).alias("vague"),
-        F.count_if(F.col("exp") & F.col("is_long")).alias("long"), F.count_if(weak).alias("weak"), F.count_if(F.col("kind") == "duty").alias("duty_zones"), F.count_if(F.col("kind") == "role_title").alias("role_titles"),
-        first(weak, 5).alias("weak_lines"), first(F.col("exp") & F.col("is_vague"), 5).alias("vague_lines"), first(F.col("kind") == "role_title", 3).alias("title_lines"),
+    rows = rows.withColumn("may", F.col("section").isin(*EXPERIENCE_SECTIONS) & (F.col("size") >= 6) & ~F.col("kind").isin(*NO_EXPERIENCE))
+    rows = rows.withColumn("exp", F.col("may") & (F.row_number().over(Window.partitionBy("doc_id", "own", "may").orderBy("line_no")) == 1))
+    duty = F.col("exp") & (F.col("kind") == "duty")
+    rows = rows.withColumns({
+        "weak": duty & F.col("size").between(12, 110) & ~F.col("has_metric") & ~F.col("has_result"), "title": F.col("exp") & (F.col("kind") == "role_title") & F.col("size").between(12, 120), "long": F.col("size") > 90,
+        "vague": F.col("has_vague") & ~F.col("kind").isin(*NO_EXPERIENCE), "metric": F.col("exp") & F.col("has_metric"), "action": F.col("exp") & F.col("has_action"), "domain": F.size("domains") > 0,
+        "short": duty & (F.col("size") < 40) & ~F.col("has_metric"),
+    })
+    w = by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"is_{c}": F.col(c) & (F.sum(F.col(c).cast("int")).over(w) <= k) for c, k in NAMED.items()})
+    rows = rows.withColumn("zone", F.when(F.col("is_weak"), 0).when(F.col("is_title"), 1).when(F.col("is_vague"), 2))
+    rows = rows.withColumn("once", F.col("zone").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", "own", F.col("zone").isNotNull()).orderBy("zone", "line_no")) == 1))
+    named = lambda c: F.array_sort(F.collect_list(F.when(F.col(f"is_{c}"), F.col("line_no")))).alias(f"{c}_lines")
+    n = lambda c: F.count_if(F.col(c))
+    zones = F.slice(F.array_sort(F.collect_list(F.when(F.col("once"), F.struct("zone", "line_no")))), 1, MOST_ZONES)
+    found = rows.groupBy("doc_id").agg(
+        n("exp").alias("exp_lines"), n("metric").alias("metrics"), n("action").alias("actions"), F.count_if(F.col("exp") & F.col("has_result")).alias("results"), n("date").alias("dates"), *(n(f"is_{c}").alias(c) for c in ("vague", "long", "weak")),
+        n("is_title").alias("role_titles"), *map(named, NAMED), F.array_sort(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("words"), F.collect_set("section").alias("there"), zones.alias("zoned"),
+        F.min(F.when(F.col("short"), F.col("line_no"))).alias("short_line"),
     )
+    reasons = F.array(*map(F.lit, ("weak", "title", "vague")))
+    zoned = F.transform("zoned", lambda z: F.concat_ws(":", F.element_at(reasons, z["zone"] + 1), z["line_no"].cast("string")))
+    fallback = F.when(F.col("short_line").isNotNull(), F.array(F.concat(F.lit("short:"), F.col("short_line").cast("string")))).otherwise(F.array().cast("array<string>"))
+    given = F.array(*map(F.lit, rules.domains)) if rules.domains else F.array().cast("array<string>")
+    found = found.withColumns({
+        "zones": F.when(F.size("zoned") > 0, zoned).otherwise(fallback), "domain_words": F.slice(F.filter(given, lambda d: F.array_contains("words", d)), 1, MOST_DOMAINS),
+        "missing": F.array_except(F.array(*map(F.lit, CORE_SECTIONS)), F.col("there")),
+    }).drop("zoned", "words", "there", "short_line")
+    found = found.withColumn("duty_zones", F.size(F.filter("zones", lambda z: F.startswith(z, F.lit("weak")))).cast("bigint"))
     least = lambda c, k: F.least(F.col(c), F.lit(k))
     raw = 0.55 + 0.12 * least("metrics", 4) + 0.08 * least("results", 3) - 0.07 * least("weak", 4) - 0.05 * least("vague", 3)
-    return rows.withColumn("confidence", F.when(F.col("exp_lines") == 0, 0.4).otherwise(F.round(F.least(F.greatest(raw, F.lit(0.2)), F.lit(0.95)), 2)))
+    return found.withColumn("confidence", F.when(F.col("exp_lines") == 0, 0.4).otherwise(F.round(F.least(F.greatest(raw, F.lit(0.2)), F.lit(0.95)), 2)))
 
 
 def section_blocks(section_lines: DataFrame, quality: DataFrame) -> DataFrame:

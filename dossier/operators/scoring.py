@@ -60,7 +60,7 @@ def score_documents(found: DataFrame, weights: Mapping[str, float] = DEFAULT_WEI
         "s_highlight_strength": _clamp(highlights, 35, 100), "s_job_match": F.col("job_match"),
     })
     strong = (n("duty_zones") > 0) & ((n("s_job_match") >= 65) | (n("s_experience_match") >= 65)) & (n("confidence") < 0.55)
-    mild = ((n("duty_zones") > 0) | (n("role_titles") > 0)) & (n("confidence") < 0.45)
+    mild = (F.size("zones") > 0) & (n("confidence") < 0.45)
     p = F.when(strong, F.least(F.lit(10), 3 + 2 * n("duty_zones"))).otherwise(F.lit(0))
     q = F.when(strong, F.greatest(F.lit(2), F.floor(p / 2))).when(mild, F.least(F.lit(6), F.greatest(F.lit(2), 2 * n("duty_zones")))).otherwise(F.lit(0))
     rows = rows.withColumn("penalty_experience", p).withColumn("penalty_highlights", q)

@@ -99,7 +99,7 @@ SELECT *, {_MISSING} AS miss, 35 + {' + '.join(_SHARE.format(s) for s in _CORE)}
   CASE WHEN n_lines = 0 THEN 55 ELSE 78 END - CASE WHEN mean_length > 85 THEN 12 ELSE 0 END - CASE WHEN n_lines < 8 THEN 14 ELSE 0 END + CASE WHEN {_THERE} >= 5 THEN 8 ELSE 0 END + CASE WHEN has_contact THEN 6 ELSE 0 END + CASE WHEN any_date THEN 4 ELSE 0 END AS f0,
   45 + 7 * least(metrics, 6) + 5 * least(results, 5) + CASE WHEN metrics > 0 THEN 6 WHEN NOT low THEN -8 ELSE 0 END AS h0 FROM inp)"""
 _PEN = """
-SELECT *, CASE WHEN strong THEN least(10, 3 + 2 * duty_zones) ELSE 0 END AS p, CASE WHEN strong THEN greatest(2, least(10, 3 + 2 * duty_zones) // 2) WHEN (duty_zones > 0 OR role_titles > 0) AND confidence < 0.45 THEN least(6, greatest(2, 2 * duty_zones)) ELSE 0 END AS q
+SELECT *, CASE WHEN strong THEN least(10, 3 + 2 * duty_zones) ELSE 0 END AS p, CASE WHEN strong THEN greatest(2, least(10, 3 + 2 * duty_zones) // 2) WHEN len(zones) > 0 AND confidence < 0.45 THEN least(6, greatest(2, 2 * duty_zones)) ELSE 0 END AS q
 FROM (SELECT *, duty_zones > 0 AND (job_match >= 65 OR e >= 65) AND confidence < 0.55 AS strong FROM rawscore)"""
 _W = DEFAULT_WEIGHTS
 _FINAL = f"""

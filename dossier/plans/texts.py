@@ -65,7 +65,7 @@ QUERIES = {
     "h10_skill_mentions": lambda v: v.pages.select("page_id", W.skill_mentions(W.visible_text(F.col("html")), LATIN.skills).alias("skills")),
     "a6_pages_to_jobs": lambda v: W.pages_to_jobs(v.pages, LATIN).select("page_id", "title", "degree_minimum", "degree_preferred", "skill_mentions", "review_status"),
     "h16_line_class": lambda v: v.v_line.select("doc_id", "line_no", T.line_class(F.col("line"), LATIN.line_classes).alias("kind")),
-    "h17_evidence": lambda v: L.evidence(segmented(v), LATIN).drop("title_lines"),
+    "h17_evidence": lambda v: L.evidence(segmented(v), LATIN),
     "h30_layout_parser": lambda v: L.layout(v.v_line).select("doc_id", "lines", "short", "tables", "long", "complexity", "tags"),
     "h30_layout_pool": lambda v: L.layout(v.v_line, "pool").select("doc_id", "complexity"),
     "h30_junk_ratio": lambda v: v.v_line.groupBy("doc_id").agg((F.count_if(L.junk_line(F.col("line"))) / F.count("*")).alias("junk")),
@@ -198,12 +198,27 @@ UNION SELECT t.term, q.alias FROM term t LEFT JOIN (VALUES {_PAIRS}) p(alias, ro
 _RUN = "SELECT DISTINCT {0}, rtrim(unnest(regexp_extract_all(lower({1}), '[a-z0-9+#.]+')), '.') AS name FROM {2}"
 
 
-_EVIDENCE = f"""SELECT *, CASE WHEN exp_lines = 0 THEN 0.4 ELSE round(least(greatest(0.55 + 0.12 * least(metrics, 4) + 0.08 * least(results, 3) - 0.07 * least(weak, 4) - 0.05 * least(vague, 3), 0.2), 0.95), 2) END AS confidence FROM (
-        SELECT doc_id, count(*) FILTER (e) AS exp_lines, count(*) FILTER (e AND m) AS metrics, count(*) FILTER (e AND a) AS actions, count(*) FILTER (e AND r) AS results, count(*) FILTER (dt) AS dates, count(*) FILTER (e AND v) AS vague,
-          count(*) FILTER (e AND length(line) > 90) AS long, count(*) FILTER (e AND NOT m AND NOT r) AS weak, count(*) FILTER (kind = 'duty') AS duty_zones, count(*) FILTER (kind = 'role_title') AS role_titles,
-          coalesce(list(line_no ORDER BY line_no) FILTER (e AND NOT m AND NOT r), [])[1:5] AS weak_lines, coalesce(list(line_no ORDER BY line_no) FILTER (e AND v), [])[1:5] AS vague_lines
-        FROM (SELECT *, section IN ('internship', 'projects', 'campus') AS e, regexp_matches(lower(line), '{L.METRIC}') AS m, regexp_matches(lower(line), '{_u(LATIN.actions)}') AS a, regexp_matches(lower(line), '{_u(LATIN.results)}') AS r,
-          regexp_matches(lower(line), '{_u(LATIN.vague)}') AS v, regexp_matches(lower(line), '{L.DATE}') AS dt, {_CLASS('line')} AS kind FROM seg) GROUP BY 1)"""
+_DOMAINS = "[" + ", ".join(f"'{d}'" for d in LATIN.domains) + "]"
+_NAMES = lambda flag, k: f"coalesce(list(line_no ORDER BY line_no) FILTER ({flag}), [])[1:{k}]"
+_EVIDENCE = f"""
+WITH l AS (
+  SELECT doc_id, line_no, line, section, trim(line) AS own, length(trim(line)) AS size, {_CLASS('line')} AS kind, regexp_matches(lower(line), '{L.METRIC}') AS m, regexp_matches(lower(line), '{_u(LATIN.actions)}') AS a, regexp_matches(lower(line), '{_u(LATIN.results)}') AS r,
+    regexp_matches(lower(line), '{_u(LATIN.vague)}') AS v, regexp_matches(lower(line), '{L.DATE}') AS dt, regexp_matches(lower(line), '{_u(LATIN.courses)}') AS course, list_filter({_DOMAINS}, lambda d: contains(lower(line), d)) AS ds FROM seg),
+x AS (SELECT *, section IN ('internship', 'projects', 'campus') AND size >= 6 AND kind NOT IN ('education', 'skills', 'award') AS may FROM l),
+y AS (SELECT *, may AND line_no = min(line_no) OVER (PARTITION BY doc_id, own, may) AS e FROM x),
+z AS (SELECT *, e AND kind = 'duty' AND size BETWEEN 12 AND 110 AND NOT m AND NOT r AS weak, e AND kind = 'role_title' AND size BETWEEN 12 AND 120 AS title, v AND kind NOT IN ('education', 'skills', 'award') AS vague FROM y),
+k AS (SELECT doc_id, {_NAMES('weak', 5)} AS weak_lines, {_NAMES('title', 3)} AS title_lines, {_NAMES('vague', 5)} AS vague_lines FROM z GROUP BY 1),
+place AS (
+  SELECT z.doc_id, own, line_no, CASE WHEN list_contains(weak_lines, line_no) THEN 0 WHEN list_contains(title_lines, line_no) THEN 1 WHEN list_contains(vague_lines, line_no) THEN 2 END AS reason FROM z JOIN k USING (doc_id)),
+zone AS (SELECT doc_id, list(['weak', 'title', 'vague'][reason + 1] || ':' || line_no ORDER BY reason, line_no)[1:6] AS zones FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, own ORDER BY reason, line_no) AS n FROM place WHERE reason IS NOT NULL) WHERE n = 1 GROUP BY 1),
+g AS (
+  SELECT doc_id, count(*) FILTER (e) AS exp_lines, count(*) FILTER (e AND m) AS metrics, count(*) FILTER (e AND a) AS actions, count(*) FILTER (e AND r) AS results, count(*) FILTER (dt) AS dates, least(count(*) FILTER (vague), 5) AS vague,
+    least(count(*) FILTER (size > 90), 5) AS long, least(count(*) FILTER (weak), 5) AS weak, least(count(*) FILTER (title), 3) AS role_titles, {_NAMES('size > 90', 5)} AS long_lines, {_NAMES('e AND m', 3)} AS metric_lines, {_NAMES('e AND a', 3)} AS action_lines,
+    {_NAMES('course', 5)} AS course_lines, {_NAMES('len(ds) > 0', 6)} AS domain_lines, flatten(list(ds)) AS words, list(DISTINCT section) AS there, min(line_no) FILTER (e AND kind = 'duty' AND size < 40 AND NOT m) AS short_line FROM z GROUP BY 1)
+SELECT *, len(list_filter(zones, lambda t: starts_with(t, 'weak'))) AS duty_zones,
+  CASE WHEN exp_lines = 0 THEN 0.4 ELSE round(least(greatest(0.55 + 0.12 * least(metrics, 4) + 0.08 * least(results, 3) - 0.07 * least(weak, 4) - 0.05 * least(vague, 3), 0.2), 0.95), 2) END AS confidence
+FROM (SELECT g.* EXCLUDE (words, there, short_line), k.* EXCLUDE (doc_id), coalesce(zones, CASE WHEN short_line IS NOT NULL THEN ['short:' || short_line] ELSE [] END) AS zones, list_filter({_DOMAINS}, lambda d: list_contains(words, d))[1:12] AS domain_words,
+  list_filter(['basic_info', 'education', 'internship', 'projects', 'skills'], lambda s: NOT list_contains(there, s)) AS missing FROM g JOIN k USING (doc_id) LEFT JOIN zone USING (doc_id))"""
 
 _STEP_TO = """CASE kind WHEN 'skills' THEN 'skills' WHEN 'award' THEN 'awards' WHEN 'education' THEN 'education' ELSE
     CASE WHEN kind IN ('duty', 'role_title') AND {0} NOT IN ('internship', 'projects', 'campus') THEN 'internship' ELSE {0} END END"""
