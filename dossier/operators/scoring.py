@@ -86,6 +86,35 @@ def advice(scored: DataFrame, n: int = 5) -> DataFrame:
     return scored.select("doc_id", codes.alias("codes")).withColumn("roadmap", F.slice("codes", 1, n))
 
 
+#: H19. Items a list of advice has at most; weak lines and missing keywords named, matched ones, and items from which no more of these come.
+MOST_ITEMS, NAMED_WEAK, NAMED_MISSING, NAMED_HITS, ENOUGH = 8, 2, 3, 2, 6
+
+
+def advice_items(scored: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
+    """H19. doc_id and items (problem, evidence, direction): what to mend, each with the line, keyword or figure that shows it, in fixed order, `most` at most.
+
+    scored: rows of score_documents with evidence() (weak_lines, metrics) and two arrays, missing_keywords and hit_keywords. A document that could hardly be read has only that item. Otherwise: the
+    first weak lines, the first missing keywords, those that are there (fewer once six items are listed), few metrics, and each dimension below 60 with what stands for it. Equal items count once; without any: complete.
+    Null arrays are empty.
+    """
+    rows = scored.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("missing_keywords", "hit_keywords")})
+    item = lambda problem, evidence, direction: F.struct(F.lit(problem).alias("problem"), evidence.cast("string").alias("evidence"), F.lit(direction).alias("direction"))
+    each = lambda c, k, problem, direction: F.transform(F.slice(c, 1, k), lambda x: item(problem, x, direction))
+    none = F.array().cast("array<struct<problem: string, evidence: string, direction: string>>")
+    rows = rows.withColumn("named", F.concat(each("weak_lines", NAMED_WEAK, "no_result", "tell_result"), each("missing_keywords", NAMED_MISSING, "missing_keyword", "use_keyword")))
+    hits = F.least(F.lit(NAMED_HITS), F.greatest(F.lit(1), ENOUGH - F.size("named")))
+    few = F.when(F.col("metrics") < 2, F.array(item("few_metrics", F.col("metrics"), "add_metrics"))).otherwise(none)
+    rows = rows.withColumn("named", F.concat("named", each("hit_keywords", hits, "matched_keyword", "move_forward"), few))
+    shown = {
+        "experience_match": F.try_element_at("weak_lines", F.lit(1)).cast("string"), "highlight_strength": F.col("metrics").cast("string"), "job_match": F.nullif(F.array_join(F.slice("missing_keywords", 1, NAMED_MISSING), ","), F.lit("")),
+    }
+    points = lambda d: F.floor(F.col(f"s_{d}")).cast("string")
+    low = F.array_compact(F.array(*(F.when(F.col(f"s_{d}") < 60, item(f"low_{d}", F.coalesce(shown.get(d, points(d)), points(d)), "fill_section")) for d in DIMENSIONS)))
+    all_items = F.slice(F.array_distinct(F.concat("named", F.slice(low, F.lit(1), F.greatest(F.lit(0), most - F.size("named"))))), 1, most)
+    items = F.when(F.col("quality") == "low", F.array(item("no_text", F.lit(""), "save_as_text"))).when(F.size(all_items) == 0, F.array(item("complete", F.lit(""), "tune"))).otherwise(all_items)
+    return rows.select("doc_id", items.alias("items"))
+
+
 def rewrite_candidates(section_lines: DataFrame, rules: RuleSet, caps: Mapping[str, int] | None = None) -> DataFrame:
     """H19. Experience lines worth rewriting by kind (no_metric, vague, long), at most so many of each kind, first ones first; a line counts once."""
     caps = caps or {"vague": 3, "long": 2, "no_metric": 3}

@@ -37,6 +37,12 @@ def scored(v: Views):
     return S.score_documents(inputs(v))
 
 
+def advised(v: Views):
+    """Scored documents whose position asks for the rule set's domain words."""
+    missing = F.array_except(F.array(*map(F.lit, LATIN.domains)), F.col("domain_words"))
+    return S.advice_items(scored(v).withColumns({"missing_keywords": missing, "hit_keywords": F.col("domain_words")}))
+
+
 def skill_hits(v: Views):
     terms = v.spark.createDataFrame([(t,) for t in LATIN.skills], "term string")
     return M.hit_sections(segmented(v), terms).withColumn("root", F.col("term"))
@@ -66,6 +72,7 @@ QUERIES = {
     "h15_normalise_weights": lambda v: weights(v).select("user_id", S.normalise_weights(F.coalesce("w", F.create_map().cast("map<string,double>"))).alias("w")).select("user_id", *(F.coalesce(F.try_element_at("w", F.lit(d)), F.lit(0.0)).alias(d) for d in DIMENSIONS)),
     "h18_score_documents": lambda v: scored(v).select("doc_id", *(f"s_{d}" for d in DIMENSIONS), "total", "coverage", "reliability"),
     "h19_advice": lambda v: S.advice(scored(v)),
+    "h19_advice_items": lambda v: advised(v).select("doc_id", F.transform("items", lambda x: F.concat_ws("|", x["problem"], x["evidence"], x["direction"])).alias("items")),
     "h19_rewrite_candidates": lambda v: S.rewrite_candidates(segmented(v), LATIN),
     "h27_date_range": lambda v: dates(v).select("o_orderkey", T.date_range(F.col("s"), AS_OF).alias("r")).select("o_orderkey", F.col("r.start").cast("string").alias("start"), F.col("r.end").cast("string").alias("end"), "r.months"),
     "e13_merged_months": lambda v: S.merged_months(v.v_interval),
@@ -119,6 +126,18 @@ _DEG = "CASE " + " ".join(f"WHEN regexp_matches(lower(line), '{texts._u(p)}') TH
 _EDU = f"SELECT doc_id, line_no, {_DEG} AS degree FROM seg WHERE section = 'education'"
 
 
+_SCORES = {"content_completeness": "c", "experience_match": "e - p", "language_professionalism": "l", "format_standardization": "f", "highlight_strength": "h - q", "job_match": "job_match"}
+_SHOWN = {"experience_match": "CAST(weak_lines[1] AS VARCHAR)", "highlight_strength": "CAST(metrics AS VARCHAR)", "job_match": "nullif(array_to_string(wanting[1:3], ','), '')"}
+_LOW = ", ".join(f"CASE WHEN {_cap(c)} < 60 THEN 'low_{d}|' || coalesce({_SHOWN.get(d, 'NULL')}, CAST(CAST(floor({_cap(c)}) AS BIGINT) AS VARCHAR)) || '|fill_section' END" for d, c in _SCORES.items())
+_ITEMS = f"""
+SELECT doc_id, CASE WHEN low THEN ['no_text||save_as_text'] WHEN len(listed) = 0 THEN ['complete||tune'] ELSE list_filter(listed, lambda x, i: list_position(listed, x) = i)[1:8] END AS items FROM (
+  SELECT *, list_concat(named, weak_dims[1:greatest(0, 8 - len(named))]) AS listed FROM (
+    SELECT *, list_concat(first_ones, list_transform(domain_words[1:least(2, greatest(1, 6 - len(first_ones)))], lambda k: 'matched_keyword|' || k || '|move_forward'), CASE WHEN metrics < 2 THEN ['few_metrics|' || metrics || '|add_metrics'] ELSE [] END) AS named,
+      list_filter([{_LOW}], lambda x: x IS NOT NULL) AS weak_dims FROM (
+      SELECT *, list_concat(list_transform(weak_lines[1:2], lambda n: 'no_result|' || n || '|tell_result'), list_transform(wanting[1:3], lambda k: 'missing_keyword|' || k || '|use_keyword')) AS first_ones FROM (
+        SELECT *, list_filter({texts._DOMAINS}, lambda d: NOT list_contains(domain_words, d)) AS wanting FROM final))))"""
+
+
 def sql(text: str) -> str:
     return duck(
         text, seg=texts._SEG, lay=texts._LAY, pool=texts._POOL, wanted=texts._WANTED, found=texts._FOUND, judged=texts._QUALITY, counts=_COUNTS, evid=_EVID, inp=_IN, rawscore=_RAW, pen=_PEN, final=_FINAL, dated=_DATED, skillhit=_SKILL, canonical=_CANON, edu=_EDU,
@@ -134,6 +153,7 @@ SQL = {
     ) + " FROM customer",
     "h18_score_documents": sql(f"SELECT doc_id, {_cap('c')} AS s_content_completeness, {_cap('e - p')} AS s_experience_match, {_cap('l')} AS s_language_professionalism, {_cap('f')} AS s_format_standardization, {_cap('h - q')} AS s_highlight_strength, {_cap('job_match')} AS s_job_match, total, coverage, reliability FROM final"),
     "h19_advice": sql("SELECT doc_id, codes, codes[1:5] AS roadmap FROM (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN {w} THEN '{c}' END" for c, w in S.ADVICE) + "], lambda x: x IS NOT NULL) AS codes FROM inp)"),
+    "h19_advice_items": sql(_ITEMS),
     "h19_rewrite_candidates": sql(
         f"SELECT doc_id, line_no, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY line_no) AS place FROM (SELECT *, CASE WHEN regexp_matches(lower(line), '{texts._u(LATIN.vague)}') THEN 'vague' WHEN length(line) > 90 THEN 'long' WHEN NOT regexp_matches(lower(line), '[0-9]') THEN 'no_metric' END AS kind FROM seg WHERE section IN ('internship', 'projects', 'campus')) WHERE kind IS NOT NULL) WHERE place <= CASE kind WHEN 'long' THEN 2 ELSE 3 END"
     ),
