@@ -173,6 +173,8 @@ PREDICATES = {
     "recovered": ("prose !no_recovery", "soft tight8 !no_recovery"),
     "trailing": ("self tight12 !strong !award",),
 }
+#: Signals that no line without a Han character can meet: each of their alternatives holds one.
+LETTERED = ("contact", "date", "skill_word", "award_word", "product", "grades", "intern_word", "held", "workplace", "numbered", "several", "list_only", "direction", "name", "no_name", "clear", "project_mark", "deliverable", "heading_form", "major_first")
 _WORK = ("internship", "projects", "campus")
 _BUT = lambda *names: tuple(s for s in SECTIONS if s not in names)
 HAN = SectionRules(
@@ -221,4 +223,5 @@ HAN = SectionRules(
     #: Parts of lines that are lines of another section: of which section, where, what and whither; and what then leaves that one.
     fragments=(("internship", "action", rf"([{_HAN}A-Za-z]{{2,24}}(?:大学|学院))", "education"), ("awards", "degree_first", r"^\s*(.*?)[\s，,;；]*(?:获得|荣获|证书|称号|$)", "education"), ("awards", "", rf"([{_HAN}A-Za-z]{{2,24}}(?:大学|学院))", "education")),
     makes_room=("org !named_school",),
+    guard=(f"[{_HAN}]", tuple(n for n in SIGNALS if n not in LETTERED)),
 )

@@ -120,6 +120,8 @@ class SectionRules:
     empty: dict[str, str] = field(default_factory=dict)
     fragments: tuple[tuple[str, str, str, str], ...] = ()
     makes_room: tuple[str, ...] = ()
+    #: A pattern without which a line can meet none of these signals, which are then not looked for.
+    guard: tuple[str, tuple[str, ...]] = ("", ())
 
 
 LATIN = RuleSet(

@@ -85,9 +85,9 @@ def avg_rank(value: str, partition: Sequence[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
 
 
-def ranks(df: DataFrame, value: str, keys: Sequence[str], out: str, buckets: int = 1024) -> DataFrame:
-    """E6 for any number of rows of a key: equal values are counted, the counts added up within `buckets` equal ranges of the key's values,
-    and the ranges' totals over at most `buckets` rows; so no key has to be sorted in one task."""
+def ranks(df: DataFrame, value: str, keys: Sequence[str], out: str, buckets: int = 256) -> DataFrame:
+    """E6 for any number of rows of a key: equal values are counted, the counts added up within ranges of the key's values that hold as many of them each,
+    and the ranges' totals over about `buckets` rows; so no key has to be sorted in one task, however its values lie."""
     ranked = counted_below(df, value, keys, buckets).withColumn(out, F.col("below") + (F.col("c") + 1) / 2)
     return df.join(ranked.select(*keys, value, out), [*keys, value])
 
@@ -119,9 +119,10 @@ def fit_alpha(rows: DataFrame, label: str = "label", low: int = 35, high: int =
 
 
 def group_split(cases: DataFrame, key: str, test: float = 0.2, validation: float = 0.15) -> DataFrame:
-    """V6. The split of each group: of the sorted groups the last share is test, that before it validation (one at least each), the rest train. Sizes round half to even."""
+    """V6. The split of each group: of the sorted groups the last share is test, that before it validation (one at least each), the rest train. Sizes round half to even.
+    Groups are numbered within ranges of their keys, after those of the ranges before."""
     groups = cases.select(F.col(key).alias("group_key")).distinct()
-    placed = groups.withColumn("place", F.row_number().over(Window.orderBy("group_key")))  # groups, not rows
+    placed = counted_below(groups, "group_key", ()).select("group_key", (F.col("below") + 1).alias("place"))
     total = groups.agg(F.count("*").alias("g"))
     n_test, n_val = F.greatest(F.lit(1), F.bround(F.col("g") * test)), F.greatest(F.lit(1), F.bround(F.col("g") * validation))
     split = F.when(F.col("place") > F.col("g") - n_test, "test").when(F.col("place") > F.col("g") - n_test - n_val, "validation").otherwise("train")

@@ -35,9 +35,10 @@ def quoted(names) -> str:
 def expand_lines(lines: DataFrame, rules: SectionRules) -> DataFrame:
     """Lines in parts: cells of a table, what follows a heading within a long line, and labels with their values from the next line; numbered anew."""
     cells = F.split(F.regexp_replace("line", r"\s\|\s|｜|\t+", "\n"), "\n")
-    apart = F.regexp_replace(F.col("cell"), rf"(?<=[ 　,，;；。|/、)])({quoted(rules.inline)})(?=$|[ 　:：,，;；])", "\n$1") if rules.inline else F.col("cell")
-    rows = lines.select("doc_id", "line_no", F.posexplode(cells).alias("i", "cell")).withColumn("cell", norm_line(F.col("cell"))).where("cell <> ''")
-    parts = F.when(F.length("cell") < 24, F.array("cell")).otherwise(F.transform(F.split(apart, "\n"), lambda p: F.when(F.contains(apart, F.lit("\n")), F.trim(p, F.lit(MARKS))).otherwise(p)))
+    marked = F.regexp_replace(F.col("cell"), rf"(?<=[ 　,，;；。|/、)])({quoted(rules.inline)})(?=$|[ 　:：,，;；])", "\n$1")
+    apart = F.when((F.length("cell") >= 24) & F.col("cell").rlike(quoted(rules.inline)), marked).otherwise(F.col("cell")) if rules.inline else F.col("cell")
+    rows = lines.select("doc_id", "line_no", F.posexplode(cells).alias("i", "cell")).withColumn("cell", norm_line(F.col("cell"))).where("cell <> ''").withColumn("apart", apart)
+    parts = F.when(F.col("apart") == F.col("cell"), F.array("cell")).otherwise(F.transform(F.split("apart", "\n"), lambda p: F.trim(p, F.lit(MARKS))))
     rows = rows.select("doc_id", "line_no", "i", F.posexplode(parts).alias("j", "line")).where("line <> ''")
     rows = rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "i", "j")).alias("line_no"), "line")
     if not rules.labels:
@@ -112,7 +113,9 @@ def cases(pairs, otherwise: str) -> str:
 def signals(lines: DataFrame, rules: SectionRules) -> DataFrame:
     """A column for each signal, size and predicate; predicates level by level, as each may name others."""
     lines = lines.withColumn("tight", F.regexp_replace("line", r"\s+", ""))
-    own = {n: F.expr(f"{'tight' if n in rules.compact else 'line'} RLIKE r'{p}'") for n, p in rules.signals.items()}
+    pattern, guarded = rules.guard
+    lines = lines.withColumn("guard", F.expr(f"line RLIKE r'{pattern}'") if guarded else F.lit(True))
+    own = {n: F.expr(f"{'guard AND ' if n in guarded else ''}{'tight' if n in rules.compact else 'line'} RLIKE r'{p}'") for n, p in rules.signals.items()}
     for name, (compact, least, most) in rules.sizes.items():
         own[name] = F.expr(f"length({'tight' if compact else 'line'}) BETWEEN {least or 0} AND {2**31 - 1 if most is None else most}")
     rows = lines.withColumns(own | {"heading": F.col("section_heading").isNotNull()})
@@ -258,9 +261,10 @@ def place_lines(lines: DataFrame, rules: SectionRules, expanded: bool = True) ->
     known = signals(with_heading(rows.repartition("doc_id"), rules), rules)
     # of what a line says, three values go on
     kept = known.select("doc_id", "line_no", "line", "clean", "section_heading", step(rules).alias("map"), refinement(rules).alias("refined"), facts.column().alias("facts"), *(near.alias(f"near_{section}") for section, near in around.items()))
-    longest = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # a line takes two characters at least, with what parts it from the next
+    longest = lines.groupBy("doc_id").agg(F.sum(F.length("line") + 1).alias("n")).agg(F.max("n")).first()[0] or 0
     section = section_of(F.substring("map", 1, 1))
-    placed = composed(kept, longest).withColumn("section", section).withColumn("headings", F.collect_set("section_heading").over(Window.partitionBy("doc_id"))).drop("map")
+    placed = composed(kept, longest // 2 + 1).withColumn("section", section).withColumn("headings", F.collect_set("section_heading").over(Window.partitionBy("doc_id"))).drop("map")
     by_text = F.create_map(*(F.lit(x) for pair in rules.headings.items() for x in pair))
     pure = F.coalesce(F.try_element_at(by_text, F.col("clean")) == F.col("section_heading"), F.lit(False)) | (F.col("clean") == "")
     for name, text in rules.empty.items():

@@ -206,14 +206,23 @@ def latency_summary(df: DataFrame, value: str, key: str) -> DataFrame:
     return whole.join(found, key).select(key, "n", "mean", "p50", "p95", "least", "most")
 
 
-def counted_below(df: DataFrame, value: str, keys: Sequence[str], buckets: int = 1024) -> DataFrame:
+def in_ranges(values: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = 256, sample: int = 16) -> DataFrame:
+    """values, which are distinct within each key, with bucket: ranges in order of value that hold about as many values each, whatever their distribution. Their ends are those of
+    a sample of each key's values, the `buckets * sample` whose hash is lowest, so that they are the same wherever they are computed. A null sorts first."""
+    low = Window.partitionBy(*keys).orderBy(F.xxhash64(value), value)
+    chosen = values.select(*keys, value).withColumn("place", F.row_number().over(low)) if keys else values.select(value).orderBy(F.xxhash64(value), value).limit(buckets * sample).withColumn("place", F.lit(1))
+    chosen = chosen.where(F.col("place") <= buckets * sample).where(F.col(value).isNotNull())
+    found = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("chosen"))
+    step = F.greatest(F.floor(F.size("chosen") / buckets), F.lit(1))
+    ends = found.select(*keys, F.filter("chosen", lambda x, i: i % step == step - 1).alias("ends"))
+    joined = values.join(ends, list(keys), "left") if keys else values.crossJoin(F.broadcast(ends))
+    return joined.withColumn("bucket", F.coalesce(F.size(F.filter("ends", lambda e: e < F.col(value))), F.lit(0))).drop("ends")
+
+
+def counted_below(df: DataFrame, value: str, keys: Sequence[str], buckets: int = 256) -> DataFrame:
     """Distinct values of each key, with c, their rows, and below, the key's rows of smaller values. Equal values are counted first; the counts are
-    added up within `buckets` equal ranges of a key's values, and the ranges' totals over at most `buckets` rows."""
-    ends = df.groupBy(*keys).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    counts = counts.join(ends, list(keys)) if keys else counts.crossJoin(ends)
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    counts = counts.withColumn("bucket", place)
+    added up within in_ranges() of a key's values, and the ranges' totals over as many rows as there are ranges."""
+    counts = in_ranges(df.groupBy(*keys, value).agg(F.count("*").alias("c")), value, keys, buckets)
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
     w = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dossier.functions import text as T
 from dossier.functions import web as W
 from dossier.functions.rules import LATIN, RuleSet
+from dossier.operators import evaluate as E
 from dossier.operators import jobs as J
 from dossier.operators import lines as L
 from dossier.operators import records as R
@@ -369,3 +370,21 @@ def test_evidence_zones_and_advice(spark):
     assert items[1] == ["no_result|4|tell_result", "no_result|9|tell_result", *(f"missing_keyword|{k}|use_keyword" for k in "abc"), "matched_keyword|e|move_forward"]
     assert items[2] == ["no_text||save_as_text"] and items[3] == ["complete||tune"]
     assert items[4] == ["no_result|4|tell_result", "no_result|9|tell_result", "missing_keyword|a|use_keyword", "matched_keyword|e|move_forward", "matched_keyword|f|move_forward", "few_metrics|1|add_metrics", "low_experience_match|4|fill_section"]
+
+
+def test_ranges_of_heavy_tails(spark):
+    """However values lie, most in a range are under three times the median; ranks and splits are those of a sort."""
+    random.seed(9)
+    values = sorted({round(random.paretovariate(0.3), 6) for _ in range(4000)} | {1e300, -5.0})
+    rows = [(k, v) for k in ("a", "b") for v in values for _ in range(1 + (v < 2))] + [("c", None), ("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    in_ranges = stats.in_ranges(df.distinct(), "v", ["k"], buckets=32).groupBy("k", "bucket").count().collect()
+    sizes = sorted(r["count"] for r in in_ranges if r.k == "a")
+    assert len(sizes) > 24 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    below = {(r.k, r.v): r.below for r in stats.counted_below(df, "v", ["k"], buckets=32).collect()}
+    own = sorted(v for k, v in rows if k == "a")
+    assert all(below["a", v] == own.index(v) for v in values[::50]) and below["c", None] == 0 and below["c", 1.0] == 1
+    words = spark.createDataFrame([(f"g{i * 7919 % 1000:04d}",) for i in range(1000)] * 2, "g string")
+    split = {r.g: r.split for r in E.group_split(words, "g").collect()}
+    assert [split[f"g{i:04d}"] for i in range(1000)] == ["train"] * 650 + ["validation"] * 150 + ["test"] * 200
+    assert E.group_split(words.limit(0), "g").count() == 0
