@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CORE_SECTIONS, EXPERIENCE_SECTIONS, SECTION_ALIASES, RuleSet
-from ..functions.text import canon_line, line_class, norm_line, redact, residual_pii, target_position
+from ..functions.text import NAME_LABEL, canon_line, is_name, line_class, name_hint, norm_line, redact, residual_pii, target_position
 
 METRIC, DATE = r"[0-9]+(\.[0-9]+)? ?(%|\+|k\b)|[0-9]{3,}", r"\b(19|20)[0-9]{2}\b"
 CONTACT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.|\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
@@ -54,6 +54,18 @@ def segment_by_heading(lines: DataFrame, headings: Mapping[str, str]) -> DataFra
     return lines.withColumn("heading", named).withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(w), F.lit("basic_info")))
 
 
+def name_in_sections(docs: DataFrame, section_lines: DataFrame, sections: Sequence[str] = ("basic_info", "summary")) -> DataFrame:
+    """H4. doc_id and name: at a label of the text, else in a line of the sections, in their order (at a label or alone), else as name_hint() finds one; empty without, null text: null."""
+    labelled = lambda c: F.regexp_extract(c, NAME_LABEL, 1)
+    line = norm_line(F.col("line"))
+    rows = section_lines.where(F.col("section").isin(*sections)).select("doc_id", "section", "line_no", F.when(is_name(labelled(line)), labelled(line)).when(is_name(line), line).alias("name")).where("name IS NOT NULL")
+    order = F.struct(F.array_position(F.array(*map(F.lit, sections)), F.col("section")), "line_no")
+    first = rows.groupBy("doc_id").agg(F.min_by("name", order).alias("in_section"))
+    text = F.col("text")
+    name = F.when(text.isNotNull(), F.coalesce(F.when(is_name(labelled(text)), labelled(text)), "in_section", name_hint(text)))
+    return docs.select("doc_id", "text").join(first, "doc_id", "left").select("doc_id", name.alias("name"))
+
+
 def dedupe_lines(section_lines: DataFrame) -> DataFrame:
     """E17. The first of equal lines (by canonical form) of each section of a document."""
     keyed = section_lines.withColumn("canon", canon_line(F.col("line"))).where("canon <> ''")

@@ -80,6 +80,7 @@ QUERIES = {
     "h38_grade": lambda v: v.v_record.select("record_id", T.grade(F.col("total_score")).alias("grade"), T.label(F.col("status"), {"success": "done", "failed": "error"}).alias("label")),
     "h39_boundary_card": lambda v: L.boundary_cards(L.parse_quality(found(v))),
     "d23_boundary_summary": lambda v: L.boundary_summary(L.boundary_cards(L.parse_quality(found(v)))),
+    "h4_name_in_sections": lambda v: L.name_in_sections(v.v_resume, L.segment_by_heading(L.lines_of(v.v_resume), LATIN.headings)),
     "h40_excerpt": lambda v: L.excerpt(v.v_line, PRIORITY),
     "e5_assign_pools": lambda v: L.assign_pools(L.content_quality(found(v)), 50, 30).select("doc_id", "pool"),
     "e12_hit_spans": lambda v: M.hit_spans(v.documents, SPAN_TERMS),
@@ -252,6 +253,14 @@ SQL = {
         coalesce(nullif(regexp_extract(text, '(?:现居|现居地|居住地|所在地|地址)\\s*[:：]?\\s*([{T.HAN}A-Za-z]{{2,20}})', 1), ''), regexp_extract(text, '(?i)(?:location|address|ort|ville)\\s*[:=]\\s*([^\\n,;]{{2,40}})', 1)) AS location,
         CASE WHEN {_is_name(_LABEL)} THEN {_LABEL} ELSE coalesce(list_filter({_CELLS}, lambda z: {_is_name('z')})[1], '') END AS name FROM v_resume"""
     ),
+    "h4_name_in_sections": duck(
+        rf"""WITH r AS (SELECT doc_id, CAST(i AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM v_resume) WHERE length(trim(l[i])) > 0),
+        s AS (SELECT doc_id, line_no, trim(regexp_replace(replace(replace(line, chr(12288), ' '), chr(160), ' '), '\s+', ' ', 'g')) AS text,
+          coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'basic_info') AS section FROM r LEFT JOIN ({_HEAD}) h(word, section) ON word = lower(regexp_extract(trim(line), '^[A-Za-z]+'))),
+        c AS (SELECT doc_id, section, line_no, CASE WHEN {_is_name(_LABEL)} THEN {_LABEL} WHEN {_is_name('text')} THEN text END AS name FROM s WHERE section IN ('basic_info', 'summary')),
+        f AS (SELECT doc_id, arg_min(name, (section, line_no)) AS in_section FROM c WHERE name IS NOT NULL GROUP BY 1)
+        SELECT doc_id, CASE WHEN {_is_name(_LABEL)} THEN {_LABEL} ELSE coalesce(in_section, list_filter({_CELLS}, lambda z: {_is_name('z')})[1], '') END AS name FROM v_resume LEFT JOIN f USING (doc_id)"""
+    ),
     "h5_redact": duck(_redact() + f" SELECT doc_id, {_SQUEEZED} AS text, {_KINDS} FROM r_name"),
     "h6_residual_pii": "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p, _ in T.PII) + "], lambda x: x IS NOT NULL) AS kinds FROM documents",
     "d18_redaction_report": duck(
