@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Names of sections, other names for them, their weights and bonuses, and which are core and which experience.
 SECTIONS = ("basic_info", "summary", "education", "internship", "projects", "campus", "skills", "awards")
@@ -65,6 +68,7 @@ class RuleSet:
     stop_words: tuple[str, ...] = ()
     courses: str = ""
     domains: tuple[str, ...] = ()
+    alpha: float = 0.55
     weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
 
     @classmethod
@@ -124,6 +128,36 @@ class SectionRules:
     guard: tuple[str, tuple[str, ...]] = ("", ())
 
 
+#: Rows that a rule set is read from at most.
+MOST_FIELDS = 1000
+
+
+def rule_rows(spark: SparkSession, rules: RuleSet | SectionRules, version: int) -> DataFrame:
+    """U1. A rule set as rows (version, kind, field, value as JSON), to be kept beside others."""
+    return spark.createDataFrame([(version, type(rules).__name__, name, json.dumps(value, ensure_ascii=False)) for name, value in asdict(rules).items()], "version int, kind string, field string, value string")
+
+
+def read_rules(rows: DataFrame, kind: type, version: int | None = None) -> RuleSet | SectionRules:
+    """U1. The rule set of a version, the last one unless told, from rows of rule_rows(); fields without a row have their default. Other kinds' rows may stand beside it."""
+    own = rows.where(F.col("kind") == kind.__name__)
+    version = own.agg(F.max("version")).first()[0] if version is None else version
+    found = own.where(F.col("version") == version).limit(MOST_FIELDS + 1).collect() if version is not None else []
+    if not found or len(found) > MOST_FIELDS:
+        raise ValueError(f"no {kind.__name__} of version {version}" if not found else f"over {MOST_FIELDS} fields")
+    known = {f.name for f in fields(kind)}
+    given = {r.field: _frozen(json.loads(r.value)) for r in found if r.field in known}
+    if kind is SectionRules and "moves" in given:
+        given["moves"] = tuple(Move(**m) for m in given["moves"])
+    return kind(**given)
+
+
+def _frozen(value):
+    """Lists as tuples, at any depth."""
+    if isinstance(value, list):
+        return tuple(map(_frozen, value))
+    return {k: _frozen(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 LATIN = RuleSet(
     headings={"the": "skills", "of": "education", "on": "internship", "was": "summary", "and": "projects", "that": "campus", "in": "awards", "de": "education", "le": "skills", "der": "projects", "la": "internship"},
     aliases={"py": "python", "js": "javascript", "with": "the", "from": "that"},
