@@ -85,17 +85,17 @@ def avg_rank(value: str, partition: Sequence[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
 
 
-def ranks(df: DataFrame, value: str, keys: Sequence[str], out: str, buckets: int = 256) -> DataFrame:
+def ranks(df: DataFrame, value: str, keys: Sequence[str], out: str, buckets: int = 64, bounds: tuple[float, float] | None = None) -> DataFrame:
     """E6 for any number of rows of a key: equal values are counted, the counts added up within ranges of the key's values that hold as many of them each,
     and the ranges' totals over about `buckets` rows; so no key has to be sorted in one task, however its values lie."""
-    ranked = counted_below(df, value, keys, buckets).withColumn(out, F.col("below") + (F.col("c") + 1) / 2)
+    ranked = counted_below(df, value, keys, buckets, bounds).withColumn(out, F.col("below") + (F.col("c") + 1) / 2)
     return df.join(ranked.select(*keys, value, out), [*keys, value])
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
-    """V3. Rank correlation by key; 0 for fewer than two rows or a constant side."""
+def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str], bounds: tuple[float, float] | None = None) -> DataFrame:
+    """V3. Rank correlation by key; 0 for fewer than two rows or a constant side. bounds: between which both sides lie about evenly, if that is known."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = ranks(ranks(rows, "x", keys, "rx"), "y", keys, "ry")
+    ranked = ranks(ranks(rows, "x", keys, "rx", bounds=bounds), "y", keys, "ry", bounds=bounds)
     r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))  # corr() fails on a constant side
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.coalesce(r, F.lit(0.0)), 12).alias("spearman"))
 
@@ -112,7 +112,7 @@ def fit_alpha(rows: DataFrame, label: str = "label", low: int = 35, high: int =
     """V5. The blend weight of rule and semantic on a grid of hundredths with the best rank correlation, ties to the nearest .55; with the error of the blend against the label on 0..100."""
     grid = rows.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("percent"))
     blended = rows.crossJoin(F.broadcast(grid)).withColumn("blend", F.round(F.col("percent") * F.col("rule") / 100 + (100 - F.col("percent")) * F.col("semantic") / 100, 6))
-    fit = spearman(blended, "blend", label, ["percent"])
+    fit = spearman(blended, "blend", label, ["percent"], (0.0, 100.0))
     error = blended.groupBy("percent").agg(F.avg(F.abs(F.col("blend") - F.col(label) * 100)).alias("mae"))
     best = fit.join(error, "percent").orderBy(F.round("spearman", 9).desc(), F.abs(F.col("percent") - near), "percent").limit(1)
     return best.select((F.col("percent") / 100).alias("alpha"), "n", "spearman", "mae")

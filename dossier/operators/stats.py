@@ -206,23 +206,34 @@ def latency_summary(df: DataFrame, value: str, key: str) -> DataFrame:
     return whole.join(found, key).select(key, "n", "mean", "p50", "p95", "least", "most")
 
 
-def in_ranges(values: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = 256, sample: int = 16) -> DataFrame:
+def in_ranges(values: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = 64, sample: int = 8) -> DataFrame:
     """values, which are distinct within each key, with bucket: ranges in order of value that hold about as many values each, whatever their distribution. Their ends are those of
-    a sample of each key's values, the `buckets * sample` whose hash is lowest, so that they are the same wherever they are computed. A null sorts first."""
-    low = Window.partitionBy(*keys).orderBy(F.xxhash64(value), value)
-    chosen = values.select(*keys, value).withColumn("place", F.row_number().over(low)) if keys else values.select(value).orderBy(F.xxhash64(value), value).limit(buckets * sample).withColumn("place", F.lit(1))
-    chosen = chosen.where(F.col("place") <= buckets * sample).where(F.col(value).isNotNull())
+    a sample of each key's values, about `buckets * sample` told by their hashes, so that they are the same wherever they are computed. A null sorts first."""
+    # of n values those whose hash is in the lowest `buckets * sample` nths: about so many, all if there are no more
+    n = values.groupBy(*keys).agg(F.count("*").alias("n"))
+    sized = values.select(*keys, value).join(n, list(keys)) if keys else values.select(value).crossJoin(F.broadcast(n))
+    chosen = sized.where((F.pmod(F.xxhash64(value), F.lit(1 << 20)) * F.col("n") < (buckets * sample << 20)) & F.col(value).isNotNull())
     found = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("chosen"))
     step = F.greatest(F.floor(F.size("chosen") / buckets), F.lit(1))
-    ends = found.select(*keys, F.filter("chosen", lambda x, i: i % step == step - 1).alias("ends"))
+    ends = found.withColumn("step", step).select(*keys, F.filter("chosen", lambda x, i: i % F.col("step") == F.col("step") - 1).alias("ends"))
+    # first among every eighth end, then among the eight that follow
+    ends = ends.withColumn("coarse", F.filter("ends", lambda x, i: i % 8 == 7))
     joined = values.join(ends, list(keys), "left") if keys else values.crossJoin(F.broadcast(ends))
-    return joined.withColumn("bucket", F.coalesce(F.size(F.filter("ends", lambda e: e < F.col(value))), F.lit(0))).drop("ends")
+    below = lambda c: F.coalesce(F.size(F.filter(c, lambda e: e < F.col(value))), F.lit(0))
+    joined = joined.withColumn("eighths", below("coarse")).withColumn("next", F.slice("ends", F.col("eighths") * 8 + 1, F.lit(8)))
+    return joined.withColumn("bucket", F.col("eighths") * 8 + below("next")).drop("ends", "coarse", "eighths", "next")
 
 
-def counted_below(df: DataFrame, value: str, keys: Sequence[str], buckets: int = 256) -> DataFrame:
+def counted_below(df: DataFrame, value: str, keys: Sequence[str], buckets: int = 64, bounds: tuple[float, float] | None = None) -> DataFrame:
     """Distinct values of each key, with c, their rows, and below, the key's rows of smaller values. Equal values are counted first; the counts are
-    added up within in_ranges() of a key's values, and the ranges' totals over as many rows as there are ranges."""
-    counts = in_ranges(df.groupBy(*keys, value).agg(F.count("*").alias("c")), value, keys, buckets)
+    added up within in_ranges() of a key's values, and the ranges' totals over as many rows as there are ranges. With `bounds`, between which values lie about evenly, ranges are
+    equal parts of these, and no sample is taken."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    if bounds:
+        part = F.floor((F.col(value) - bounds[0]) / (bounds[1] - bounds[0]) * buckets)
+        counts = counts.withColumn("bucket", F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(buckets - 1)), F.lit(0)))
+    else:
+        counts = in_ranges(counts, value, keys, buckets)
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("t")).withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
     w = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
