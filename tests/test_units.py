@@ -295,6 +295,22 @@ def test_parts_by_grams(spark, monkeypatch):
     assert plain <= want
 
 
+def test_phrases_by_the_words_around_a_gap(spark, monkeypatch):
+    """Names of two words are told from the words around a gap, without a second look at the texts; longer ones are verified; as by contains()."""
+    random.seed(8)
+    text = lambda n: "".join(random.choices(["a", "b", "é", "据", " ", "-", ". "], k=n))
+    docs = [(i, text(random.randrange(60))) for i in range(80)] + [(90, None), (91, ""), (92, "BA b")]
+    terms = {t for t in (text(random.randrange(3, 9)).strip() for _ in range(300)) if re.search(r"\w\W+\w", t)} | {"a b", "ba b", "(a b"}
+    two = {t for t in terms if re.fullmatch(r"\w+[^\w]+\w+", t)}
+    assert len(two) > 60 and len(terms - two) > 20
+    want = lambda some: {(d, t) for d, x in docs for t in some if x and t in x.lower()}
+    got = lambda some: sorted((r.doc_id, r.term) for r in M.match_terms(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in some], "term string")).collect())
+    monkeypatch.setattr(M, "SUBSTRING_TERMS", 0)
+    assert got(terms) == sorted(want(terms)) and len(want(terms)) > 60
+    monkeypatch.setattr(M, "_verified", None)
+    assert got(two) == sorted(want(two))
+
+
 def test_snapshots_of_analyses(spark, tmp_path):
     """Micro-batches give what one batch of all rows gives; a repeated batch, and one that broke off before its list, change nothing; failures stay with their error, ended records as they are."""
     docs = spark.createDataFrame([(i, None if i == 3 else " " if i == 4 else f"the tools\nof school {i} " * (i + 1)) for i in range(40)], "doc_id long, text string")
