@@ -192,36 +192,56 @@ def overdue(state: tuple[str, float, int] | None, rows: list[tuple[float, str, i
     return state, out
 
 
-def recover_stream(tasks: DataFrame, seconds: float = STALE_SECONDS, most: int = MOST_REQUEUES, late: str | None = None) -> DataFrame:
+def overdue_tasks(known: dict[str, tuple[str, float, int]], came: dict[str, list[tuple[float, str, int]]], now: float, by_time: bool, seconds: float, most: int) -> tuple[dict[str, tuple[str, float, int]], list[tuple[str, str]]]:
+    """S6. overdue() for all tasks that are known or of which rows came: those known from then on, and (task, action). Without `by_time` a row moves its own task's clock on."""
+    after, out = {}, []
+    for task in known.keys() | came.keys():
+        rows = came.get(task, [])
+        state, actions = overdue(known.get(task), rows, now if by_time else max([now, *(at for at, _, _ in rows)]), seconds, most)
+        out += [(task, a) for a in actions]
+        if state is not None:
+            after[task] = state
+    return after, out
+
+
+#: Groups of tasks that share a state in S6. A stream that goes on from a checkpoint keeps the number it began with.
+TASK_BUCKETS = 8192
+
+
+def recover_stream(tasks: DataFrame, seconds: float = STALE_SECONDS, most: int = MOST_REQUEUES, late: str | None = None, buckets: int = TASK_BUCKETS) -> DataFrame:
     """S6. (task_id, action) for tasks that stay in processing: requeue, or fail after `most`. tasks: task_id, status, requeues (null: as known), ts.
 
-    A timer of each task's state fires when `seconds` have passed since it began: by the clock of the cluster, or with `late` by the events' own time, once the watermark is there.
-    A task's rows of a micro-batch are folded part by part; only the last states of each part are held.
+    A timer fires when `seconds` have passed since a task began: by the clock of the cluster, or with `late` by the events' own time, once the watermark is there.
+    Tasks share states and timers by hash, in `buckets` of them, as a call of Python for each task takes far longer than what it does; a state has the tasks that have not ended, its timer is that of the first one due.
     """
     by_time = late is not None
     stamped = tasks.withColumn("ts", F.col("ts").cast("timestamp"))
     stamped = stamped.withWatermark("ts", late) if by_time else stamped
     rows = stamped.select(F.col("task_id").cast("string").alias("task_id"), "status", F.coalesce(F.col("requeues").cast("int"), F.lit(-1)).alias("requeues"), "ts", F.col("ts").cast("double").alias("at"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)))
 
     def run(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = (state.getCurrentWatermarkMs() if by_time else state.getCurrentProcessingTimeMs()) / 1000
-        known = tuple(state.get) if state.exists else None
-        came = [] if state.hasTimedOut else [(r.at, r.status, int(r.requeues)) for p in parts for r in p.sort_values("at").itertuples()]
-        known, actions = overdue(known, came, now if by_time else max([now, *(at for at, _, _ in came)]), seconds, most)
-        if known is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(known)
-            if known[0] == PROCESSING and by_time:
-                state.setTimeoutTimestamp(max(int((known[1] + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-            elif known[0] == PROCESSING:
-                state.setTimeoutDuration(max(int((known[1] + seconds - now) * 1000), 0) + 1)
+        known = {task: (status, since, requeues) for task, status, since, requeues in zip(*state.get, strict=True)} if state.exists else {}
+        came: dict[str, list[tuple[float, str, int]]] = {}
+        for p in () if state.hasTimedOut else parts:
+            for task, at, status, requeues in zip(p["task_id"].tolist(), p["at"].tolist(), p["status"].tolist(), p["requeues"].tolist(), strict=True):
+                came.setdefault(task, []).append((at, status, requeues))
+        known, actions = overdue_tasks(known, came, now, by_time, seconds, most)
+        if known:
+            state.update(([*known], *(list(c) for c in zip(*known.values(), strict=True))))
+        elif state.exists:
+            state.remove()
+        due = [since + seconds for status, since, _ in known.values() if status == PROCESSING]
+        if due and by_time:
+            state.setTimeoutTimestamp(max(int(min(due) * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif due:
+            state.setTimeoutDuration(max(int((min(due) - now) * 1000), 0) + 1)
         if actions:
-            yield pd.DataFrame({"task_id": who[0], "action": actions})
+            yield pd.DataFrame(actions, columns=["task_id", "action"])
 
     timer = GroupStateTimeout.EventTimeTimeout if by_time else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("task_id").applyInPandasWithState(run, "task_id string, action string", "status string, since double, requeues int", "append", timer)
+    return rows.groupBy("bucket").applyInPandasWithState(run, "task_id string, action string", "task_id array<string>, status array<string>, since array<double>, requeues array<int>", "append", timer)
 
 
 def maintenance_tick(records: DataFrame, as_of: str, limit: int = 50) -> DataFrame:
