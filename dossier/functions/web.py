@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import mask_numbers
+from .text import let, mask_numbers
 
 
 def visible_text(html: Column, most: int | None = None) -> Column:
@@ -25,17 +25,20 @@ def page_title(html: Column) -> Column:
 
 
 def infer_degree(c: Column, rules: Sequence[tuple[str, int, str]], above: str) -> Column:
-    """H9. minimum: the lowest degree that is named, or the one that an "and above" phrase follows; preferred: the highest named; 0 for none. Ranks."""
-    low = F.lower(c)
-    named = F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(rank)) for _, rank, p in rules)))
-    fixed = F.array_compact(F.array(*(F.when(low.rlike(p + r"\W{0,3}" + above), F.lit(rank)) for _, rank, p in rules)))
-    return F.struct(F.coalesce(F.array_min(fixed), F.array_min(named), F.lit(0)).alias("minimum"), F.coalesce(F.array_max(named), F.lit(0)).alias("preferred"))
+    """H9. minimum: the lowest degree that is named, or the one that an "and above" phrase follows; preferred: the highest named; 0 for none. Ranks.
+    c is computed once, whatever it is made of, and a phrase is looked for only where its degree is named."""
+    held = lambda low: F.array_compact(F.array(*(F.when(low.rlike(p), F.struct(F.lit(rank).alias("rank"), low.rlike(p + r"\W{0,3}" + above).alias("fixed"))) for _, rank, p in rules)))
+
+    def ranks(found: Column) -> Column:
+        named, fixed = F.transform(found, lambda x: x["rank"]), F.transform(F.filter(found, lambda x: x["fixed"]), lambda x: x["rank"])
+        return F.struct(F.coalesce(F.array_min(fixed), F.array_min(named), F.lit(0)).alias("minimum"), F.coalesce(F.array_max(named), F.lit(0)).alias("preferred"))
+
+    return let(let(F.lower(c), held), ranks)
 
 
 def skill_mentions(c: Column, terms: Sequence[str]) -> Column:
-    """H10. Terms that the text holds, in the order of the list."""
-    low = F.lower(c)
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, F.lower(t)))
+    """H10. Terms that the text holds, in the order of the list. c is computed once, not once a term."""
+    return let(F.lower(c), lambda low: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, F.lower(t))))
 
 
 def pages_to_jobs(pages: DataFrame, rules) -> DataFrame:
