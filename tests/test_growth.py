@@ -32,3 +32,11 @@ def test_degrees_of_odd_pages(spark):
     html = [None, "", "<p>Master</p>", "<p>the college or above, PhD</p>", "bachelor preferred; master"]
     rows = spark.createDataFrame(list(enumerate(html)), "i int, html string").select("i", W.infer_degree(W.visible_text(F.col("html")), LATIN.degrees, LATIN.above).alias("d")).orderBy("i").collect()
     assert [tuple(r.d) for r in rows] == [(0, 0), (0, 0), (3, 3), (1, 4), (2, 3)]
+
+
+def test_bounds_leave_hits_where_they_are(spark, small):
+    moved = exchanges(registry.queries()["e1_top_jobs"](spark, small))
+    assert moved and not any(re.search(r"doc_id\S*, (term|job_id)|job_id", line) for line in moved)
+    df = registry.queries()["e1_top_jobs"](spark, small)
+    df.collect()
+    assert plan(df).split("Initial Plan")[0].count("ReusedExchange") > 0  # hits meet once
