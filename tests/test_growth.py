@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from dossier.functions import web as W
 from dossier.functions.rules import LATIN
 from dossier.operators import jobs as J
-from dossier.plans import matching, registry
+from dossier.operators import terms as M
+from dossier.plans import matching, registry, texts
 from dossier.plans.views import Views
 
 
@@ -52,3 +53,16 @@ def test_full_list_makes_pairs_once(spark, small):
         old = J.with_context(J.pair_score(v.documents, v.v_job, matching.section_hits(v), sections, request), v.documents, v.v_job, request)
         key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
         assert key(J.full_list(v.documents, v.v_job, matching.section_hits(v), sections, request)) == key(old)
+
+
+def test_vectors_stay_with_their_texts(spark, small):
+    for name in ("h20_tfidf_cosine", "h20_cosine_join"):
+        df = registry.queries()[name](spark, small)
+        assert not any(re.search(r"(doc_id\S*, term)|(doc_id\S*, item_id)|(item_id\S*, doc_id)|(item_id\S*, term)", line) for line in exchanges(df)), name
+
+
+def test_cosines_are_the_same_where_nothing_is_broadcast(spark, small, monkeypatch):
+    rows = lambda: sorted((r.doc_id, r.item_id, round(r.cosine, 9)) for r in texts.cosines(Views(spark, small), 0.3).collect())
+    sent = rows()
+    monkeypatch.setattr(M, "BROADCAST_TERMS", 0)
+    assert sent and rows() == sent
