@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import SECTIONS, Move, SectionRules
-from ..functions.text import norm_line
+from ..functions.text import HAN, norm_line
 from .lines import by_doc, canon_line
 
 SEEN = len(SECTIONS)
 #: A letter for each section without a heading so far, and with one.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: 2 * SEEN]
+#: The guard that any Han character meets.
+HAN_GUARD = f"[{HAN}]"
 MARKS = " ，,；;。"
+#: What \\s stands for in patterns. Ends are cut by trim(), which looks at them alone, where a pattern with $ is tried at each character of a line.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def letter(section: str, seen: bool) -> str:
@@ -43,7 +47,7 @@ def expand_lines(lines: DataFrame, rules: SectionRules) -> DataFrame:
     rows = rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "i", "j")).alias("line_no"), "line")
     if not rules.labels:
         return rows
-    bare = F.lower(F.regexp_replace(F.regexp_replace("line", r"\s+", ""), "^[：:]+|[：:]+$", ""))
+    bare = F.lower(F.btrim(F.regexp_replace("line", r"\s+", ""), F.lit("：:")))
     rows = with_heading(rows.withColumn("label", bare.isin(*rules.labels)), rules, "heading")
     rows = rows.withColumn("value", (F.length("line") <= 80) & F.col("heading").isNull() & F.col("line").rlike(r"[\x{4e00}-\x{9fa5}A-Za-z0-9]"))
     # of labels that follow each other every second takes the next as its value
@@ -59,8 +63,8 @@ def expand_lines(lines: DataFrame, rules: SectionRules) -> DataFrame:
 
 def clean_heading(line: Column) -> Column:
     """A line without the marks and numbers that stand before and after a heading."""
-    clean = F.regexp_replace(F.regexp_replace(norm_line(line), r"^[■●◆▪▸►【\[\s]+", ""), r"[\]】\s]+$", "")
-    return F.regexp_replace(F.regexp_replace(clean, r"^[（(]?[0-9一二三四五六七八九十]+[）).、．]\s*", ""), r"^[：:|_ ·•-]+|[：:|_ ·•-]+$", "")
+    clean = F.rtrim(F.ltrim(norm_line(line), F.lit(f"■●◆▪▸►【[{BLANKS}")), F.lit(f"]】{BLANKS}"))
+    return F.btrim(F.regexp_replace(clean, r"^[（(]?[0-9一二三四五六七八九十]+[）).、．]\s*", ""), F.lit("：:|_ ·•-"))
 
 
 def with_heading(lines: DataFrame, rules: SectionRules, name: str = "section_heading") -> DataFrame:
@@ -110,12 +114,36 @@ def cases(pairs, otherwise: str) -> str:
     return f"CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in pairs)} ELSE {otherwise} END" if pairs else otherwise
 
 
+def parted(pattern: str) -> tuple[str, str]:
+    """Those alternatives of a pattern that are words with a Han character, and all others; no pattern where there are none."""
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    parts, depth = [""], 0
+    for c in pattern.removeprefix(flag):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    words = [p for p in parts if re.fullmatch(r"\w+", p) and re.search("[\u4e00-\u9fa5]", p)]
+    join = lambda found: flag + "|".join(found) if found else ""
+    return join(words), join([p for p in parts if p not in words])
+
+
 def signals(lines: DataFrame, rules: SectionRules) -> DataFrame:
     """A column for each signal, size and predicate; predicates level by level, as each may name others."""
     lines = lines.withColumn("tight", F.regexp_replace("line", r"\s+", ""))
     pattern, guarded = rules.guard
     lines = lines.withColumn("guard", F.expr(f"line RLIKE r'{pattern}'") if guarded else F.lit(True))
-    own = {n: F.expr(f"{'guard AND ' if n in guarded else ''}{'tight' if n in rules.compact else 'line'} RLIKE r'{p}'") for n, p in rules.signals.items()}
+
+    def meets(name: str, whole: str) -> Column:
+        column = "tight" if name in rules.compact else "line"
+        if name in guarded or not guarded:
+            return F.expr(f"guard AND {column} RLIKE r'{whole}'")
+        # words with a Han character are looked for where there is one
+        words, rest = parted(whole) if pattern == HAN_GUARD else ("", whole)
+        return F.expr(" OR ".join([*([f"(guard AND {column} RLIKE r'{words}')"] if words else []), *([f"{column} RLIKE r'{rest}'"] if rest else [])]))
+
+    own = {n: meets(n, p) for n, p in rules.signals.items()}
     for name, (compact, least, most) in rules.sizes.items():
         own[name] = F.expr(f"length({'tight' if compact else 'line'}) BETWEEN {least or 0} AND {2**31 - 1 if most is None else most}")
     rows = lines.withColumns(own | {"heading": F.col("section_heading").isNotNull()})

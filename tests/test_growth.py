@@ -5,8 +5,10 @@ import re
 from pyspark.sql import functions as F
 
 from dossier.functions import web as W
+from dossier.functions.han import HAN
 from dossier.functions.rules import LATIN
 from dossier.operators import jobs as J
+from dossier.operators import sections as S
 from dossier.operators import terms as M
 from dossier.plans import matching, registry, texts
 from dossier.plans.views import Views
@@ -66,3 +68,12 @@ def test_cosines_are_the_same_where_nothing_is_broadcast(spark, small, monkeypat
     sent = rows()
     monkeypatch.setattr(M, "BROADCAST_TERMS", 0)
     assert sent and rows() == sent
+
+
+def test_words_of_han_characters_are_looked_for_where_there_is_one(spark):
+    assert S.parted("(?i)@|邮箱|Wechat|1[3-9]|(?:今|至今)|一等奖") == ("(?i)邮箱|一等奖", "(?i)@|Wechat|1[3-9]|(?:今|至今)")
+    lines = spark.createDataFrame([(1, n, x) for n, x in enumerate(("my mail @ home", "邮箱 here", "nothing at all", "公司", "a" * 50 + " 项目：x"))], "doc_id bigint, line_no int, line string")
+    rows = S.signals(lines.withColumn("section_heading", F.lit(None).cast("string")), HAN).orderBy("line_no").collect()
+    assert [(r.contact, r.held, r.deliverable) for r in rows] == [(True, False, False), (True, False, False), (False, False, False), (False, True, False), (False, False, True)]
+    ends = spark.createDataFrame([("【 教育背景 】\t",), ("：： 三、Skills ：|",), ("- a - ",), ("]】",)], "s string").select(S.clean_heading(F.col("s")).alias("c")).collect()
+    assert [r.c for r in ends] == ["教育背景", "三、Skills", "a", ""]
