@@ -4,10 +4,12 @@ import re
 
 from pyspark.sql import functions as F
 
+from dossier.functions import text as T
 from dossier.functions import web as W
 from dossier.functions.han import HAN
 from dossier.functions.rules import LATIN
 from dossier.operators import jobs as J
+from dossier.operators import lines as L
 from dossier.operators import sections as S
 from dossier.operators import terms as M
 from dossier.plans import matching, registry, texts
@@ -77,3 +79,19 @@ def test_words_of_han_characters_are_looked_for_where_there_is_one(spark):
     assert [(r.contact, r.held, r.deliverable) for r in rows] == [(True, False, False), (True, False, False), (False, False, False), (False, True, False), (False, False, True)]
     ends = spark.createDataFrame([("【 教育背景 】\t",), ("：： 三、Skills ：|",), ("- a - ",), ("]】",)], "s string").select(S.clean_heading(F.col("s")).alias("c")).collect()
     assert [r.c for r in ends] == ["教育背景", "三、Skills", "a", ""]
+
+
+def test_lists_of_words_are_looked_for_by_their_parts(spark, small):
+    assert T.word_parts(r"\b(honou?r|tools?)\b") == (False, ("hono", "tool")) and T.word_parts(r"^(skills?|the)\b") == (True, ("skill", "the"))
+    assert all(T.word_parts(p)[1] == () for p in (r"\b(a?|b)\b", r"\b(a|)\b", r"\b(a.c)\b", r"a|b", r"\b(19|20)[0-9]{2}\b", ""))
+    lines = [None, "", "honor", "xhonor", "the honours", "my honour.", "tool", "tools up", "atool", "skill", "skillset", "skills: a", " skills", "the", "then", "hon", "x the"]
+    rows = spark.createDataFrame([(x,) for x in lines], "s string")
+    for p in (r"\b(honou?r|tools?)\b", r"^(skills?|the)\b", r"\b(a?|b)\b", r"tool"):
+        assert rows.where(~T.meets(F.col("s"), p).eqNullSafe(F.col("s").rlike(p))).count() == 0, p
+    assert "Contains(low" in optimized(registry.queries()["h17_evidence"](spark, small))
+
+
+def test_whatever_is_a_metric_may_be_one(spark):
+    lines = ["3%", "3 %", "3.5 +", "12k", "12 k", "7k9", "1 2 3", "123", "a1b22", "9 k", "k 9", "%5", "0.5k x", "10  %", "5+", "2019", ""]
+    rows = spark.createDataFrame([(x,) for x in lines], "s string")
+    assert rows.where(F.col("s").rlike(L.METRIC) & ~F.col("s").rlike(L.MAYBE_METRIC)).count() == 0
