@@ -117,3 +117,13 @@ def test_hints_take_one_pass_over_the_hits(spark, small):
     assert J.skill_hints(hits, edges, missing, 2).where("doc_id = 1").count() == 2
     moved = exchanges(registry.queries()["c11_skill_hints"](spark, small))
     assert not any(re.search(r"hint", line) for line in moved), moved
+
+
+def test_lines_stay_with_their_document_for_snippets(spark, small):
+    lines = [(1, 1, "onre stands here", "skills"), (1, 2, "no term stands here", "skills"), (1, 3, "a b and onre, c d e", "x"), (2, 1, "onre stands here", "x"), (2, 2, "short", "x"), (3, 1, "fonre is no word, c d is", "x")]
+    section_lines = spark.createDataFrame(lines, "doc_id long, line_no int, line string, section string")
+    hits = spark.createDataFrame([(1, "onre"), (1, "c d"), (1, " X"), (3, "onre"), (3, "c d")], "doc_id long, term string")
+    got = {(r.doc_id, r.line_no): round(r.score, 3) for r in J.evidence_snippets(section_lines, hits).collect()}
+    assert got == {(1, 1): 3.9, (1, 3): 4.775, (2, 1): 0.0, (3, 1): 2.9}
+    df = registry.queries()["e10_evidence_snippets"](spark, small)
+    assert not any("line_no" in line for line in exchanges(df))
