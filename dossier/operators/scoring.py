@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CORE_SECTIONS, DEFAULT_WEIGHTS, DIMENSIONS, RuleSet
-from ..functions.text import date_range
+from ..functions.text import date_range, meets
 from .lines import DATE
 
 
@@ -151,7 +151,7 @@ def education_entries(section_lines: DataFrame, rules: RuleSet, as_of: str) -> D
     low = F.lower("line")
     degree, rest = F.lit(""), F.regexp_replace(F.regexp_extract("line", rf"{SCHOOL}(.*)$", 1), RANGE, "")
     for name, _, pattern in reversed(rules.degrees):
-        degree = F.when(low.rlike(pattern), name).otherwise(degree)
+        degree = F.when(meets(low, pattern), name).otherwise(degree)
     for _, _, pattern in rules.degrees:
         rest = F.regexp_replace(rest, rf"(?i){pattern}", "")
     rows = section_lines.where(F.col("section") == "education").withColumns({
@@ -190,10 +190,14 @@ def canonical_skills(hits: DataFrame, most: int = 40) -> DataFrame:
 
 def profile_stats(skills: DataFrame, education: DataFrame, awards: DataFrame, months: DataFrame) -> DataFrame:
     """D22. Of each document: skills, implicit ones, education and award entries, months, years and mean confidence of the skills. months: (doc_id, months)."""
-    s = skills.groupBy("doc_id").agg(F.count("*").alias("skills"), F.count_if(F.col("source") == "implicit").alias("implicit"), F.round(F.avg("confidence"), 2).alias("confidence"))
-    e = education.groupBy("doc_id").agg(F.count("*").alias("education"))
-    a = awards.groupBy("doc_id").agg(F.count("*").alias("awards"))
-    joined = s.join(e, "doc_id", "left").join(a, "doc_id", "left").join(months, "doc_id", "left").fillna(0, ["education", "awards", "months"])
+    none, kind = F.lit(None), F.col("kind")
+    # one grouping and no join, for whose sake keys would be tested before lines are numbered: so lines of the same source move once
+    rows = skills.select("doc_id", F.lit("skills").alias("kind"), "source", "confidence")
+    for name, entries in (("education", education), ("awards", awards)):
+        rows = rows.unionByName(entries.select("doc_id", F.lit(name).alias("kind"), none.cast("string").alias("source"), none.cast("double").alias("confidence")))
+    n = lambda name: F.when(F.col("doc_id").isNotNull(), F.count_if(kind == name)).otherwise(0).alias(name)
+    found = rows.groupBy("doc_id").agg(F.count_if(kind == "skills").alias("skills"), F.count_if(F.col("source") == "implicit").alias("implicit"), F.round(F.avg("confidence"), 2).alias("confidence"), n("education"), n("awards"))
+    joined = found.where("skills > 0").join(months, "doc_id", "left").fillna(0, ["months"])
     return joined.withColumn("years", F.round(F.col("months") / 12, 2))
 
 
