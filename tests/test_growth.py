@@ -153,3 +153,13 @@ def test_personal_data_is_looked_for_where_it_may_be(spark, small):
     kinds = rows.select("s", T.residual_pii(F.col("s")).alias("k"), F.array_compact(F.array(*(F.when(F.col("s").rlike(p), F.lit(k)) for k, p, _ in T.PII))).alias("all"), T.redact(F.col("s"))["text"].alias("t"), T._squeezed(T.redact(F.col("s"))["text"]).alias("u"))
     assert kinds.where("NOT k <=> all OR NOT t <=> u").count() == 0
     assert optimized(registry.queries()["h6_residual_pii"](spark, small)).count("Contains(") == 2
+
+
+def test_partitions_of_spans_follow_the_texts(spark, small, monkeypatch):
+    docs = spark.createDataFrame([(n, x) for n, x in enumerate([None, "", "tion the thea", "none", "THE the" * 9])], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, M.hit_spans(docs, texts.SPAN_TERMS).collect()))
+    parts = lambda: re.findall(r"Exchange hashpartitioning\(doc_id\S*, (\d+)\), REPARTITION_BY_NUM", plan(M.hit_spans(docs, texts.SPAN_TERMS)))
+    few = rows()
+    assert few[:3] == [(2, 0, 4), (2, 5, 8), (2, 9, 13)] and parts() == [str(spark.sparkContext.defaultParallelism)]
+    monkeypatch.setattr(M, "TASK_CHARS", 4)
+    assert parts() == [str(-(-(13 + 4 + 63) // 4))] and rows() == few
