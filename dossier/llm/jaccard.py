@@ -8,7 +8,8 @@ the join itself leaves out what differs in too many. Within what is already conn
 1. members of a group against its leader; those that do not link become groups of their own;
 2. groups of a shingle against a few of them, its centres;
 3. all pairs of groups of a shingle that are still in different components, in blocks; leaders first, and members only of those
-   pairs of groups whose leaders differ by no more than a link may and their groups' radii together.
+   pairs of groups whose leaders differ by no more than a link may and their groups' radii together. Where a shingle has many groups
+   outside of its largest component (copies that nearly link), rows carry a wider bitmap, and the shingles before theirs, so that a pair is listed at its first few common ones only.
 
 Every pair that links shares a prefix shingle, so step 3 finds whatever the first two left.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_type, map_batches, raw_texts, small_enough, written
@@ -35,6 +36,9 @@ SENT_IDS = 500_000
 #: Words of 64 bits in a bitmap.
 BITMAP = 4
 BITS = [f"b{i}" for i in range(BITMAP)]
+#: Groups of a shingle outside of its largest component from which on its rows carry the wider bitmap and as many earlier shingles.
+MANY, WIDE, EARLIER = 8, 16, 12
+WIDE_BITS = [f"w{i}" for i in range(WIDE)]
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,15 +70,15 @@ def rarest(levels: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITMAP bits whether an odd number of the set's shingles fall on it."""
-    odd = np.bincount((s % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+def bitmap(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """For each of 64 * words bits whether an odd number of the set's shingles fall on it."""
+    odd = np.bincount((s % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def differing(a: str, b: str) -> Column:
+def differing(a: str, b: str, bits: list[str] = BITS) -> Column:
     """Bits in which the bitmaps of rows a and b differ: a lower bound of the shingles that one of their sets has alone."""
-    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITS), F.lit(0))
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in bits), F.lit(0))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,16 +295,42 @@ class Join:
         """Rows l and r of one shingle in different components, whose sets or groups may link. The shingle's largest component meets the others only.
 
         A shingle of many rows is split into blocks: each row is in one, and only those outside of the largest component are sent to all of them.
+        With at most MANY of these a row meets so many others at most; the rest, whose pairs grow with the square of a shingle's groups, are looked at more closely.
         """
         sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
-        left = rows.join(tokens.select("token", "main", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token")
+        tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main")).where("comps > 1")
+        tokens = tokens.select("token", "main.comp", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), (F.col("c") - F.col("main.c") > MANY).alias("many"))
+        left = rows.join(tokens.withColumnRenamed("comp", "main"), "token")
         left = left.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")).withColumn("rest", F.col("comp") != F.col("main"))
-        right = left.where("rest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left = written(left.select("token", "g", "n", "pos", "radius", "comp", "blocks", "block", "rest", "many", *BITS), "apart")
         # two rows of the rest would meet twice
         once = ~F.col("l.rest") | (F.col("l.g") < F.col("r.g"))
-        near = self.may_link("l", "r") & (differing("l", "r") <= self.apart("l", "r") + F.col("l.radius") + F.col("r.radius"))
-        return left.alias("l").join(right.alias("r"), ["token", "block"]).where((F.col("l.comp") != F.col("r.comp")) & once & near)
+        room = self.apart("l", "r") + F.col("l.radius") + F.col("r.radius")
+        near = (F.col("l.comp") != F.col("r.comp")) & once & self.may_link("l", "r") & (differing("l", "r") <= room)
+        closer = (differing("l", "r", WIDE_BITS) <= room) & (F.size(F.array_intersect("l.earlier", "r.earlier")) < SHARED)
+
+        def met(left: DataFrame, near: Column) -> DataFrame:
+            right = left.where("rest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            return left.alias("l").join(right.alias("r"), ["token", "block"]).where(near).select("l.token", *(F.struct(f"{x}.g", f"{x}.n").alias(x) for x in "lr"))
+
+        return met(left.where("NOT many"), near).unionByName(met(self._closer(left.where("many")), near & closer))
+
+    def _closer(self, rows: DataFrame) -> DataFrame:
+        """rows with their groups' wider bitmaps, and with the row's last few shingles before its own, of those in rows.
+
+        Two rows that have SHARED of these in common belong to groups that have met at SHARED shingles before, so often as paired() asks for.
+        """
+        ids = written(rows.select(F.col("g").alias("doc_id")).distinct(), "many-ids")
+        chosen = self.docs.join(F.broadcast(ids) if small_enough(ids, SENT_IDS) else ids, "doc_id", "left_semi")
+        size = self.size
+
+        def each(batch: pa.RecordBatch):
+            maps = np.array([bitmap(np.unique(shingles(word_hashes(raw), size)), WIDE) for raw in raw_texts(batch.column("text"))], np.int64).reshape(-1, WIDE)
+            yield {"g": batch.column("doc_id"), **{x: maps[:, i] for i, x in enumerate(WIDE_BITS)}}
+
+        wide = map_batches(chosen, lambda: each, f"g {self.key}, " + ", ".join(f"{x} bigint" for x in WIDE_BITS)).dropDuplicates(["g"])
+        before = Window.partitionBy("g").orderBy("pos").rowsBetween(-EARLIER, -1)
+        return written(rows.withColumn("earlier", F.collect_list("token").over(before)).join(wide, "g"), "many")
 
     def _room(self, compared: DataFrame, members: DataFrame, within: DataFrame, radii: DataFrame) -> DataFrame:
         """Pairs of members of those groups whose leaders do not link, but differ by no more than the groups' radii leave room for."""
