@@ -175,6 +175,13 @@ PREDICATES = {
 }
 #: Signals that no line without a Han character can meet: each of their alternatives holds one.
 LETTERED = ("contact", "date", "skill_word", "award_word", "product", "grades", "intern_word", "held", "workplace", "numbered", "several", "list_only", "direction", "name", "no_name", "clear", "project_mark", "deliverable", "heading_form", "major_first")
+_DIGIT, _TOOL = "/[0-9]/", "/(?:p[sr]|ae)(?![a-z])(?<![a-z]..)/"
+#: What a line without a Han character holds, one of these at least, if it meets such a signal. Others of LETTERED say nothing by themselves there.
+HINTS = {
+    "contact": ("@", "wechat", "qq", _DIGIT), "date": (_DIGIT,), "award_word": ("uskills",), "product": ("app",), "grades": ("gpa",), "intern_word": ("intern",), "held": (), "workplace": ("backend", "frontend"),
+    "skill_word": ("office", "excel", "word", "ppt", "wps", "python", "sql", "vue", "react", "canva", "photoshop", "premiere", "harmonyos", _TOOL), "list_only": ("、",), "direction": ("·",), "name": ("·",),
+    "clear": ("intern",), "project_mark": ("：", ":"), "deliverable": ("：", ":"), "major_first": (),
+}
 _WORK = ("internship", "projects", "campus")
 _BUT = lambda *names: tuple(s for s in SECTIONS if s not in names)
 HAN = SectionRules(
@@ -224,4 +231,5 @@ HAN = SectionRules(
     fragments=(("internship", "action", rf"([{_HAN}A-Za-z]{{2,24}}(?:大学|学院))", "education"), ("awards", "degree_first", r"^\s*(.*?)[\s，,;；]*(?:获得|荣获|证书|称号|$)", "education"), ("awards", "", rf"([{_HAN}A-Za-z]{{2,24}}(?:大学|学院))", "education")),
     makes_room=("org !named_school",),
     guard=(f"[{_HAN}]", tuple(n for n in SIGNALS if n not in LETTERED)),
+    hints=HINTS,
 )

@@ -8,8 +8,8 @@ before, and no document is gathered or folded. Refinement is line by line; moves
 from __future__ import annotations
 
 import re
-from functools import reduce
-from math import ceil, log2
+from collections.abc import Callable
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,13 @@ HAN_GUARD = f"[{HAN}]"
 MARKS = " ，,；;。"
 #: What \\s stands for in patterns. Ends are cut by trim(), which looks at them alone, where a pattern with $ is tried at each character of a line.
 BLANKS = " \t\n\x0b\f\r"
+#: What clean_heading() takes from the start and from the end of a line: a line without either is its own clean form.
+OPENING, CLOSING = f"■●◆▪▸►【[{BLANKS}（(0123456789一二三四五六七八九十：:|_·•-", f"]】{BLANKS}：:|_·•-"
+LONGEST_HEADING = 40
+CANON_MARKS = "：:；;，,。．.、|｜"
+CELL_MARKS = r"|｜\t\n"
+#: Maps that one pass of a window joins.
+FOLD = 8
 
 
 def letter(section: str, seen: bool) -> str:
@@ -36,40 +43,89 @@ def quoted(names) -> str:
     return "|".join(rf"\Q{n}\E" for n in sorted(names, key=lambda n: (-len(n), n)))
 
 
+def has_han(words) -> bool:
+    """Whether each of the words holds a Han character, so that a line without one holds none of them."""
+    return all(re.search("[\u4e00-\u9fa5]", w) for w in words)
+
+
+def found_in(c: Column, words) -> Column:
+    """Whether one of the words stands in a text. Those with a Han character are looked for where there is one."""
+    han, others = [w for w in words if has_han([w])], [w for w in words if not has_han([w])]
+    return reduce(Column.__or__, [*([c.rlike(HAN_GUARD) & c.rlike(quoted(han))] if han else []), *([c.rlike(quoted(others))] if others else [])], F.lit(False))
+
+
+def odd(c: Column) -> Column:
+    """Whether a line may hold marks of cells, blanks other than spaces, or Han characters. Each class is a range or a list of narrow characters, which Java tells fast; others take it many times as long."""
+    return c.rlike(r"[|\t\n\x0b\f\r\x85\xa0]") | c.rlike(r"[\x{250}-\x{ffff}]")
+
+
+def normal(c: Column, is_odd: Column | None = None) -> Column:
+    """norm_line(), which rewrites every blank of a line, where that changes more than its ends. is_odd: odd() where it is known."""
+    return F.when(F.contains(c, F.lit("  ")) | ((odd(c) if is_odd is None else is_odd) & c.rlike(r"(?U)[^\S ]")), norm_line(c)).otherwise(F.trim(c))
+
+
+def without_blanks(c: Column) -> Column:
+    return F.when(c.rlike(r"[\t-\r]"), F.regexp_replace(c, r"\s+", "")).otherwise(F.replace(c, F.lit(" "), F.lit("")))
+
+
+def cells_of(line: Column) -> Column:
+    return F.when(F.col("odd"), F.split(F.regexp_replace(line, r"\s\|\s|｜|\t+", "\n"), "\n")).otherwise(F.array(line))
+
+
+def most_parts(line: Column, rules: SectionRules) -> Column:
+    """At least the number of lines that expand_lines() makes of a line: marks between cells part it, and headings within, each of which holds a character that is cut out here."""
+    cut = lambda c, pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    parts = 1 + cut(line, f"[{CELL_MARKS}]")
+    if not rules.inline:
+        return F.when(odd(line), parts).otherwise(1)
+    names = cut(F.regexp_replace(line, r"(?U)\s", ""), quoted(re.sub(r"\s", "", n) for n in rules.inline))
+    return F.when(odd(line), parts + names).otherwise(1) if has_han(rules.inline) else parts + names
+
+
 def expand_lines(lines: DataFrame, rules: SectionRules) -> DataFrame:
-    """Lines in parts: cells of a table, what follows a heading within a long line, and labels with their values from the next line; numbered anew."""
-    cells = F.split(F.regexp_replace("line", r"\s\|\s|｜|\t+", "\n"), "\n")
-    marked = F.regexp_replace(F.col("cell"), rf"(?<=[ 　,，;；。|/、)])({quoted(rules.inline)})(?=$|[ 　:：,，;；])", "\n$1")
-    apart = F.when((F.length("cell") >= 24) & F.col("cell").rlike(quoted(rules.inline)), marked).otherwise(F.col("cell")) if rules.inline else F.col("cell")
-    rows = lines.select("doc_id", "line_no", F.posexplode(cells).alias("i", "cell")).withColumn("cell", norm_line(F.col("cell"))).where("cell <> ''").withColumn("apart", apart)
-    parts = F.when(F.col("apart") == F.col("cell"), F.array("cell")).otherwise(F.transform(F.split("apart", "\n"), lambda p: F.trim(p, F.lit(MARKS))))
-    rows = rows.select("doc_id", "line_no", "i", F.posexplode(parts).alias("j", "line")).where("line <> ''")
-    rows = rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "i", "j")).alias("line_no"), "line")
+    """Lines in parts: cells of a table, what follows a heading within a long line, and labels with their values from the next line; numbered anew, with odd()."""
+    rows = lines.select("doc_id", "line_no", "line", odd(F.col("line")).alias("odd")).select("doc_id", "line_no", "odd", F.posexplode(cells_of(F.col("line"))).alias("i", "cell"))
+    rows = rows.withColumn("cell", normal(F.col("cell"), F.col("odd"))).where("cell <> ''")
+    parts = F.array("cell")
+    if rules.inline:
+        marked = F.regexp_replace(F.col("cell"), rf"(?<=[ 　,，;；。|/、)])({quoted(rules.inline)})(?=$|[ 　:：,，;；])", "\n$1")
+        rows = rows.withColumn("apart", F.when((F.col("odd") if has_han(rules.inline) else F.lit(True)) & (F.length("cell") >= 24) & found_in(F.col("cell"), rules.inline), marked))
+        parts = F.when(F.coalesce(F.col("apart") == F.col("cell"), F.lit(True)), parts).otherwise(F.transform(F.split("apart", "\n"), lambda p: F.trim(p, F.lit(MARKS))))
+    rows = rows.select("doc_id", "line_no", "odd", "i", F.posexplode(parts).alias("j", "line")).where("line <> ''")
+    w = Window.partitionBy("doc_id").orderBy("line_no", "i", "j")
     if not rules.labels:
-        return rows
-    bare = F.lower(F.btrim(F.regexp_replace("line", r"\s+", ""), F.lit("：:")))
-    rows = with_heading(rows.withColumn("label", bare.isin(*rules.labels)), rules, "heading")
-    rows = rows.withColumn("value", (F.length("line") <= 80) & F.col("heading").isNull() & F.col("line").rlike(r"[\x{4e00}-\x{9fa5}A-Za-z0-9]"))
-    # of labels that follow each other every second takes the next as its value
-    run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairable = F.col("label") & F.coalesce(F.lead("value").over(by_doc()), F.lit(False))
-    rows = rows.withColumn("pairable", pairable).withColumn("last", F.max(F.when(~F.col("pairable"), F.col("line_no"))).over(run))
-    rows = rows.withColumn("takes", F.col("pairable") & ((F.col("line_no") - F.coalesce("last", F.lit(0))) % 2 == 1))
-    w = by_doc()
+        return rows.select("doc_id", F.row_number().over(w).alias("line_no"), "line", "odd")
+    # a label with a blank after each character, or with colons before or after it
+    line, longest = F.col("line"), 2 * max(map(len, rules.labels))
+    may = (F.length(line) <= longest) | F.substring(line, 1, 1).isin("：", ":") | F.substring(line, -1, 1).isin("：", ":")
+    bare = F.lower(F.btrim(without_blanks(line), F.lit("：:")))
+    rows = rows.select("doc_id", "line_no", "i", "j", "line", "odd", F.when(may, bare.isin(*rules.labels)).otherwise(False).alias("label"))
+    rows = rows.withColumns({"n": F.row_number().over(w), "next": F.when(F.col("label"), F.lead("line").over(w))})
+    # only what follows a label is looked at
+    value = F.col("label") & (F.length("next") <= 80)
+    rows = with_heading(rows, rules, "heading", value, "next")
+    pairable = F.coalesce(value & F.col("heading").isNull() & F.col("next").rlike(r"[\x{4e00}-\x{9fa5}A-Za-z0-9]"), F.lit(False))
+    # of labels that follow each other every second takes the next as its value; one order serves all windows, so that lines are sorted once
+    rows = rows.withColumn("pairable", pairable).drop("label", "heading", "clean")
+    rows = rows.withColumn("last", F.max(F.when(~F.col("pairable"), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("takes", F.col("pairable") & ((F.col("n") - F.coalesce("last", F.lit(0))) % 2 == 1))
     taken = F.coalesce(F.lag("takes").over(w), F.lit(False))
-    joined = F.when(F.col("takes"), F.concat(F.regexp_replace("line", "[：:]+$", ""), F.lit("："), F.lead("line").over(w))).otherwise(F.col("line"))
-    return rows.select("doc_id", "line_no", joined.alias("line"), taken.alias("taken")).where("NOT taken").drop("taken")
+    joined = F.when(F.col("takes"), F.concat(F.regexp_replace("line", "[：:]+$", ""), F.lit("："), F.col("next"))).otherwise(F.col("line"))
+    return rows.select("doc_id", F.col("n").alias("line_no"), joined.alias("line"), (F.col("odd") | F.col("takes")).alias("odd"), taken.alias("taken")).where("NOT taken").drop("taken")
 
 
 def clean_heading(line: Column) -> Column:
     """A line without the marks and numbers that stand before and after a heading."""
-    clean = F.rtrim(F.ltrim(norm_line(line), F.lit(f"■●◆▪▸►【[{BLANKS}")), F.lit(f"]】{BLANKS}"))
+    clean = F.rtrim(F.ltrim(normal(line), F.lit(f"■●◆▪▸►【[{BLANKS}")), F.lit(f"]】{BLANKS}"))
     return F.btrim(F.regexp_replace(clean, r"^[（(]?[0-9一二三四五六七八九十]+[）).、．]\s*", ""), F.lit("：:|_ ·•-"))
 
 
-def with_heading(lines: DataFrame, rules: SectionRules, name: str = "section_heading") -> DataFrame:
-    """lines with the section that each is a heading of, and `clean`, the line as headings are compared. A column of its own, as each heading is held against it."""
-    rows = lines.withColumn("clean", F.lower(clean_heading(F.col("line"))))
+def with_heading(lines: DataFrame, rules: SectionRules, name: str = "section_heading", where: Column | None = None, column: str = "line", norm: bool = False) -> DataFrame:
+    """lines with the section that each is a heading of, and `clean`, the line as headings are compared. A column of its own, as each heading is held against it.
+    Both are null where the condition does not hold, and for lines too long to be a heading from which nothing is taken. norm: whether the lines are as normal() leaves them."""
+    rows = lines.withColumn("norm", F.col(column) if norm else F.when(F.lit(True) if where is None else where, normal(F.col(column))))
+    may = (F.length("norm") <= LONGEST_HEADING) | F.substring("norm", 1, 1).isin(*OPENING) | F.substring("norm", -1, 1).isin(*CLOSING)
+    rows = rows.withColumn("clean", F.when(may, F.lower(clean_heading(F.col("norm"))))).drop("norm")
     return rows.withColumn(name, heading(F.col("clean"), rules))
 
 
@@ -96,7 +152,7 @@ def heading(clean: Column, rules: SectionRules) -> Column:
         return out
 
     found = F.filter(F.transform(F.filter(table, fits), resolved), lambda s: s != "")
-    return F.when((n > 0) & (n <= 40) & clean.rlike(quoted(rules.headings)), F.try_element_at(found, F.lit(1)))
+    return F.when((n > 0) & (n <= LONGEST_HEADING) & found_in(clean, rules.headings), F.try_element_at(found, F.lit(1)))
 
 
 def wording(text: str) -> str:
@@ -104,10 +160,6 @@ def wording(text: str) -> str:
     return " AND ".join(f"NOT `{t[1:]}`" if t.startswith("!") else f"`{t}`" for t in text.split()) or "true"
 
 
-def clause(text: str) -> Column:
-    return F.expr(wording(text))
-
-
 def cases(pairs, otherwise: str) -> str:
     """The first value whose condition is true."""
     pairs = list(pairs)
@@ -129,43 +181,133 @@ def parted(pattern: str) -> tuple[str, str]:
     return join(words), join([p for p in parts if p not in words])
 
 
-def signals(lines: DataFrame, rules: SectionRules) -> DataFrame:
-    """A column for each signal, size and predicate; predicates level by level, as each may name others."""
-    lines = lines.withColumn("tight", F.regexp_replace("line", r"\s+", ""))
+def hint_pattern(part: str) -> bool:
+    return len(part) > 1 and part[0] == part[-1] == "/"
+
+
+def prepared(lines: DataFrame, rules: SectionRules) -> DataFrame:
+    """lines with whether each meets the guard, and whether it holds a part that hints at a signal without that."""
     pattern, guarded = rules.guard
-    lines = lines.withColumn("guard", F.expr(f"line RLIKE r'{pattern}'") if guarded else F.lit(True))
+    guard = F.expr(f"line RLIKE r'{pattern}'") if guarded else F.lit(True)
+    lines = lines if "odd" in lines.columns else lines.withColumn("odd", odd(F.col("line")))
+    lines = lines.withColumn("guard", F.col("odd") & guard if pattern == HAN_GUARD else guard).withColumn("low", F.when(~F.col("guard"), F.lower("line")))
+    return lines.withColumn("hinted", ~F.col("guard") & F.expr(" OR ".join(map(hint, dict.fromkeys(p for found in rules.hints.values() for p in found))) or "false"))
+
+
+def hint(part: str) -> str:
+    """SQL of whether a line holds a part of SectionRules.hints."""
+    return f"line RLIKE r'(?i){part[1:-1]}'" if len(part) > 1 and part[0] == part[-1] == "/" else f"contains(low, '{part}')"
+
 
-    def meets(name: str, whole: str) -> Column:
-        column = "tight" if name in rules.compact else "line"
+def own_signals(rules: SectionRules, tight: str = "tight") -> dict[str, str]:
+    """SQL of each signal and size of prepared() lines; tight: of the line without blanks."""
+    pattern, guarded = rules.guard
+
+    def meets(name: str, whole: str) -> str:
+        column = tight if name in rules.compact else "line"
         if name in guarded or not guarded:
-            return F.expr(f"guard AND {column} RLIKE r'{whole}'")
+            return f"guard AND {column} RLIKE r'{whole}'"
         # words with a Han character are looked for where there is one
         words, rest = parted(whole) if pattern == HAN_GUARD else ("", whole)
-        return F.expr(" OR ".join([*([f"(guard AND {column} RLIKE r'{words}')"] if words else []), *([f"{column} RLIKE r'{rest}'"] if rest else [])]))
+        if name in rules.hints:
+            return f"(guard AND {column} RLIKE r'{whole}') OR (hinted AND ({' OR '.join(map(hint, rules.hints[name])) or 'false'}) AND {column} RLIKE r'{rest or whole}')"
+        return " OR ".join([*([f"(guard AND {column} RLIKE r'{words}')"] if words else []), *([f"{column} RLIKE r'{rest}'"] if rest else [])])
+
+    sizes = {n: f"length({tight if compact else 'line'}) BETWEEN {least or 0} AND {2**31 - 1 if most is None else most}" for n, (compact, least, most) in rules.sizes.items()}
+    return {n: meets(n, p) for n, p in rules.signals.items()} | sizes | {"heading": "section_heading IS NOT NULL"}
+
 
-    own = {n: meets(n, p) for n, p in rules.signals.items()}
-    for name, (compact, least, most) in rules.sizes.items():
-        own[name] = F.expr(f"length({'tight' if compact else 'line'}) BETWEEN {least or 0} AND {2**31 - 1 if most is None else most}")
-    rows = lines.withColumns(own | {"heading": F.col("section_heading").isNotNull()})
-    known, left = {*own, "heading"}, dict(rules.predicates)
+def levels(rules: SectionRules) -> list[dict[str, str]]:
+    """SQL of the predicates, level by level, as each may name others."""
+    known, left, out = {*rules.signals, *rules.sizes, "heading"}, dict(rules.predicates), []
     while left:
         ready = {n: cs for n, cs in left.items() if all(t.lstrip("!") in known for c in cs for t in c.split())}
         if not ready:
             raise ValueError(f"unknown names in {sorted(left)}")
-        rows = rows.withColumns({n: F.expr(" OR ".join(f"({wording(c)})" for c in cs)) for n, cs in ready.items()})
+        out.append({n: " OR ".join(f"({wording(c)})" for c in cs) for n, cs in ready.items()})
         known |= set(ready)
         left = {n: cs for n, cs in left.items() if n not in ready}
+    return out
+
+
+def signals(lines: DataFrame, rules: SectionRules) -> DataFrame:
+    """A column for each signal, size and predicate."""
+    rows = prepared(lines, rules).withColumn("tight", without_blanks(F.col("line")))
+    for group in (own_signals(rules), *levels(rules)):
+        rows = rows.withColumns({n: F.expr(sql) for n, sql in group.items()})
     return rows
 
 
+def named(sql: str, paths: dict[str, str]) -> str:
+    """SQL in which names in backticks stand for other SQL."""
+    return re.sub("`([^`]+)`", lambda m: paths[m[1]], sql)
+
+
+def plain_signals(rules: SectionRules) -> dict[str, str]:
+    return {n: f"({sql})" for n, sql in own_signals(rules, r"regexp_replace(line, r'\s+', '')").items()}
+
+
+def without(rules: SectionRules) -> Callable[[str], str]:
+    """What is left of a clause, as SQL, for lines that are no headings and meet neither the guard nor a hint: true, false, or what it still asks."""
+    never = {"heading", *rules.guard[1], *(rules.hints if rules.guard[1] else ())}
+
+    @cache
+    def one(name: str) -> str:
+        return "false" if name in never else some(rules.predicates[name]) if name in rules.predicates else f"`{name}`"
+
+    def some(clauses) -> str:
+        found = [every(c) for c in clauses]
+        return "true" if "true" in found else " OR ".join(dict.fromkeys(f"({f})" for f in found if f != "false")) or "false"
+
+    def every(text: str) -> str:
+        found = [one(t) if not t.startswith("!") else {"true": "false", "false": "true"}.get(one(t[1:]), f"NOT ({one(t[1:])})") for t in text.split()]
+        return "false" if "false" in found else " AND ".join(f"({f})" for f in found if f != "true") or "true"
+
+    return every
+
+
+def said(lines: DataFrame, rules: SectionRules, facts: Facts) -> DataFrame:
+    """What each line says, in a few values: its map, its refinement, what moves ask, the heading as a bit, whether it is but a heading, and what near_heading() asks.
+
+    Most lines of other scripts say nothing: they meet neither the guard nor a hint, and no clause holds without these. Their values are known beforehand; signals of all others are in structs, null for these, so
+    that rows stay short.
+    """
+    lines, own, deeper = prepared(lines, rules), own_signals(rules), levels(rules)
+    around, left = {m.around: m for m in rules.moves if m.around}, without(rules)
+    told = [left(t) for t in (*(text for _, text, _ in rules.opens), *(text for _, text, target in rules.refine if target != "="), *(t for m in around.values() for t in (m.clause, m.also)))]
+    told += [v for v in map(left, facts.texts) if v != "true"]
+    told = ["guard", "hinted", "section_heading IS NOT NULL", *dict.fromkeys(v for v in told if v != "false")]
+    # parts of other columns where the line says nothing
+    plain = plain_signals(rules)
+    lines = lines.withColumn("told", F.expr(named(" OR ".join(f"({t})" for t in told), plain)))
+    # rows of lines that say nothing stay short
+    lines, paths = lines.withColumn("low", F.when(F.col("told"), F.col("low"))).withColumn("tight", F.when(F.col("told"), without_blanks(F.col("line")))), {}
+    for k, group in enumerate((own, *deeper)):
+        fields = ", ".join(f"'{n}', {named(sql, paths)}" for n, sql in group.items())
+        lines = lines.withColumn(f"said_{k}", F.expr(f"IF(told, named_struct({fields}), NULL)"))
+        paths |= {n: f"`said_{k}`.`{n}`" for n in group}
+    either = lambda sql, otherwise: F.expr(f"IF(told, {named(sql, paths)}, {named(otherwise, plain)})")
+    by_text = F.create_map(*(F.lit(x) for pair in rules.headings.items() for x in pair))
+    pure = F.coalesce(F.try_element_at(by_text, F.col("clean")) == F.col("section_heading"), F.lit(False)) | (F.col("clean") == "")
+    for name, text in rules.empty.items():
+        pure = pure | ((F.col("section_heading") == name) & F.expr(named(wording(text), paths)))
+    out = {"map": either(step(rules), f"'{LETTERS}'"), "refined": either(refinement(rules), f"'{LETTERS[:SEEN]}'")}
+    out["facts"] = either(facts.sql(wording), facts.sql(left))
+    out["head"] = F.expr(cases(((f"section_heading = '{s}'", str(1 << i)) for i, s in enumerate(SECTIONS)), "0"))
+    out["gone"] = F.col("section_heading").isNotNull() & pure
+    for section, move in around.items():
+        out[f"at_{section}"] = either(near_bits(move, wording), near_bits(move, lambda text: "false" if text == move.stops else left(text)))
+    return lines.select("doc_id", "line_no", "line", "odd", "told", *(c.alias(n) for n, c in out.items()))
+
+
 def allowed(rules: SectionRules, source: str, target: str, seen: bool) -> str:
     """SQL of whether a document goes over from a section to the one that a line opens: the first switch that applies says."""
     fit = [(wording(text), str(verdict).lower()) for froms, tos, when, text, verdict in rules.switches if (froms is None or source in froms) and (tos is None or target in tos) and when in (None, seen)]
     return cases(fit, "false")
 
 
-def step(rules: SectionRules) -> Column:
-    """A line's map: the letter of each state's next one."""
+def step(rules: SectionRules) -> str:
+    """SQL of a line's map: the letter of each state's next one."""
     out = []
     for seen in (False, True):
         for source in SECTIONS:
@@ -173,15 +315,25 @@ def step(rules: SectionRules) -> Column:
             moves = [(wording(text), stay if target in ("=", source) else f"IF({allowed(rules, source, target, seen)}, '{letter(target, seen)}', {stay})") for froms, text, target in rules.opens if froms is None or source in froms]
             out.append(cases(moves, stay))
     heads = cases(((f"section_heading = '{s}'", f"'{letter(s, True) * len(LETTERS)}'") for s in SECTIONS), "''")
-    return F.expr(f"IF(heading, {heads}, concat({', '.join(out)}))")
+    opens = " OR ".join(f"({c})" for c in dict.fromkeys(wording(text) for _, text, _ in rules.opens)) or "false"
+    return f"CASE WHEN `heading` THEN {heads} WHEN {opens} THEN concat({', '.join(out)}) ELSE '{LETTERS}' END"
 
 
 def composed(lines: DataFrame, longest: int, column: str = "map") -> DataFrame:
-    """Each line's map after those of all lines before it in its document; longest: lines of a document at most."""
-    w = by_doc()
-    for k in range(ceil(log2(max(longest, 1))) if longest > 1 else 0):
-        before = F.lag(column, 1 << k).over(w)
-        lines = lines.withColumn("before", before).withColumn(column, F.when(F.col("before").isNull(), F.col(column)).otherwise(F.call_function("translate", F.col("before"), F.lit(LETTERS), F.col(column)))).drop("before")
+    """Each line's map after those of all lines before it in its document; longest: lines of a document at most. A pass joins the maps of FOLD lines."""
+    w, names = by_doc(), [f"before_{i}" for i in range(1, FOLD)]
+
+    def after(map_: Column, before: Column) -> Column:
+        # what changes nothing, or leaves a single section, is told without translate()
+        one = F.substring(map_, 1, 1) == F.substring(map_, -1, 1)
+        return F.when(before.isNull() | (one & (map_ == F.repeat(F.substring(map_, 1, 1), F.lit(len(LETTERS))))), map_).when(map_ == LETTERS, before).otherwise(F.call_function("translate", before, F.lit(LETTERS), map_))
+
+    reach = 1
+    while reach < longest:
+        lines = lines.withColumns({name: F.lag(column, reach * i).over(w) for i, name in enumerate(names, 1)})
+        for name in names:
+            lines = lines.withColumn(column, after(F.col(column), F.col(name))).drop(name)
+        reach *= FOLD
     return lines
 
 
@@ -190,17 +342,33 @@ def section_of(state: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SECTIONS)), (number + 1).cast("int"))
 
 
+def without_marks(bare: Column, is_odd: Column) -> Column:
+    """The canonical form of a line without blanks."""
+    return F.lower(F.when(is_odd, F.regexp_replace(bare, rf"(?U)[{CANON_MARKS}\s]+", "")).otherwise(F.regexp_replace(bare, r"[:;,.|\t\n\x0b\f\r\x85\xa0]+", "")))
+
+
+def key_of(canon: Column) -> Column:
+    """The canonical form, or its SHA-256, which has 64 digits, if it is long."""
+    return F.when(F.length(canon) <= 40, canon).otherwise(F.sha2(canon, 256))
+
+
+def has_text(line: Column) -> Column:
+    """Whether the canonical form is not empty."""
+    return line.rlike(rf"(?U)[^{CANON_MARKS}\s]")
+
+
 def first_seen(rows: DataFrame) -> DataFrame:
     """The first of a document's lines of a section that are equal in their canonical form."""
-    rows = rows.withColumn("canon", F.lower(F.regexp_replace(F.regexp_replace(norm_line(F.col("line")), "[：:；;，,。．.、|｜]+", " "), r"\s+", "")))
-    w = Window.partitionBy("doc_id", "section", "canon").orderBy("line_no")
-    return rows.where("canon <> ''").withColumn("place", F.row_number().over(w)).where("place = 1").drop("place", "canon")
+    w = Window.partitionBy("doc_id", "place", "key").orderBy("line_no")
+    return rows.withColumn("seen", F.row_number().over(w)).where("seen = 1").drop("seen")
 
 
-def refinement(rules: SectionRules) -> Column:
-    """A letter for each section: where a line belongs that stands in it."""
+def refinement(rules: SectionRules) -> str:
+    """SQL of a letter for each section: where a line belongs that stands in it."""
     own = lambda source, target: f"'{letter(source if target == '=' else target, False)}'"
-    return F.expr("concat(" + ", ".join(cases(((wording(text), own(source, target)) for froms, text, target in rules.refine if froms is None or source in froms), own(source, "=")) for source in SECTIONS) + ")")
+    whole = "concat(" + ", ".join(cases(((wording(text), own(source, target)) for froms, text, target in rules.refine if froms is None or source in froms), own(source, "=")) for source in SECTIONS) + ")"
+    leaves = " OR ".join(f"({c})" for c in dict.fromkeys(wording(text) for _, text, target in rules.refine if target != "=")) or "false"
+    return f"IF({leaves}, {whole}, '{LETTERS[:SEEN]}')"
 
 
 class Facts:
@@ -212,70 +380,115 @@ class Facts:
         if len(self.texts) > 62:
             raise ValueError("62 different clauses in moves at most")
 
-    def column(self) -> Column:
-        return F.expr(" | ".join(["0L", *(f"IF({wording(t)}, {1 << i}L, 0L)" for i, t in enumerate(self.texts))]))
+    def sql(self, say: Callable[[str], str]) -> str:
+        return " | ".join(["0L", *(f"IF({say(t)}, {1 << i}L, 0L)" for i, t in enumerate(self.texts))])
 
     def hold(self, text: str) -> Column:
         return F.col("facts").bitwiseAND(F.lit(1 << self.texts.index(text)).cast("bigint")) != 0
 
 
-def near_heading(move: Move, reach: int = 7) -> Column:
+#: What near_heading() asks of a line, a bit each.
+NEAR = {name: 1 << i for i, name in enumerate(("takes", "after", "own", "other", "stops"))}
+
+
+def near_bits(move: Move, say: Callable[[str], str]) -> str:
+    after = f"({say(move.clause)} OR {say(move.also)})"
+    own = f"coalesce(section_heading = '{move.around}', false)"
+    flags = {"takes": say(move.clause), "after": after, "own": own, "other": f"section_heading IS NOT NULL AND NOT {own}", "stops": f"NOT {after} AND ({say(move.stops)})"}
+    return " | ".join(f"IF({sql}, {NEAR[name]}, 0)" for name, sql in flags.items())
+
+
+def with_stops(rows: DataFrame, move: Move, rules: SectionRules, reach: int = 7) -> DataFrame:
+    """rows whose bits tell of plain lines, too, whether they stop: of those alone that come soon after a heading."""
+    sql, bits = without(rules)(move.stops), f"at_{move.around}"
+    if sql == "false":
+        return rows
+    soon = reduce(Column.__or__, (F.coalesce(F.lag(bits, k).over(by_doc()).bitwiseAND(F.lit(NEAR["own"])) != 0, F.lit(False)) for k in range(1, reach)))
+    rows = rows.withColumn("soon", ~F.col("told") & soon)
+    after = F.col(bits).bitwiseAND(F.lit(NEAR["after"])) != 0
+    return rows.withColumn(bits, F.when(F.col("soon") & ~after & F.expr(named(sql, plain_signals(rules))), F.col(bits).bitwiseOR(F.lit(NEAR["stops"]))).otherwise(F.col(bits))).drop("soon")
+
+
+def near_heading(bits: str, reach: int = 7) -> Column:
     """Whether a line is up to `reach` from a heading of move.around: before it in a run for which the clause holds, after which nothing else of that kind comes; or after it, itself
-    one for which the clause or `also` holds, without any line between that stops. Other headings end both."""
-    takes, after = clause(move.clause), clause(move.clause) | clause(move.also)
-    own = F.coalesce(F.col("section_heading") == move.around, F.lit(False))
-    line = F.struct(takes.alias("takes"), own.alias("own"), (F.col("section_heading").isNotNull() & ~own).alias("other"), (~after & clause(move.stops)).alias("stops"))
-    w = by_doc()
+    one for which the clause or `also` holds, without any line between that stops. Other headings end both. bits: the column of near_bits()."""
+    has = lambda x, name: x.bitwiseAND(F.lit(NEAR[name])) != 0
+    w, line = by_doc(), F.col(bits)
 
-    def reaches(lines: Column, ends) -> Column:
+    def reaches(lines: list[Column], ends) -> Column:
         start = F.struct(F.lit(False).alias("found"), F.lit(False).alias("over"), F.lit(False).alias("gap"))
 
         def add(state: Column, x: Column) -> Column:
-            found = state["found"] | (~state["over"] & x["own"])
-            return F.struct(found.alias("found"), (state["over"] | x["other"] | ends(state, x)).alias("over"), (state["gap"] | ~x["takes"]).alias("gap"))
+            found = state["found"] | (~state["over"] & has(x, "own"))
+            return F.struct(found.alias("found"), (state["over"] | has(x, "other") | ends(state, x)).alias("over"), (state["gap"] | ~has(x, "takes")).alias("gap"))
+
+        return F.aggregate(F.array_compact(F.array(*lines)), start, add)["found"]
 
-        return F.aggregate(lines, start, add)["found"]
+    before = has(line, "takes") & reaches([F.lead(bits, k).over(w) for k in range(1, reach + 1)], lambda state, x: has(x, "takes") & state["gap"])
+    behind = has(line, "after") & reaches([F.lag(bits, k).over(w) for k in range(1, reach + 1)], lambda state, x: has(x, "stops"))
+    return ~has(line, "other") & (before | behind)
 
-    before = takes & reaches(F.collect_list(line).over(w.rowsBetween(1, reach)), lambda state, x: x["takes"] & state["gap"])
-    behind = after & reaches(F.reverse(F.collect_list(line).over(w.rowsBetween(-reach, -1))), lambda state, x: x["stops"])
-    return ~F.coalesce(F.col("section_heading") != move.around, F.lit(False)) & (before | behind)
+
+def stands(section: str) -> Column:
+    """Whether a line, or a copy of it, stands in a section. `place` has a letter for each of these."""
+    return F.contains("place", F.lit(letter(section, False)))
 
 
 def moved(rows: DataFrame, move: Move, facts: Facts) -> DataFrame:
     """rows after one move. A column `held` of the move before serves this one too if it asks for the same."""
-    doc = Window.partitionBy("doc_id")
-    some = lambda c: F.coalesce(F.max(c).over(doc), F.lit(False))
-    fits = F.col("section").isin(*move.sources) & (F.col("section") != move.target) & (F.col(f"near_{move.around}") if move.around else facts.hold(move.clause))
+    doc, target = Window.partitionBy("doc_id"), letter(move.target, False)
+    shows = lambda section: F.col("headings").bitwiseAND(F.lit(1 << SECTIONS.index(section))) != 0
+    fits = F.col(f"near_{move.around}") if move.around else facts.hold(move.clause)
     if move.held:
         fits = fits & (F.col("held") == move.held[2])
     if move.heading:
-        fits = fits & F.array_contains("headings", move.heading)
+        fits = fits & shows(move.heading)
     if move.no_heading:
-        fits = fits & ~F.array_contains("headings", move.no_heading)
+        fits = fits & ~shows(move.no_heading)
+    sources = [s for s in move.sources if s != move.target]
+    fits = fits & reduce(Column.__or__, map(stands, sources), F.lit(False))
+    which = lambda values: F.coalesce(*(F.when(stands(s), v) for s, v in zip(sources, values))) if sources else F.lit(None)
+    # both windows in one pass: a document whose target is not empty has no first line either
+    whole, order = {}, F.struct(which(map(F.lit, range(len(sources)))).alias("o"), "line_no")
+    if move.first:
+        rows, fits = rows.withColumn("fits", fits), F.col("fits")
+        whole["first"] = F.min(F.when(fits, order)).over(doc)
     if move.if_empty:
-        fits = fits & ~some(F.col("section") == move.target)
+        whole["some"] = F.max(stands(move.target)).over(doc)
+    rows = rows.withColumns(whole) if whole else rows
+    if move.if_empty:
+        fits = fits & ~F.col("some")
     if move.first:
-        order = F.struct(F.array_position(F.array(*map(F.lit, move.sources)), F.col("section")).alias("o"), "line_no")
-        rows = rows.withColumn("fits", fits)
-        rows = rows.withColumn("first", F.min(F.when(F.col("fits"), order)).over(doc))
-        fits = F.col("fits") & F.coalesce(order == F.col("first"), F.lit(False))
+        fits = fits & (order == F.col("first"))
+    letters = [letter(s, False) for s in sources]
     if move.copy:
-        section = F.explode(F.when(fits, F.array("section", F.lit(move.target))).otherwise(F.array("section")))
+        place = F.concat("place", F.lit(target))
+    elif move.first:
+        place = which(F.translate("place", x, target) for x in letters)
     else:
-        section = F.when(fits, move.target).otherwise(F.col("section"))
-    return rows.withColumn("section", section).drop("fits", "first")
+        place = F.translate("place", "".join(letters), target * len(letters))
+    return rows.withColumn("place", F.when(fits, place).otherwise(F.col("place"))).drop("fits", *whole)
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """A row for each section that a line stands in."""
+    return rows.withColumn("place", F.explode(F.when(F.length("place") == 1, F.array("place")).otherwise(F.regexp_extract_all("place", F.lit("."), F.lit(0)))))
 
 
 def with_fragments(rows: DataFrame, rules: SectionRules, facts: Facts) -> DataFrame:
     """rows, and those parts of them that are lines of another section; where there are some, lines of that section that make room go."""
-    parts = [F.when((F.col("section") == source) & facts.hold(text), F.struct(F.nullif(F.trim(F.regexp_extract("line", pattern, 1)), F.lit("")).alias("line"), F.lit(target).alias("section"))) for source, text, pattern, target in rules.fragments]
-    rows = rows.withColumn("parts", F.filter(F.array(*parts), lambda p: p["line"].isNotNull()))
-    found = F.max(F.size("parts") > 0).over(Window.partitionBy("doc_id"))
-    targets = {f[3] for f in rules.fragments}
-    gone = F.col("section").isin(*targets) & reduce(Column.__or__, map(facts.hold, rules.makes_room), F.lit(False))
+    parts = [F.when(stands(source) & facts.hold(text), F.struct(F.nullif(F.trim(F.regexp_extract("line", pattern, 1)), F.lit("")).alias("line"), F.lit(letter(target, False)).alias("place"))) for source, text, pattern, target in rules.fragments]
+    some = reduce(Column.__or__, (stands(source) & facts.hold(text) for source, text, _, _ in rules.fragments))
+    rows = rows.withColumn("parts", F.when(some, F.filter(F.array(*parts), lambda p: p["line"].isNotNull())))
+    has = F.coalesce(F.size("parts") > 0, F.lit(False))
+    found = F.max(has).over(Window.partitionBy("doc_id"))
+    targets = {letter(f[3], False) for f in rules.fragments}
+    gone = F.col("place").isin(*targets) & reduce(Column.__or__, map(facts.hold, rules.makes_room), F.lit(False))
     rows = rows.withColumn("found", found).where(~(F.col("found") & gone))
-    rest = [c for c in rows.columns if c not in ("line", "section", "parts", "found")]
-    return rows.select(*rest, F.explode(F.concat(F.array(F.struct("line", "section")), "parts")).alias("p")).select(*rest, "p.line", "p.section")
+    rest = [c for c in rows.columns if c not in ("line", "place", "key", "parts", "found")]
+    own = F.array(F.struct("line", "place", "key"))
+    made = F.transform(F.filter("parts", lambda p: has_text(p["line"])), lambda p: F.struct(p["line"], p["place"], key_of(without_marks(F.replace(p["line"], F.lit(" "), F.lit("")), F.lit(True))).alias("key")))
+    return rows.select(*rest, F.explode(F.when(has, F.concat(own, made)).otherwise(own)).alias("p")).select(*rest, "p.line", "p.place", "p.key")
 
 
 def place_lines(lines: DataFrame, rules: SectionRules, expanded: bool = True) -> DataFrame:
@@ -285,29 +498,26 @@ def place_lines(lines: DataFrame, rules: SectionRules, expanded: bool = True) ->
     """
     rows = lines.select("doc_id", "line_no", "line").where(F.trim("line") != "")
     rows = expand_lines(rows, rules) if expanded else rows
-    facts, around = Facts(rules), {m.around: near_heading(m) for m in rules.moves if m.around}
-    known = signals(with_heading(rows.repartition("doc_id"), rules), rules)
-    # of what a line says, three values go on
-    kept = known.select("doc_id", "line_no", "line", "clean", "section_heading", step(rules).alias("map"), refinement(rules).alias("refined"), facts.column().alias("facts"), *(near.alias(f"near_{section}") for section, near in around.items()))
-    # a line takes two characters at least, with what parts it from the next
-    longest = lines.groupBy("doc_id").agg(F.sum(F.length("line") + 1).alias("n")).agg(F.max("n")).first()[0] or 0
-    section = section_of(F.substring("map", 1, 1))
-    placed = composed(kept, longest // 2 + 1).withColumn("section", section).withColumn("headings", F.collect_set("section_heading").over(Window.partitionBy("doc_id"))).drop("map")
-    by_text = F.create_map(*(F.lit(x) for pair in rules.headings.items() for x in pair))
-    pure = F.coalesce(F.try_element_at(by_text, F.col("clean")) == F.col("section_heading"), F.lit(False)) | (F.col("clean") == "")
-    for name, text in rules.empty.items():
-        pure = pure | ((F.col("section_heading") == name) & facts.hold(text))
-    placed = placed.where(~(F.col("section_heading").isNotNull() & pure)).drop("clean", "section_heading")
-    letters = F.array(*map(F.lit, SECTIONS))
-    out = first_seen(placed)
-    out = out.withColumn("section", section_of(F.substring(F.col("refined"), F.array_position(letters, F.col("section")).cast("int"), F.lit(1)))).drop("refined")
+    facts, around = Facts(rules), {m.around: m for m in rules.moves if m.around}
+    known = said(with_heading(rows.repartition("doc_id"), rules, norm=expanded), rules, facts)
+    for move in around.values():
+        known = with_stops(known, move, rules)
+    every = by_doc().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = known.select("doc_id", "line_no", "line", "odd", "map", "refined", "facts", "gone", F.bit_or("head").over(every).alias("headings"), *(near_heading(f"at_{section}").alias(f"near_{section}") for section in around))
+    longest = lines.groupBy("doc_id").agg(F.sum(most_parts(F.col("line"), rules) if expanded else F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    number = (F.ascii(F.substring("map", 1, 1)) - ord("A")) % SEEN + 1
+    placed = composed(kept, longest).where(~F.col("gone") & has_text(F.col("line"))).withColumn("number", number.cast("int")).drop("map", "gone")
+    placed = placed.withColumn("place", F.substring(F.lit(LETTERS[:SEEN]), F.col("number"), F.lit(1))).withColumn("bare", F.replace("line", F.lit(" "), F.lit("")))
+    placed = placed.withColumn("canon", without_marks(F.col("bare"), F.col("odd"))).withColumn("key", key_of(F.col("canon"))).drop("bare", "canon", "odd")
+    out = first_seen(placed).withColumn("place", F.substring(F.col("refined"), F.col("number"), F.lit(1))).drop("refined", "number")
     held = None
     for k, move in enumerate(rules.moves):
         if k == 2 and rules.fragments:
-            out = with_fragments(out, rules, facts)
+            out = with_fragments(apart(out) if any(m.copy for m in rules.moves[:k]) else out, rules, facts)
         if move.held and move.held[:2] != held:
             held = move.held[:2]
-            out = out.withColumn("held", F.coalesce(F.max((F.col("section") == held[0]) & facts.hold(held[1])).over(Window.partitionBy("doc_id")), F.lit(False)))
+            out = out.withColumn("held", F.max(stands(held[0]) & facts.hold(held[1])).over(Window.partitionBy("doc_id")))
         held = move.held[:2] if move.held else None
         out = moved(out, move, facts)
-    return first_seen(out).select("doc_id", "line_no", "line", "section")
+    out = first_seen(apart(out) if any(m.copy for m in rules.moves) else out)
+    return out.select("doc_id", "line_no", "line", section_of(F.col("place")).alias("section"))

@@ -163,3 +163,21 @@ def test_partitions_of_spans_follow_the_texts(spark, small, monkeypatch):
     assert few[:3] == [(2, 0, 4), (2, 5, 8), (2, 9, 13)] and parts() == [str(spark.sparkContext.defaultParallelism)]
     monkeypatch.setattr(M, "TASK_CHARS", 4)
     assert parts() == [str(-(-(13 + 4 + 63) // 4))] and rows() == few
+
+
+def test_lines_that_say_nothing_skip_the_rules(spark, small):
+    """Lines of other scripts meet no table of rules; whatever meets a signal is hinted at; documents are sorted few times and copies of lines sort nothing."""
+    texts_ = ["the word of it", "plain prose, with commas, and more.", "3", "", "maps", "PS: x", "ups ae", "QQ", "at 19xx", "my App", "WECHAT", "a·b", "x：y", "x: y", "、", "a、b、c", "Internship", "backend", "FRONTEND", "uSkills", "gpa", "Excel", "12)", "- 4.", "公司", "技能", "ひら", "über, pr", "13900001111"]
+    lines = spark.createDataFrame([(1, n, x) for n, x in enumerate(texts_)], "doc_id bigint, line_no int, line string")
+    headed = S.with_heading(lines, HAN)
+    facts = S.Facts(HAN)
+    got = {r.line: r for r in S.said(headed, HAN, facts).collect()}
+    assert {x for x in texts_ if not got[x].told} == {"", "plain prose, with commas, and more.", "maps", "ひら"}
+    full = S.signals(headed, HAN).selectExpr("line", *(f"{S.named(sql, {n: n for n in [*HAN.signals, *HAN.sizes, *HAN.predicates, 'heading']})} AS {name}" for name, sql in (("map", S.step(HAN)), ("refined", S.refinement(HAN)), ("facts", facts.sql(S.wording)))))
+    for r in full.collect():
+        assert (r.map, r.refined, r.facts) == (got[r.line].map, got[r.line].refined, got[r.line].facts), r.line
+    looked = [F.expr(f"{name} <=> ({'tight' if name in HAN.compact else 'line'} RLIKE r'{pattern}')").alias(name) for name, pattern in HAN.signals.items() if name not in HAN.guard[1]]
+    for r in S.signals(headed, HAN).select("line", *looked).collect():
+        assert all(r[1:]), r
+    df = registry.queries()["h35_place_lines"](spark, small)
+    assert plan(df).count("Sort [") <= 5
