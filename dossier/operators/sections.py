@@ -1,7 +1,7 @@
 """H35. Sections of documents by rules that are data: what a line says and the section so far give its section; then lines move.
 
 A line is a small map: for each section so far, and whether a heading was seen, the section after it. Maps are strings with a letter for each of these states, and
-two that follow each other are one by translate(); so a document's maps are composed in log2(lines) passes of one window, each over twice the lines of the one
+two that follow each other are one by translate(); so a document's maps are composed in log8(lines) passes of one window, each over eight times the lines of the one
 before, and no document is gathered or folded. Refinement is line by line; moves are windows of the same documents, which are shuffled once.
 """
 
